@@ -6,22 +6,41 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelkiln.llm import digest_dedup, secrets
-from panelkiln.llm.common import documents
+from panelkiln.llm import digest_dedup, packing, secrets, token_store
+from panelkiln.llm.common import documents, shared_folder
+
+
+def vocabulary(name: str) -> str:
+    """The place of a public vocabulary file; the operators take any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_dedup.exact_groups(documents(spark, sf_dir))
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"), end_id=0, size=1024)
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_report(documents(spark, sf_dir))
 
 
+def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_folder(spark, "token-shards")
+    token_store.write_tokens(documents(spark, sf_dir), path, vocabulary("byte_bpe_50k.json"), end_id=2)
+    return token_store.read_tokens(spark, path)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_exact_dedup": op2_exact_dedup,
+        "op4_packing": op4_packing,
         "op5_secret_scan": op5_secret_scan,
+        "op9_token_store": op9_token_store,
     }
 
 
