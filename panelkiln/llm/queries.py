@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelkiln.llm import digest_dedup, packing, secrets, token_store
-from panelkiln.llm.common import documents, shared_folder
+from panelkiln.llm import digest_dedup, packing, secrets, token_store, webp
+from panelkiln.llm.common import documents, shared_folder, written
 
 
 def vocabulary(name: str) -> str:
@@ -35,12 +35,17 @@ def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_tokens(spark, path)
 
 
+def op10_webp_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return webp.media_report(written(webp.write_media(documents(spark, sf_dir)), "media"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_exact_dedup": op2_exact_dedup,
         "op4_packing": op4_packing,
         "op5_secret_scan": op5_secret_scan,
         "op9_token_store": op9_token_store,
+        "op10_webp_media": op10_webp_media,
     }
 
 
