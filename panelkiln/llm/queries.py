@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelkiln.llm import digest_dedup, packing, secrets, token_store, webp
+from panelkiln.llm import digest_dedup, packing, secrets, simhash, token_store, webp
 from panelkiln.llm.common import documents, shared_folder, written
 
 
@@ -29,6 +29,10 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_report(documents(spark, sf_dir))
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_groups(documents(spark, sf_dir))
+
+
 def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_folder(spark, "token-shards")
     token_store.write_tokens(documents(spark, sf_dir), path, vocabulary("byte_bpe_50k.json"), end_id=2)
@@ -44,6 +48,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_exact_dedup": op2_exact_dedup,
         "op4_packing": op4_packing,
         "op5_secret_scan": op5_secret_scan,
+        "op7_simhash": op7_simhash,
         "op9_token_store": op9_token_store,
         "op10_webp_media": op10_webp_media,
     }
