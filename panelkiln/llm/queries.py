@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelkiln.llm import digest_dedup, packing, secrets, simhash, token_store, webp
-from panelkiln.llm.common import documents, shared_folder, written
+from panelkiln.llm import digest_dedup, fm_quality, packing, secrets, simhash, token_store, webp
+from panelkiln.llm.common import documents, shared_folder, table, written
 
 
 def vocabulary(name: str) -> str:
@@ -17,6 +17,10 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fm_quality.quality_scores(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_dedup.exact_groups(documents(spark, sf_dir))
 
@@ -45,6 +49,7 @@ def op10_webp_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_quality": op1_quality,
         "op2_exact_dedup": op2_exact_dedup,
         "op4_packing": op4_packing,
         "op5_secret_scan": op5_secret_scan,
