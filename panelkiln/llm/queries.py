@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelkiln.llm import digest_dedup, fm_quality, packing, secrets, simhash, token_store, webp
+from panelkiln.llm import digest_dedup, fm_quality, packing, pieces, secrets, simhash, token_store, webp
 from panelkiln.llm.common import documents, shared_folder, table, written
 
 
@@ -33,6 +33,10 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_report(documents(spark, sf_dir))
 
 
+def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.piece_report(documents(spark, sf_dir), vocabulary("piece_bpe_32k.model"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(documents(spark, sf_dir))
 
@@ -53,6 +57,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_exact_dedup": op2_exact_dedup,
         "op4_packing": op4_packing,
         "op5_secret_scan": op5_secret_scan,
+        "op6_pieces": op6_pieces,
         "op7_simhash": op7_simhash,
         "op9_token_store": op9_token_store,
         "op10_webp_media": op10_webp_media,
