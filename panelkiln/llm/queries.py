@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelkiln.llm import digest_dedup, fm_quality, packing, pieces, secrets, simhash, token_store, webp
+from panelkiln.llm import digest_dedup, fm_quality, katz, packing, pieces, secrets, simhash, token_store, webp
 from panelkiln.llm.common import documents, shared_folder, table, written
 
 
@@ -25,6 +25,10 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_dedup.exact_groups(documents(spark, sf_dir))
 
 
+def op3_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.train_and_score(documents(spark, sf_dir))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"), end_id=0, size=1024)
 
@@ -55,6 +59,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": op1_quality,
         "op2_exact_dedup": op2_exact_dedup,
+        "op3_katz": op3_katz,
         "op4_packing": op4_packing,
         "op5_secret_scan": op5_secret_scan,
         "op6_pieces": op6_pieces,
