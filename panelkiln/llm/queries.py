@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelkiln.llm import digest_dedup, fm_quality, katz, packing, pieces, secrets, simhash, token_store, webp
+from panelkiln.llm import digest_dedup, fm_quality, katz, packing, pieces, rindex_dedup, secrets, simhash, token_store, webp
 from panelkiln.llm.common import documents, shared_folder, table, written
 
 
@@ -45,6 +45,10 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(documents(spark, sf_dir))
 
 
+def op8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rindex_dedup.remove_repeats(documents(spark, sf_dir), keep_bytes=False).drop("kept")
+
+
 def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_folder(spark, "token-shards")
     token_store.write_tokens(documents(spark, sf_dir), path, vocabulary("byte_bpe_50k.json"), end_id=2)
@@ -64,6 +68,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_secret_scan": op5_secret_scan,
         "op6_pieces": op6_pieces,
         "op7_simhash": op7_simhash,
+        "op8_passages": op8_passages,
         "op9_token_store": op9_token_store,
         "op10_webp_media": op10_webp_media,
     }
