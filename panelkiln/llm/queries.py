@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from panelkiln.llm import digest_dedup, fm_quality, katz, packing, pieces, rindex_dedup, secrets, simhash, token_store, webp
 from panelkiln.llm.common import documents, shared_folder, table, written
 
@@ -71,6 +72,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_passages": op8_passages,
         "op9_token_store": op9_token_store,
         "op10_webp_media": op10_webp_media,
+        "pipeline": corpus_pipeline.run,
     }
 
 

@@ -178,13 +178,13 @@ def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield bucket_links(key, prints)
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
+def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """(doc_id, print)"""
     out = pa.schema([("doc_id", pa.int64()), ("print", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
-            yield rows(out, doc_id=batch.column(0), print=list(map(fingerprint, texts(batch))))
+            yield rows(out, doc_id=batch.column(0), print=[fingerprint(t, words) for t in texts(batch)])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(run, "doc_id long, print long")
 
@@ -221,9 +221,9 @@ def links(prints: DataFrame, block: int = BLOCK) -> DataFrame:
     return found.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
-def near_groups(docs: DataFrame) -> DataFrame:
+def near_groups(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """(doc_id, fingerprint, component_id): the smallest id reachable over links of fingerprints."""
-    marks = written(fingerprints(docs), "fingerprints")
+    marks = written(fingerprints(docs, words), "fingerprints")
     classes = written(marks.groupBy("print").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")), "classes")
     joined = components(links(classes))
     labelled = classes.join(joined, F.col("print") == F.col("node"), "left").select("print", "least", F.coalesce("component", "print").alias("label"))
@@ -244,12 +244,12 @@ def resolve(marks: DataFrame, named: DataFrame, classes: DataFrame) -> DataFrame
     return marks.join(hot, "print").unionByName(cold.join(named, "print"))
 
 
-def drop_near_copies(docs: DataFrame) -> DataFrame:
+def drop_near_copies(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """One document of each group stays, the one with the smallest id; all its columns are kept.
 
     Of rows that repeat that id one stays. A group whose ids are all null keeps one row of each text.
     """
-    groups = near_groups(docs)
+    groups = near_groups(docs, words)
     stay = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
     out = docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
     if docs.groupBy("doc_id").count().where("count > 1").take(1):
