@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from math import erfc, exp, lgamma, log, sqrt
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Columns up to which products are SQL sums; beyond, a generated aggregate would be larger than the JVM compiles well.
+WIDE = 8
+
+
 def moments(df: DataFrame, columns: Sequence[str]) -> tuple[np.ndarray, int]:
     """X'X over the named columns and the number of rows; one aggregate with partial sums."""
     k = len(columns)
+    if k > WIDE:
+        return _wide_moments(df, columns)
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
     row = df.agg(F.count("*").alias("n"), *[F.sum(F.col(columns[i]) * F.col(columns[j])).alias(f"m{i}_{j}") for i, j in pairs]).first()
     out = np.zeros((k, k))
@@ -22,6 +29,26 @@ def moments(df: DataFrame, columns: Sequence[str]) -> tuple[np.ndarray, int]:
     return out, int(row["n"])
 
 
+def _wide_moments(df: DataFrame, columns: Sequence[str]) -> tuple[np.ndarray, int]:
+    """Products by Arrow batch, a partition's sum as one row per entry; entries are summed where they meet."""
+    k = len(columns)
+    schema = pa.schema([("at", pa.int32()), ("v", pa.float64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = np.zeros((k, k)), 0
+        for batch in batches:
+            x = np.stack([np.nan_to_num(c.to_numpy(zero_copy_only=False)) for c in batch.columns], 1) if batch.num_rows else np.zeros((0, k))
+            total += x.T @ x
+            n += batch.num_rows
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(k * k + 1), pa.int32()), pa.array(np.append(total.ravel(), n))], schema=schema)
+
+    parts = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)]).mapInArrow(run, "at int, v double")
+    out = np.zeros(k * k + 1)
+    for at, v in parts.groupBy("at").agg(F.sum("v")).collect():
+        out[at] = v
+    return out[:-1].reshape(k, k), int(out[-1])
+
+
 def solve(xx: np.ndarray, xy: np.ndarray, tol: float = 1e-10) -> np.ndarray:
     """The least-norm solution; directions without variation get zero."""
     return np.linalg.pinv(xx, rcond=tol, hermitian=True) @ xy
