@@ -47,7 +47,7 @@ class TooLarge(ValueError):
 
 def estimated_bytes(df: DataFrame) -> int:
     """The optimiser's size of what a query reads and makes; nothing runs."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
 def capped(df: DataFrame, most: int) -> DataFrame:
