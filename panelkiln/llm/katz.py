@@ -363,7 +363,7 @@ def train_and_score(docs: DataFrame, folds: int = 7, held: int = 2, path: str |
 
     def save(df: DataFrame, name: str, *by: str) -> DataFrame:
         df.write.partitionBy(*by).option("compression", "zstd").parquet(f"{path}/{name}")
-        return spark.read.parquet(f"{path}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{path}/{name}")
 
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), out.alias("held_out"), text_of().alias("text"))
     blocks = save(plain.mapInArrow(block_rows, BLOCK_DDL), "blocks")

@@ -61,13 +61,14 @@ def plan(at: np.ndarray, cost: np.ndarray, size: int = 1024) -> list[int]:
     where = {p: i for i, p in enumerate(pos)}
     queue: deque[tuple[int, int, int]] = deque([(0, 0, 0)])  # (dp + position, position, index), the first rising
     push, drop, head, get = queue.append, queue.pop, queue.popleft, where.get
+    short = [n for n in SHORT if n < size]
     for j in range(1, n):
         p = pos[j]
         while queue[0][1] < p - size:
             head()
         value, _, i = queue[0]
         low = value + size - p
-        for length in SHORT:
+        for length in short:
             k = get(p - length)
             if k is not None and best[k] < low:
                 low, i = best[k], k
