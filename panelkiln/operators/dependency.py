@@ -30,7 +30,8 @@ def resolve(deps: DataFrame, releases: DataFrame) -> DataFrame:
     out = by.withColumn("version", best_version(F.col("_vs"), F.col("spec"))).drop("_vs")
     when = releases.select("package", "version", F.col("released_at").alias("version_at"))
     out = deps.join(out, ["repo_name", "committed_at", "package", "spec"], "left").join(when, ["package", "version"], "left")
-    return out.withColumn("lag_days", F.greatest(F.date_diff("newest_at", "version_at"), F.lit(0)))
+    # greatest() skips NULL, so an unresolved range is kept apart.
+    return out.withColumn("lag_days", F.when(F.col("version").isNotNull(), F.greatest(F.date_diff("newest_at", "version_at"), F.lit(0))))
 
 
 def vulnerable(resolved: DataFrame, advisories: DataFrame) -> DataFrame:
