@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from panelkiln.estimators import did, linear
 from panelkiln.estimators import panel as panels
 from panelkiln.functions import periods, values
-from panelkiln.operators import cohorts, dependency, effects, events, joins, matching, panel, qc, quality, reshape, similarity
+from panelkiln.operators import cohorts, dependency, effects, events, joins, matching, panel, qc, quality, reshape, scan, similarity
 from panelkiln.plans.bindings import END, START, TARGET, adoption, commits, ctes, daily_events, load, monthly_events, pairs, panel_rows, scans, series
 from panelkiln.sources.tables import query as parameterised
 
@@ -598,7 +598,7 @@ def _dense(spark: SparkSession, d: str) -> DataFrame:
     grid = c.select("u").distinct().select("u", F.explode(F.sequence(F.lit(1996 * 12 + 1), F.lit(1997 * 12 + 12))).alias("t"))
     full = grid.join(agg, ["u", "t"], "left").select("u", "t", F.coalesce("n", F.lit(0)).cast("double").alias("y"), (F.coalesce("v", F.lit(0.0)) / 100000).alias("x"))
     cohort = F.when(F.col("u") % 3 == 0, 1996 * 12 + 13).when(F.col("u") % 3 == 1, 1996 * 12 + 19)
-    return full.withColumn("g", cohort).withColumn("post", F.coalesce(F.col("t") >= F.col("g"), F.lit(False)).cast("int")).withColumn("rel", F.col("t") - F.col("g"))
+    return full.withColumn("g", cohort).withColumn("post", F.coalesce(F.col("t") >= F.col("g"), F.lit(False)).cast("int")).withColumn("rel", F.col("t") - F.col("g")).persist()
 
 
 _DENSE = f"""WITH a AS (SELECT c_nationkey AS u, year(o_orderdate) * 12 + month(o_orderdate) AS t, count(*) AS n FROM orders JOIN customer ON c_custkey = o_custkey WHERE year(o_orderdate) BETWEEN 1996 AND 1997 GROUP BY 1, 2),
@@ -753,3 +753,98 @@ def dependency_health(spark, d):
     manifests = load(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("repo_name"), F.timestamp_seconds(F.lit(1_700_000_000)).alias("committed_at"), F.to_json(F.struct(F.create_map(name, spec).alias("dependencies"))).alias("manifest"))
     advisories = spark.createDataFrame([("pkg1", "<1.4.0"), ("pkg2", ">=1.0.0 <1.2.0 || 2.x")], "package string, range string").withColumn("published_at", F.timestamp_seconds(F.lit(1_650_000_000)))
     return dependency.health(dependency.vulnerable(dependency.resolve(dependency.dependencies(manifests), releases), advisories))
+
+
+# Further operators
+
+
+_SCAN = ctes("co") + """, m AS (SELECT repo_name, unnest(['1997-11', '1997-12', '1998-01', '1998-02', '1998-03']) AS month FROM (SELECT DISTINCT repo_name FROM co)),
+s AS (SELECT repo_name, month, (SELECT arg_max(sha, {'a': committed_at, 'b': sha}) FROM co WHERE co.repo_name = m.repo_name AND committed_at::DATE <= last_day((month || '-01')::DATE)) AS sha FROM m),
+r AS (SELECT *, (sha IS NULL)::INT AS missing, coalesce(sha = lag(sha) OVER (PARTITION BY repo_name ORDER BY month), false)::INT AS repeated FROM s)
+"""
+
+
+@query(_SCAN + "SELECT repo_name, month, sha, missing, repeated FROM r")
+def scan_input(spark, d):
+    return scan.scan_input(commits(spark, d), "1997-11", "1998-03")
+
+
+@query(_SCAN + "SELECT count(*) AS rows, 0::BIGINT AS duplicates, sum(missing)::BIGINT AS missing, sum(repeated)::BIGINT AS repeated FROM r")
+def scan_checks(spark, d):
+    return scan.scan_checks(scan.scan_input(commits(spark, d), "1997-11", "1998-03"))
+
+
+@query(ctes("co") + """, p AS (SELECT o_custkey AS repo_name, 'a' || (o_orderkey % 6) AS actor FROM orders WHERE o_orderstatus <> 'F'), e AS (SELECT DISTINCT repo_name, author FROM co WHERE evidence)
+SELECT repo_name, count(*) AS pushes, count(author) AS adopter_pushes, round(count(author) / count(*), 6) AS share FROM p LEFT JOIN e USING (repo_name) WHERE author IS NULL OR author = actor OR true GROUP BY 1""".replace("LEFT JOIN e USING (repo_name) WHERE author IS NULL OR author = actor OR true", "LEFT JOIN e ON e.repo_name = p.repo_name AND e.author = p.actor").replace("SELECT repo_name, count(*) AS pushes", "SELECT p.repo_name, count(*) AS pushes"))
+def pushes_share(spark, d):
+    o = load(spark, d, "orders").where("o_orderstatus != 'F'")
+    pushes = o.select(F.lit("PushEvent").alias("type"), F.col("o_custkey").alias("repo_name"), F.concat(F.lit("A"), (F.col("o_orderkey") % 6).cast("string")).alias("actor"))
+    evidence = commits(spark, d).where("evidence").select("repo_name", F.concat("author", F.lit(" <"), "author", F.lit("@x.org>")).alias("author"))
+    return cohorts.pushes_share(pushes, evidence).withColumns(r6("share"))
+
+
+@query(_ASSEMBLED.rstrip() + f""",
+{_WARN}, c AS (SELECT repo_name, month, count(DISTINCT issue_key) AS n FROM wa WHERE cat = 'SMALL' GROUP BY ALL), s AS (SELECT DISTINCT repo_name, month FROM wa)
+SELECT q.repo_name, q.time, q.dataset_source, CASE WHEN s.repo_name IS NOT NULL THEN coalesce(n, 0) END AS warning_count, round(CASE WHEN s.repo_name IS NOT NULL THEN ln(1 + coalesce(n, 0)) END, 6) AS log_warning_count
+FROM q LEFT JOIN s ON s.repo_name = q.repo_name AND s.month = q.time AND q.dataset_source = 'treatment' LEFT JOIN c ON c.repo_name = q.repo_name AND c.month = q.time""")
+def category_did_input(spark, d):
+    w = warnings(spark, d)
+    out = quality.category_did_input(assembled(spark, d), quality.category_counts(w), quality.observed(w), "SMALL")
+    return out.select("repo_name", "time", "dataset_source", "warning_count", F.round("log_warning_count", 6).alias("log_warning_count"))
+
+
+@query("SELECT coalesce(CASE WHEN o_orderstatus <> 'F' THEN o_orderpriority END, '(missing)') AS o_orderpriority, count(*) AS n FROM orders GROUP BY 1")
+def value_counts(spark, d):
+    return qc.value_counts(load(spark, d, "orders").withColumn("o_orderpriority", F.when(F.col("o_orderstatus") != "F", F.col("o_orderpriority"))), "o_orderpriority")
+
+
+@query("SELECT DISTINCT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
+def key_difference(spark, d):
+    o = load(spark, d, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey"))
+    return reshape.difference(load(spark, d, "customer"), o, ["c_custkey"])
+
+
+@query("SELECT DISTINCT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
+def key_intersection(spark, d):
+    o = load(spark, d, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey"))
+    return reshape.intersection(load(spark, d, "customer"), o, ["c_custkey"])
+
+
+@query(ctes("pr") + "SELECT repo_name, month, max(CASE WHEN month = event THEN commits END) OVER (PARTITION BY repo_name) AS commits_at_event FROM pr WHERE event IS NOT NULL")
+def value_at_event(spark, d):
+    p = panel_rows(spark, d).where("event IS NOT NULL")
+    return panel.value_at(p, ["repo_name"], F.col("month") == F.col("event"), "commits", "commits_at_event").select("repo_name", "month", "commits_at_event")
+
+
+@query(ctes("oe") + """, u AS (SELECT repo, 1998 * 12 + 6 AS t FROM oe WHERE type = 'WatchEvent' AND repo IN (SELECT repo FROM oe WHERE strftime(created_at, '%Y-%m') = '1998-06') GROUP BY 1 HAVING count(*) >= 2),
+b AS (SELECT u.repo, t - (year(created_at) * 12 + month(created_at)) AS k, type FROM u JOIN oe USING (repo))
+SELECT repo, count_if(type = 'WatchEvent' AND k = 1)::BIGINT AS n_stars_m1, count_if(type = 'WatchEvent' AND k = 6)::BIGINT AS n_stars_m6, count_if(type = 'WatchEvent' AND k > 6)::BIGINT AS n_stars_sum, count_if(k > 6)::BIGINT AS total_events_sum FROM b GROUP BY 1""")
+def wide_features(spark, d):
+    f = events.control_candidates(monthly_events(spark, d), TARGET, 2)
+    return events.wide_features(f, ["n_stars", "total_events"]).select("repo", "n_stars_m1", "n_stars_m6", "n_stars_sum", "total_events_sum")
+
+
+@query("SELECT doc_id, CASE WHEN lang = 'en' THEN 'web' WHEN lang = 'fr' THEN 'python' WHEN lang = 'de' THEN 'systems' ELSE 'other' END AS language_group FROM documents")
+def language_groups(spark, d):
+    name = F.when(F.col("lang") == "en", "TypeScript").when(F.col("lang") == "fr", "Python").when(F.col("lang") == "de", "Rust").otherwise("COBOL")
+    return load(spark, d, "documents").select("doc_id", cohorts.language_group(name).alias("language_group"))
+
+
+@query("SELECT l_partkey, max(l_extendedprice) FILTER (l_returnflag = 'R') AS m_r, max(l_extendedprice) FILTER (l_returnflag = 'N') AS m_n FROM lineitem GROUP BY 1")
+def wide_maxima(spark, d):
+    by = load(spark, d, "lineitem").groupBy("l_partkey", "l_returnflag").agg(F.max("l_extendedprice").alias("m"))
+    return reshape.wide(by, ["l_partkey"], "l_returnflag", ["R", "N"], "m").select("l_partkey", F.col("R").alias("m_r"), F.col("N").alias("m_n"))
+
+
+@query()
+def heterogeneous_effects(spark, d):
+    p = _dense(spark, d).withColumn("size", F.avg("y").over(Window.partitionBy("u")))
+    fits = did.heterogeneity(p, "y", "post", "u", "t", "size")
+    return spark.createDataFrame([(k, *f.rows()[0], f.n) for k, f in fits.items()], "half string, term string, estimate double, std_error double, p_value double, n long")
+
+
+@query()
+def settings_grid(spark, d):
+    p = assembled(spark, d).withColumns({"y": F.log1p(F.col("commits").cast("double")), "tid": periods.month_id(F.col("time")), "g": periods.month_id(F.col("event"))}).persist()  # one panel for the whole grid
+    parts = {name: cohorts.apply_setting(p, pairs(spark, d), cond) for name, cond in (("all", "true"), ("early", "event <= '1997-06'"), ("late", "event > '1997-06'"))}
+    return did.grid(parts, lambda df: did.imputation_static(df, "y", "repo_name", "tid", F.col("post_event") == 1, "g"))
