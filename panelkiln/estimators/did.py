@@ -193,10 +193,12 @@ def heterogeneity(df: DataFrame, y: str, x: str, unit: str, time: str, by: str)
 
 
 def grid(panels: dict[str, DataFrame], estimate) -> DataFrame:
-    """One result table for several panels or settings; each is a plan of its own over a shared parent."""
+    """One result table for several panels or settings. A panel is kept while its estimate's jobs read it."""
     out = None
     for name, df in panels.items():
-        part = estimate(df).withColumn("panel", F.lit(name))
+        kept = df.persist()
+        part = estimate(kept).withColumn("panel", F.lit(name))
+        kept.unpersist()
         out = part if out is None else out.unionByName(part)
     return out
 

@@ -845,6 +845,10 @@ def heterogeneous_effects(spark, d):
 
 @query()
 def settings_grid(spark, d):
-    p = assembled(spark, d).withColumns({"y": F.log1p(F.col("commits").cast("double")), "tid": periods.month_id(F.col("time")), "g": periods.month_id(F.col("event"))}).persist()  # one panel for the whole grid
-    parts = {name: cohorts.apply_setting(p, pairs(spark, d), cond) for name, cond in (("all", "true"), ("early", "event <= '1997-06'"), ("late", "event > '1997-06'"))}
-    return did.grid(parts, lambda df: did.imputation_static(df, "y", "repo_name", "tid", F.col("post_event") == 1, "g"))
+    """Effects for all units, and with treated units of the early or the late cohort only."""
+    p = _dense(spark, d).withColumn("is_treatment", F.col("g").isNotNull().cast("int"))
+    units = p.select("u", "g").distinct()
+    pairs_ = units.where("g IS NOT NULL").select(F.col("u").alias("treatment_repo")).crossJoin(units.where("g IS NULL").select(F.col("u").alias("control_repo")))  # nations: 25 rows
+    named = p.withColumnRenamed("u", "repo_name")
+    parts = {name: cohorts.apply_setting(named, pairs_, cond) for name, cond in (("all", "true"), ("early", "g = 23965"), ("late", "g > 23965"))}
+    return did.grid(parts, lambda df: did.imputation_static(df, "y", "repo_name", "t", F.col("post") == 1, "g"))
