@@ -44,8 +44,10 @@ SPAN, GRAM = 50, 16
 REACH = SPAN - GRAM  # bytes on either side of an anchor
 WIDE = GRAM + 2 * REACH
 BLOCK_BYTES = 4 << 20
-#: Distinct surroundings of one index.
-INDEX = 16_384
+#: Distinct surroundings of one index; with their WIDE + 1 suffixes each they are some 2^19 rows.
+INDEX = 6_000
+#: Symbols that the first sort of suffixes takes at once.
+FIRST = 5
 #: Bits of an anchor's hash.
 BITS = 40
 NEVER = np.iinfo(np.int64).max
@@ -106,11 +108,11 @@ def anchors(a: np.ndarray, ends: np.ndarray, step: int = 1 << 15) -> np.ndarray:
 
 
 def anchor_keys(a: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The upper BITS of the hash of the anchors."""
+    """BITS of another hash of the anchors: the one that chose them is small for all."""
     h = np.zeros(len(at), np.uint64)
     for k in range(GRAM):
         h = h * np.uint64(FACTOR) + (a[at + k].astype(np.uint64) + np.uint64(1))
-    return (_mixed(h) >> np.uint64(64 - BITS)).astype(np.int64)
+    return (_mixed(_mixed(h) * np.uint64(FACTOR)) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
 BLOCKS = pa.schema([("block", pa.int64()), ("doc_id", pa.list_(pa.int64())), ("length", pa.binary()), ("text", pa.binary()), ("anchors", pa.binary())])
@@ -246,40 +248,47 @@ def distinct(around: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def suffix_ranks(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(rank of each suffix by all its symbols, class of each by SPAN symbols) of rows of symbols over 0, each ended by 0.
 
-    Prefix doubling from eight symbols in a word; what lies beyond a row's end is 0.
+    Prefix doubling from FIRST symbols in a word; what lies beyond a row's end is 0.
     """
     n, m = symbols.shape
-    wide = np.zeros((n, m + 8), np.uint64)
+    wide = np.zeros((n, m + FIRST), np.uint64)
     wide[:, :m] = symbols
     key = np.zeros((n, m), np.uint64)
-    for k in range(8):
+    for k in range(FIRST):
         key = key << np.uint64(8) | wide[:, k : k + m]
-    rank = ranked(key.ravel()).reshape(n, m)
-    h, by_span = 8, None
+    rank = ranked(key, 8 * FIRST)
+    h, by_span = FIRST, None
     while h < m:
-        if h == 32:
-            shift = SPAN - h
-            by_span = ranked(paired(rank, shift).ravel()).reshape(n, m)
-        rank = ranked(paired(rank, h).ravel()).reshape(n, m)
+        if h <= SPAN < 2 * h:
+            by_span = paired(rank, SPAN - h)
+        rank = paired(rank, h)
         h *= 2
     return rank, by_span
 
 
 def paired(rank: np.ndarray, shift: int) -> np.ndarray:
+    """Ranks by the pair of a place's rank and that of the place ``shift`` further on."""
     after = np.zeros_like(rank)
     after[:, :-shift] = rank[:, shift:]
-    return rank.astype(np.uint64) << np.uint64(32) | after.astype(np.uint64)
-
-
-def ranked(keys: np.ndarray) -> np.ndarray:
-    """Dense ranks from 1."""
-    order = np.argsort(keys)
-    held = keys[order]
-    new = np.ones(len(held), np.int64)
+    bits = int(rank.size).bit_length()
+    return ranked(rank.astype(np.uint64) << np.uint64(bits) | after.astype(np.uint64), 2 * bits)
+
+
+def ranked(keys: np.ndarray, width: int) -> np.ndarray:
+    """Dense ranks from 1 of keys of ``width`` bits. Where key and place fit one word, words are sorted: no indirection."""
+    flat = keys.ravel()
+    bits = np.uint64(int(flat.size).bit_length())
+    if width + int(bits) <= 64:
+        words = np.sort(flat << bits | np.arange(flat.size, dtype=np.uint64))
+        order, held = (words & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64), words >> bits
+    else:
+        order = np.argsort(flat)
+        held = flat[order]
+    new = np.ones(len(held), bool)
     new[1:] = held[1:] != held[:-1]
     out = np.empty(len(held), np.int64)
     out[order] = np.cumsum(new)
-    return out
+    return out.reshape(keys.shape)
 
 
 class RunIndex:
@@ -287,7 +296,8 @@ class RunIndex:
 
     runs: the first row of each, ``goes``: where that row goes when its character is put in
     front, ``sample``: the text position at the run's end. classes: the first row of each class
-    of equal SPAN symbols, with the smallest id in it.
+    of equal SPAN symbols, with the smallest id in it. Bits mark the rows where runs and classes
+    begin; their rank finds a row's run and class at once.
     """
 
     def __init__(self, around: np.ndarray, ids: np.ndarray):
@@ -298,10 +308,13 @@ class RunIndex:
         symbols[:, :WIDE] = np.where(around == OUTSIDE, 0xFE, around + 1)
         rank, by_span = suffix_ranks(symbols)
         # End marks are told apart by their row, so equal suffixes stand in the order of rows.
-        order = np.argsort(rank.ravel() * n + np.repeat(np.arange(n), m))
+        bits = np.uint64(int(rank.size).bit_length())
+        order = (np.sort(rank.ravel().astype(np.uint64) << bits | np.arange(rank.size, dtype=np.uint64)) & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
         row, place = order // m, order % m
         front = symbols[row, np.where(place > 0, place - 1, WIDE)]
-        starts = np.flatnonzero(np.concatenate([[True], front[1:] != front[:-1]]))
+        begins = np.concatenate([[True], front[1:] != front[:-1]])
+        starts = np.flatnonzero(begins)
+        self.run_of = np.cumsum(begins, dtype=np.int32) - 1  # rank on the bits that mark run starts
         sizes = np.diff(np.concatenate([starts, [len(front)]]))
         heads = front[starts]
         # Rows with one front character go, in their order, to the rows that begin with it.
@@ -317,6 +330,7 @@ class RunIndex:
         edge = np.ones(len(span), bool)
         edge[1:] = (span[1:] != span[:-1]) | (span[1:] == 0)
         self.classes = np.flatnonzero(edge)
+        self.class_of = np.cumsum(edge, dtype=np.int32) - 1
         self.least = np.minimum.reduceat(ids[row], self.classes)
 
     def stream(self, around: np.ndarray) -> np.ndarray:
@@ -327,10 +341,10 @@ class RunIndex:
         out = np.full((self.n, REACH + 1), NEVER)
         at = np.arange(self.n)  # the rows of the end marks
         for place in range(WIDE - 1, -1, -1):
-            run = np.searchsorted(self.runs, at, side="right") - 1
+            run = self.run_of[at]
             at = self.goes[run] + at - self.runs[run]
             if place <= REACH:
-                out[:, place] = self.least[np.searchsorted(self.classes, at, side="right") - 1]
+                out[:, place] = self.least[self.class_of[at]]
         beyond = np.cumsum(np.concatenate([np.zeros((self.n, 1), np.int64), around == OUTSIDE], 1), 1)
         out[beyond[:, SPAN:] > beyond[:, : REACH + 1]] = NEVER
         return out
