@@ -245,11 +245,14 @@ def resolve(marks: DataFrame, named: DataFrame, classes: DataFrame) -> DataFrame
 
 
 def drop_near_copies(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    return keep_first(docs, near_groups(docs, words))
+
+
+def keep_first(docs: DataFrame, groups: DataFrame) -> DataFrame:
     """One document of each group stays, the one with the smallest id; all its columns are kept.
 
     Of rows that repeat that id one stays. A group whose ids are all null keeps one row of each text.
     """
-    groups = near_groups(docs, words)
     stay = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
     out = docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
     if docs.groupBy("doc_id").count().where("count > 1").take(1):

@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from panelkiln.llm import common, components, digest_dedup, fm_quality, katz, packing, pieces, rindex_dedup, secrets, simhash, token_store, tokens, webp
+from panelkiln.llm import common, components, digest_dedup, fm_quality, katz, packing, pieces, rindex_dedup, secrets, shingle_dedup, simhash, token_store, tokens, webp
 from panelkiln.llm.queries import vocabulary
 
 pytestmark = pytest.mark.skipif(importlib.util.find_spec("public_tokenizers") is None, reason="no vocabulary files here")
@@ -243,6 +243,42 @@ def test_simhash_components(docs, empty):
     assert simhash.near_groups(empty).count() == 0 and simhash.drop_near_copies(empty).count() == 0
 
 
+def test_near_copies_reach_similarity_of_eight_tenths(spark, empty):
+    """Edited copies of similarity 0.8 and up are linked, others aren't: components against all pairs, also with blocks."""
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    made = []
+    for _ in range(30):
+        base = [word() for _ in range(300)]
+        made.append(base)
+        for edits in (1, 2, 3, 4, 5, 6, 7, 9, 15, 30):
+            copy = list(base)
+            for at in rng.sample(range(300), edits):
+                copy[at] = word()
+            made.append(copy)
+    made = [" ".join(x) for x in made] + ["", " ", "one two", "One  TWO", None]
+    held = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in ((x or "").lower().split() for x in made)]
+    label = list(range(len(made)))
+    between = []
+    for i, a in enumerate(held):
+        for j in range(i):
+            s = len(a & held[j]) / len(a | held[j])
+            if s >= 0.8:
+                between.append(s)
+                old, new = sorted((label[i], label[j]), reverse=True)
+                label = [new if x == old else x for x in label]
+    assert sum(s < 0.9 for s in between) > 100
+    df = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string").repartition(3)
+    for few, block in ((12, 512), (3, 6)):
+        got = {r.doc_id: r.component_id for r in shingle_dedup.near_groups(df, few=few, block=block).collect()}
+        assert got == dict(enumerate(label))
+    kept = {r.doc_id for r in corpus_pipeline.near(spark, df, "").collect()}
+    assert kept == set(label)
+    assert shingle_dedup.drop_near_copies(empty).count() == 0
+
+
 def test_golay_keys_meet_at_four_bits(spark):
     rng = np.random.default_rng(1)
     a = rng.integers(0, 2**64, 400, np.uint64)
