@@ -3,8 +3,8 @@
 A byte-level BPE splits a text at its pre-token pattern before it merges, so the
 ids of a text are those of its pre-tokens in turn. Texts are cut at single
 spaces into chunks that no pre-token crosses, chunks not met before into
-pre-tokens, and only pre-tokens not met before go to the library's model. What
-is known is kept in two generations of a fixed size, so memory doesn't grow with
+pre-tokens, and only pre-tokens not met before go to the library's model. Texts
+that hold one of the file's added tokens go to the library whole. What is known is kept in two generations of a fixed size, so memory doesn't grow with
 the vocabulary of a corpus and frequent words stay known.
 """
 
@@ -60,12 +60,13 @@ class BpeIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         kind = spec["pre_tokenizer"] or {}
         #: Only this pre-tokenizer, without prefix space and normalizer, splits as PRETOKEN does.
         self.splits = kind.get("type") == "ByteLevel" and kind.get("use_regex", True) and not kind.get("add_prefix_space") and spec["normalizer"] is None
+        #: What the library finds in a text before it splits it; a text that holds any goes to the library whole.
+        self.added = [t["content"] for t in spec.get("added_tokens") or []]
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.pretokens = regex.compile(PRETOKEN).findall
         self.letters = byte_letters()
@@ -113,7 +114,8 @@ class BpeIds:
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.splits:
             return self._library(texts)
-        return [self._encode(t) for t in texts]
+        added = self.added
+        return [self._library([t])[0] if any(a in t for a in added) else self._encode(t) for t in texts]
 
     def _encode(self, text: str) -> bytes:
         first, *rest = text.split(" ")

@@ -168,6 +168,23 @@ def test_encoder_equals_library():
     assert [np.frombuffer(x, enc.dtype).tolist() for x in enc.encode(texts)] == want
 
 
+def test_added_tokens_are_those_of_the_file(spark):
+    from tokenizers import Tokenizer
+
+    path = vocabulary("byte_bpe_50k.json")
+    fresh = Tokenizer.from_file(path)
+    held = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n y", "<|endoftext", "no such token", ""]
+    want = [x.ids for x in fresh.encode_batch_fast(held, add_special_tokens=False)]
+    assert want[0] == [64, 220, 50256, 275]
+    enc = tokens.BpeIds(path)
+    assert [np.frombuffer(x, enc.dtype).tolist() for x in enc.encode(held)] == want
+    df = spark.createDataFrame(list(enumerate(held)), "doc_id long, text string")
+    store = common.shared_folder(spark, "t")
+    token_store.write_tokens(df, store, path, 2)
+    got = token_store.read_tokens(spark, store).orderBy("start").collect()
+    assert [(r["n_tokens"], r["ids_crc32"]) for r in got] == [(len(x) + 1, zlib.crc32(np.array([*x, 2], "<u4").tobytes())) for x in want]
+
+
 def test_token_store(spark, docs, empty):
     path = common.shared_folder(spark, "t")
     token_store.write_tokens(docs, path, vocabulary("byte_bpe_50k.json"), 2, shard_bytes=3000)
