@@ -55,6 +55,10 @@ EXTRA = (
     Rule("stripe", r"[sr]k_live_[A-Za-z0-9]+", 0, 24),
 )
 RULES = BASE + EXTRA
+#: Of a key without an END line: lines of 16 base64 characters or more, and a shorter one that ends them.
+_RUN = r"(?:(?:[\s\\n]*[A-Za-z0-9+/=]{16,})++(?:[\s\\n]*[A-Za-z0-9+/=]+(?=\s*?(?:\n|$)))?)?"
+#: For masking a private key goes up to its END line, whatever is reported as its span; header lines and escaped line ends may be in it.
+MASKED = tuple(Rule("pem", rf"{r.pattern}(?:[A-Za-z0-9+/=\s:,\\-]*?-----END [A-Z ]*PRIVATE KEY-----|{_RUN})") if r.kind == "pem" else r for r in RULES)
 
 #: Strings that one run of a regex may stand for before it is cut.
 MOST = 64
@@ -204,7 +208,7 @@ def mask_secrets(docs: DataFrame) -> DataFrame:
     Where spans overlap, the one that starts first is replaced and what it covers goes with it.
     """
     columns, text = docs.columns, text_of()
-    out = find_secrets(docs)
+    out = find_secrets(docs, MASKED)
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("done"))
 
     def step(acc: Column, s: Column) -> Column:
