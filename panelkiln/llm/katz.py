@@ -10,9 +10,13 @@ being the word before (a begin mark for the first).
   a(v) = (1 - seen mass after v) / (1 - P1 of the words seen after v), so that each
   context sums to one exactly. Where no count after v is small enough to be
   discounted, c(v) is raised by one to leave mass. Unseen contexts back off wholly.
-* d_r is Katz's discount for r up to 5, from the counts of counts of each order;
-  where these give no proper discount (as copies of texts can cause), absolute
-  discounting from n_1 and n_2 takes its place.
+* d_r is Katz's Good-Turing discount for r up to K, from the counts of counts of
+  each order, with the largest K from 5 down to 2 whose discounts all lie between
+  0 and 1 (copies of texts disturb single counts of counts). If there is none, the
+  counts of counts are smoothed by a line through their logarithms, n_r = a r^b,
+  which gives proper discounts for K = 5 whenever they fall faster than 1/r. Only
+  tables too small or even for that (a single count of counts, or a slower fall)
+  take one half off each small count.
 
 The work is done in blocks of some million tokens, written once as a table. Each
 block counts before anything is shuffled and asks for what it needs: first the
@@ -68,23 +72,44 @@ def unpacked(raw: bytes, kind: str) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(width, n).T).view(kind).ravel()
 
 
+def good_turing(n: list[float], k: int) -> list[float] | None:
+    """Katz's discounts of the counts 1 to k; None if one is improper. n[r]: how many types were seen r times."""
+    if not all(x > 0 for x in n[1 : k + 2]):
+        return None
+    common = (k + 1) * n[k + 1] / n[1]
+    if common >= 1:
+        return None
+    d = [((r + 1) * n[r + 1] / (r * n[r]) - common) / (1 - common) for r in range(1, k + 1)]
+    return d if all(0 < x < 1 for x in d) else None
+
+
+def smoothed(n: list[float]) -> list[float] | None:
+    """n[r] on the least-squares line through (log r, log n[r]) of the counts that occur; None for fewer than two."""
+    held = [r for r in range(1, len(n)) if n[r] > 0]
+    if len(held) < 2:
+        return None
+    slope, at_one = np.polyfit(np.log(held), np.log([n[r] for r in held]), 1)
+    return [0.0, *(float(np.exp(at_one + slope * np.log(r))) for r in range(1, len(n)))]
+
+
 @dataclass(frozen=True)
 class Discounts:
-    """d[r] for r up to K, 1 beyond."""
+    """d[r] for r up to K, 1 beyond. source: good-turing, smoothed (Good-Turing from smoothed counts) or half; k: its K."""
 
     d: tuple[float, ...]
+    source: str = "good-turing"
+    k: int = K
 
     @classmethod
     def of(cls, n: list[int]) -> Discounts:
         """n[r]: how many types were seen r times, r from 0 to K + 1."""
-        if n[1] and all(n[1 : K + 2]):
-            common = (K + 1) * n[K + 1] / n[1]
-            if common < 1:
-                d = [((r + 1) * n[r + 1] / (r * n[r]) - common) / (1 - common) for r in range(1, K + 1)]
-                if all(0 < x < 1 for x in d):
-                    return cls((1.0, *d))
-        share = n[1] / (n[1] + 2 * n[2]) if n[1] and n[2] else 0.5
-        return cls((1.0, *(1 - share / r for r in range(1, K + 1))))
+        for k in range(K, 1, -1):
+            if d := good_turing(n, k):
+                return cls((1.0, *d, *[1.0] * (K - k)), "good-turing", k)
+        even = smoothed(n)
+        if even and (d := good_turing(even, K)):
+            return cls((1.0, *d), "smoothed", K)
+        return cls((1.0, *(1 - 0.5 / r for r in range(1, K + 1))), "half", K)
 
     def times(self, r: np.ndarray) -> np.ndarray:
         """Discounted counts."""
