@@ -1,10 +1,17 @@
-"""What the operators of this package share: reading, folders, Arrow batches."""
+"""What the operators of this package share: reading, folders, Arrow batches.
+
+Intermediate tables go to the shared folder that spark.checkpoint.dir names. They
+are remembered and deleted: by ``settled`` once the rows that need them are
+written, all others when the driver's interpreter ends, or by ``release``.
+"""
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,16 +41,49 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+#: Folders and tables that were made and not yet deleted, oldest first: (kind, name, session).
+_made: list[tuple[str, str, SparkSession]] = []
+_local: list[str] = []
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder below spark.checkpoint.dir, which all executors and the driver see.
 
-    Where the session has none (tests on one machine), one is made for it.
+    Where a local session has none (tests on one machine), one is made for it; a cluster must name one.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="panelkiln-shared-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base}/{name}-{uuid.uuid4().hex}"
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if not _local:
+            _local.append("file://" + tempfile.mkdtemp(prefix="panelkiln-shared-"))
+        base = _local[0]
+    path = f"{base}/{name}-{uuid.uuid4().hex}"
+    _made.append(("folder", path, spark))
+    return path
+
+
+def _delete(kind: str, name: str, spark: SparkSession) -> None:
+    if kind == "table":
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        return
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release(since: int = 0, keep: str | None = None) -> None:
+    """Deletes the folders and tables made after the first ``since``, newest first; DataFrames that read them end."""
+    for entry in _made[since:][::-1]:
+        if entry[1] != keep:
+            _delete(*entry)
+            _made.remove(entry)
+
+
+@atexit.register
+def _at_end() -> None:
+    # The session may be gone by then; what is left is the shared folder's to clear.
+    with contextlib.suppress(Exception):
+        release()
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -54,6 +94,37 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settled(spark: SparkSession, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """What ``build`` returns, written; all that it wrote on the way is deleted."""
+    since, out = len(_made), build()
+    path = shared_folder(spark, name)
+    out.write.parquet(path)
+    schema = out.schema
+    release(since, keep=path)
+    return spark.read.schema(schema).parquet(path)
+
+
+def bucketed(df: DataFrame, name: str, buckets: int, by: str, sort: str | None = None, mode: str = "error", lasting: bool = False) -> DataFrame:
+    """The rows as a table of ``buckets`` by one column: in the shared folder and deleted later, or lasting in the warehouse."""
+    spark = df.sparkSession
+    out = df.write.bucketBy(buckets, by).format("parquet").option("compression", "zstd")
+    if sort:
+        out = out.sortBy(sort)
+    if not lasting and not spark.catalog.tableExists(name):
+        out = out.option("path", shared_folder(spark, name))
+        _made.append(("table", name, spark))
+    out.mode(mode).saveAsTable(name)
+    return spark.table(name)
+
+
+def free(name: str, *frames: DataFrame) -> str:
+    """``name``, or with underscores before it, so that none of the frames has such a column."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 from panelkiln.llm import digest_dedup, fm_quality, katz, packing, pieces, rindex_dedup, secrets, simhash, token_store, webp
-from panelkiln.llm.common import documents, shared_folder, table, written
+from panelkiln.llm.common import documents, settled, shared_folder, table, written
 
 
 def vocabulary(name: str) -> str:
@@ -23,11 +23,11 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digest_dedup.exact_groups(documents(spark, sf_dir))
+    return settled(spark, "op2", lambda: digest_dedup.exact_groups(documents(spark, sf_dir)))
 
 
 def op3_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return katz.train_and_score(documents(spark, sf_dir))
+    return settled(spark, "op3", lambda: katz.train_and_score(documents(spark, sf_dir)))
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,7 +35,7 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.secret_report(documents(spark, sf_dir))
+    return settled(spark, "op5", lambda: secrets.secret_report(documents(spark, sf_dir)))
 
 
 def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,21 +43,24 @@ def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_groups(documents(spark, sf_dir))
+    return settled(spark, "op7", lambda: simhash.near_groups(documents(spark, sf_dir)))
 
 
 def op8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rindex_dedup.remove_repeats(documents(spark, sf_dir), keep_bytes=False).drop("kept")
+    return settled(spark, "op8", lambda: rindex_dedup.remove_repeats(documents(spark, sf_dir), keep_bytes=False).drop("kept"))
 
 
 def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = shared_folder(spark, "token-shards")
-    token_store.write_tokens(documents(spark, sf_dir), path, vocabulary("byte_bpe_50k.json"), end_id=2)
-    return token_store.read_tokens(spark, path)
+    def run() -> DataFrame:
+        path = shared_folder(spark, "token-shards")
+        token_store.write_tokens(documents(spark, sf_dir), path, vocabulary("byte_bpe_50k.json"), end_id=2)
+        return token_store.read_tokens(spark, path)
+
+    return settled(spark, "op9", run)
 
 
 def op10_webp_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return webp.media_report(written(webp.write_media(documents(spark, sf_dir)), "media"))
+    return settled(spark, "op10", lambda: webp.media_report(written(webp.write_media(documents(spark, sf_dir)), "media")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
