@@ -3,19 +3,28 @@
 Documents are range-partitioned and sorted by id; each task cuts its run of
 documents into shards of a few megabytes. A shard is one binary value:
 
-    magic "PKT1", id width, counts of keys, ids and levels
+    magic "PKT2", id width, counts of keys, ids and levels
     bit arrays of the hash's levels
-    per slot: fingerprint u4, first id u8, number of ids u4
+    per slot: fingerprint u8, first id u8, number of ids u4
     raw ids, little-endian, 2 bytes each for vocabularies up to 65,536
 
 The hash is built by levels: keys that fall alone on a bit of a level's array
 are settled there, the others go on to the next; a key's slot is the number of
 set bits before its own. So a lookup is a few bit tests, a rank and one compare
-of the stored fingerprint, whatever the shard holds. The shards are rows of a
-Parquet table written by Spark, with the shard's keys in a column of their own,
-so any Spark file system serves and a lost task is simply written again.
+of the stored fingerprint, whatever the shard holds. Hash and fingerprint are
+bijections of the id, so for the first document of an id the compare is exact;
+further documents of an id are found under (id, 1), (id, 2) ... until one is
+absent, by hashes of 64 bits.
+
+The shards are rows of a Parquet table written by Spark, beside them the range of
+ids in each: ``lookup`` goes by ranges to the shards that can hold an id and asks
+their hashes; it reads no list of keys. That list is a column of its own, which
+``read_tokens`` needs to name every document. Any Spark file system serves and a
+lost task is simply written again.
 
 Ids may repeat (each occurrence has a key of its own) and be null (sorted first).
+A null or empty text is one document of the end id alone. Rows of one id, null
+too, are dealt by their place in the input, so none of them is one task's.
 """
 
 from __future__ import annotations
@@ -27,19 +36,22 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from panelkiln.llm.common import chunks, partitions, rows, text_of, texts
 from panelkiln.llm.tokens import bpe
 
-MAGIC = b"PKT1"
+MAGIC = b"PKT2"
+#: What a slot of the hash leads to.
+SLOT = np.dtype([("mark", "<u8"), ("first", "<u8"), ("count", "<u4")])
 #: Bytes of raw ids at which a shard is closed.
 SHARD = 4 << 20
 MISSING = np.uint64(0xD1B54A32D192ED03)
 
-SHARDS = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("n_tokens", pa.int64()), ("keys", pa.list_(pa.int64())), ("blob", pa.binary())])
+SHARDS = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("n_tokens", pa.int64()), ("low", pa.int64()), ("high", pa.int64()), ("nulls", pa.bool_()), ("keys", pa.list_(pa.int64())), ("blob", pa.binary())])
+SHARDS_DDL = "part int, shard int, n_tokens long, low long, high long, nulls boolean, keys array<long>, blob binary"
 
 
 def mixed(x: np.ndarray, seed: int) -> np.ndarray:
@@ -51,18 +63,27 @@ def mixed(x: np.ndarray, seed: int) -> np.ndarray:
         return z ^ (z >> np.uint64(31))
 
 
+def id_hashes(keys: list[int | None]) -> np.ndarray:
+    out = mixed(np.array([0 if k is None else k for k in keys], np.int64).view(np.uint64), 101)
+    out[np.array([k is None for k in keys], bool)] ^= MISSING
+    return out
+
+
+def later(hashes: np.ndarray, nth: np.ndarray) -> np.ndarray:
+    """The hashes of the nth further occurrence of ids with these hashes."""
+    return np.where(nth > 0, mixed(hashes ^ mixed(nth.astype(np.uint64), 7), 103), hashes)
+
+
 def key_hashes(keys: list[int | None]) -> np.ndarray:
     """A 64-bit hash of each (id, occurrence)."""
-    ids = np.array([0 if k is None else k for k in keys], np.int64).view(np.uint64)
-    out = mixed(ids, 101)
-    out[np.array([k is None for k in keys], bool)] ^= MISSING
+    out = id_hashes(keys)
     order = np.argsort(out, kind="stable")
     same = np.concatenate([[False], out[order][1:] == out[order][:-1]]) if len(out) else np.zeros(0, bool)
     if same.any():
         start = np.maximum.accumulate(np.where(same, 0, np.arange(len(same))))
         nth = np.empty(len(out), np.uint64)
         nth[order] = np.arange(len(out)) - start
-        out = np.where(nth > 0, mixed(out ^ mixed(nth, 7), 103), out)
+        out = later(out, nth)
     return out
 
 
@@ -102,7 +123,7 @@ class PerfectHash:
 
 
 def fingerprints(hashes: np.ndarray) -> np.ndarray:
-    return (mixed(hashes, 977) >> np.uint64(32)).astype("<u4")
+    return mixed(hashes, 977)
 
 
 def encode_shard(keys: list[int | None], ids: list[bytes], width: int) -> bytes:
@@ -110,7 +131,7 @@ def encode_shard(keys: list[int | None], ids: list[bytes], width: int) -> bytes:
     index = PerfectHash.build(hashes)
     slot = index.slot(hashes)
     lengths = np.array([len(x) // width for x in ids], np.int64)
-    slots = np.zeros(len(keys), np.dtype([("mark", "<u4"), ("first", "<u8"), ("count", "<u4")]))
+    slots = np.zeros(len(keys), SLOT)
     slots["mark"][slot], slots["first"][slot], slots["count"][slot] = fingerprints(hashes), np.cumsum(lengths) - lengths, lengths
     head = MAGIC + struct.pack("<BIQB", width, len(keys), int(lengths.sum()), len(index.levels))
     levels = b"".join(struct.pack("<I", len(x)) + np.packbits(x).tobytes() for x in index.levels)
@@ -131,18 +152,26 @@ class Shard:
             levels.append(np.unpackbits(np.frombuffer(blob, np.uint8, held, at + 4), count=size).astype(bool))
             at += 4 + held
         self.hash = PerfectHash(levels)
-        self.slots = np.frombuffer(blob, np.dtype([("mark", "<u4"), ("first", "<u8"), ("count", "<u4")]), self.n, at)
+        self.slots = np.frombuffer(blob, SLOT, self.n, at)
         self.ids = np.frombuffer(blob, f"<u{self.width}", self.n_tokens, at + self.slots.nbytes)
 
-    def find(self, keys: list[int | None]) -> tuple[np.ndarray, np.ndarray]:
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First id and number of ids of each key; -1 and 0 for keys that the shard lacks."""
         if not self.n:
-            return np.full(len(keys), -1), np.zeros(len(keys), np.int64)
-        hashes = key_hashes(keys)
+            return np.full(len(hashes), -1), np.zeros(len(hashes), np.int64)
         slot = self.hash.slot(hashes)
         ok = (slot >= 0) & (self.slots["mark"][slot] == fingerprints(hashes))
         return np.where(ok, self.slots["first"][slot].astype(np.int64), -1), np.where(ok, self.slots["count"][slot].astype(np.int64), 0)
 
+    def find_all(self, keys: list[int | None]) -> Iterator[tuple[int | None, int, int]]:
+        """(id, first id, number of ids) of every document with one of the distinct ids."""
+        asked, hashes, nth = np.arange(len(keys)), id_hashes(keys), 0
+        while len(asked):
+            first, count = self.find(later(hashes[asked], np.full(len(asked), nth, np.uint64)))
+            hit = first >= 0
+            asked, nth = asked[hit], nth + 1
+            yield from zip([keys[k] for k in asked.tolist()], first[hit].tolist(), count[hit].tolist(), strict=True)
+
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, shard_bytes: int = SHARD) -> None:
     """Encodes all documents and writes their shards in ascending order of id."""
@@ -153,7 +182,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, shard_
         keys, ids, held, shard = [], [], 0, 0
 
         def closed() -> pa.RecordBatch:
-            return rows(SHARDS, part=[part], shard=[shard], n_tokens=[held // width], keys=[keys], blob=[encode_shard(keys, ids, width)])
+            some = [k for k in keys if k is not None]
+            low, high = (some[0], some[-1]) if some else (None, None)
+            return rows(SHARDS, part=[part], shard=[shard], n_tokens=[held // width], low=[low], high=[high], nulls=[len(some) < len(keys)], keys=[keys], blob=[encode_shard(keys, ids, width)])
 
         for batch in chunks(batches):
             encoded = encoder.encode([x.decode("utf-8", "replace") for x in texts(batch)])
@@ -168,8 +199,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, shard_
             yield closed()
 
     spark = docs.sparkSession
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id")
-    ordered.mapInArrow(run, "part int, shard int, n_tokens long, keys array<long>, blob binary").write.option("compression", "none").parquet(path)
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"), F.monotonically_increasing_id().alias("place"))
+    ordered = plain.repartitionByRange(partitions(spark), "doc_id", "place").sortWithinPartitions("doc_id", "place").select("doc_id", "text")
+    ordered.mapInArrow(run, SHARDS_DDL).write.option("compression", "none").parquet(path)
 
 
 def shard_starts(spark: SparkSession, path: str) -> DataFrame:
@@ -190,7 +222,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 shard = Shard(row["blob"])
-                first, count = shard.find(row["keys"])
+                first, count = shard.find(key_hashes(row["keys"]))
                 if (first < 0).any():
                     raise ValueError("a key is not in its shard")
                 raw = memoryview(shard.ids.astype("<u4").tobytes())
@@ -204,17 +236,33 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
 
 
 def lookup(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
-    """(doc_id, ids) of the wanted ids: array<int> read from the one shard that has each; absent ids give no row."""
+    """(doc_id, ids) of every document with a wanted id: array<int> read from the shards whose range holds the id.
+
+    Absent ids give no row. Parts (as many as the shuffle partitions at writing) are chosen by their ranges as a literal,
+    shards by a join within the part.
+    """
     out = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 shard = Shard(row["blob"])
-                first, count = shard.find(row["wanted"])
-                yield rows(out, doc_id=row["wanted"], ids=[shard.ids[a : a + n].astype(np.int32) for a, n in zip(first, count, strict=True)])
-
-    shards = spark.read.parquet(path)
-    held = shards.select("part", "shard", F.explode("keys").alias("doc_id"))
-    asked = held.join(wanted.select("doc_id").distinct(), "doc_id").groupBy("part", "shard").agg(F.collect_set("doc_id").alias("wanted"))
-    return shards.select("part", "shard", "blob").join(asked, ["part", "shard"]).select("wanted", "blob").mapInArrow(run, "doc_id long, ids array<int>")
+                found = list(shard.find_all([x["doc_id"] for x in row["wanted"]]))
+                yield rows(out, doc_id=[k for k, _, _ in found], ids=[shard.ids[a : a + n].astype(np.int32) for _, a, n in found])
+
+    shards = spark.read.schema(SHARDS_DDL).parquet(path)
+    ranges = shards.select("part", "shard", "low", "high", "nulls")
+    # A row per part.
+    parts = ranges.groupBy("part").agg(F.min("low"), F.max("high"), F.max("nulls")).collect()
+    known = F.array(*[F.struct(*[F.lit(v).cast(t).alias(n) for v, n, t in zip(p, ("part", "low", "high", "nulls"), ("int", "long", "long", "boolean"), strict=True)]) for p in parts])
+    if not parts:
+        return spark.createDataFrame([], "doc_id long, ids array<int>")
+
+    def may_hold(r, key: Column) -> Column:
+        return F.when(key.isNull(), r["nulls"]).otherwise(F.coalesce(key.between(r["low"], r["high"]), F.lit(False)))
+
+    asked = wanted.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    asked = asked.withColumn("part", F.explode(F.transform(F.filter(known, lambda r: may_hold(r, F.col("doc_id"))), lambda r: r["part"])))
+    routed = ranges.join(asked, "part").where(may_hold({n: F.col(n) for n in ("low", "high", "nulls")}, F.col("doc_id")))
+    routed = routed.groupBy("part", "shard").agg(F.collect_list(F.struct("doc_id")).alias("wanted"))
+    return shards.select("part", "shard", "blob").join(routed, ["part", "shard"]).select("wanted", "blob").mapInArrow(run, "doc_id long, ids array<int>")
