@@ -2,7 +2,8 @@
 
 Documents keep the order of their ids within a partition; their ids form one
 stream. Windows are cut at document ends (free), sentence ends (a small
-penalty) or, where neither comes for long, anywhere (a large penalty), so that
+penalty; a token that ends with a stop, whatever word that closes, or holds a
+line break) or, where neither comes for long, anywhere (a large penalty), so that
 padding plus penalties is least. A window of ``i..j`` costs its padding, which is
 ``size - (j - i)``: with ``dp[i] + i`` as the key, the best start in the last
 ``size`` tokens is the head of a monotone queue, so each cut is settled in
@@ -12,7 +13,8 @@ second kind of transition, looked up by position.
 A block of about a million tokens is planned at once and ends at a document end;
 blocks are independent, so nothing is shuffled, memory is bounded and a lost
 task is simply run again. A null or empty text is one document of the end id
-alone. Ids may be null or repeat.
+alone. Ids may be null or repeat; rows of one id stay in a row, in any order. An
+empty table has no pieces. Any window size from 1 on will do.
 """
 
 from __future__ import annotations
@@ -33,20 +35,20 @@ from panelkiln.llm.tokens import bpe
 SEQUENCE, SENTENCE, ANYWHERE = 4, 6, 64
 #: Lengths under the window size that are not padded; shorter powers of two would only scatter a document.
 SHORT = (64, 128, 256, 512)
-#: Without a natural cut for so many tokens, cuts are allowed at this distance.
+#: Without a natural cut for so many tokens (or a window's), cuts are allowed at this distance.
 GAP = 256
 BLOCK = 1 << 20
 
 PIECE = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("sequence_tokens", pa.int64())])
 
 
-def cuts(natural: np.ndarray, penalty: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def cuts(natural: np.ndarray, penalty: np.ndarray, size: int = 1024) -> tuple[np.ndarray, np.ndarray]:
     """The candidate positions with those added that long gaps need, and their penalties; natural[0] is 0."""
-    steps = np.diff(natural)
-    wide = np.flatnonzero(steps > GAP)
+    steps, gap = np.diff(natural), min(GAP, size)
+    wide = np.flatnonzero(steps > gap)
     if not len(wide):
         return natural, penalty
-    more = np.concatenate([np.arange(natural[k] + GAP, natural[k + 1], GAP) for k in wide])
+    more = np.concatenate([np.arange(natural[k] + gap, natural[k + 1], gap) for k in wide])
     at = np.concatenate([natural, more])
     cost = np.concatenate([penalty, np.full(len(more), ANYWHERE)])
     order = np.argsort(at, kind="stable")
@@ -94,7 +96,7 @@ def pack_block(doc_ids: list, ids: list[bytes], dtype: np.dtype, sentence: np.nd
     natural = np.unique(np.concatenate([[0], ends, inner]))
     penalty = np.full(len(natural), SENTENCE)
     penalty[np.searchsorted(natural, ends)] = 0
-    at, cost = cuts(natural, penalty)
+    at, cost = cuts(natural, penalty, size)
     windows = at[plan(at, cost, size)]
     edges = np.unique(np.concatenate([[0], windows, ends]))
     begin, length = edges[:-1], np.diff(edges)
@@ -112,7 +114,7 @@ def pack(docs: DataFrame, path: str, end_id: int = 0, size: int = 1024) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = bpe(path)
         words = [encoder.tokenizer.decode([i]) for i in range(encoder.tokenizer.get_vocab_size())]
-        sentence = np.array([w.rstrip("\"')").endswith((".", "!", "?")) or "\n" in w for w in words])
+        sentence = np.array([w.rstrip("\"')”’」").endswith((".", "!", "?", "。", "！", "？")) or "\n" in w for w in words])
         end, sequence = np.array([end_id], encoder.dtype).tobytes(), TaskContext.get().partitionId() << 36
         doc_ids, ids, held = [], [], 0
         for batch in chunks(batches):
