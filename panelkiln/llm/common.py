@@ -117,6 +117,29 @@ def bucketed(df: DataFrame, name: str, buckets: int, by: str, sort: str | None =
     return spark.table(name)
 
 
+_labels: dict[int, list[int]] = {}
+
+
+def block_labels(spark: SparkSession, buckets: int) -> list[int]:
+    """For each bucket a number that bucketing by it puts there: blocks named so fill all buckets alike."""
+    if buckets not in _labels:
+        tried = spark.range(64 * buckets).groupBy(F.pmod(F.hash("id"), F.lit(buckets)).alias("bucket")).agg(F.min("id").alias("label"))
+        # A row per bucket.
+        _labels[buckets] = [r["label"] for r in tried.orderBy("bucket").collect()]
+    return _labels[buckets]
+
+
+@contextlib.contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A session setting for what is planned and run within."""
+    old = spark.conf.get(key)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, old)
+
+
 def free(name: str, *frames: DataFrame) -> str:
     """``name``, or with underscores before it, so that none of the frames has such a column."""
     taken = {c.lower() for f in frames for c in f.columns}

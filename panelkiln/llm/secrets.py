@@ -2,25 +2,32 @@ r"""Secret scans by a trigram inverted index, in DataFrame and SQL functions onl
 
 From each rule's regex a Boolean trigram query is derived on the driver: the
 regex is a sequence, runs of it that can stand for a few strings only become an
-OR over those strings of the AND of their trigrams, and the runs are ANDed. The
-postings (trigram, document) of the trigrams that any rule asks for are written
-as a table; a rule's candidates are the documents in the intersection of its
-postings. Candidates are verified with the regex itself. A rule whose regex has
-no mandatory trigram scans all texts.
-
-Null texts are empty and have no spans. Ids may repeat or be null: candidates
-are then the union over the rows of an id, which verification narrows again.
+OR over those strings of the AND of their trigrams, and the runs are ANDed.
+
+The index holds all trigrams of the lower-cased texts, so it answers rules that
+were not known when it was built. Documents and postings (block, trigram, number)
+are two tables, bucketed by block: each task that reads documents is a block and
+writes it to one bucket, so nothing is shuffled, neither when the index is built
+nor when it is asked. A rule's candidates are the documents of the intersection
+of its postings; they meet their texts bucket by bucket and are verified there
+with the regex itself. A rule whose regex has no mandatory trigram scans all texts.
+
+Null texts are empty and have no spans. Ids may repeat or be null, columns may
+have any name: documents are told apart by their place. Long texts are indexed in
+pieces, and matches are summed up in pieces, so time and memory stay linear.
+Letters of a rule match in either case in ASCII alone, in every engine.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelkiln.llm.common import text_of, written
+from panelkiln.llm.common import block_labels, bucketed, free, partitions, setting, text_of, written
 
 try:
     from re import _constants as _c
@@ -40,9 +47,14 @@ class Rule:
     least: int = 0
 
 
+def either(word: str) -> str:
+    """A pattern's letters in either case. Classes, as engines differ on what a flag folds (U+017F, U+212A)."""
+    return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
+
+
 #: Fixed by the contract, in the order of kinds.
 BASE = (
-    Rule("assign", r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
+    Rule("assign", f"({either('password|passwd|secret|token|api_?key')})" + r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
     Rule("access", r"AKIA[A-Z0-9]+", 0, 20),
     Rule("hex", r"[0-9a-f]+", 0, 24),
 )
@@ -128,28 +140,80 @@ def trigram_query(pattern: str) -> list[list[frozenset[str]]]:
     return query
 
 
-def build_postings(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(trigram, id): where each trigram that the rules ask for occurs. One pass, no shuffle."""
-    grams = sorted({g for r in rules for alternatives in trigram_query(r.pattern) for a in alternatives for g in a})
-    low = docs.select(F.col("doc_id").alias("id"), F.lower(text_of()).alias("low"))
-    held = F.array_compact(F.array(*[F.when(F.col("low").contains(g), F.lit(g)) for g in grams]))
-    return written(low.select("id", F.explode(held).alias("trigram")), "trigram-postings")
-
-
-def candidates(postings: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(id, kinds): the rules whose trigram query the postings of a document meet."""
-    spark = postings.sparkSession
-    terms, need = [], []
-    for r in rules:
-        query = trigram_query(r.pattern)
-        need += [(r.kind, len(query))] if query else []
-        terms += [(r.kind, s, a, len(grams), g) for s, alternatives in enumerate(query) for a, grams in enumerate(alternatives) for g in sorted(grams)]
-    # A table of the rules' own size, whatever the documents are.
-    asked = F.broadcast(spark.createDataFrame(terms, "kind string, part int, alternative int, size int, trigram string"))
-    parts = F.broadcast(spark.createDataFrame(need, "kind string, parts int"))
-    met = postings.join(asked, "trigram").groupBy("id", "kind", "part", "alternative", "size").agg(F.count_distinct("trigram").alias("n")).where("n = size")
-    whole = met.groupBy("id", "kind").agg(F.count_distinct("part").alias("n")).join(parts, "kind").where("n = parts")
-    return whole.groupBy("id").agg(F.collect_set("kind").alias("kinds"))
+#: Characters of a text that are indexed at once, and matches that are summed up at once.
+PIECE, CHUNK = 1 << 16, 256
+SPANS = "array<struct<start:long,ord:int,kind:string,end:long>>"
+
+
+class TrigramIndex:
+    """Postings of all trigrams, block by block, beside the documents."""
+
+    def __init__(self, docs: DataFrame):
+        self.spark, self.columns = docs.sparkSession, docs.columns
+        self.block, self.number = free("_block", docs), free("_number", docs)
+        n, name = partitions(self.spark), uuid.uuid4().hex
+        labels = F.array(*map(F.lit, block_labels(self.spark, n)))
+        of_task = F.element_at(labels, F.pmod(F.spark_partition_id(), F.lit(n)) + 1)
+        placed = docs.withColumn(self.number, F.monotonically_increasing_id()).withColumn(self.block, of_task)
+        self.texts = bucketed(placed, f"scan_texts_{name}", n, self.block)
+        low = self.texts.select(F.col(self.block).alias("block"), F.col(self.number).alias("number"), F.lower(text_of()).alias("low"))
+        pieces = F.transform(F.sequence(F.lit(0), F.floor(F.char_length("low") / PIECE).cast("int")), lambda i: F.substring("low", i * PIECE + 1, F.lit(PIECE + 2)))
+        grams = F.array_distinct(F.regexp_extract_all("piece", F.lit("(?s)(?=(...))"), F.lit(1)))
+        found = low.select("block", "number", F.explode(pieces).alias("piece")).select("block", F.explode(grams).alias("trigram"), "number")
+        self.postings = bucketed(found, f"scan_postings_{name}", n, "block", "trigram")
+
+    def candidates(self, rules: tuple[Rule, ...]) -> DataFrame:
+        """(block, number, kinds): the rules whose trigram query the postings of a document meet."""
+        asked = {r.kind: trigram_query(r.pattern) for r in rules}
+        grams = sorted({g for query in asked.values() for part in query for a in part for g in a})
+        held = self.postings.where(F.col("trigram").isin(grams)).groupBy("block", "number").agg(F.collect_set("trigram").alias("held"))
+
+        def met(query: list[list[frozenset[str]]]) -> Column:
+            every = F.lit(True)
+            for part in query:
+                any_of = F.lit(False)
+                for a in part:
+                    any_of |= F.size(F.array_except(F.array(*map(F.lit, sorted(a))), "held")) == 0
+                every &= any_of
+            return every
+
+        kinds = F.array_compact(F.array(*[F.when(met(query), F.lit(kind)) for kind, query in asked.items() if query]))
+        return held.select("block", "number", kinds.alias("kinds")).where(F.size("kinds") > 0)
+
+    def scan(self, rules: tuple[Rule, ...], spans: str) -> DataFrame:
+        """The documents with a column ``spans``: array of (start, ord, kind, end) by start and kind.
+
+        Plan it under ``in_place``, so that blocks meet without a shuffle.
+        """
+        kinds = free("_kinds", self.texts)
+        if not any(trigram_query(r.pattern) for r in rules):
+            both = self.texts.withColumn(kinds, F.array().cast("array<string>"))
+        else:
+            found = self.candidates(rules).select(F.col("block").alias(self.block), F.col("number").alias(self.number), F.col("kinds").alias(kinds))
+            both = self.texts.join(found.hint("merge"), [self.block, self.number], "left")
+        text, empty = text_of(), F.array().cast(SPANS)
+        parts = []
+        for i, rule in enumerate(rules):
+            found = rule_spans(rule, i, text)
+            parts.append(F.when(F.array_contains(kinds, rule.kind), found).otherwise(empty) if trigram_query(rule.pattern) else found)
+        return both.withColumn(spans, F.array_sort(F.concat(*parts))).select(*self.columns, spans)
+
+    def in_place(self):
+        """Lets a join on block and number use the bucketing by block."""
+        return setting(self.spark, "spark.sql.requireAllClusterKeysForCoPartition", "false")
+
+
+def chunked(items: Column) -> Column:
+    """The array in arrays of CHUNK; one empty array for none."""
+    return F.transform(F.sequence(F.lit(0), F.floor((F.greatest(F.size(items), F.lit(1)) - 1) / CHUNK).cast("int")), lambda k: F.slice(items, k * CHUNK + 1, CHUNK))
+
+
+def running(chunks: Column, grow) -> Column:
+    """For each chunk the number that ``grow(number, item)`` has reached before it, from 0."""
+    zero = F.lit(0).cast("long")
+    start = F.struct(zero.alias("at"), F.array().cast("array<long>").alias("out"))
+    step = lambda acc, c: F.struct(F.aggregate(c, acc["at"], grow).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+    return F.aggregate(chunks, start, step)["out"]
 
 
 def rule_spans(rule: Rule, order: int, text: Column) -> Column:
@@ -165,7 +229,6 @@ def rule_spans(rule: Rule, order: int, text: Column) -> Column:
     found = F.regexp_extract_all(text, regex, F.lit(0))
     value = F.regexp_extract_all(text, regex, F.lit(rule.group))
     items = F.arrays_zip(found.alias("m"), value.alias("v"), F.slice(F.split(text, pattern, -1), 1, F.size(found)).alias("gap"))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:long,ord:int,kind:string,end:long>>").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         begin = acc["at"] + F.char_length(x["gap"])
@@ -174,52 +237,71 @@ def rule_spans(rule: Rule, order: int, text: Column) -> Column:
         grown = F.when(F.char_length(x["v"]) >= rule.least, F.concat(acc["out"], F.array(span))).otherwise(acc["out"])
         return F.struct(end.alias("at"), grown.alias("out"))
 
-    return F.when(text.rlike(pattern), F.aggregate(items, start, step)["out"]).otherwise(start["out"])
+    chunks, empty = chunked(items), F.array().cast(SPANS)
+    starts = running(chunks, lambda at, x: at + F.char_length(x["gap"]) + F.char_length(x["m"]))
+    of_chunk = lambda z: F.aggregate(z["items"], F.struct(z["starts"].alias("at"), empty.alias("out")), step)["out"]
+    spans = F.flatten(F.transform(F.arrays_zip(chunks.alias("items"), starts.alias("starts")), of_chunk))
+    return F.when(text.rlike(pattern), spans).otherwise(empty)
 
 
 def joined(spans: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """All columns of the documents and ``secret_spans``: array of (start, ord, kind, end) by start and kind."""
-    found = candidates(build_postings(docs, rules), rules).select(F.col("id").alias("_id"), F.col("kinds").alias("_kinds"))
-    both = docs.join(found, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
-    text, empty = text_of(), F.array().cast("array<struct<start:long,ord:int,kind:string,end:long>>")
-    parts = []
-    for i, rule in enumerate(rules):
-        spans = rule_spans(rule, i, text)
-        parts.append(F.when(F.array_contains("_kinds", rule.kind), spans).otherwise(empty) if trigram_query(rule.pattern) else spans)
-    return both.withColumn("secret_spans", F.array_sort(F.concat(*parts))).drop("_id", "_kinds")
+def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, spans: str | None = None) -> DataFrame:
+    """All columns of the documents and ``spans`` (secret_spans, with underscores before it if there is such a column):
+    array of (start, ord, kind, end) by start and kind."""
+    index = TrigramIndex(docs)
+    with index.in_place():
+        return written(index.scan(rules, spans or free("secret_spans", docs)), "secret-spans")
 
 
 def secret_report(docs: DataFrame) -> DataFrame:
     """The contract's columns."""
-    out = find_secrets(docs.select("doc_id", "text"))
+    index = TrigramIndex(docs.select("doc_id", "text"))
+    out = index.scan(RULES, "secret_spans")
     kinds = [r.kind for r in BASE]
     base = F.filter("secret_spans", lambda s: s["kind"].isin(kinds))
     count = lambda kind: F.size(F.filter("secret_spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return out.select("doc_id", *map(count, kinds), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("secret_spans")).alias("spans"))
+    with index.in_place():
+        return written(out.select("doc_id", *map(count, kinds), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("secret_spans")).alias("spans")), "secret-report")
+
+
+def masked_text(text: Column, spans: Column) -> Column:
+    """The text with each span replaced by <kind>, in chunks of spans, each over its own piece of the text."""
+    chunks = chunked(spans)
+    starts = running(chunks, lambda at, s: F.greatest(at, s["end"]))
+
+    def of_chunk(z: Column) -> Column:
+        base = z["starts"]
+        last = F.aggregate(z["items"], base, lambda at, s: F.greatest(at, s["end"]))
+        piece = F.substring(text, (base + 1).cast("int"), (last - base).cast("int"))
+
+        def step(acc: Column, s: Column) -> Column:
+            gap = F.substring(acc["piece"], (acc["at"] - base + 1).cast("int"), F.greatest(s["start"] - acc["at"], F.lit(0)).cast("int"))
+            mark = F.when(s["start"] >= acc["at"], F.concat(F.lit("<"), s["kind"], F.lit(">"))).otherwise(F.lit(""))
+            return F.struct(acc["piece"].alias("piece"), F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["done"], gap, mark).alias("done"))
+
+        return F.aggregate(z["items"], F.struct(piece.alias("piece"), base.alias("at"), F.lit("").alias("done")), step)["done"]
+
+    done = F.array_join(F.transform(F.arrays_zip(chunks.alias("items"), starts.alias("starts")), of_chunk), "")
+    end = F.aggregate(spans, F.lit(0).cast("long"), lambda at, s: F.greatest(at, s["end"]))
+    return F.concat(done, F.substring(text, (end + 1).cast("int"), F.char_length(text)))
 
 
 def mask_secrets(docs: DataFrame) -> DataFrame:
-    """The documents with each secret in the text replaced by <kind>; other columns as they are.
+    """The documents with each secret in the text replaced by <kind>; n_chars follows the text, other columns stay.
 
     Where spans overlap, the one that starts first is replaced and what it covers goes with it.
     """
-    columns, text = docs.columns, text_of()
-    out = find_secrets(docs, MASKED)
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("done"))
-
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(text, (acc["at"] + 1).cast("int"), F.greatest(s["start"] - acc["at"], F.lit(0)).cast("int"))
-        mark = F.when(s["start"] >= acc["at"], F.concat(F.lit("<"), s["kind"], F.lit(">"))).otherwise(F.lit(""))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["done"], gap, mark).alias("done"))
-
-    last = F.aggregate("secret_spans", start, step)
-    rest = F.substring(text, (last["at"] + 1).cast("int"), F.char_length(text))
-    masked = F.when(F.size("secret_spans") > 0, F.concat(last["done"], rest)).otherwise(F.col("text"))
-    return out.withColumn("text", masked).select(*columns)
+    spans = free("secret_spans", docs)
+    out = find_secrets(docs, MASKED, spans)
+    some = F.size(spans) > 0
+    out = out.withColumn("text", F.when(some, masked_text(text_of(), F.col(spans))).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        out = out.withColumn("n_chars", F.when(some, F.char_length("text").cast(kind)).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)
 
 
 def _oracle() -> str:
