@@ -5,24 +5,35 @@ with a smaller id. Which strings repeat is found in three steps:
 
 1. Anchors. Of the GRAM-byte hashes in a string, the least marks an anchor; equal
    strings have equal anchors at equal places. Blocks of documents ask, bucket by
-   bucket, which of their anchors occur in more than one document.
+   bucket, which of their anchors occur in more than one document, and how often.
 2. Index. The surroundings of each such anchor - as far as a string with the anchor
    in it can reach - go to the task that owns the anchor's hash, equal ones of a
    block once, with the smallest id that has them. The task builds, for ranges of
-   anchors, the Burrows-Wheeler transform of its distinct surroundings: suffixes
+   anchors, the Burrows-Wheeler transform of the distinct surroundings: suffixes
    sorted by prefix doubling, the transform cut into runs, and for each run its
-   first row, where its rows go when their character is put in front, and the
-   text position at its end. Rows that share SPAN characters form a class, and each
-   class knows the smallest id among its rows. Then the surroundings are streamed
-   through the index from right to left, row by row over the runs; each place where
-   the match is SPAN long answers with its class's smallest id.
+   first row, where that row goes when its character is put in front, and the text
+   positions at its two ends. Rows that share SPAN characters form a class, and each
+   class knows the smallest id among its rows. Then the blocks' surroundings are
+   streamed through the index from right to left, from the empty match on, and their
+   matching statistics kept: where the run's character is the next one, the match
+   grows; where it isn't, the match goes on from the end of the nearest run of that
+   character above or below, the one whose sampled text position has more in common
+   with what was matched. Each place where a match is SPAN long or longer answers
+   with the smallest id of the matched row's class.
 3. Marks. Each block gets the answers in the order of its question, marks the strings
    whose smallest id is below the document's own and writes what is left.
 
 Repetitive corpora have few distinct surroundings, and nothing is sent or indexed
-once per copy: a passage in a third of all documents is a row a block. Answers come
-from comparing bytes, hashes only bring candidates together. Null texts are empty;
-a null id counts as larger than all others. Repeated ids don't remove each other.
+once per copy: a passage in a third of all documents is a row a block. An anchor of
+such a passage's edge has other surroundings in each document; so anchors that
+occur more than HOT times are split: each NARROW of a string's possible offsets have
+SPAN - NARROW + 1 bytes in common, the hash of those is the key of a window that
+holds just these strings, and the windows are dealt by it. All strings of a window
+stay together, and most of what differs between documents is outside of it.
+
+Answers come from comparing bytes, hashes only bring candidates together. Null
+texts are empty; a null id counts as larger than all others. Repeated ids don't
+remove each other; rows of an empty table give none.
 """
 
 from __future__ import annotations
@@ -37,7 +48,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelkiln.llm.common import chunks, partitions, rows, text_of, texts, written
+from panelkiln.llm.common import bucketed, chunks, partitions, rows, text_of, texts, written
 from panelkiln.llm.katz import SENT, SENT_DDL, by_bucket, packed, slices, unpacked
 
 SPAN, GRAM = 50, 16
@@ -46,8 +57,8 @@ WIDE = GRAM + 2 * REACH
 BLOCK_BYTES = 4 << 20
 #: Distinct surroundings of one index; with their WIDE + 1 suffixes each they are some 2^19 rows.
 INDEX = 6_000
-#: Symbols that the first sort of suffixes takes at once.
-FIRST = 5
+#: Occurrences beyond which an anchor is split, and the offsets of strings that go together then.
+HOT, NARROW = 6_000, 5
 #: Bits of an anchor's hash.
 BITS = 40
 NEVER = np.iinfo(np.int64).max
@@ -112,6 +123,10 @@ def anchor_keys(a: np.ndarray, at: np.ndarray) -> np.ndarray:
     h = np.zeros(len(at), np.uint64)
     for k in range(GRAM):
         h = h * np.uint64(FACTOR) + (a[at + k].astype(np.uint64) + np.uint64(1))
+    return _key(h)
+
+
+def _key(h: np.ndarray) -> np.ndarray:
     return (_mixed(_mixed(h) * np.uint64(FACTOR)) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
@@ -155,32 +170,44 @@ class Block:
         self.at, self.keys = at[order], keys[order]
         self.doc = np.searchsorted(self.ends, self.at, side="right")
 
-    def distinct_keys(self) -> tuple[np.ndarray, np.ndarray]:
-        """Sorted keys, and whether several documents of the block have one."""
+    def distinct_keys(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sorted keys, whether several documents of the block have one, and how often it occurs, 255 at most."""
         new = np.concatenate([[True], self.keys[1:] != self.keys[:-1]]) if len(self.keys) else np.zeros(0, bool)
         first = np.flatnonzero(new)
         if not len(first):
-            return self.keys, new
+            return self.keys, new, np.zeros(0, np.uint8)
         ids = self.ids[self.doc]
-        return self.keys[first], np.minimum.reduceat(ids, first) < np.maximum.reduceat(ids, first)
+        often = np.minimum(np.diff(np.append(first, len(new))), 255).astype(np.uint8)
+        return self.keys[first], np.minimum.reduceat(ids, first) < np.maximum.reduceat(ids, first), often
 
     def ask_keys(self, buckets: int) -> Iterator[pa.RecordBatch]:
-        keys, several = self.distinct_keys()
+        keys, several, often = self.distinct_keys()
         for b, s in slices(keys * buckets >> BITS, buckets):
-            yield rows(SENT, bucket=[b], block=[self.block], body=[[packed(np.diff(keys[s], prepend=0)), np.packbits(several[s]).tobytes()]])
+            yield rows(SENT, bucket=[b], block=[self.block], body=[[packed(np.diff(keys[s], prepend=0)), np.packbits(several[s]).tobytes(), packed(often[s])]])
 
     def keep_repeated(self, replies: list[dict], buckets: int) -> None:
-        """Drops the anchors that one document alone has, from the replies by bucket."""
-        keys, _ = self.distinct_keys()
+        """Drops the anchors that one document alone has, from the replies by bucket, and notes the hot ones."""
+        keys, _, _ = self.distinct_keys()
         found = {r["bucket"]: r["body"] for r in replies}
-        again = np.zeros(len(keys), bool)
+        again, hot = np.zeros(len(keys), bool), np.zeros(len(keys), bool)
         for b, s in slices(keys * buckets >> BITS, buckets):
-            again[s] = np.unpackbits(np.frombuffer(found[b][0], np.uint8), count=s.stop - s.start).astype(bool)
-        keep = np.isin(self.keys, keys[again], assume_unique=False)
+            for out, raw in zip((again, hot), found[b], strict=True):
+                out[s] = np.unpackbits(np.frombuffer(raw, np.uint8), count=s.stop - s.start).astype(bool)
+        which = np.searchsorted(keys, self.keys)
+        keep = again[which] if len(keys) else np.zeros(0, bool)
+        self.hot = hot[which][keep] if len(keys) else np.zeros(0, bool)
         self.at, self.keys, self.doc = self.at[keep], self.keys[keep], self.doc[keep]
 
     def surroundings(self) -> None:
-        """Distinct surroundings of the anchors in order of key, the one of each anchor, and their smallest ids."""
+        """Distinct surroundings of the anchors in order of key, the one of each anchor, and their smallest ids.
+
+        A hot anchor becomes one for each of its windows.
+        """
+        parts = (REACH + 1) // NARROW
+        times = np.where(self.hot, parts, 1)
+        part = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        part[~np.repeat(self.hot, times)] = -1
+        self.at, self.keys, self.doc = (np.repeat(x, times) for x in (self.at, self.keys, self.doc))
         starts = self.ends - self.length
         self.around = np.empty((len(self.at), WIDE), np.uint8)
         for i in range(0, len(self.at), 1 << 16):
@@ -188,6 +215,21 @@ class Block:
             place = self.at[s, None] + np.arange(-REACH, GRAM + REACH)
             inside = (place >= starts[self.doc[s], None]) & (place < self.ends[self.doc[s], None])
             self.around[s] = np.where(inside, self.text[np.clip(place, 0, max(0, len(self.text) - 1))], OUTSIDE)
+        keep = np.ones(len(self.at), bool)
+        for k in range(parts):
+            mine = np.flatnonzero(part == k)
+            if not len(mine):
+                continue
+            held, low = self.around[mine], k * NARROW
+            held[:, :low] = OUTSIDE
+            held[:, low + SPAN + NARROW - 1 :] = OUTSIDE
+            shared = held[:, low + NARROW - 1 : low + SPAN]
+            keep[mine] = ~(shared == OUTSIDE).any(1)
+            h = np.zeros(len(mine), np.uint64)
+            for j in range(shared.shape[1]):
+                h = h * np.uint64(FACTOR) + (shared[:, j].astype(np.uint64) + np.uint64(1))
+            self.around[mine], self.keys[mine] = held, _key(h)
+        self.at, self.keys, self.doc, self.around = self.at[keep], self.keys[keep], self.doc[keep], self.around[keep]
         first, self.which = distinct(self.around, self.keys)
         self.around, self.keys = self.around[first], self.keys[first]
         self.least = np.full(len(first), NEVER)
@@ -245,120 +287,181 @@ def distinct(around: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return first, which
 
 
-def suffix_ranks(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(rank of each suffix by all its symbols, class of each by SPAN symbols) of rows of symbols over 0, each ended by 0.
+def ranked(keys: np.ndarray, width: int, want: bool = True) -> tuple[np.ndarray | None, np.ndarray]:
+    """(dense ranks from 1 if wanted, order) of keys of ``width`` bits, equal ones in the order of their places.
 
-    Prefix doubling from FIRST symbols in a word; what lies beyond a row's end is 0.
+    Where key and place fit one word, words are sorted: no indirection.
     """
-    n, m = symbols.shape
-    wide = np.zeros((n, m + FIRST), np.uint64)
-    wide[:, :m] = symbols
-    key = np.zeros((n, m), np.uint64)
-    for k in range(FIRST):
-        key = key << np.uint64(8) | wide[:, k : k + m]
-    rank = ranked(key, 8 * FIRST)
-    h, by_span = FIRST, None
-    while h < m:
-        if h <= SPAN < 2 * h:
-            by_span = paired(rank, SPAN - h)
-        rank = paired(rank, h)
-        h *= 2
-    return rank, by_span
-
-
-def paired(rank: np.ndarray, shift: int) -> np.ndarray:
-    """Ranks by the pair of a place's rank and that of the place ``shift`` further on."""
-    after = np.zeros_like(rank)
-    after[:, :-shift] = rank[:, shift:]
-    bits = int(rank.size).bit_length()
-    return ranked(rank.astype(np.uint64) << np.uint64(bits) | after.astype(np.uint64), 2 * bits)
-
-
-def ranked(keys: np.ndarray, width: int) -> np.ndarray:
-    """Dense ranks from 1 of keys of ``width`` bits. Where key and place fit one word, words are sorted: no indirection."""
     flat = keys.ravel()
     bits = np.uint64(int(flat.size).bit_length())
     if width + int(bits) <= 64:
         words = np.sort(flat << bits | np.arange(flat.size, dtype=np.uint64))
         order, held = (words & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64), words >> bits
     else:
-        order = np.argsort(flat)
+        order = np.argsort(flat, kind="stable")
         held = flat[order]
+    if not want:
+        return None, order
     new = np.ones(len(held), bool)
     new[1:] = held[1:] != held[:-1]
     out = np.empty(len(held), np.int64)
     out[order] = np.cumsum(new)
-    return out.reshape(keys.shape)
+    return out.reshape(keys.shape), order
+
+
+def suffix_order(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places of all suffixes in order, whether each shares SPAN symbols with the one before) of rows of symbols that end in 0.
+
+    End marks are told apart by their row, so equal suffixes stand in the order of rows. Prefix doubling; the first
+    sort takes as many symbols as fit a word beside the place.
+    """
+    n, m = symbols.shape
+    each, place_bits = max(1, int(symbols.max(initial=1)).bit_length()), int(n * m).bit_length()
+    h = max(1, min(m, (64 - place_bits) // each))
+    wide = np.zeros((n, m + h), np.uint64)
+    wide[:, :m] = symbols
+    key = np.zeros((n, m), np.uint64)
+    for k in range(h):
+        key = key << np.uint64(each) | wide[:, k : k + m]
+    rank, order = ranked(key, h * each)
+    held, at = rank, h
+    while h < m:
+        # What lies beyond a row's end is 0.
+        after = np.zeros_like(rank)
+        after[:, :-h] = rank[:, h:]
+        rank, order = ranked(rank.astype(np.uint64) << np.uint64(place_bits) | after.astype(np.uint64), 2 * place_bits, 2 * h < m)
+        h *= 2
+        if h <= SPAN:
+            held, at = rank, h
+    inner = order % m <= REACH
+    same = np.zeros(len(order), bool)
+    pairs = np.flatnonzero(inner[1:] & inner[:-1])
+    a, b, flat = order[pairs], order[pairs + 1], held.ravel()
+    step = 0
+    equal = np.ones(len(pairs), bool)
+    while step < SPAN:
+        # Prefixes of ``at`` symbols, the last one overlapping.
+        k = min(step, SPAN - at) if at < SPAN else 0
+        equal &= flat[a + k] == flat[b + k]
+        step += at
+    same[pairs[equal] + 1] = True
+    return order, same
+
+
+class Marked:
+    """Bits of which some are set, and how many are set up to a place."""
+
+    def __init__(self, at: np.ndarray, n: int):
+        bits = np.zeros(-(-n // 64) * 64, bool)
+        bits[at] = True
+        self.words = np.packbits(bits, bitorder="little").view("<u8")
+        count = np.bitwise_count(self.words).astype(np.int32)
+        self.before = np.cumsum(count, dtype=np.int32) - count - 1
+
+    def last(self, place: np.ndarray) -> np.ndarray:
+        """The number, from 0, of the last set bit up to a place."""
+        word = place >> 6
+        return self.before[word] + np.bitwise_count(self.words[word] << (np.uint64(63) - (place & 63).astype(np.uint64)))
 
 
 class RunIndex:
-    """The run-length compressed transform of n rows of WIDE symbols and an end mark each.
+    """The run-length compressed transform of n rows of WIDE symbols and an end mark each, with random access to the rows.
 
-    runs: the first row of each, ``goes``: where that row goes when its character is put in
-    front, ``sample``: the text position at the run's end. classes: the first row of each class
-    of equal SPAN symbols, with the smallest id in it. Bits mark the rows where runs and classes
-    begin; their rank finds a row's run and class at once.
+    runs: the first row of each, heads: its character, ``goes``: where that row goes when its character is put in
+    front, ``sample_first`` and ``sample``: the text positions at the run's two ends. Each class of rows with equal SPAN
+    symbols has its smallest id. Bits mark the rows where runs and classes begin; their rank finds a row's run and class.
     """
 
     def __init__(self, around: np.ndarray, ids: np.ndarray):
-        n = len(around)
-        self.n, m = n, WIDE + 1
+        n, m = len(around), WIDE + 1
+        # Symbols in the order of bytes, 0 being the end mark; bytes that the rows lack are above all.
+        used = np.flatnonzero(np.bincount(around.ravel(), minlength=256))
+        self.code = np.full(256, 255, np.uint8)
+        self.code[used] = np.arange(1, len(used) + 1)
         symbols = np.zeros((n, m), np.uint8)
-        # Text bytes are below 0xF5, so one more than each still fits below the outside's.
-        symbols[:, :WIDE] = np.where(around == OUTSIDE, 0xFE, around + 1)
-        rank, by_span = suffix_ranks(symbols)
-        # End marks are told apart by their row, so equal suffixes stand in the order of rows.
-        bits = np.uint64(int(rank.size).bit_length())
-        order = (np.sort(rank.ravel().astype(np.uint64) << bits | np.arange(rank.size, dtype=np.uint64)) & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
-        row, place = order // m, order % m
-        front = symbols[row, np.where(place > 0, place - 1, WIDE)]
-        begins = np.concatenate([[True], front[1:] != front[:-1]])
-        starts = np.flatnonzero(begins)
-        self.run_of = np.cumsum(begins, dtype=np.int32) - 1  # rank on the bits that mark run starts
-        sizes = np.diff(np.concatenate([starts, [len(front)]]))
-        heads = front[starts]
+        symbols[:, :WIDE] = self.code[around]
+        self.size = n * m
+        self.text = np.concatenate([symbols.ravel(), np.zeros(WIDE, np.uint8)])
+        order, same = suffix_order(symbols)
+        # The character before each suffix; the end mark before a row's first.
+        front = np.where(order % m > 0, self.text[order - 1], 0)
+        self.runs = np.flatnonzero(np.concatenate([[True], front[1:] != front[:-1]]))
+        self.ends = np.append(self.runs[1:], len(front)) - 1
+        self.heads = front[self.runs]
+        self.sample_first, self.sample = order[self.runs], order[self.ends]
+        sizes = self.ends - self.runs + 1
         # Rows with one front character go, in their order, to the rows that begin with it.
-        below = np.concatenate([[0], np.cumsum(np.bincount(front, minlength=257))[:-1]])
-        by_head = np.argsort(heads, kind="stable")
-        before = np.cumsum(sizes[by_head]) - sizes[by_head]
-        first_of = np.searchsorted(heads[by_head], np.arange(257))
-        inner = before - before[np.minimum(first_of[heads[by_head]], len(before) - 1)]
-        self.goes = np.empty(len(starts), np.int64)
-        self.goes[by_head] = below[heads[by_head]] + inner
-        self.runs, self.sample = starts, order[starts + sizes - 1]
-        span = np.where(place <= REACH, by_span.ravel()[order], 0)
-        edge = np.ones(len(span), bool)
-        edge[1:] = (span[1:] != span[:-1]) | (span[1:] == 0)
-        self.classes = np.flatnonzero(edge)
-        self.class_of = np.cumsum(edge, dtype=np.int32) - 1
-        self.least = np.minimum.reduceat(ids[row], self.classes)
-
-    def stream(self, around: np.ndarray) -> np.ndarray:
-        """The indexed rows from right to left: for each start of SPAN bytes the smallest id with that string.
-
-        NEVER where the bytes reach outside a document.
+        self.by_head = np.argsort(self.heads, kind="stable")
+        before = np.cumsum(sizes[self.by_head]) - sizes[self.by_head]
+        self.goes = np.empty(len(self.runs), np.int64)
+        self.goes[self.by_head] = before
+        self.keys = self.heads[self.by_head].astype(np.int64) * self.size + self.runs[self.by_head]
+        self.run_marks = Marked(self.runs, len(front))
+        classes = np.flatnonzero(~same)
+        self.class_marks = Marked(classes, len(front))
+        self.least = np.minimum.reduceat(ids[order // m], classes)
+
+    def shared(self, symbols: np.ndarray, place: int, at: np.ndarray, most: np.ndarray) -> np.ndarray:
+        """How many symbols from ``place`` on each row has in common with the text from ``at`` on, ``most`` at most."""
+        n = int(most.max(initial=0))
+        equal = np.zeros((len(at), n + 1), bool)
+        equal[:, :n] = symbols[:, place : place + n] == self.text[at[:, None] + np.arange(n)]
+        return np.minimum(equal.argmin(1), most)
+
+    def stream(self, around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Matching statistics of rows, from right to left: (smallest id, length) at each place where SPAN bytes can begin.
+
+        length: of the longest match with the indexed rows that begins there; smallest id: of the rows with the same
+        SPAN bytes, NEVER for a shorter match. A match doesn't reach outside a document.
         """
-        out = np.full((self.n, REACH + 1), NEVER)
-        at = np.arange(self.n)  # the rows of the end marks
+        k = len(around)
+        symbols = self.code[around]
+        outside = around == OUTSIDE
+        least, lengths = np.full((k, REACH + 1), NEVER), np.zeros((k, REACH + 1), np.int64)
+        row, length = np.zeros(k, np.int64), np.zeros(k, np.int64)
         for place in range(WIDE - 1, -1, -1):
-            run = self.run_of[at]
-            at = self.goes[run] + at - self.runs[run]
+            c = symbols[:, place]
+            run = self.run_marks.last(row)
+            miss = np.flatnonzero(self.heads[run] != c)
+            if len(miss):
+                self._jump(symbols, place, miss, row, length)
+                run[miss] = self.run_marks.last(row[miss])
+            row = np.where(length < 0, row, self.goes[run] + row - self.runs[run])
+            length += 1
+            length[outside[:, place]] = 0
             if place <= REACH:
-                out[:, place] = self.least[self.class_of[at]]
-        beyond = np.cumsum(np.concatenate([np.zeros((self.n, 1), np.int64), around == OUTSIDE], 1), 1)
-        out[beyond[:, SPAN:] > beyond[:, : REACH + 1]] = NEVER
-        return out
+                long = np.flatnonzero(length >= SPAN)
+                lengths[:, place] = length
+                least[long, place] = self.least[self.class_marks.last(row[long])]
+        return least, lengths
+
+    def _jump(self, symbols: np.ndarray, place: int, miss: np.ndarray, row: np.ndarray, length: np.ndarray) -> None:
+        """Moves the rows ``miss`` to the end of a run of their next character, and their lengths to what is shared there; -1 without such a run."""
+        c = symbols[miss, place].astype(np.int64)
+        here, most, mine = row[miss], length[miss], symbols[miss]
+        best, to = np.full(len(miss), -1), here.copy()
+        after = np.searchsorted(self.keys, c * self.size + here)
+        for i, rows_, samples in ((after - 1, self.ends, self.sample), (after, self.runs, self.sample_first)):
+            near = self.by_head[np.clip(i, 0, len(self.keys) - 1)]
+            ok = (i >= 0) & (i < len(self.keys)) & (self.heads[near] == c)
+            common = np.where(ok, self.shared(mine, place + 1, samples[near], most), -1)
+            better = common > best
+            best, to = np.where(better, common, best), np.where(better, rows_[near], to)
+        row[miss], length[miss] = to, best
 
 
 def answer_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for bucket, sent in by_bucket(batches):
         keys = [np.cumsum(unpacked(r["body"][0], "<i8")) for r in sent]
         several = [np.unpackbits(np.frombuffer(r["body"][1], np.uint8), count=len(k)) for r, k in zip(sent, keys, strict=True)]
+        often = [unpacked(r["body"][2], "u1") for r in sent]
         _, which = np.unique(np.concatenate(keys), return_inverse=True)
         again = np.bincount(which, 1 + np.concatenate(several)) > 1
+        hot = np.bincount(which, np.concatenate(often)) > HOT
         at = 0
         for r, k in zip(sent, keys, strict=True):
-            yield rows(REPLY, block=[r["block"]], bucket=[bucket], body=[[np.packbits(again[which[at : at + len(k)]]).tobytes()]])
+            mine = which[at : at + len(k)]
+            yield rows(REPLY, block=[r["block"]], bucket=[bucket], body=[[np.packbits(again[mine]).tobytes(), np.packbits(hot[mine]).tobytes()]])
             at += len(k)
 
 
@@ -377,7 +480,7 @@ def answer_surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
         while at < len(first):
             # A key is never cut.
             end = len(first) if at + INDEX >= len(first) else max(int(np.searchsorted(keys, keys[at + INDEX])), int(np.searchsorted(keys, keys[at], side="right")))
-            found[at:end] = RunIndex(around[at:end], least[at:end]).stream(around[at:end])
+            found[at:end] = RunIndex(around[at:end], least[at:end]).stream(around[at:end])[0]
             at = end
         begins = np.ones(found.shape, bool)
         begins[:, 1:] = found[:, 1:] != found[:, :-1]
@@ -417,11 +520,9 @@ def finish(b: Block, gone: np.ndarray, want: bool) -> pa.RecordBatch:
 def remove_repeats(docs: DataFrame, keep_bytes: bool = True) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept): what is left of each text, as bytes if wanted."""
     spark, n = docs.sparkSession, partitions(docs.sparkSession)
-    name = f"passage_blocks_{uuid.uuid4().hex}"
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     # Bucketed, so that the blocks are joined with their replies in place.
-    plain.mapInArrow(block_rows, BLOCKS_DDL).write.bucketBy(n, "block").format("parquet").option("compression", "zstd").saveAsTable(name)
-    blocks = spark.table(name)
+    blocks = bucketed(plain.mapInArrow(block_rows, BLOCKS_DDL), f"passage_blocks_{uuid.uuid4().hex}", n, "block")
 
     def ask_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
