@@ -4,14 +4,23 @@ The decoder reads any lossless still image: simple and normal prefix codes, meta
 prefix images, back-references with the near-pixel distance codes, the colour
 cache, and the inverses of the predictor, cross-colour, subtract-green and
 palette transforms. It works on packed ARGB integers. Images whose pixels are
-all literals of one varying channel - what ``encode_samples`` writes - take a
-path that looks up the code at every bit position by array operations and then
-follows the chain of positions.
+all literals of one varying channel take a path that looks up the code at every
+bit position by array operations and then follows the chain of positions; where
+one channel varies and pixels are copied, symbols are read one by one and copies
+made whole. The palette and a predictor of one mode are undone by array operations.
 
 Bytes are stored as 8-bit samples: one per pixel, in the green channel, 64 in a
-row. Payloads over 16,383 rows get wider rows, the last one filled up; the
-number of samples then stands in a RIFF chunk of its own. Null texts are empty;
-an empty text is 64 zero samples. Equal texts give equal values.
+row. The encoder writes plain literals, a bundled palette for up to 16 values, the
+predictor (left or top) where it lowers the entropy, or back-references for
+repetitive payloads, whichever file is smallest. (Cross-colour and the colour
+cache cannot shrink an image with one varying channel: they are only read.)
+Payloads over 16,383 rows get wider rows, the last one filled up; the number of
+samples then stands in a RIFF chunk of its own. What one image can't hold goes to
+several files in a row, so the only limit is that of a binary value, 2 GB.
+
+Null texts are empty; an empty text is 64 zero samples. Equal texts give equal
+values. Ids may repeat or be null, each row is stored by itself; an empty table
+gives none.
 """
 
 from __future__ import annotations
@@ -50,6 +59,10 @@ PREDICTOR, CROSS_COLOUR, SUBTRACT_GREEN, PALETTE = 0, 1, 2, 3
 BLACK = 0xFF000000
 #: The chunk with the number of samples of a filled-up image.
 COUNT_CHUNK = b"NSMP"
+#: Samples of one image: 16,384 rows of 16,384 pixels.
+MOST = 1 << 28
+#: Shortest copy that the encoder makes, and the longest there is.
+SHORTEST, LONGEST = 12, 4096
 
 
 class Bits:
@@ -183,6 +196,39 @@ def literal_chain(data: bytes, at: int, code: PrefixCode, n: int) -> tuple[np.nd
     return np.concatenate(out), pos
 
 
+def read_distance(bits: Bits, code: PrefixCode, width: int) -> int:
+    d = read_extra(bits, code.read(bits))
+    if d > 120:
+        return d - 120
+    x, y = NEAR[d - 1]
+    return max(1, x + y * width)
+
+
+def copy_chain(bits: Bits, green: PrefixCode, distance: PrefixCode, width: int, n: int) -> np.ndarray:
+    """The next n values of one channel, literals and copies."""
+    out, data, at, mask = bytearray(), bits.data, bits.at, green.mask
+    table = list(zip(green.symbols.tolist(), green.sizes.tolist(), strict=True))
+    while len(out) < n:
+        i = at >> 3
+        s, size = table[int.from_bytes(data[i : i + 3], "little") >> (at & 7) & mask]
+        at += size
+        if i > len(data):
+            raise ValueError("the image ends early")
+        if s < 256:
+            out.append(s)
+            continue
+        bits.at = at
+        length = read_extra(bits, s - 256)
+        d = read_distance(bits, distance, width)
+        at = bits.at
+        if d > len(out) or len(out) + length > n:
+            raise ValueError("a back-reference leaves the image")
+        seen = out[len(out) - d : len(out) - d + length]
+        out += (seen * -(-length // len(seen)))[:length]
+    bits.at = at
+    return np.frombuffer(bytes(out), np.uint8)
+
+
 def read_pixels(bits: Bits, width: int, height: int, main: bool) -> list[int] | np.ndarray:
     """An entropy-coded image: packed ARGB, row by row."""
     cache_bits = bits.read(4) if bits.read(1) else 0
@@ -201,6 +247,9 @@ def read_pixels(bits: Bits, width: int, height: int, main: bool) -> list[int] |
     if n_groups == 1 and green.top < 256 and not cache_bits and None not in (red.single, blue.single, alpha.single):
         symbols, bits.at = literal_chain(bits.data, bits.at, green, n)
         return symbols.astype(np.uint32) << np.uint32(8) | np.uint32(alpha.single << 24 | red.single << 16 | blue.single)
+    if n_groups == 1 and not cache_bits and None not in (red.single, blue.single, alpha.single):
+        symbols = copy_chain(bits, green, distance, width, n)
+        return symbols.astype(np.uint32) << np.uint32(8) | np.uint32(alpha.single << 24 | red.single << 16 | blue.single)
     out: list[int] = []
     cache, shift = [0] * (1 << cache_bits), 32 - cache_bits
     seen = 0  # pixels that are in the cache
@@ -222,12 +271,7 @@ def read_pixels(bits: Bits, width: int, height: int, main: bool) -> list[int] |
             out.append(alpha.read(bits) << 24 | r << 16 | s << 8 | b)
         elif s < 256 + N_LENGTHS:
             length = read_extra(bits, s - 256)
-            d = read_extra(bits, distance.read(bits))
-            if d > 120:
-                d -= 120
-            else:
-                x, y = NEAR[d - 1]
-                d = max(1, x + y * width)
+            d = read_distance(bits, distance, width)
             if d > len(out) or len(out) + length > n:
                 raise ValueError("a back-reference leaves the image")
             for _ in range(length):
@@ -346,22 +390,45 @@ def decode(data: bytes) -> tuple[int, int, np.ndarray]:
             k = bundle(size)
             undo.append((kind, across, k, colours))
             across = -(-across >> k)
-    pixels = read_pixels(bits, across, height, True)
+    pixels = np.asarray(read_pixels(bits, across, height, True), np.uint32)
     for kind, across, k, extra in reversed(undo):
-        pixels = list(map(int, pixels))
         if kind == PREDICTOR:
-            for i, p in enumerate(pixels):
-                pixels[i] = _add(p, predicted(pixels, i, across, extra, k))
+            pixels = undo_predictor(pixels, across, extra, k)
         elif kind == CROSS_COLOUR:
             row = -(-across >> k)
-            pixels = [cross(p, extra[(i // across >> k) * row + (i % across >> k)], 1) for i, p in enumerate(pixels)]
+            pixels = np.array([cross(p, extra[(i // across >> k) * row + (i % across >> k)], 1) for i, p in enumerate(pixels.tolist())], np.uint32)
         elif kind == SUBTRACT_GREEN:
-            pixels = [_add(p, (p >> 8 & 255) * 0x10001) for p in pixels]
+            channels = pixels.copy().view(np.uint8).reshape(-1, 4)
+            channels[:, 0] += channels[:, 1]
+            channels[:, 2] += channels[:, 1]
+            pixels = channels.view(np.uint32).ravel()
+        else:
+            step = 8 >> k
+            colours = np.array(extra + [0] * (256 - len(extra)), np.uint32)
+            held = (pixels >> np.uint32(8)).astype(np.uint8).reshape(height, -1)
+            index = np.repeat(held, 1 << k, 1)[:, :across] >> (step * (np.arange(across) & (1 << k) - 1)).astype(np.uint8) & np.uint8((1 << step) - 1)
+            pixels = colours[index.ravel()]
+    return width, height, pixels
+
+
+def undo_predictor(pixels: np.ndarray, width: int, modes: list[int], bits: int) -> np.ndarray:
+    """Pixels from what the predictor left of them. One mode, left or top, for all is a running sum."""
+    kinds = {m >> 8 & 15 for m in modes}
+    if kinds <= {1} or kinds <= {2}:
+        channels = pixels.copy().view(np.uint8).reshape(-1, width, 4)
+        # The first pixel is predicted as black, the first row from the left, the first column from the top.
+        channels[0, 0, 3] += 255
+        channels[0] = np.cumsum(channels[0], 0, np.uint8)
+        if kinds == {1}:
+            channels[:, 0] = np.cumsum(channels[:, 0], 0, np.uint8)
+            channels[1:] = np.cumsum(channels[1:], 1, np.uint8)
         else:
-            row, step = -(-across >> k), 8 >> k
-            colours = extra + [0] * 256
-            pixels = [colours[pixels[y * row + (x >> k)] >> 8 + step * (x & (1 << k) - 1) & (1 << step) - 1] for y in range(height) for x in range(across)]
-    return width, height, np.asarray(pixels, np.uint32)
+            channels = np.cumsum(channels, 0, np.uint8)
+        return np.ascontiguousarray(channels).view(np.uint32).ravel()
+    out = pixels.tolist()
+    for i, p in enumerate(out):
+        out[i] = _add(p, predicted(out, i, width, modes, bits))
+    return np.array(out, np.uint32)
 
 
 # Writing
@@ -448,8 +515,8 @@ def put_code(w: Writer, lengths: dict[int, int], size: int) -> None:
         raise ValueError("a code of one length can't be written so")
 
 
-def riff(width: int, height: int, w: Writer, body: bytes, more: bytes = b"") -> bytes:
-    """The file: the header fields come before what w and body hold."""
+def riff(width: int, height: int, body: bytes, more: bytes = b"") -> bytes:
+    """The file of an image's bits."""
     image = b"\x2f" + struct.pack("<I", width - 1 | height - 1 << 14 | 1 << 28) + body
     chunk = b"VP8L" + struct.pack("<I", len(image)) + image + bytes(len(image) & 1) + more
     return b"RIFF" + struct.pack("<I", 4 + len(chunk)) + b"WEBP" + chunk
@@ -473,42 +540,201 @@ def packed_bits(codes: np.ndarray, sizes: np.ndarray, start: Writer) -> bytes:
     return head[:k] + (bytes([head[k] | out[k]]) + out[k + 1 :] if start.n & 7 and len(out) > k else head[k:] + out[k + 1 :] if start.n & 7 else out[k:])
 
 
-def encode_samples(payload: bytes) -> bytes:
-    """A lossless WebP file with a payload of a multiple of 64 bytes as green samples."""
+def prefixed(value: int) -> tuple[int, int, int]:
+    """(prefix, extra value, extra bits) of a length or distance code."""
+    v = value - 1
+    if v < 4:
+        return v, 0, 0
+    n = v.bit_length() - 2
+    return 2 * (n + 1) + (v >> n & 1), v & (1 << n) - 1, n
+
+
+def lengths_of(counts: np.ndarray) -> dict[int, int]:
+    used = np.flatnonzero(counts)
+    return code_lengths(list(zip(used.tolist(), counts[used].tolist(), strict=True))) if len(used) > 1 else {int(used[0]): 1}
+
+
+def tables(lengths: dict[int, int], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(code, bits) by symbol; a single symbol takes no bits."""
+    dense, code, width = [0] * size, np.zeros(size, np.uint32), np.zeros(size, np.int64)
+    if len(lengths) > 1:
+        for s, k in lengths.items():
+            dense[s] = k
+        for s, k, c in canonical(dense):
+            code[s], width[s] = c, k
+    return code, width
+
+
+def put_image(w: Writer, samples: np.ndarray, alpha: int, main: bool = True) -> bytes:
+    """An image of green literals and one alpha, after what w holds."""
+    w.put(0, 2 if main else 1)  # no colour cache, one group of codes
+    lengths = lengths_of(np.bincount(samples, minlength=256))
+    put_code(w, lengths, 256 + N_LENGTHS)
+    for only in (0, 0, alpha, 0):  # red, blue, alpha, distance
+        put_code(w, {only: 1}, 256)
+    if len(lengths) == 1:
+        return w.value.to_bytes(-(-w.n // 8), "little")
+    code, size = tables(lengths, 256)
+    return packed_bits(code[samples], size[samples], w)
+
+
+def plain_body(samples: np.ndarray) -> bytes:
+    w = Writer()
+    w.put(0, 1)  # no transform
+    return put_image(w, samples, 255)
+
+
+def palette_body(samples: np.ndarray, width: int, used: np.ndarray) -> bytes:
+    """Indices of up to 16 values, several in a pixel."""
+    w = Writer()
+    w.put(1 | PALETTE << 1, 3)
+    w.put(len(used) - 1, 8)
+    # The palette: one row of colours, each less the one before it.
+    w.put(0, 1)
+    green, alpha = np.diff(used, prepend=0), [255] + [0] * (len(used) - 1)
+    of_green, of_alpha = lengths_of(np.bincount(green, minlength=256)), dict.fromkeys(alpha, 1)
+    for code, size in ((of_green, 256 + N_LENGTHS), ({0: 1}, 256), ({0: 1}, 256), (of_alpha, 256), ({0: 1}, 256)):
+        put_code(w, code, size)
+    fields = [tables(x, 256) for x in (of_green, of_alpha)]
+    for pair in zip(green.tolist(), alpha, strict=True):
+        for (code, size), x in zip(fields, pair, strict=True):
+            w.put(int(code[x]), int(size[x]))
+    w.put(0, 1)
+    k = bundle(len(used))
+    index = np.searchsorted(used, samples).reshape(-1, width // (1 << k), 1 << k)
+    return put_image(w, (index << (8 >> k) * np.arange(1 << k)).sum(2).astype(np.uint8).ravel(), 255)
+
+
+def predictor_body(rest: np.ndarray, width: int, mode: int) -> bytes:
+    w = Writer()
+    w.put(1 | PREDICTOR << 1, 3)
+    w.put(7, 3)  # blocks of 512 pixels, all of one mode
+    put_modes = put_image(w, np.array([mode], np.uint8), 255, False)
+    assert len(put_modes) == -(-w.n // 8)
+    w.put(0, 1)
+    return put_image(w, rest, 0)
+
+
+def predictor_rest(samples: np.ndarray, width: int, mode: int) -> np.ndarray:
+    """What left (1) or top (2) leaves of the samples."""
+    x = samples.reshape(-1, width)
+    rest = x.copy()
+    rest[0, 1:] -= x[0, :-1]
+    if mode == 1:
+        rest[1:, 1:] -= x[1:, :-1]
+        rest[1:, 0] -= x[:-1, 0]
+    else:
+        rest[1:] -= x[:-1]
+    return rest.ravel()
+
+
+def entropy(samples: np.ndarray) -> float:
+    """Bits of the samples by their own frequencies."""
+    n = np.bincount(samples, minlength=256)
+    n = n[n > 0]
+    return float((n * np.log2(len(samples) / n)).sum())
+
+
+def copies(samples: np.ndarray) -> list[tuple[int, int, int]]:
+    """(place, length, distance) of copies, greedily from the left, each from the last place with the same 8 bytes."""
+    n, raw = len(samples), samples.tobytes()
+    wide = samples.astype(np.uint64)
+    word = np.zeros(n - 7, np.uint64)
+    for k in range(8):
+        word = word << np.uint64(8) | wide[k : n - 7 + k]
+    order = np.argsort(word, kind="stable")
+    same = word[order][1:] == word[order][:-1]
+    before = np.full(len(word), -1)
+    before[order[1:][same]] = order[:-1][same]
+    before[np.arange(len(word)) - before >= 1 << 20] = -1
+    at = np.flatnonzero(before >= 0)
+    out, i, k, places, sources = [], 0, 0, at.tolist(), before.tolist()
+    while k < len(places):
+        p = places[k]
+        if p < i:
+            k = int(np.searchsorted(at, i))
+            continue
+        d, length, most = p - sources[p], 8, min(LONGEST, n - p)
+        while length < most:
+            step = min(length, most - length)
+            if raw[p + length : p + length + step] != raw[p + length - d : p + length - d + step]:
+                while raw[p + length] == raw[p + length - d]:
+                    length += 1
+                break
+            length += step
+        if length >= SHORTEST:
+            out.append((p, length, d))
+            i = p + length
+        k += 1
+    return out
+
+
+def copy_body(samples: np.ndarray, found: list[tuple[int, int, int]]) -> bytes:
+    """Literals and copies."""
+    lens, dists = [prefixed(n) for _, n, _ in found], [prefixed(d + 120) for _, _, d in found]
+    covered = np.zeros(len(samples) + 1, np.int64)
+    place, length = np.array([p for p, _, _ in found]), np.array([n for _, n, _ in found])
+    np.add.at(covered, place, 1)
+    np.add.at(covered, place + length, -1)
+    literal = np.flatnonzero(np.cumsum(covered[:-1]) == 0)
+    green = np.bincount(samples[literal], minlength=256 + N_LENGTHS)
+    green += np.bincount([256 + p for p, _, _ in lens], minlength=256 + N_LENGTHS)
+    of_green, of_distance = lengths_of(green), lengths_of(np.bincount([p for p, _, _ in dists], minlength=N_DISTANCES))
+    w = Writer()
+    w.put(0, 3)
+    put_code(w, of_green, 256 + N_LENGTHS)
+    for only in (0, 0, 255):
+        put_code(w, {only: 1}, 256)
+    put_code(w, of_distance, N_DISTANCES)
+    code, size = tables(of_green, 256 + N_LENGTHS)
+    far, far_size = tables(of_distance, N_DISTANCES)
+    # Fields in order: a literal has one, a copy four, at the place where it begins.
+    order = np.concatenate([literal * 4, np.repeat(place * 4, 4) + np.tile(np.arange(4), len(place))])
+    s, d = np.array([256 + p for p, _, _ in lens]), np.array([p for p, _, _ in dists])
+    fields = np.stack([code[s], [x for _, x, _ in lens], far[d], [x for _, x, _ in dists]], 1).ravel()
+    widths = np.stack([size[s], [n for _, _, n in lens], far_size[d], [n for _, _, n in dists]], 1).ravel()
+    by = np.argsort(order)
+    return packed_bits(np.concatenate([code[samples[literal]], fields])[by], np.concatenate([size[samples[literal]], widths])[by], w)
+
+
+def encode_image(payload: bytes) -> bytes:
     n = len(payload)
     width, more = 64, b""
     if n > 64 * 16383:
         width = 16384
-        if n > 16384 * 16384:
-            raise ValueError("an image holds 256 MB at most")
         payload += bytes(-n % width)
         more = COUNT_CHUNK + struct.pack("<IQ", 8, n)
     samples = np.frombuffer(payload, np.uint8)
-    counts = np.bincount(samples, minlength=256)
-    used = np.flatnonzero(counts)
-    lengths = code_lengths(list(zip(used.tolist(), counts[used].tolist(), strict=True))) if len(used) > 1 else {int(used[0]): 1}
-    w = Writer()
-    w.put(0, 3)  # no transform, no colour cache, one group of codes
-    put_code(w, lengths, 256 + N_LENGTHS)
-    for only in (0, 0, 255, 0):  # red, blue, alpha, distance
-        put_code(w, {only: 1}, 256)
-    if len(used) == 1:
-        body = w.value.to_bytes(-(-w.n // 8), "little")
-    else:
-        dense, code, size = [0] * 256, np.zeros(256, np.uint32), np.zeros(256, np.int64)
-        for s, k in lengths.items():
-            dense[s] = k
-        for s, k, c in canonical(dense):
-            code[s], size[s] = c, k
-        body = packed_bits(code[samples], size[samples], w)
-    return riff(width, len(payload) // width, w, body, more)
+    used = np.flatnonzero(np.bincount(samples, minlength=256))
+    bodies = [plain_body(samples)]
+    if 1 < len(used) <= 16:
+        bodies.append(palette_body(samples, width, used))
+    if len(used) > 1:
+        rest = {mode: predictor_rest(samples, width, mode) for mode in (1, 2)}
+        bits, mode = min((entropy(r), mode) for mode, r in rest.items())
+        if bits < 0.95 * entropy(samples):
+            bodies.append(predictor_body(rest[mode], width, mode))
+        # Copies are looked for where there is much to copy, so that few symbols are left to read.
+        if n >= 256 and len(zlib.compress(payload, 1)) < n // 4 and (found := copies(samples)):
+            bodies.append(copy_body(samples, found))
+    return riff(width, len(payload) // width, min(bodies, key=len), more)
+
+
+def encode_samples(payload: bytes) -> bytes:
+    """Lossless WebP files, one unless the payload is over MOST bytes, with a payload of a multiple of 64 bytes as green samples."""
+    return b"".join(encode_image(payload[i : i + MOST]) for i in range(0, len(payload), MOST))
 
 
 def decode_samples(data: bytes) -> bytes:
-    _, _, pixels = decode(data)
-    samples = (pixels >> np.uint32(8)).astype(np.uint8).tobytes()
-    at = data.rfind(COUNT_CHUNK, len(data) - 16)
-    return samples[: struct.unpack_from("<Q", data, at + 8)[0]] if at >= 0 and len(samples) > 64 * 16383 else samples
+    out, at = [], 0
+    while at < len(data):
+        one = data[at : at + 8 + int.from_bytes(data[at + 4 : at + 8], "little")]
+        _, _, pixels = decode(one)
+        samples = (pixels >> np.uint32(8)).astype(np.uint8).tobytes()
+        count = one.rfind(COUNT_CHUNK, len(one) - 16) if len(samples) > 64 * 16383 else -1
+        out.append(samples[: struct.unpack_from("<Q", one, count + 8)[0]] if count >= 0 else samples)
+        at += len(one)
+    return b"".join(out)
 
 
 def feature(payload: bytes) -> str:
