@@ -9,8 +9,9 @@ is half the square of the summed vectors less the sum of their squares, so a
 text is scored in time linear in its features.
 
 The machine is fitted on the driver from a bounded sample: of the labelled rows
-allowed, the ``sample`` rows (a parameter) with the smallest hash of the id.
-Only their features, at most one number per hashed feature, reach the driver.
+allowed, the ``sample`` ids (a parameter) with the smallest hash, one text each
+(of rows that repeat an id the least text), and of those as many as have
+``MOST_FEATURES`` features together. Only the features reach the driver.
 Every row is scored over its whole text.
 
 Null texts are empty and are scored like any text; null or repeated labels and
@@ -28,8 +29,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from panelkiln.llm.common import chunks, rows, text_of, texts
+from panelkiln.llm.common import chunks, free, rows, text_of, texts
 
 WORD_BITS = 14
 BINS = 12
@@ -37,6 +39,8 @@ N_STATS = 11
 SIZE = (1 << WORD_BITS) + N_STATS * BINS + 2 * BINS
 #: Labelled rows that a fit uses at most.
 SAMPLE = 12_000
+#: Features of all sampled rows: 8 bytes each, so 256 MB for the driver at most.
+MOST_FEATURES = 32 << 20
 THRESHOLD = 0.3
 
 _CLASS = np.zeros(256, np.int64)  # 0: other and letters outside ASCII
@@ -141,6 +145,7 @@ def train(docs: DataFrame, labels: DataFrame, allowed: Column | None = None, sam
     told = told.groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     # At most ``sample`` rows of two numbers.
     picked = docs.select("doc_id", text_of().alias("text"), _told(docs)).join(F.broadcast(told), "doc_id")
+    picked = picked.groupBy("doc_id").agg(F.min(F.struct("text", "n_chars")).alias("row"), F.max("quality").alias("quality")).select("doc_id", "row.text", "row.n_chars", "quality")
     out = pa.schema([("doc_id", pa.int64()), ("quality", pa.int64()), ("index", pa.list_(pa.int32())), ("value", pa.list_(pa.float32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,7 +153,10 @@ def train(docs: DataFrame, labels: DataFrame, allowed: Column | None = None, sam
             found = [features(t, c) for t, c in zip(texts(batch), batch.column(2).to_pylist(), strict=True)]
             yield rows(out, doc_id=batch.column(0).cast(pa.int64()), quality=batch.column(3).cast(pa.int64()), index=[i.astype(np.int32) for i, _ in found], value=[x for _, x in found])
 
-    got = picked.mapInArrow(run, "doc_id long, quality long, index array<int>, value array<float>").toArrow().sort_by([("doc_id", "ascending")])
+    found = picked.mapInArrow(run, "doc_id long, quality long, index array<int>, value array<float>")
+    # A window over the bounded sample.
+    upto = F.sum(F.size("index")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))
+    got = found.withColumn("upto", upto).where(F.col("upto") <= MOST_FEATURES).drop("upto").toArrow().sort_by([("doc_id", "ascending")])
     index, value = got.column("index").combine_chunks(), got.column("value").combine_chunks()
     found = [(index[i].values.to_numpy().astype(np.int64), value[i].values.to_numpy()) for i in range(len(got))]
     return fit(found, got.column("quality").to_numpy().astype(np.float64))
@@ -184,4 +192,5 @@ def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, thr
 def drop_low_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that are not rejected, with their columns."""
     machine = train(docs, labels, fold(F.col("doc_id"), 5) != 0, sample)
-    return docs.withColumn("_score", score(docs, machine)).where(F.col("_score") >= threshold).drop("_score")
+    own = free("_score", docs)
+    return docs.withColumn(own, score(docs, machine)).where(F.col(own) >= threshold).drop(own)

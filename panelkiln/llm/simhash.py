@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from panelkiln.llm.common import chunks, partitions, rows, text_of, texts, written
+from panelkiln.llm.common import chunks, free, partitions, rows, text_of, texts, written
 from panelkiln.llm.components import components
 
 WORDS, SEED, DISTANCE = 4, 42, 4
@@ -253,10 +253,11 @@ def keep_first(docs: DataFrame, groups: DataFrame) -> DataFrame:
 
     Of rows that repeat that id one stays. A group whose ids are all null keeps one row of each text.
     """
-    stay = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    out = docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    own, nth = free("_id", docs), free("_nth", docs)
+    stay = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(own)).distinct()
+    out = docs.join(stay, F.col("doc_id").eqNullSafe(F.col(own)), "left_semi")
     if docs.groupBy("doc_id").count().where("count > 1").take(1):
         text = F.xxhash64(text_of())
         first = F.row_number().over(Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), text)).orderBy(text))
-        out = out.withColumn("_nth", first).where("_nth = 1").drop("_nth")
+        out = out.withColumn(nth, first).where(F.col(nth) == 1).drop(nth)
     return out

@@ -19,7 +19,7 @@ from panelkiln.llm.queries import vocabulary
 pytestmark = pytest.mark.skipif(importlib.util.find_spec("public_tokenizers") is None, reason="no vocabulary files here")
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega".split()
-DDL = "doc_id long, text string, lang string, source string, n_chars long, id string, digest string, key string, kinds string, print string"
+DDL = "doc_id long, text string, lang string, source string, n_chars long, id string, digest string, key string, kinds string, print string, _id string, _nth string, _score string, _kinds string, secret_spans string, _block string, _number string, block string"
 
 
 def corpus():
@@ -41,7 +41,7 @@ def corpus():
 def docs(spark):
     common.prepare(spark)
     # Columns with names that the operators use themselves.
-    rows = [(i, t, "en", "s", len(t or ""), "a", "b", "c", "d", "e") for i, t in corpus()]
+    rows = [(i, t, "en", "s", len(t or ""), *"abcdefghijklm") for i, t in corpus()]
     return spark.createDataFrame(rows, DDL).repartition(3).cache()
 
 
@@ -409,7 +409,8 @@ def test_run_index_rows():
     around[8, 20:] = around[3, 20:]
     ids = np.arange(40)[::-1].copy()
     index = rindex_dedup.RunIndex(around, ids)
-    found = index.stream(around)
+    found, lengths = index.stream(around)
+    assert (lengths >= 50).any() and ((lengths >= 50) == (found < rindex_dedup.NEVER)).all()
     for r in range(40):
         for k in range(rindex_dedup.REACH + 1):
             w = around[r, k : k + 50]
@@ -501,7 +502,7 @@ def general_image(w, h, pixels, transforms=(), cache_bits=0, copies=()):
             out.put(where[p >> 8 & 255], 8)
             for s in (p >> 16 & 255, p & 255, p >> 24):
                 out.put(int(format(s, "08b")[::-1], 2), 8)
-    return webp.riff(w, h, out, out.value.to_bytes(-(-out.n // 8), "little"))
+    return webp.riff(w, h, out.value.to_bytes(-(-out.n // 8), "little"))
 
 
 def test_webp_transforms():

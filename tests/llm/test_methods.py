@@ -1,14 +1,20 @@
 """That the operators go the way they say: discounts, batches through the index, run samples, postings, stored transforms."""
 
+import base64
+import hashlib
 import importlib.util
+import random
 import re
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from panelkiln.llm import common, digest_dedup, katz
+from panelkiln.llm import common, digest_dedup, katz, packing, rindex_dedup, secrets, token_store, tokens, webp
+from panelkiln.llm.queries import vocabulary
 
 pytestmark = pytest.mark.skipif(importlib.util.find_spec("public_tokenizers") is None, reason="no vocabulary files here")
 
@@ -86,3 +92,215 @@ def test_queries_leave_one_folder_each(spark):
         assert {t.name for t in spark.catalog.listTables()} == {t.name for t in tables}
         common.release(before)
         assert len(common._made) == before
+
+
+def test_lookup_goes_by_ranges(spark):
+    """Every document of a repeated or null id is found, no list of keys is read, absent ids give nothing."""
+    path = common.shared_folder(spark, "t")
+    texts = [(None if i % 2 else i % 40, f"text number {i} " * (i % 5)) for i in range(300)] + [(5000 + i, "far away") for i in range(0, 60, 3)]
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    token_store.write_tokens(df, path, vocabulary("byte_bpe_50k.json"), 2, shard_bytes=400)
+    library = tokens.bpe(vocabulary("byte_bpe_50k.json")).tokenizer
+    asked = [None, 4, 8, 38, 5003, 5004, 41, -1, 10**12]
+    got = token_store.lookup(spark, path, spark.createDataFrame([(x,) for x in asked], "doc_id long"))
+    want = Counter((i, (*library.encode(t, add_special_tokens=False).ids, 2)) for i, t in texts if i in asked)
+    assert Counter((r["doc_id"], tuple(r["ids"])) for r in got.collect()) == want and sum(want.values()) > 40
+    assert "keys:array" not in got._jdf.queryExecution().executedPlan().toString()
+    assert spark.read.parquet(path).where("nulls").select("part").distinct().count() > 1
+    # A wrong fingerprint is no match: the stored one decides.
+    blob = bytearray(token_store.encode_shard([1, 2, 3], [b"ab", b"cd", b"ef"], 2))
+    assert len(list(token_store.Shard(bytes(blob)).find_all([1, 2, 3, 4]))) == 3
+    held = token_store.Shard(bytes(blob))
+    at = len(blob) - 6 - held.slots.nbytes
+    blob[at : at + 8] = bytes(8)
+    assert len(list(token_store.Shard(bytes(blob)).find_all([1, 2, 3, 4]))) == 2
+
+
+@pytest.mark.parametrize("size", [7, 128, 200, 1024])
+def test_pieces_equal_the_library(spark, size):
+    """start, length, doc_tokens and ids_crc32 of each piece against the library's own ids; each id in exactly one piece."""
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(vocabulary("byte_bpe_50k.json"))
+    texts = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").limit(60).collect() + [(-1, None), (-2, ""), (-3, "x" * 3000), (-4, "日本。" * 400)]
+    df = spark.createDataFrame([tuple(r) for r in texts], "doc_id long, text string").repartition(2)
+    got = packing.pack(df, vocabulary("byte_bpe_50k.json"), 0, size).toPandas().sort_values(["doc_id", "start"])
+    ids = {i: np.array([*library.encode(t or "", add_special_tokens=False).ids, 0], "<u4") for i, t in (tuple(r) for r in texts)}
+    for doc, part in got.groupby("doc_id"):
+        assert part["start"].tolist() == [0, *part["length"].cumsum().tolist()[:-1]] and int(part["length"].sum()) == len(ids[doc])
+        assert (part["doc_tokens"] == len(ids[doc])).all() and (part["length"] <= size).all()
+        assert part["ids_crc32"].tolist() == [zlib.crc32(ids[doc][a : a + n].tobytes()) for a, n in zip(part["start"], part["length"], strict=True)]
+    assert set(got["doc_id"]) == set(ids)
+    assert got.groupby("sequence_id")["length"].sum().max() <= size
+
+
+def longest(pattern, texts):
+    """The longest prefix of ``pattern`` that occurs in the texts, none of its bytes outside."""
+    n = 0
+    while n < len(pattern) and pattern[n] != rindex_dedup.OUTSIDE and any(pattern[: n + 1] in t for t in texts):
+        n += 1
+    return n
+
+
+def passage_rows():
+    rng = np.random.default_rng(4)
+    around = rng.integers(97, 100, (30, rindex_dedup.WIDE)).astype(np.uint8)
+    for k in range(10, 30):  # pieces of the first ten
+        a, b = rng.integers(0, 20, 2)
+        around[k, a : a + 60] = around[k % 10, b : b + 60] if k % 3 else around[k % 10, a : a + 60]
+    around[4, 70:] = around[6, :20] = rindex_dedup.OUTSIDE
+    return around
+
+
+def test_matching_statistics_of_other_texts():
+    """Texts that are not in the index: each match is as long as can be, and ids are those of the matched class."""
+    around = passage_rows()
+    index = rindex_dedup.RunIndex(around[:15], np.arange(15))
+    least, lengths = index.stream(around[15:])
+    held = [bytes(x) for x in around[:15]]
+    for r in range(15):
+        for k in range(rindex_dedup.REACH + 1):
+            p = bytes(around[15 + r, k:])
+            assert lengths[r, k] == longest(p, held)
+            want = [i for i, t in enumerate(held) if p[:50] in t]
+            assert least[r, k] == (min(want) if lengths[r, k] >= 50 else rindex_dedup.NEVER)
+    assert (lengths >= 50).any() and (lengths < 50).any()
+    assert len(index.runs) < 0.6 * index.size
+
+
+@pytest.mark.parametrize("which", ["sample", "sample_first"])
+def test_run_samples_decide(which):
+    around = passage_rows()
+    good = rindex_dedup.RunIndex(around, np.arange(30))
+    least, lengths = good.stream(around)
+    assert (lengths >= 50).any()
+    setattr(good, which, np.roll(getattr(good, which), 1))
+    broken, other = good.stream(around)
+    assert not np.array_equal(other, lengths) and not np.array_equal(broken, least)
+
+
+def local_removal(texts, monkeypatch):
+    """The operator's steps over several blocks, in this process: (removed bytes by document, rows asked for)."""
+    monkeypatch.setattr(rindex_dedup, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    monkeypatch.setattr(rindex_dedup, "BLOCK_BYTES", 1500)
+    batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in texts], pa.int64()), pa.array([t for _, t in texts], pa.string())], names=["doc_id", "text"])
+    blocks = [rindex_dedup.Block(row) for b in rindex_dedup.block_rows(iter([batch])) for row in b.to_pylist()]
+
+    def ask(question, answer):
+        replies = [r for out in answer(iter([q for b in blocks for q in question(b)])) for r in out.to_pylist()]
+        return [[r for r in replies if r["block"] == b.block] for b in blocks]
+
+    for b, replies in zip(blocks, ask(lambda b: b.ask_keys(1), rindex_dedup.answer_keys), strict=True):
+        b.keep_repeated(replies, 1)
+        b.surroundings()
+    found = ask(lambda b: b.ask_surroundings(1), rindex_dedup.answer_surroundings)
+    out = [r for b, replies in zip(blocks, found, strict=True) for r in rindex_dedup.finish(b, b.marks(replies, 1), True).to_pylist()]
+    assert len(blocks) > 2
+    return out, sum(len(b.around) for b in blocks)
+
+
+def test_hot_anchors_are_split(monkeypatch):
+    """With every anchor split into its windows the same bytes go; with a hot one split no window holds many rows of it."""
+    rng = np.random.default_rng(6)
+    some = lambda n, kinds=26: "".join(map(chr, rng.integers(97, 97 + kinds, n)))
+    line = some(90)
+    texts = [(i, some(30, 3) + line[: 60 + i % 30] + some(30, 3) + ("é" * 40 if i % 5 == 0 else "")) for i in range(60)]
+    texts += [(100, line), (101, line[:50]), (102, line[:49]), (None, line), (103, ""), (104, None)]
+    plain, _ = local_removal(texts, monkeypatch)
+    monkeypatch.setattr(rindex_dedup, "HOT", 0)
+    split, n = local_removal(texts, monkeypatch)
+    assert split == plain and sum(r["n_removed"] > 0 for r in plain) > 50 and n > 0
+
+
+def kinds_of(data):
+    """The transforms of a file, and whether its main image has copies."""
+    bits = webp.Bits(data[20:])
+    bits.at, found = 40, []
+    while bits.read(1):
+        kind = bits.read(2)
+        found.append(kind)
+        if kind == webp.PREDICTOR:
+            bits.read(3)
+            webp.read_pixels(bits, 1, 1, False)
+        else:
+            webp.read_pixels(bits, bits.read(8) + 1, 1, False)
+    bits.read(2)
+    return found, webp.read_code(bits, 256 + webp.N_LENGTHS).top >= 256
+
+
+def test_the_encoder_takes_what_shrinks_a_file(monkeypatch):
+    rng = random.Random(4)
+    prose = " ".join("".join(rng.choices("etaoinshrdlu", k=rng.randrange(2, 9))) for _ in range(300)).encode()
+    line = " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(9)).encode() + b"\n"
+    cases = {
+        "plain": (prose, ([], False)),
+        "palette": (bytes(rng.choices(b"01", k=5000)), ([webp.PALETTE], False)),
+        "ramp": (bytes((i + i // 64) % 251 for i in range(6400)), ([webp.PREDICTOR], False)),
+        "copies": (line * 80 + prose[:100] + line * 3, ([], True)),
+    }
+    for name, (raw, want) in cases.items():
+        payload = webp.padded(raw)
+        stored = webp.encode_samples(payload)
+        assert kinds_of(stored) == want, name
+        assert webp.decode_samples(stored) == payload
+        assert len(stored) <= len(webp.riff(64, len(payload) // 64, webp.plain_body(np.frombuffer(payload, np.uint8))))
+    assert len(webp.encode_samples(webp.padded(line * 80))) < 400
+    for _ in range(150):
+        raw = b"".join(rng.choice([b"a", b"bc", line[:20], bytes(rng.choices(range(256), k=5)), b"\0" * 70, line]) * rng.randrange(30) for _ in range(rng.randrange(12)))
+        payload = webp.padded(raw)
+        assert webp.decode_samples(webp.encode_samples(payload)) == payload
+    monkeypatch.setattr(webp, "MOST", 640)
+    payload = webp.padded(prose)
+    stored = webp.encode_samples(payload)
+    assert stored.count(b"RIFF") == -(-len(payload) // 640) and webp.decode_samples(stored) == payload
+
+
+def test_a_file_of_another_encoder():
+    """A fixed file, published as a probe of lossless support: one transparent or opaque black pixel."""
+    width, height, pixels = webp.decode(base64.b64decode("UklGRhoAAABXRUJQVlA4TA0AAAAvAAAAEAcQERGIiP4HAA=="))
+    assert (width, height, len(pixels)) == (1, 1, 1) and int(pixels[0]) & 0xFFFFFF == 0
+
+
+def test_predictors_by_the_format():
+    """Each mode by channel, from the words of the format, against the module's packed arithmetic."""
+
+    def channel(mode, le, t, tl, tr, s):
+        avg = lambda a, b: (a + b) // 2
+        clamp = lambda x: max(0, min(255, x))
+        half = avg(le, t) - tl
+        return [0, le, t, tr, tl, avg(avg(le, tr), t), avg(le, tl), avg(le, t), avg(tl, t), avg(t, tr), avg(avg(le, tl), avg(t, tr)), le if s else t, clamp(le + t - tl), clamp(avg(le, t) + (half // 2 if half >= 0 else -(-half // 2)))][mode]
+
+    rng = random.Random(1)
+    for _ in range(300):
+        le, t, tl, tr = ([rng.randrange(256) for _ in range(4)] for _ in range(4))
+        p = [t[k] + le[k] - tl[k] for k in range(4)]
+        nearer_left = sum(abs(p[k] - le[k]) for k in range(4)) < sum(abs(p[k] - t[k]) for k in range(4))
+        pack = lambda x: sum(v << 8 * k for k, v in enumerate(x))
+        for mode in range(14):
+            want = pack([channel(mode, le[k], t[k], tl[k], tr[k], nearer_left) for k in range(4)]) if mode else 0xFF000000
+            assert webp.PREDICT[mode](pack(le), pack(t), pack(tl), pack(tr)) == want
+
+
+def test_near_codes_go_outwards():
+    """120 places before a pixel: all at once, nearer ones first, and the last eight columns of seven rows are complete."""
+    assert len(set(webp.NEAR)) == 120 and all(y > 0 or x > 0 for x, y in webp.NEAR)
+    squares = [x * x + y * y for x, y in webp.NEAR]
+    assert squares == sorted(squares)
+    assert set(webp.NEAR) == {(x, y) for y in range(8) for x in range(-7, 9) if y > 0 or x > 0} 
+
+
+def test_media_columns_of_the_contract(spark):
+    texts = [(1, "abc"), (2, None), (3, ""), (4, "é" * 500), (5, "abc"), (None, "line\n" * 900), (7, "01" * 700)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    stored = webp.write_media(df)
+    files = {(r["doc_id"], r["n_bytes"]): bytes(r["media"]) for r in stored.collect()}
+    for r in webp.media_report(stored).collect():
+        text = dict(texts)[r["doc_id"]]
+        payload = webp.padded((text or "").encode())
+        held = files[r["doc_id"], r["n_bytes"]]
+        assert r["n_bytes"] == len((text or "").encode()) and r["payload_bytes"] == len(payload) and len(payload) % 64 == 0
+        assert r["payload_sha256"] == hashlib.sha256(payload).hexdigest() and r["tail_crc32"] == zlib.crc32(payload[-64:])
+        assert r["media_bytes"] == len(held) and r["media_sha256"] == hashlib.sha256(held).hexdigest()
+        x = np.frombuffer(payload, np.uint8)
+        shares = ",".join(str(int(((x >= 64 * k) & (x < 64 * k + 64)).sum())) for k in range(4))
+        assert r["feature"] == f"{len(payload) // 64}:{x.mean():.4f}:{x.std():.4f}:{shares}"
