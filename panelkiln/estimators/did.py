@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelkiln.estimators.linear import Fit, chi2_sf, clustered, demeaned, moments, normal_p, solve, wald
@@ -40,12 +42,11 @@ def twfe(df: DataFrame, y: str, xs: Sequence[str], unit: str, time: str, errors:
 
 
 def twfe_balanced(df: DataFrame, y: str, x: str, unit: str, time: str) -> DataFrame:
-    """The coefficient on a balanced panel without covariates: both demeaned twice; plain aggregates."""
-    mean = lambda c, *by: F.avg(c).over(Window.partitionBy(*by))
-    both = df.withColumns({f"_{c}": F.col(c) - mean(c, unit) - mean(c, time) for c in (x, y)})
+    """The coefficient on a balanced panel without covariates: both demeaned twice; plain aggregates joined back."""
+    means = lambda by, s: df.groupBy(by).agg(F.avg(x).alias(f"_x{s}"), F.avg(y).alias(f"_y{s}"))
     total = df.agg(F.avg(x).alias("_mx"), F.avg(y).alias("_my"))
-    joined = both.crossJoin(F.broadcast(total))  # one row
-    a, b = F.col(f"_{x}") + F.col("_mx"), F.col(f"_{y}") + F.col("_my")
+    joined = df.join(means(unit, "u"), unit).join(means(time, "t"), time).crossJoin(F.broadcast(total))  # one row
+    a, b = (F.col(c) - F.col(f"_{s}u") - F.col(f"_{s}t") + F.col(f"_m{s}") for c, s in ((x, "x"), (y, "y")))
     return joined.agg((F.sum(a * b) / F.sum(a * a)).alias("estimate"), F.count("*").alias("n"))
 
 
@@ -59,80 +60,160 @@ def event_study(df: DataFrame, y: str, unit: str, time: str, rel: str, k: int =
     return twfe(df.withColumns(terms), y, [*terms, *covariates], unit, time)
 
 
-def impute(df: DataFrame, y: str, unit: str, time: str, treated: Column, covariates: Sequence[str] = ()) -> tuple[DataFrame, np.ndarray]:
+def _place(times: Sequence, time: str) -> Column:
+    """The place of a row's period in the list of periods, from 0; NULL for others."""
+    at = F.array_position(F.array(*[F.lit(t) for t in times]), F.col(time)) if times else F.lit(0)
+    return F.when(at > 0, (at - 1).cast("int"))
+
+
+def _numbers(values: Sequence[float], at: Column) -> Column:
+    """One of a list of numbers, by place."""
+    return F.element_at(F.array(*[F.lit(float(v)) for v in values]), at + 1) if len(values) else F.lit(None).cast("double")
+
+
+def _period_moments(clean: DataFrame, unit: str, y: str, covariates: Sequence[str], periods: int) -> np.ndarray:
+    """Products of the within-unit columns (a dummy per period, covariates, y). Units are rows of lists, at most a
+    calendar long; each adds its own few periods to a partition's sums, which leave it as a row per entry."""
+    k = periods + len(covariates) + 1
+    schema = pa.schema([("at", pa.int32()), ("v", pa.float64())])
+    values = F.collect_list(F.struct("_i", *[F.col(c).alias(f"_v{j}") for j, c in enumerate([*covariates, y])])).alias("held")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((k, k))
+        for batch in batches:
+            held = batch.column(0)
+            ends, flat = held.offsets.to_numpy(), held.values
+            at = flat.field("_i").to_numpy()
+            v = np.stack([flat.field(f"_v{j}").to_numpy(zero_copy_only=False) for j in range(len(covariates) + 1)], 1)
+            for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                here = at[a:b]
+                inside = v[a:b] - v[a:b].mean(0)
+                n = np.bincount(here, minlength=periods)
+                some = np.flatnonzero(n)
+                total[some, some] += n[some]
+                total[np.ix_(some, some)] -= np.outer(n[some], n[some]) / (b - a)
+                for j in range(v.shape[1]):
+                    column = np.bincount(here, inside[:, j], periods)
+                    total[:periods, periods + j] += column
+                    total[periods + j, :periods] += column
+                total[periods:, periods:] += inside.T @ inside
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(k * k), pa.int32()), pa.array(total.ravel())], schema=schema)
+
+    parts = clean.groupBy(unit).agg(values).select("held").mapInArrow(run, "at int, v double")
+    out = np.zeros(k * k)
+    for at, v in parts.groupBy("at").agg(F.sum("v")).collect():
+        out[at] = v
+    return out.reshape(k, k)
+
+
+@dataclass
+class Imputed:
+    """rows: with ``effect`` of treated and ``residual`` of untreated rows, their period's place ``_i`` and whether they
+    are treated ``_on``; what the untreated rows were fitted with, the first period left out."""
+
+    rows: DataFrame
+    covariates: np.ndarray
+    times: list
+    inverse: np.ndarray
+
+
+def impute(df: DataFrame, y: str, unit: str, time: str, treated: Column, covariates: Sequence[str] = ()) -> Imputed:
     """Effects of treated rows: y less what unit and time effects, fitted on untreated rows, predict.
 
-    Returns the rows with ``effect`` (NULL where the unit or the period has no untreated row) and ``residual``
-    of untreated rows, and the coefficients of covariates. Unit effects are demeaned away among untreated rows;
-    what is left has a column per period and covariate, so one aggregate and one solve are exact.
+    ``effect`` is NULL where the unit or the period has no untreated row. Unit effects are demeaned away among
+    untreated rows; what is left has a column per period and covariate, so one pass over units and one solve are exact.
     """
     base = df.dropna(subset=[y, unit, time, *covariates]).withColumn("_on", F.coalesce(treated, F.lit(False)))
     base = base.withColumns({c: F.col(c).cast("double") for c in (y, *covariates)})
+    times = _periods(base.where(~F.col("_on")), time)
+    base = base.withColumn("_i", _place(times, time))
     clean = base.where(~F.col("_on"))
-    times = _periods(clean, time)
-    dummies = {f"_d{i}": (F.col(time) == t).cast("double") for i, t in enumerate(times[1:])}
-    names = [*covariates, *dummies]
-    within = demeaned(clean.withColumns(dummies), unit, [y, *names])
-    m, _ = moments(within, [*names, y]) if names else (np.zeros((1, 1)), 0)
-    beta = solve(m[:-1, :-1], m[:-1, -1])
-    fitted = sum((F.col(c) * float(b) for c, b in zip(names, beta, strict=True)), F.lit(0.0))
-    all_rows = base.withColumns(dummies).withColumn("_rest", F.col(y) - fitted)
-    level = all_rows.where(~F.col("_on")).groupBy(unit).agg(F.avg("_rest").alias("_level"))
-    known = F.col(time).isin(times) if times else F.lit(False)
-    out = all_rows.join(level, unit, "left").withColumn("_gap", F.when(known, F.col("_rest") - F.col("_level")))
+    n = len(times)
+    m = _period_moments(clean, unit, y, covariates, n) if n else np.zeros((1, 1))
+    keep = list(range(1, n + len(covariates)))
+    xx, xy = m[np.ix_(keep, keep)], m[keep, -1]
+    beta = np.concatenate([[0.0], solve(xx, xy)]) if n else np.zeros(0)
+    inverse = np.zeros((n + len(covariates),) * 2)
+    inverse[np.ix_(keep, keep)] = np.linalg.pinv(xx, hermitian=True) if keep else xx
+    fitted = sum((F.col(c) * float(b) for c, b in zip(covariates, beta[n:], strict=True)), _numbers(beta[:n], F.col("_i")))
+    rest = base.withColumn("_rest", F.col(y) - fitted)
+    level = rest.where(~F.col("_on")).groupBy(unit).agg(F.avg("_rest").alias("_level"))
+    out = rest.join(level, unit, "left").withColumn("_gap", F.col("_rest") - F.col("_level"))
     out = out.withColumns({"effect": F.when(F.col("_on"), F.col("_gap")), "residual": F.when(~F.col("_on"), F.col("_gap"))})
-    return out.drop("_rest", "_level", "_gap", *dummies), beta[: len(covariates)]
+    return Imputed(out.drop("_rest", "_level", "_gap"), beta[n:], times, inverse)
 
 
 def imputation_static(df: DataFrame, y: str, unit: str, time: str, treated: Column, cohort: str, covariates: Sequence[str] = ()) -> DataFrame:
     """(term, estimate, std_error, conf_low, conf_high, n, dropped): the mean effect over treated rows."""
-    rows, _ = impute(df, y, unit, time, treated, covariates)
-    rows = rows.withColumn("_h", F.lit(0))
-    return _weighted(rows, unit, time, cohort, {"treat": F.col("effect").isNotNull()}, covariates, y)
+    return _weighted(df, y, unit, time, treated, cohort, {"treat": F.col("effect").isNotNull()}, covariates)
 
 
 def imputation_dynamic(df: DataFrame, y: str, unit: str, time: str, treated: Column, cohort: str, rel: str, horizons: Sequence[int] = range(7), covariates: Sequence[str] = ()) -> DataFrame:
     """The mean effect by time since treatment."""
-    rows, _ = impute(df, y, unit, time, treated, covariates)
-    return _weighted(rows, unit, time, cohort, {f"tau{h}": F.col("effect").isNotNull() & (F.col(rel) == h) for h in horizons}, covariates, y)
+    return _weighted(df, y, unit, time, treated, cohort, {f"tau{h}": F.col("effect").isNotNull() & (F.col(rel) == h) for h in horizons}, covariates)
+
+
+def event_time_table(df: DataFrame, y: str, unit: str, time: str, treated: Column, cohort: str, rel: str, k: int = 6, covariates: Sequence[str] = ()) -> DataFrame:
+    """One table of terms -k to k (-1 left out): leads from the pretrend regression on untreated rows, horizons from imputation."""
+    kept = df.persist()
+    try:
+        after = imputation_dynamic(kept, y, unit, time, treated, cohort, rel, range(k + 1), covariates)
+        fit, _ = pretrends(kept, y, unit, time, treated, rel, range(-k, -1), covariates)
+    finally:
+        kept.unpersist()
+    before = [(f"pre{h}", b, s, b - 1.96 * s, b + 1.96 * s, p, None, None) for h, (_, b, s, p) in zip(range(-k, -1), fit.rows(), strict=True)]
+    leads = df.sparkSession.createDataFrame(before, after.schema)
+    return leads.unionByName(after).withColumn("time", F.regexp_extract("term", r"-?[0-9]+$", 0).cast("int"))
 
 
-def _weighted(rows: DataFrame, unit: str, time: str, cohort: str, targets: dict[str, Column], covariates: Sequence[str], y: str) -> DataFrame:
+def _weighted(df: DataFrame, y: str, unit: str, time: str, treated: Column, cohort: str, targets: dict[str, Column], covariates: Sequence[str]) -> DataFrame:
     """Means of effects with errors clustered by unit.
 
     An estimate is a weighted sum of outcomes: 1/N on treated rows of the target, and on untreated rows the weights
     that the fitted effects pass on. These solve the normal equations with the targets' rows on the right: with
-    g the mean of the targets' within-unit regressors, an untreated row has -(share of its unit + its demeaned
-    regressors times X'X^-1 g). Treated residuals are taken from their cohort-and-period mean effect.
+    g the sum of the targets' within-unit regressors and v = X'X^-1 g, an untreated row has -(share of its unit + v by
+    its demeaned regressors). Residuals of a unit's untreated rows sum to zero, so of that weight only the row's own
+    period and covariates count in the unit's score. Treated residuals are taken from their cohort-and-period mean.
+
+    Nothing has a column per period: sums by unit and by period are grouped, and v is looked up by the row's period.
     """
-    spark = rows.sparkSession
-    clean = rows.where(~F.col("_on"))
-    times = _periods(clean, time)
-    names = [*covariates, *[f"_d{i}" for i in range(len(times) - 1)]]
-    full = rows.withColumns({f"_d{i}": (F.col(time) == t).cast("double") for i, t in enumerate(times[1:])})
-    means = full.where(~F.col("_on")).groupBy(unit).agg(F.count("*").alias("_n0"), *[F.avg(c).alias(f"_m_{c}") for c in names])
-    full = full.join(means, unit, "left").withColumns({c: F.col(c) - F.col(f"_m_{c}") for c in names})
-    xx, _ = moments(full.where(~F.col("_on")), names) if names else (np.zeros((0, 0)), 0)
-    inverse = np.linalg.pinv(xx, hermitian=True) if names else xx
-    picks = [x for k, (n, c) in enumerate(targets.items()) for x in (F.count_if(c).alias(f"n{k}"), F.avg(F.when(c, F.col("effect"))).alias(f"e{k}"), *[F.sum(F.when(c, F.col(v))).alias(f"g{k}_{j}") for j, v in enumerate(names)])]
-    row = full.agg(*picks, F.count_if(F.col("_on") & F.col("effect").isNull()).alias("dropped")).first()
-    by_cohort = F.avg("effect").over(Window.partitionBy(cohort, time, "_on"))
-    full = full.withColumn("_eps", F.when(F.col("_on"), F.col("effect") - by_cohort).otherwise(F.col("residual")))
-    scores = []
-    for k, c in enumerate(targets.values()):
-        n = row[f"n{k}"] or 0
-        g = np.array([float(row[f"g{k}_{j}"] or 0) for j in range(len(names))])
-        full = full.withColumn(f"_t{k}", F.sum(F.when(c, 1).otherwise(0)).over(Window.partitionBy(unit)))
-        lean = sum((F.col(v) * float(b) for v, b in zip(names, inverse @ g, strict=True)), F.lit(0.0)) if names else F.lit(0.0)
-        weight = F.when(c, F.lit(1.0)).when(~F.col("_on"), -(F.col(f"_t{k}") / F.col("_n0") + lean)).otherwise(0.0) / max(1, n)
-        scores.append(F.sum(weight * F.coalesce("_eps", F.lit(0.0))).alias(f"s{k}"))
-    by_unit = full.groupBy(unit).agg(*scores)
-    squares = by_unit.agg(*[F.sum(F.col(f"s{k}") ** 2).alias(f"v{k}") for k in range(len(targets))]).first()
-    out = []
+    spark = df.sparkSession
+    kept = df.persist()
+    try:
+        fit = impute(kept, y, unit, time, treated, covariates)
+        rows, n_times = fit.rows, len(fit.times)
+        clean, ks = ~F.col("_on"), range(len(targets))
+        hit = [F.coalesce(c, F.lit(False)) for c in targets.values()]
+        counts = rows.groupBy(unit).agg(F.count_if(clean).alias("_n0"), *[F.count_if(c).alias(f"_t{k}") for k, c in enumerate(hit)], *[F.avg(F.when(clean, F.col(c))).alias(f"_m{j}") for j, c in enumerate(covariates)])
+        full = rows.join(counts, unit, "left")
+        picks = [x for k, c in enumerate(hit) for x in (F.count_if(c).alias(f"n{k}"), F.sum(F.when(c, F.col("effect"))).alias(f"e{k}"), F.sum(F.when(clean, F.col(f"_t{k}") / F.col("_n0"))).alias(f"s{k}"), *[F.sum(F.when(c, F.col(v) - F.col(f"_m{j}"))).alias(f"c{k}_{j}") for j, v in enumerate(covariates)])]
+        by_time = full.groupBy("_i").agg(*picks, F.count_if(F.col("_on") & F.col("effect").isNull()).alias("dropped")).collect()
+        add = lambda name: float(sum(r[name] or 0 for r in by_time))
+        n, vs = [int(add(f"n{k}")) for k in ks], []
+        for k in ks:
+            g = np.zeros(n_times + len(covariates))
+            for r in by_time:
+                if r["_i"] is not None:
+                    g[r["_i"]] = (r[f"n{k}"] or 0) - (r[f"s{k}"] or 0)
+            g[n_times:] = [add(f"c{k}_{j}") for j in range(len(covariates))]
+            vs.append(fit.inverse @ g)
+        # A row per cohort and period.
+        cells = rows.where("_on").groupBy(F.col(cohort).alias("_g"), F.col("_i").alias("_p")).agg(F.avg("effect").alias("_cell"))
+        near = full.join(cells, F.col("_g").eqNullSafe(F.col(cohort)) & (F.col("_p") == F.col("_i")), "left")
+        scores = []
+        for k, c in enumerate(hit):
+            lean = sum((F.col(x) * float(b) for x, b in zip(covariates, vs[k][n_times:], strict=True)), _numbers(vs[k][:n_times], F.col("_i")))
+            part = F.when(c, F.col("effect") - F.col("_cell")).when(clean, -lean * F.col("residual")).otherwise(0.0)
+            scores.append(F.sum(F.coalesce(part, F.lit(0.0)) / max(1, n[k])).alias(f"s{k}"))
+        by_unit = near.groupBy(unit).agg(*scores)
+        squares = by_unit.agg(*[F.sum(F.col(f"s{k}") ** 2).alias(f"v{k}") for k in ks]).first()
+    finally:
+        kept.unpersist()
+    out, dropped = [], int(add("dropped"))
     for k, name in enumerate(targets):
-        e, n = row[f"e{k}"], int(row[f"n{k}"] or 0)
-        s = float(squares[f"v{k}"] or 0) ** 0.5 if n else None
-        out.append((name, e, s, e - 1.96 * s if n else None, e + 1.96 * s if n else None, normal_p(e / s) if n and s else None, n, int(row["dropped"] or 0)))
+        e = add(f"e{k}") / n[k] if n[k] else None
+        s = float(squares[f"v{k}"] or 0) ** 0.5 if n[k] else None
+        out.append((name, e, s, e - 1.96 * s if n[k] else None, e + 1.96 * s if n[k] else None, normal_p(e / s) if n[k] and s else None, n[k], dropped))
     return spark.createDataFrame(out, "term string, estimate double, std_error double, conf_low double, conf_high double, p_value double, n long, dropped long")
 
 
@@ -152,17 +233,25 @@ def pretrend_tests(fit: Fit) -> dict[str, tuple[float, int, float]]:
     return {"full": wald(fit.beta, fit.cov), "diagonal": (diagonal, len(z), chi2_sf(diagonal, len(z)) if len(z) else float("nan"))}
 
 
-def group_time(df: DataFrame, y: str, unit: str, time: str, cohort: str, anticipation: int = 1, against: str = "notyet") -> DataFrame:
-    """ATT(g, t) from mean long differences since g - 1 - anticipation, treated less controls.
+def group_time(df: DataFrame, y: str, unit: str, time: str, cohort: str, anticipation: int = 1, against: str = "notyet", base: str = "varying") -> DataFrame:
+    """ATT(g, t) from mean long differences, treated less controls.
 
     time and cohort are integers (month ids), cohort NULL for the never treated. Controls: not treated by t plus
-    anticipation, or never. Differences of each unit are joined on the base period, never over pairs of units.
+    anticipation, or never. Differences start from g - 1 - anticipation; with a varying base (the default of the
+    usual packages) those before treatment start from the period before, with a universal one all from the same.
+    Differences of each unit are joined on the base period, never over pairs of units. Errors are those of means of
+    independent units: a unit has one difference a cell.
     """
-    base = df.select(F.col(unit).alias("u"), F.col(time).alias("t"), F.col(cohort).alias("g"), F.col(y).cast("double").alias("y")).dropna(subset=["u", "t", "y"])
-    cohorts = base.where("g IS NOT NULL").select(F.col("g").alias("cohort")).distinct().withColumn("b", F.col("cohort") - 1 - anticipation)
-    start = base.select("u", F.col("t").alias("b"), F.col("y").alias("y0"))
-    # Cohorts are as many as the calendar has periods; each row meets each base its unit has.
-    diffs = base.join(start.join(F.broadcast(cohorts), "b"), "u").withColumn("d", F.col("y") - F.col("y0")).where("t != b")
+    rows = df.select(F.col(unit).alias("u"), F.col(time).alias("t"), F.col(cohort).alias("g"), F.col(y).cast("double").alias("y")).dropna(subset=["u", "t", "y"])
+    # Cohorts are as many as the calendar has periods.
+    cohorts = [r[0] for r in rows.where("g IS NOT NULL").select("g").distinct().orderBy("g").collect()]
+    if not cohorts:
+        cohorts = [None]
+    start = rows.select("u", F.col("t").alias("b"), F.col("y").alias("y0"))
+    fixed = F.col("cohort") - 1 - anticipation
+    b = fixed if base == "universal" else F.when(F.col("t") >= F.col("cohort") - anticipation, fixed).otherwise(F.col("t") - 1)
+    met = rows.withColumn("cohort", F.explode(F.array(*[F.lit(c).cast("int") for c in cohorts]))).withColumn("b", b.cast("int"))
+    diffs = met.join(start, ["u", "b"]).withColumn("d", F.col("y") - F.col("y0")).where("t != b")
     later = F.col("g").isNull() | (F.col("g") > F.greatest(F.col("t"), F.col("b")) + anticipation) if against == "notyet" else F.col("g").isNull()
     mine = F.col("g").eqNullSafe(F.col("cohort"))
     side = F.when(mine, 1).when(later, 0)

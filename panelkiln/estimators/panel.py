@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelkiln.estimators.linear import Fit, chi2_sf, demeaned, moments, normal_p, ols, solve
+from panelkiln.operators.reshape import sum_below
 
 
 def its(df: DataFrame, y: str, terms: Sequence[str] = ("seq", "post", "after"), covariates: Sequence[str] = (), unit: str | None = None) -> Fit:
@@ -32,18 +34,16 @@ def its_specs(df: DataFrame, y: str, covariates: Sequence[str], unit: str) -> di
 
 
 def average_ranks(df: DataFrame, value: str, name: str = "rank") -> DataFrame:
-    """Ranks with ties averaged. Equal values are counted first; the running sum is over distinct values."""
-    by = df.groupBy(value).agg(F.count("*").alias("_n"))
-    below = F.sum("_n").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_n")
-    return df.join(by.select(value, (below + (F.col("_n") + 1) / 2).alias(name), F.col("_n").alias(f"{name}_ties")), value)
+    """Ranks with ties averaged. Equal values are counted first; the running sum is over distinct values, in ranges of them."""
+    by = sum_below(df.groupBy(value).agg(F.count("*").alias("_n")), value, "_n", "_below")
+    return df.join(by.select(value, (F.col("_below") + (F.col("_n") + 1) / 2).alias(name), F.col("_n").alias(f"{name}_ties")), value)
 
 
 def rank_sum(df: DataFrame, value: str, group: str) -> DataFrame:
     """Wilcoxon's rank sum of group 1, U, and z with ties and continuity corrected."""
     base = df.where(F.col(value).isNotNull())
     by = base.groupBy(value).agg(F.count("*").alias("_n"), F.sum(F.col(group)).alias("_one"))
-    below = F.sum("_n").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_n")
-    ranked = by.withColumn("_r", below + (F.col("_n") + 1) / 2)
+    ranked = sum_below(by, value, "_n", "_below").withColumn("_r", F.col("_below") + (F.col("_n") + 1) / 2)
     one = ranked.agg(F.sum("_n").alias("n"), F.sum("_one").alias("n1"), F.sum(F.col("_r") * F.col("_one")).alias("w"), F.sum(F.col("_n").cast("double") ** 3 - F.col("_n")).alias("_ties"))
     n, n1 = F.col("n"), F.col("n1")
     n0 = n - n1
@@ -65,42 +65,50 @@ class Gmm:
     n: int
 
 
-def difference_gmm(df: DataFrame, y: str, xs: Sequence[str], unit: str, time: str, lags: tuple[int, int] = (2, 3), effects: str = "twoways") -> Gmm:
-    """Two-step difference GMM of y on its lag and xs, robust errors, overidentification and serial correlation tests.
+def difference_gmm(df: DataFrame, y: str, xs: Sequence[str], unit: str, time: str, lags: tuple[int, int] = (2, 3), effects: str = "twoways", endogenous: Sequence[str] = (), collapse: bool = False) -> Gmm:
+    """Two-step difference GMM of y on its lag, the endogenous and xs, robust errors, overidentification and serial correlation tests.
 
-    Instruments of a unit are collapsed blocks: levels of y at the stated lags by period, own differences of xs,
-    and period dummies. time is an integer. Each unit's block is some periods by some instruments, built in
-    an Arrow group function; only sums of Z'X, Z'y, Z'HZ and Z'ee'Z over units are gathered.
+    Instruments of a unit: levels of y and of the endogenous at the stated lags - a column per period and lag, or one
+    per lag if collapsed -, own differences of xs, and period dummies. time is an integer. Rows are dealt and sorted by
+    unit and streamed, so a task holds one unit's rows beside its sums; of Z'X, Z'y, Z'HZ and Z'ee'Z each entry is
+    summed where it meets the others of its kind.
     """
-    base = df.select(F.col(unit).alias("u"), F.col(time).cast("long").alias("t"), *[F.col(c).cast("double").alias(c) for c in (y, *xs)]).dropna()
+    wanted = [y, *endogenous, *xs]
+    base = df.select(F.col(unit).alias("u"), F.col(time).cast("long").alias("t"), *[F.col(c).cast("double").alias(c) for c in wanted]).dropna()
     span = base.agg(F.min("t").alias("a"), F.max("t").alias("b")).first()
     first, last = int(span["a"] or 0), int(span["b"] or 0)
     periods = list(range(first + 2, last + 1))
-    names = [f"lag_{y}", *xs]
+    names = [f"lag_{y}", *endogenous, *xs]
     dummies = periods[1:] if effects == "twoways" else []
-    gmm_cols = [(t, k) for t in periods for k in range(lags[0], lags[1] + 1) if t - k >= first]
+    lagged = [y, *endogenous]
+    gmm_cols = [(c, t, k) for c in lagged for t in ([None] if collapse else periods) for k in range(lags[0], lags[1] + 1) if t is None or t - k >= first]
     n_z, n_x = len(gmm_cols) + len(xs) + len(dummies) + (effects == "twoways"), len(names) + len(dummies) + (effects == "twoways")
     all_names = [*names, *(["trend"] if effects == "twoways" else []), *[f"t{t}" for t in dummies]]
+    where = {key: i for i, key in enumerate(gmm_cols)}
+    place = {t: i for i, t in enumerate(dummies)}
 
     def blocks(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Z, X, y and the periods of a unit's usable differenced rows."""
         at = {int(t): i for i, t in enumerate(pdf["t"])}
-        ys, vs = pdf[y].to_numpy(), pdf[list(xs)].to_numpy() if xs else np.zeros((len(pdf), 0))
+        ys, vs = pdf[y].to_numpy(), pdf[[*endogenous, *xs]].to_numpy() if len(names) > 1 else np.zeros((len(pdf), 0))
+        levels = {c: pdf[c].to_numpy() for c in lagged}
         zs, rows, out, when = [], [], [], []
         for t in periods:
             if not all(t - k in at for k in range(3)):
                 continue
             z = np.zeros(n_z)
-            for c, (s, k) in enumerate(gmm_cols):
-                if s == t and t - k in at:
-                    z[c] = ys[at[t - k]]
+            for c in lagged:
+                for k in range(lags[0], lags[1] + 1):
+                    i = where.get((c, None if collapse else t, k))
+                    if i is not None and t - k in at:
+                        z[i] = levels[c][at[t - k]]
             dx = vs[at[t]] - vs[at[t - 1]]
-            z[len(gmm_cols) : len(gmm_cols) + len(xs)] = dx
+            z[len(gmm_cols) : len(gmm_cols) + len(xs)] = dx[len(endogenous) :]
             extra = np.zeros(n_x - len(names))
             if effects == "twoways":
                 extra[0] = 1.0
-                if t in dummies:
-                    extra[1 + dummies.index(t)] = 1.0
+                if t in place:
+                    extra[1 + place[t]] = 1.0
                 z[len(gmm_cols) + len(xs) :] = extra
             zs.append(z)
             rows.append(np.concatenate([[ys[at[t - 1]] - ys[at[t - 2]]], dx, extra]))
@@ -108,18 +116,30 @@ def difference_gmm(df: DataFrame, y: str, xs: Sequence[str], unit: str, time: st
             when.append(t)
         return np.array(zs).reshape(-1, n_z), np.array(rows).reshape(-1, n_x), np.array(out), np.array(when)
 
-    def summed(make, size: int) -> np.ndarray:
-        """The sum over units of a vector made from a unit's rows; partial sums by salted groups, then one."""
-
-        def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            total = np.zeros(size)
-            for _, one in pdf.groupby("u"):
-                total += make(one.sort_values("t"))
-            return pd.DataFrame({"v": [total.tolist()]})
+    ordered = base.repartition("u").sortWithinPartitions("u", "t")
+    entry = pa.schema([("at", pa.int32()), ("v", pa.float64())])
 
-        salted = base.withColumn("_s", F.pmod(F.xxhash64("u"), F.lit(256)))
-        parts = salted.groupBy("_s").applyInPandas(lambda pdf: run(pdf.drop(columns="_s")), "v array<double>")
-        return np.sum([np.array(r["v"]) for r in parts.collect()], 0) if size else np.zeros(0)
+    def summed(make, size: int) -> np.ndarray:
+        """The sum over units of a vector made from a unit's rows."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total, held = np.zeros(size), None
+            for batch in batches:
+                got = batch.to_pandas()
+                held = got if held is None else pd.concat([held, got], ignore_index=True)
+                # The last unit of a batch may go on in the next.
+                edges = np.flatnonzero((held["u"] != held["u"].shift()).to_numpy())
+                for a, b in zip(edges[:-1], edges[1:], strict=True):
+                    total += make(held.iloc[a:b])
+                held = held.iloc[edges[-1] :] if len(edges) else None
+            if held is not None and len(held):
+                total += make(held)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(size), pa.int32()), pa.array(total)], schema=entry)
+
+        out = np.zeros(size)
+        for at, v in ordered.mapInArrow(run, "at int, v double").groupBy("at").agg(F.sum("v")).collect():
+            out[at] = v
+        return out
 
     def step_one(pdf: pd.DataFrame) -> np.ndarray:
         z, x, d, when = blocks(pdf)
@@ -168,3 +188,20 @@ def difference_gmm(df: DataFrame, y: str, xs: Sequence[str], unit: str, time: st
 
     k = len(names)
     return Gmm(all_names[:k], b2[:k], np.sqrt(np.maximum(np.diag(a2), 0))[:k], (stat, over, chi2_sf(stat, over) if over > 0 else float("nan")), serial(1), serial(2), units, n)
+
+
+def gmm_models(velocity: Sequence[str] = ("lines_added", "commits"), debt: Sequence[str] = ("cognitive_complexity", "static_analysis_warnings")) -> dict[str, dict]:
+    """Each velocity on each debt of the month before, and each debt on each velocity of the month, which is instrumented by its lags."""
+    late = {f"{v} on {q}": {"y": v, "endogenous": (), "late": (q,), "lags": (2, 2), "collapse": False} for v in velocity for q in debt}
+    return late | {f"{q} on {v}": {"y": q, "endogenous": (v,), "late": (), "lags": (2, 3), "collapse": True} for q in debt for v in velocity}
+
+
+def fit_models(df: DataFrame, models: dict[str, dict], unit: str, time: str, exogenous: Sequence[str] = ("post_event",), effects: str = "twoways") -> dict[str, Gmm]:
+    """A GMM fit per model; regressors that enter late are the unit's value of the period before by the calendar."""
+    out = {}
+    for name, m in models.items():
+        late = {c: f"lag_of_{c}" for c in m["late"]}
+        before = df.select(unit, (F.col(time) + 1).alias(time), *[F.col(c).alias(n) for c, n in late.items()])
+        part = df.join(before, [unit, time]) if late else df
+        out[name] = difference_gmm(part, m["y"], [*late.values(), *exogenous], unit, time, m["lags"], effects, m["endogenous"], m["collapse"])
+    return out

@@ -37,6 +37,23 @@ def normal_month(c: Column) -> Column:
     return F.when(F.substring(found, 6, 2).try_cast("int").between(1, 12), found)
 
 
+def without_zone(ts: Column) -> Column:
+    """The wall clock of the session's zone."""
+    return ts.cast("timestamp_ntz")
+
+
+def within(c: Column, first: str, end: str) -> Column:
+    """first <= c < end, for dates, times and text that sorts by time; false for NULL."""
+    return F.coalesce((c >= F.lit(first)) & (c < F.lit(end)), F.lit(False))
+
+
+def event_in_range(event: Column, after: int, to: int) -> Column:
+    """Whether a month (YYYY-MM or YYYYMM as text) is valid and in (after, to], both YYYYMM."""
+    packed = F.regexp_replace(event.cast("string"), "-", "")
+    n = F.when(packed.rlike(r"^\d{6}$"), packed.try_cast("int"))
+    return F.coalesce((n > after) & (n <= to), F.lit(False))
+
+
 def add_months_yyyymm(m: Column, n: Column | int) -> Column:
     z = F.floor(m / 100) * 12 + m % 100 - 1 + n
     return (F.floor(z / 12) * 100 + F.pmod(z, F.lit(12)) + 1).cast("int")

@@ -148,5 +148,23 @@ def json_keys(c: Column) -> Column:
     return F.map_keys(F.from_json(c, "map<string,string>"))
 
 
+def hash_text(c: Column, seed: int = 0) -> Column:
+    """A seeded hash that any engine has: the MD5 of the seed and the value as text."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(c.cast("string"), F.lit(""))))
+
+
 def hash_bucket(c: Column, n: int, seed: int = 0) -> Column:
-    return F.pmod(F.xxhash64(c, F.lit(seed)), F.lit(n))
+    return F.conv(F.substring(hash_text(c, seed), 1, 8), 16, 10).cast("long") % n
+
+
+def prefix(c: Column, n: int = 7) -> Column:
+    """The first characters of a value as text, NULL for missing ones."""
+    return missing_to_null(F.substring(F.trim(c.cast("string")), 1, n))
+
+
+def bytes_text(c: Column) -> Column:
+    """Bytes in the largest fitting unit up to GB, two digits."""
+    out = F.concat(c.cast("long").cast("string"), F.lit(" bytes"))
+    for k, unit in enumerate(("KB", "MB", "GB"), 1):
+        out = F.when(c >= 1024**k, F.concat(F.format_string("%.2f", c / float(1024**k)), F.lit(f" {unit}"))).otherwise(out)
+    return out

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelkiln.functions.periods import month_diff
-from panelkiln.functions.values import author_keys, ratio_or_zero
+from panelkiln.functions.values import author_keys, clip, ratio_or_zero
 from panelkiln.operators.joins import author_match
 from panelkiln.operators.reshape import ranked_long
 
@@ -25,10 +26,36 @@ def event_windows(panel: DataFrame, unit: str = "repo_name", time: str = "month"
     return out.withColumn("balanced_window", F.least("pre_panel_months", "post_panel_months"))
 
 
-def balanced(windows: DataFrame, before: int = 6, after: int = 6, rank: str = "balanced", unit: str = "repo_name") -> DataFrame:
-    """Eligible units, ranked by window (or by months in the panel), ties by name."""
+#: Sort keys of the rankings, each descending; keys that a table lacks are left out, ties go by name.
+RANKINGS = {
+    "balanced": ("balanced_window", "total_pre_post", "cursor_commit_rows", "cursor_file_rows", "ts_rows_with_latest_commit", "panel_month_count"),
+    "high_contributor": ("share", "cursor_commit_rows", "balanced_window", "total_pre_post", "ts_rows_with_latest_commit"),
+    "longest": ("panel_month_count", "balanced_window"),
+}
+
+
+def eligible(windows: DataFrame, before: int = 6, after: int = 6, least_share: float | None = None, evidence: bool = False) -> DataFrame:
+    """Units with enough months on both sides and an event month; with the total of both sides.
+
+    least_share: of the column ``share``. evidence: commits or files of the tool are required.
+    """
     ok = windows.where((F.col("pre_panel_months") >= before) & (F.col("post_panel_months") >= after) & (F.col("event_months") >= 1))
-    order = {"balanced": [F.desc("balanced_window"), F.desc("panel_month_count")], "longest": [F.desc("panel_month_count"), F.desc("balanced_window")], "earliest": [F.asc("event_month")]}[rank]
+    if evidence:
+        ok = ok.where("cursor_commit_rows > 0 OR cursor_file_rows > 0")
+    if least_share is not None:
+        ok = ok.where(F.col("share") >= least_share)
+    return ok.withColumn("total_pre_post", F.col("pre_panel_months") + F.col("post_panel_months"))
+
+
+def contributor_share(units: DataFrame, commits: str = "cursor_commit_rows", total: str = "repo_commits") -> DataFrame:
+    """Adds ``share``: the tool's commits of all, 1 at most, 0 where there are none or nothing is known."""
+    return units.withColumn("share", clip(ratio_or_zero(F.coalesce(commits, F.lit(0)), F.coalesce(total, F.lit(0))).cast("double"), high=1.0))
+
+
+def balanced(windows: DataFrame, before: int = 6, after: int = 6, rank: str = "balanced", unit: str = "repo_name", least_share: float | None = None, evidence: bool = False) -> DataFrame:
+    """Eligible units, ranked by one of RANKINGS."""
+    ok = eligible(windows, before, after, least_share, evidence)
+    order = [F.desc(c) for c in RANKINGS[rank] if c in ok.columns]
     # One row a unit: a top list over all units is what is asked for.
     return ok.withColumn("rank", F.row_number().over(Window.orderBy(*order, F.asc(unit))))
 
@@ -146,36 +173,48 @@ def config_months(changes: DataFrame) -> DataFrame:
     return changes.groupBy("repo_name").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("months")))).alias("months"))
 
 
-#: Robustness settings: a condition on treated units' rows, by name.
-SETTINGS: dict[str, str] = {
-    "all": "true",
-    "active_1": "mean_commits >= 1",
-    "active_10": "mean_commits >= 10",
-    "until_2025_06": "time <= '2025-06'",
-    "adopters_80": "adopter_pct >= 80",
-    "config_changes": "high_confidence",
-    "other_agents": "other_agents",
-    "no_other_agents": "NOT other_agents",
-    "early_202411": "event <= '2024-11'",
-    "early_202412": "event <= '2024-12'",
-    "late_202502": "event >= '2025-02'",
-    "lang_web": "language_group = 'web'",
-    "lang_python": "language_group = 'python'",
-    "lang_systems": "language_group = 'systems'",
-    "lang_other": "language_group = 'other'",
-}
+@dataclass(frozen=True)
+class Setting:
+    """rows: the condition binds all rows, controls too. Otherwise it picks treated units (those with a row that
+    meets it, with all their rows) and the controls that were matched to them."""
+
+    condition: str
+    rows: bool = False
+
+
+def settings(until: str = "2025-06", before: str = "2024-11", since: str = "2024-12", default: str = "2025-02", busy: int = 10) -> dict[str, Setting]:
+    """The robustness settings by name. The panel has commits, time, event, high_confidence, other_agents,
+    adopter_pct and language_group; months as YYYY-MM."""
+    unit_any = "coalesce(max(coalesce(other_agents, false)) OVER (PARTITION BY repo_name), false)"
+    languages = {name: Setting(f"language_group = '{label}'") for name, label in (("javascript", "JavaScript/TypeScript"), ("python", "Python"), ("go", "Go"), ("rust", "Rust"))}
+    return {
+        "all": Setting("true", True),
+        "adopters_80": Setting("coalesce(adopter_pct, 0) >= 80"),
+        "active": Setting("commits > 0", True),
+        "very_active": Setting(f"commits >= {busy}", True),
+        "truncated": Setting(f"time <= '{until}'", True),
+        "config_changes": Setting("high_confidence IS NULL OR high_confidence", True),
+        "low_confidence": Setting("high_confidence IS NULL OR NOT high_confidence", True),
+        "with_others": Setting(f"{unit_any}"),
+        "only_one": Setting(f"NOT {unit_any}"),
+        "before_release": Setting(f"event <= '{before}'"),
+        "after_release": Setting(f"event >= '{since}'"),
+        "made_default": Setting(f"event >= '{default}'"),
+    } | languages
 
 
 def language_group(c: Column) -> Column:
-    low = F.lower(c)
-    return F.when(low.isin("javascript", "typescript", "html", "css", "vue", "svelte"), "web").when(low.isin("python", "jupyter notebook"), "python").when(low.isin("c", "c++", "rust", "go", "zig"), "systems").otherwise("other")
+    """Five groups; the first holds two languages, the last all others and NULL."""
+    return F.when(c.isin("JavaScript", "TypeScript"), "JavaScript/TypeScript").when(c.isin("Python", "Go", "Rust"), c).otherwise("Other")
 
 
-def apply_setting(panel: DataFrame, pairs: DataFrame, condition: str) -> DataFrame:
-    """Treated rows that meet the condition, and all rows of the controls that were matched to their units."""
-    treated = panel.where("is_treatment = 1").where(condition)
-    units = treated.select(F.col("repo_name").alias("treatment_repo")).distinct()
-    controls = pairs.join(units, "treatment_repo", "left_semi").select(F.col("control_repo").alias("repo_name")).distinct()
+def apply_setting(panel: DataFrame, pairs: DataFrame, setting: Setting) -> DataFrame:
+    if setting.rows:
+        return panel.where(setting.condition)
+    mark = "_meets"
+    units = panel.where("is_treatment = 1").withColumn(mark, F.expr(setting.condition)).where(mark).select("repo_name").distinct()
+    treated = panel.where("is_treatment = 1").join(units, "repo_name", "left_semi")
+    controls = pairs.join(units.withColumnRenamed("repo_name", "treatment_repo"), "treatment_repo", "left_semi").select(F.col("control_repo").alias("repo_name")).distinct()
     return treated.unionByName(panel.where("is_treatment = 0").join(controls, "repo_name", "left_semi"))
 
 

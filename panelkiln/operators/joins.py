@@ -36,10 +36,10 @@ def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def one_to_one(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Left join after a check that neither side repeats a key (two jobs that stop at the first repeat)."""
-    for side, df in (("left", left), ("right", right)):
-        if duplicate_keys(df, keys).take(1):
-            raise NotOneToOne(f"the {side} side repeats keys ({', '.join(keys)})")
+    """Left join after a check that neither side repeats a key: one job over the keys of both that stops at a repeat."""
+    sides = [duplicate_keys(df.select(*keys), keys).select(F.lit(side).alias("side")) for side, df in (("left", left), ("right", right))]
+    if bad := sides[0].union(sides[1]).take(1):
+        raise NotOneToOne(f"the {bad[0]['side']} side repeats keys ({', '.join(keys)})")
     return left.join(right, list(keys), "left")
 
 
@@ -83,6 +83,12 @@ def asof_forward(left: DataFrame, right: DataFrame, by: str, left_at: str, right
     return left.join(next_.select(by, F.col("_at").alias(left_at), name), [by, left_at], "left")
 
 
+def latest(df: DataFrame, by: Sequence[str], period: str) -> DataFrame:
+    """Distinct rows of each group's last period: one aggregate and a join on it."""
+    last = df.groupBy(*by).agg(F.max(period).alias(period))
+    return df.join(last, [*by, period], "left_semi").distinct()
+
+
 def version_match(wanted: DataFrame, versions: DataFrame, by: str, key: Column, value: str, newest: str) -> DataFrame:
     """Wanted rows with the value of the version of equal normalised key, the newest of several."""
     best = versions.withColumn("_key", key).groupBy(by, "_key").agg(F.max_by(value, newest).alias(value))

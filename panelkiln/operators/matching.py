@@ -8,13 +8,17 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelkiln.operators.reshape import sum_below
+
 
 def nearest(treated: DataFrame, controls: DataFrame, within: Sequence[str], score: str = "score", unit: str = "repo_name", k: int = 3) -> DataFrame:
     """The k controls nearest in score within the same group: (unit, control, rank, distance); ties by name.
 
-    A control may serve several units. Candidates are the k distinct scores on either side, found by one sorted
-    pass over both sides, so pairs are never enumerated: of controls with one score only the first k by name count.
+    A control may serve several units; a unit is never its own control. Candidates are the k + 1 distinct scores on
+    either side, found by one sorted pass over both sides, so pairs are never enumerated: of controls with one score
+    only the first k + 1 by name count - one more than are wanted, as the unit itself may be among them.
     """
+    want, k = k, k + 1
     c = controls.select(*within, F.col(unit).alias("_c"), F.col(score).alias("_s"))
     # Controls with one score are one place on the line with its first k names.
     place = c.withColumn("_n", F.row_number().over(Window.partitionBy(*within, "_s").orderBy("_c"))).where(F.col("_n") <= k)
@@ -34,7 +38,7 @@ def nearest(treated: DataFrame, controls: DataFrame, within: Sequence[str], scor
     near = line.where("_t IS NOT NULL").select(*within, "_t", F.col("_s").alias("_score"), F.explode(F.array_distinct(F.concat("_below", "_above"))).alias("_p"))
     each = near.select(*within, "_t", F.abs(F.col("_p._s") - F.col("_score")).alias("distance"), F.explode("_p._names").alias("control")).where(~F.col("control").eqNullSafe(F.col("_t")))
     rank = F.row_number().over(Window.partitionBy(*within, "_t").orderBy("distance", "control"))
-    return each.withColumn("match_rank", rank).where(F.col("match_rank") <= k).select(*within, F.col("_t").alias("treatment"), "control", "match_rank", "distance")
+    return each.withColumn("match_rank", rank).where(F.col("match_rank") <= want).select(*within, F.col("_t").alias("treatment"), "control", "match_rank", "distance")
 
 
 def matched_wide(pairs: DataFrame, k: int = 3) -> DataFrame:
@@ -66,12 +70,11 @@ def propensity(df: DataFrame, features: Sequence[str], label: str = "treated", c
 def diagnostics(scored: DataFrame, label: str = "treated", score: str = "score", cut: float = 0.5) -> DataFrame:
     """AUC by average ranks, McFadden's R2, precision and recall: sums over score groups, so ties weigh half.
 
-    Scores are grouped first; the running sum is over distinct scores.
+    Scores are grouped first; the running sum is over distinct scores, in ranges of them.
     """
     y = F.col(label)
     by = scored.groupBy(F.col(score).alias("_s")).agg(F.sum(y).alias("_pos"), F.sum(1 - y).alias("_neg"))
-    running = Window.orderBy("_s").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = by.withColumn("_below", F.sum("_neg").over(running) - F.col("_neg"))
+    ranked = sum_below(by, "_s", "_neg", "_below")
     auc = ranked.agg((F.sum(F.col("_pos") * (F.col("_below") + F.col("_neg") / 2)) / (F.sum("_pos") * F.sum("_neg"))).alias("auc"))
     p, s = F.greatest(F.least(F.col(score), F.lit(1 - 1e-10)), F.lit(1e-10)), F.col(score) >= cut
     base = scored.agg(F.avg(y).alias("_m"), F.count("*").alias("n"), F.sum(y * F.log(p) + (1 - y) * F.log(1 - p)).alias("_ll"), F.count_if(s & (y == 1)).alias("_tp"), F.count_if(s).alias("_pp"), F.sum(y).alias("_p"))

@@ -31,6 +31,45 @@ def panel_checks() -> dict[str, Column]:
     }
 
 
+def _sides() -> dict[str, Column]:
+    source = F.col("dataset_source")
+    of = lambda s: F.count_distinct(F.when(source == s, F.col("repo_name")))
+    return {
+        "repos": F.count_distinct("repo_name"), "min_time": F.min("time"), "max_time": F.max("time"),
+        "treatment_rows": F.count_if(source == "treatment"), "control_rows": F.count_if(source == "control"), "treatment_repos": of("treatment"), "control_repos": of("control"),
+    }
+
+
+def _filled(columns: Sequence[str]) -> dict[str, Column]:
+    return {f"{c}_{n}": f for c in columns for n, f in (("nonmissing", F.count(c)), ("missing", F.count("*") - F.count(c)))}
+
+
+def _flags(columns: Sequence[str]) -> dict[str, Column]:
+    return {f"{c}_sum": F.coalesce(F.sum(c), F.lit(0)).cast("long") for c in columns}
+
+
+def merge_checks(merged: DataFrame, panel_rows: int, metrics: Sequence[str], flags: Sequence[str], commit: str = "scan_commit") -> dict[str, Column]:
+    """Of a panel merged with scans: rows kept, sides, repeated keys, what is known of each metric, sums of flags."""
+    keys = F.count_distinct("repo_name", "time", "dataset_source")
+    head = {"input_panel_rows": F.lit(panel_rows), "merged_rows": F.count("*"), "row_count_preserved": (F.count("*") == panel_rows).cast("int")}
+    have = [c for c in metrics if c in merged.columns]
+    return head | _sides() | {"duplicate_rows": F.count("*") - keys, f"missing_{commit}": F.count("*") - F.count(commit)} | _filled(have) | _flags([c for c in flags if c in merged.columns])
+
+
+def input_checks(df: DataFrame, input_rows: int, label: str, outcomes: Sequence[str], flags: Sequence[str], logs: Sequence[str] = ()) -> dict[str, Column]:
+    """Of a table that goes into an estimator: rows, sides, readiness, events, and each outcome's missing, zeros, mean, median."""
+    source, post = F.col("dataset_source"), F.col("post_event")
+    on = lambda s, c: F.when(source == s, c)
+    head = {"panel_label": F.lit(label), "input_rows": F.lit(input_rows), "output_rows": F.count("*"), "row_count_preserved": (F.count("*") == input_rows).cast("int")}
+    events = {f"{s}_time_to_event_nonmissing": F.count(on(s, F.col("time_to_event"))) for s in ("treatment", "control")}
+    sums = {"post_event_sum": post} | {f"{s}_post_event_sum": on(s, post) for s in ("control", "treatment")}
+    out = head | _sides() | events | {k: F.coalesce(F.sum(c), F.lit(0)).cast("long") for k, c in sums.items()} | _flags([c for c in flags if c in df.columns])
+    for c in outcomes:
+        x = F.col(c).cast("double")
+        out |= _filled([c]) | {f"{c}_zero_count": F.count_if(x == 0), f"{c}_mean": F.round(F.avg(x), 6), f"{c}_median": F.round(F.percentile(x, 0.5), 6)}
+    return out | {f"{c}_{n}": f for c in logs for n, f in (("nonmissing", F.count(c)), ("finite", F.count_if(F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(F.col(c)) < float("inf")))))}
+
+
 def wide_checks(long: DataFrame, by: str, checks: Sequence[str]) -> DataFrame:
     return long.groupBy(by).agg(*[F.first(F.when(F.col("check") == c, F.col("value")), ignorenulls=True).alias(c) for c in checks])
 

@@ -8,10 +8,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelkiln.functions.periods import month_diff, normal_month
+from panelkiln.functions.periods import month_diff, month_id, normal_month
 from panelkiln.functions.values import log1p_guarded, per_kloc
 from panelkiln.operators.joins import one_to_one, previous
-from panelkiln.operators.reshape import keep_one, union_all
+from panelkiln.operators.panel import cohort
+from panelkiln.operators.reshape import dense_ids, keep_one, union_all
 from panelkiln.schemas import require_columns
 
 KEYS = ("repo_name", "time", "dataset_source")
@@ -117,10 +118,7 @@ def observed(issues: DataFrame) -> DataFrame:
 
 
 def category_did_input(panel: DataFrame, counts: DataFrame, coverage: DataFrame, category: str) -> DataFrame:
-    """The panel with one category's count: zero where the month was observed without it, NULL where it wasn't.
-
-    Treated units only when the counts cover treated units only.
-    """
+    """The panel with one category's count: zero where the month was observed without it, NULL where it wasn't."""
     on = ["repo_name", "dataset_source", "time"]
     c = counts.where(F.col("category") == category).select("repo_name", "dataset_source", F.col("month").alias("time"), "warning_count")
     seen = coverage.select("repo_name", "dataset_source", F.col("month").alias("time"), F.lit(1).alias("_seen"))
@@ -129,6 +127,26 @@ def category_did_input(panel: DataFrame, counts: DataFrame, coverage: DataFrame,
     return out.withColumn("log_warning_count", log1p_guarded(F.col("warning_count")))
 
 
+class NotBothSides(ValueError):
+    pass
+
+
+def category_did(panel: DataFrame, counts: DataFrame, coverage: DataFrame, category: str, treatment_only: bool = False, after: int = 202407, to: int = 202503) -> DataFrame:
+    """category_did_input ready for an estimator: the cohorts of (after, to] and units without event, with ids.
+
+    Fails where no treated unit was observed, and where no control was unless ``treatment_only`` (then for diagnosis
+    alone). Adds time_id and event_id (12 y + m, 0 without event), repo_id (1, 2, ... by name) and log columns.
+    """
+    out = category_did_input(panel, counts, coverage, category)
+    seen = out.where("warning_count IS NOT NULL").agg(*[F.count_if(F.col("dataset_source") == s).alias(s) for s in ("treatment", "control")]).first()
+    if not seen["treatment"] or not (seen["control"] or treatment_only):
+        raise NotBothSides("the warnings cover no treated or no control units")
+    event = F.regexp_replace("event", "-", "").try_cast("int")
+    out = out.where(cohort(event, after, to)).withColumns({"time_id": month_id(F.col("time")), "event_id": F.coalesce(month_id(F.col("event")), F.lit(0))}).where("time_id IS NOT NULL")
+    logs = {n: log1p_guarded(F.col(c).cast("double")) for c, n in (("contributors", "contributors_log"), ("ncloc", "log_ncloc")) if c in out.columns}
+    return dense_ids(out, "repo_name", "repo_id").withColumns({**logs, "analysis_ready": F.col("dataset_source").isin("treatment", "control").cast("int")})
+
+
 def introduced_issues(issues: DataFrame, analyses: DataFrame, event: str = "event_month", k: int = 6) -> DataFrame:
     """Issues created in (previous analysis, this analysis] with the month relative to the event, -k to k.
 

@@ -8,11 +8,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelkiln.functions.values import hash_bucket
+from panelkiln.functions.values import hash_bucket, hash_text
 
 
 def keep_one(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """The first row of each key in an explicit order. A minimum of structs: summed before the shuffle where it can be."""
+    """The first row of each key in an explicit order; only the first row of each is kept while a partition is read."""
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("_nth", F.row_number().over(w)).where("_nth = 1").drop("_nth")
 
@@ -70,7 +70,7 @@ def top_by(df: DataFrame, by: Column, n: int, *ties: str) -> DataFrame:
 
 def sample_units(df: DataFrame, unit: str, n: int, seed: int = 42) -> DataFrame:
     """All rows of the n units with the smallest seeded hash."""
-    units = df.select(unit).distinct().orderBy(F.xxhash64(unit, F.lit(seed)), unit).limit(n)
+    units = df.select(unit).distinct().orderBy(hash_text(F.col(unit), seed), unit).limit(n)
     return df.join(units, unit, "left_semi")
 
 
@@ -80,7 +80,7 @@ def sample_share(df: DataFrame, unit: str, keep: int, of: int, seed: int = 0) ->
 
 def cap_groups(df: DataFrame, keys: Sequence[str], ident: str, n: int, seed: int = 42) -> DataFrame:
     """At most n rows a group, by seeded hash."""
-    return first_rows(df, keys, [F.xxhash64(ident, F.lit(seed)), F.col(ident)], n)
+    return first_rows(df, keys, [hash_text(F.col(ident), seed), F.col(ident)], n)
 
 
 def dense_ids(df: DataFrame, column: str, name: str) -> DataFrame:
@@ -89,6 +89,33 @@ def dense_ids(df: DataFrame, column: str, name: str) -> DataFrame:
     return df.join(ids, column)
 
 
+def by_number(df: DataFrame, column: str, *then: str) -> DataFrame:
+    """Sorted by a text column read as a number; what is no number comes last."""
+    return df.orderBy(F.col(column).cast("string").try_cast("double").asc_nulls_last(), *then)
+
+
+def capped(df: DataFrame, column: str, most: int = 0) -> DataFrame:
+    """The rows of the first ``most`` values of a column by name; all of them where ``most`` is 0."""
+    if most <= 0:
+        return df
+    return df.join(df.select(column).where(F.col(column).isNotNull()).distinct().orderBy(column).limit(most), column, "left_semi")
+
+
+def sum_below(df: DataFrame, at: str, amount: str, name: str, ranges: int = 64) -> DataFrame:
+    """Adds the sum of ``amount`` over all rows with a smaller ``at``; ``at`` is a number and distinct.
+
+    The values are cut into ranges at approximate quantiles (a job over the column, ``ranges`` numbers to the driver);
+    sums of ranges are added up over one row each, and only a range's own rows are sorted together.
+    """
+    cuts = df.agg(F.percentile_approx(at, [k / ranges for k in range(1, ranges)]).alias("q")).first()["q"] or []
+    of = F.size(F.filter(F.array(*[F.lit(c) for c in sorted(set(cuts))]), lambda c: c <= F.col(at))) if cuts else F.lit(0)
+    placed = df.withColumn("_range", of)
+    sums = placed.groupBy("_range").agg(F.sum(amount).alias("_sum"))
+    before = sums.select("_range", (F.sum("_sum").over(Window.orderBy("_range")) - F.col("_sum")).alias("_before"))  # a row a range
+    within = F.sum(amount).over(Window.partitionBy("_range").orderBy(at).rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col(amount)
+    return placed.join(F.broadcast(before), "_range").withColumn(name, F.col("_before") + within).drop("_range", "_before")
+
+
 def by_lookup(df: DataFrame, column: str, order: Sequence[str], *then: str) -> DataFrame:
     """Sorted by a stated order of values; others come last."""
     key = reduce(lambda acc, iv: F.when(F.col(column) == iv[1], iv[0]).otherwise(acc), reversed(list(enumerate(order))), F.lit(len(order)))

@@ -11,26 +11,34 @@ def shingles(docs: DataFrame, unit: str, text: str, words: int = 5) -> DataFrame
     ws = F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
     n = F.size("_w") - words + 1
     at = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
-    runs = F.transform(at, lambda i: F.array_join(F.slice("_w", i, words), " "))
-    return docs.select(F.col(unit).alias("unit"), ws.alias("_w")).select("unit", F.explode(F.array_distinct(runs)).alias("_s")).select("unit", F.xxhash64("_s").alias("shingle"))
+    runs = F.transform(at, lambda i: F.xxhash64(F.array_join(F.slice("_w", i, words), " ")))
+    return docs.select(F.col(unit).alias("unit"), ws.alias("_w")).select("unit", F.explode(F.array_distinct(runs)).alias("shingle"))
 
 
-def shared_coverage(a: DataFrame, b: DataFrame, common: int = 1000) -> DataFrame:
+def _classes(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(unit, class) and (class, shingle): units with equal sets are one class, told apart by two hash sums and the size."""
+    h = [F.bit_xor(F.xxhash64("shingle")), F.bit_xor(F.xxhash64("shingle", F.lit(1))), F.count("*")]
+    marks = df.groupBy("unit").agg(F.struct(*[x.alias(f"h{i}") for i, x in enumerate(h)]).alias("class"))
+    heads = marks.groupBy("class").agg(F.min("unit").alias("unit"))
+    return marks, df.join(heads, "unit").select("class", "shingle")
+
+
+def shared_coverage(a: DataFrame, b: DataFrame, common: int | None = None) -> DataFrame:
     """Of each pair of units with common shingles: 2 shared / (n_a + n_b).
 
-    Shingles that more than ``common`` units of a side have tell nothing about a pair and would pair all of them;
-    they count in sizes, and not as shared.
+    Exact: units of a side with equal sets are compared once, as a class, and adaptive execution splits hot shingles.
+    With ``common`` (an approximation) shingles that more units of a side have don't count as shared, only in sizes.
     """
 
     def rare(df: DataFrame) -> DataFrame:
-        often = df.groupBy("shingle").count().where(F.col("count") > common)
-        return df.join(often, "shingle", "left_anti")
-
-    size = lambda df, n: df.groupBy("unit").agg(F.count("*").alias(n))
-    x, y = rare(a).withColumnRenamed("unit", "unit_a"), rare(b).withColumnRenamed("unit", "unit_b")
-    both = x.join(y, "shingle").groupBy("unit_a", "unit_b").agg(F.count("*").alias("shared"))
-    out = both.join(size(a, "n_a").withColumnRenamed("unit", "unit_a"), "unit_a").join(size(b, "n_b").withColumnRenamed("unit", "unit_b"), "unit_b")
-    return out.withColumn("coverage", 2 * F.col("shared") / (F.col("n_a") + F.col("n_b")))
+        return df if common is None else df.join(df.groupBy("shingle").count().where(F.col("count") > common), "shingle", "left_anti")
+
+    (marks_a, sets_a), (marks_b, sets_b) = _classes(a), _classes(b)
+    x, y = rare(sets_a).withColumnRenamed("class", "class_a"), rare(sets_b).withColumnRenamed("class", "class_b")
+    both = x.join(y, "shingle").groupBy("class_a", "class_b").agg(F.count("*").alias("shared"))
+    name = lambda df, s: df.select(F.col("unit").alias(f"unit_{s}"), F.col("class").alias(f"class_{s}"), F.col("class.h2").alias(f"n_{s}"))
+    out = both.join(name(marks_a, "a"), "class_a").join(name(marks_b, "b"), "class_b")
+    return out.select("unit_a", "unit_b", "shared", "n_a", "n_b", (2 * F.col("shared") / (F.col("n_a") + F.col("n_b"))).alias("coverage"))
 
 
 def mixed_ratio(classes: DataFrame) -> DataFrame:

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelkiln.estimators import did, linear
 from panelkiln.estimators import panel as panels
 from panelkiln.functions import periods, values
-from panelkiln.operators import cohorts, dependency, effects, events, joins, matching, panel, qc, quality, reshape, scan, similarity
+from panelkiln.operators import cohorts, events, joins, matching, panel, qc, quality, reshape, scan, similarity
 from panelkiln.plans.bindings import END, START, TARGET, adoption, commits, ctes, daily_events, load, monthly_events, pairs, panel_rows, scans, series
 from panelkiln.sources.tables import query as parameterised
 
@@ -276,11 +276,11 @@ def pairs_unpivot(spark, d):
     return cohorts.pairs_long(wide.withColumnRenamed("treatment", "repo_name"))
 
 
-@query("""WITH x AS (SELECT t.c_mktsegment AS segment, t.c_custkey AS treatment, c.c_custkey AS control, abs(c.c_acctbal - t.c_acctbal) AS distance FROM customer t JOIN customer c ON t.c_mktsegment = c.c_mktsegment WHERE t.c_custkey % 3 = 0 AND c.c_custkey % 3 = 1),
+@query("""WITH x AS (SELECT t.c_mktsegment AS segment, t.c_custkey AS treatment, c.c_custkey AS control, abs(c.c_acctbal - t.c_acctbal) AS distance FROM customer t JOIN customer c ON t.c_mktsegment = c.c_mktsegment WHERE t.c_custkey % 3 = 0 AND c.c_custkey % 3 <> 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY segment, treatment ORDER BY distance, control)::INT AS match_rank FROM x) SELECT segment, treatment, control, match_rank, round(distance, 6) AS distance FROM r WHERE match_rank <= 3""")
 def knn_match_1to3(spark, d):
     c = load(spark, d, "customer").select(F.col("c_mktsegment").alias("segment"), F.col("c_custkey").alias("repo_name"), F.col("c_acctbal").alias("score"))
-    return matching.nearest(c.where("repo_name % 3 = 0"), c.where("repo_name % 3 = 1"), ["segment"]).withColumns(r6("distance"))
+    return matching.nearest(c.where("repo_name % 3 = 0"), c.where("repo_name % 3 != 0"), ["segment"]).withColumns(r6("distance"))
 
 
 @query(ctes("pa") + """, k AS (SELECT * FROM pa WHERE control_repo % 4 <> 0) SELECT treatment_repo, count(DISTINCT pa.control_repo) AS num_controls_before, coalesce(any_value(n), 0) AS num_final_controls, count(DISTINCT pa.control_repo) - coalesce(any_value(n), 0) AS num_dropped_controls
@@ -548,12 +548,13 @@ def confidence_rules(spark, d):
     return cohorts.confidence(assembled(spark, d), config, agents).select("repo_name", "time", "high_confidence", "other_agents")
 
 
-@query()
+@query("""WITH u AS (SELECT DISTINCT o_custkey FROM orders), s AS (SELECT o_custkey FROM u ORDER BY md5('42:' || o_custkey), o_custkey LIMIT 100)
+SELECT o_custkey, o_orderkey FROM orders JOIN s USING (o_custkey)""")
 def hash_sample(spark, d):
     return reshape.sample_units(load(spark, d, "orders").select("o_custkey", "o_orderkey"), "o_custkey", 100)
 
 
-@query()
+@query("SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY md5('42:' || o_orderkey), o_orderkey) AS k FROM orders) WHERE k <= 3")
 def capped_groups(spark, d):
     return reshape.cap_groups(load(spark, d, "orders").select("o_custkey", "o_orderkey"), ["o_custkey"], "o_orderkey", 3)
 
@@ -590,23 +591,53 @@ def its_specs(spark, d):
     return spark.createDataFrame([(k, *row, f.n) for k, f in fits.items() for row in f.rows()], "spec string, term string, estimate double, std_error double, p_value double, n long")
 
 
+SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
+
+
+def _unit() -> Column:
+    """Nation and segment in one number."""
+    at = F.lit(len(SEGMENTS))
+    for i, name in enumerate(SEGMENTS):
+        at = F.when(F.col("c_mktsegment") == name, i).otherwise(at)
+    return (F.col("c_nationkey") * 10 + at).cast("int")
+
+
+def _coded_units(counts: DataFrame, units: DataFrame) -> DataFrame:
+    """A balanced panel of (u, t, y, x) over all months of the counts, two cohorts and units without event."""
+    span = counts.agg(F.min("t").alias("a"), F.max("t").alias("b"))
+    grid = units.crossJoin(F.broadcast(span)).select("u", F.explode(F.sequence("a", "b")).alias("t"))  # one row
+    full = grid.join(counts, ["u", "t"], "left").select("u", "t", F.coalesce("n", F.lit(0)).cast("double").alias("y"), (F.coalesce("v", F.lit(0.0)) / 100000).alias("x"))
+    cohort = F.when(F.col("u") % 3 == 0, 1996 * 12 + 13).when(F.col("u") % 3 == 1, 1996 * 12 + 19)
+    return full.withColumn("g", cohort).withColumn("post", F.coalesce(F.col("t") >= F.col("g"), F.lit(False)).cast("int")).withColumn("rel", F.col("t") - F.col("g"))
+
+
 def _dense(spark: SparkSession, d: str) -> DataFrame:
-    """Nations by month: a balanced panel."""
-    c = load(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.col("c_nationkey").alias("u"))
+    """All orders by nation and segment and month: a balanced panel."""
+    c = load(spark, d, "customer").select(F.col("c_custkey").alias("k"), _unit().alias("u"))
     o = load(spark, d, "orders").join(c, F.col("k") == F.col("o_custkey"))
-    agg = o.where(F.year("o_orderdate").between(1996, 1997)).groupBy("u", periods.month_id(periods.month(F.col("o_orderdate"))).alias("t")).agg(F.count("*").alias("n"), F.sum("o_totalprice").alias("v"))
-    grid = c.select("u").distinct().select("u", F.explode(F.sequence(F.lit(1996 * 12 + 1), F.lit(1997 * 12 + 12))).alias("t"))
-    full = grid.join(agg, ["u", "t"], "left").select("u", "t", F.coalesce("n", F.lit(0)).cast("double").alias("y"), (F.coalesce("v", F.lit(0.0)) / 100000).alias("x"))
-    cohort = F.when(F.col("u") % 3 == 0, 1996 * 12 + 13).when(F.col("u") % 3 == 1, 1996 * 12 + 19)
-    return full.withColumn("g", cohort).withColumn("post", F.coalesce(F.col("t") >= F.col("g"), F.lit(False)).cast("int")).withColumn("rel", F.col("t") - F.col("g")).persist()
+    agg = o.groupBy("u", periods.month_id(periods.month(F.col("o_orderdate"))).alias("t")).agg(F.count("*").alias("n"), F.sum("o_totalprice").alias("v"))
+    return _coded_units(agg, c.select("u").distinct())
 
 
-_DENSE = f"""WITH a AS (SELECT c_nationkey AS u, year(o_orderdate) * 12 + month(o_orderdate) AS t, count(*) AS n FROM orders JOIN customer ON c_custkey = o_custkey WHERE year(o_orderdate) BETWEEN 1996 AND 1997 GROUP BY 1, 2),
-g AS (SELECT u, unnest(range({1996 * 12 + 1}, {1997 * 12 + 13})) AS t FROM (SELECT DISTINCT c_nationkey AS u FROM customer)),
+_UNIT = "(c_nationkey * 10 + CASE c_mktsegment " + " ".join(f"WHEN '{x}' THEN {i}" for i, x in enumerate(SEGMENTS)) + f" ELSE {len(SEGMENTS)} END)::INT"
+_DENSE = f"""WITH cu AS (SELECT c_custkey, {_UNIT} AS u FROM customer), a AS (SELECT u, (year(o_orderdate) * 12 + month(o_orderdate))::INT AS t, count(*) AS n FROM orders JOIN cu ON c_custkey = o_custkey GROUP BY 1, 2),
+s AS (SELECT min(t) AS lo, max(t) AS hi FROM a), g AS (SELECT u, unnest(range(lo, hi + 1))::INT AS t FROM (SELECT DISTINCT u FROM cu), s),
 p AS (SELECT u, t, coalesce(n, 0)::DOUBLE AS y, CASE u % 3 WHEN 0 THEN {1996 * 12 + 13} WHEN 1 THEN {1996 * 12 + 19} END AS g FROM g LEFT JOIN a USING (u, t)), q AS (SELECT *, coalesce(t >= g, false)::INT AS post FROM p)
 """
 
 
+def imputed_sql(table: str, steps: int = 40) -> str:
+    """CTEs after ``table`` (lab, u, t, y, post): unit and time effects of untreated rows by turns of averaging, and
+    ``fx`` with each treated row's effect. The turns are many enough to settle far below what is compared."""
+    out = [f"n0 AS MATERIALIZED (SELECT lab, u, t, y FROM {table} WHERE post = 0)", "a0 AS (SELECT lab, u, avg(y) AS a FROM n0 GROUP BY ALL)"]
+    for i in range(1, steps + 1):
+        out.append(f"b{i} AS (SELECT n0.lab, n0.t, avg(y - a) AS b FROM n0 JOIN a{i - 1} USING (lab, u) GROUP BY ALL)")
+        out.append(f"a{i} AS {'MATERIALIZED ' if i % 5 == 0 else ''}(SELECT n0.lab, n0.u, avg(y - b) AS a FROM n0 JOIN b{i} USING (lab, t) GROUP BY ALL)")
+    out.append(f"bz AS (SELECT n0.lab, n0.t, avg(y - a) AS b FROM n0 JOIN a{steps} USING (lab, u) GROUP BY ALL)")
+    out.append(f"fx AS (SELECT x.*, x.y - a - b AS effect FROM {table} x JOIN a{steps} USING (lab, u) JOIN bz USING (lab, t) WHERE post = 1)")
+    return ",\n".join(out)
+
+
 @query(_DENSE + """, w AS (SELECT y - avg(y) OVER (PARTITION BY u) - avg(y) OVER (PARTITION BY t) + avg(y) OVER () AS a, post - avg(post) OVER (PARTITION BY u) - avg(post) OVER (PARTITION BY t) + avg(post) OVER () AS b FROM q)
 SELECT round(sum(a * b) / sum(b * b), 6) AS estimate, count(*) AS n FROM w""")
 def twfe_balanced(spark, d):
@@ -626,33 +657,60 @@ def twfe_event_study(spark, d):
     return spark.createDataFrame([(*row, fit.n) for row in fit.rows()], "term string, estimate double, std_error double, p_value double, n long")
 
 
-@query(_DENSE + """, s AS (SELECT avg(y) FILTER (g IS NOT NULL AND t >= 23965) AS tp, avg(y) FILTER (g IS NOT NULL AND t < 23965) AS tb, avg(y) FILTER (g IS NULL AND t >= 23965) AS cp, avg(y) FILTER (g IS NULL AND t < 23965) AS cb FROM q)
-SELECT round(tp, 6) AS t_post, round(tb, 6) AS t_pre, round(cp, 6) AS c_post, round(cb, 6) AS c_pre, round(tp - tb - (cp - cb), 6) AS did FROM s""")
+@query(_DENSE + """, s4 AS (SELECT avg(y) FILTER (g IS NOT NULL AND t >= 23965) AS tp, avg(y) FILTER (g IS NOT NULL AND t < 23965) AS tb, avg(y) FILTER (g IS NULL AND t >= 23965) AS cp, avg(y) FILTER (g IS NULL AND t < 23965) AS cb FROM q)
+SELECT round(tp, 6) AS t_post, round(tb, 6) AS t_pre, round(cp, 6) AS c_post, round(cb, 6) AS c_pre, round(tp - tb - (cp - cb), 6) AS did FROM s4""")
 def did_2x2(spark, d):
     p = _dense(spark, d).withColumns({"treated": F.col("g").isNotNull().cast("int"), "late": (F.col("t") >= 23965).cast("int")})
     return did.did_2x2(p, "y", "treated", "late").withColumns(r6("t_post", "t_pre", "c_post", "c_pre", "did"))
 
 
-@query(_DENSE + """, c AS (SELECT DISTINCT g AS cohort, g - 2 AS b FROM q WHERE g IS NOT NULL), z AS (SELECT q.u, q.t, q.g, c.cohort, c.b, q.y - s.y AS d FROM q JOIN q s ON s.u = q.u JOIN c ON s.t = c.b WHERE q.t <> c.b),
-k AS (SELECT cohort, t, CASE WHEN g = cohort THEN 1 WHEN g IS NULL OR g > greatest(t, b) + 1 THEN 0 END AS s, d FROM z), m AS (SELECT cohort, t, avg(d) FILTER (s = 1) AS m1, avg(d) FILTER (s = 0) AS m0, count(d) FILTER (s = 1) AS n1, count(d) FILTER (s = 0) AS n0 FROM k WHERE s IS NOT NULL GROUP BY 1, 2)
-SELECT cohort::INT AS cohort, t::INT AS t, (t - cohort)::INT AS rel, round(m1 - m0, 6) AS att, n1 AS n_treated, n0 AS n_control FROM m WHERE n1 > 0 AND n0 > 0""")
+_GT = """, c AS (SELECT DISTINCT g AS cohort FROM q WHERE g IS NOT NULL), z0 AS (SELECT q.*, cohort, CASE WHEN t >= cohort - 1 THEN cohort - 2 ELSE t - 1 END AS b FROM q, c), z AS (SELECT z0.u, z0.t, z0.g, cohort, b, z0.y - s.y AS d FROM z0 JOIN q s ON s.u = z0.u AND s.t = z0.b WHERE z0.t <> b),
+k AS (SELECT cohort, t, CASE WHEN g = cohort THEN 1 WHEN g IS NULL OR g > greatest(t, b) + 1 THEN 0 END AS s, d FROM z), m AS (SELECT cohort, t, avg(d) FILTER (s = 1) AS m1, avg(d) FILTER (s = 0) AS m0, count(d) FILTER (s = 1) AS n1, count(d) FILTER (s = 0) AS n0 FROM k WHERE s IS NOT NULL GROUP BY 1, 2),
+gt AS (SELECT cohort::INT AS cohort, t::INT AS t, (t - cohort)::INT AS rel, m1 - m0 AS att, n1 AS n_treated, n0 AS n_control FROM m WHERE n1 > 0 AND n0 > 0)
+"""
+
+
+@query(_DENSE + _GT + "SELECT cohort, t, rel, round(att, 6) AS att, n_treated, n_control FROM gt")
 def group_time_att(spark, d):
     return did.group_time(_dense(spark, d), "y", "u", "t", "g").drop("std_error").withColumns(r6("att"))
 
 
-@query()
+@query(_DENSE + _GT.replace("CASE WHEN t >= cohort - 1 THEN cohort - 2 ELSE t - 1 END", "cohort - 2").replace("g IS NULL OR g > greatest(t, b) + 1", "g IS NULL") + "SELECT cohort, t, round(att, 6) AS att, n_control FROM gt")
+def group_time_universal(spark, d):
+    return did.group_time(_dense(spark, d), "y", "u", "t", "g", against="never", base="universal").select("cohort", "t", F.round("att", 6).alias("att"), "n_control")
+
+
+@query(_DENSE + _GT + "SELECT rel, round(sum(att * n_treated) / sum(n_treated), 6) AS att, sum(n_treated)::BIGINT AS n FROM gt GROUP BY 1")
 def group_time_dynamic(spark, d):
-    return did.aggregate_att(did.group_time(_dense(spark, d), "y", "u", "t", "g"), "dynamic")
+    return did.aggregate_att(did.group_time(_dense(spark, d), "y", "u", "t", "g"), "dynamic").withColumns(r6("att"))
 
 
-@query()
+@query(_DENSE + _GT + "SELECT round(sum(att * n_treated) / sum(n_treated), 6) AS att, sum(n_treated)::BIGINT AS n FROM gt WHERE rel >= 0")
+def group_time_simple(spark, d):
+    return did.aggregate_att(did.group_time(_dense(spark, d), "y", "u", "t", "g")).withColumns(r6("att"))
+
+
+_IMPUTED = _DENSE + ", lq AS (SELECT 'all' AS lab, * FROM q),\n" + imputed_sql("lq") + "\n"
+
+
+@query(_IMPUTED + "SELECT 'treat' AS term, round(avg(effect), 6) AS estimate, count(*) AS n FROM fx")
 def imputation_att(spark, d):
-    return did.imputation_static(_dense(spark, d), "y", "u", "t", F.col("post") == 1, "g", ["x"])
+    return did.imputation_static(_dense(spark, d), "y", "u", "t", F.col("post") == 1, "g").select("term", F.round("estimate", 6).alias("estimate"), "n")
 
 
 @query()
+def imputation_covariates(spark, d):
+    return did.imputation_static(_dense(spark, d), "y", "u", "t", F.col("post") == 1, "g", ["x"])
+
+
+@query(_IMPUTED + "SELECT 'tau' || (t - g) AS term, round(avg(effect), 6) AS estimate, count(*) AS n FROM fx WHERE t - g BETWEEN 0 AND 6 GROUP BY 1")
 def imputation_dynamic(spark, d):
-    return did.imputation_dynamic(_dense(spark, d), "y", "u", "t", F.col("post") == 1, "g", "rel")
+    return did.imputation_dynamic(_dense(spark, d), "y", "u", "t", F.col("post") == 1, "g", "rel").select("term", F.round("estimate", 6).alias("estimate"), "n")
+
+
+@query()
+def event_time_table(spark, d):
+    return did.event_time_table(_dense(spark, d), "y", "u", "t", F.col("post") == 1, "g", "rel")
 
 
 @query()
@@ -664,19 +722,11 @@ def pretrend_wald(spark, d):
 
 @query()
 def dynamic_panel_gmm(spark, d):
-    g = panels.difference_gmm(_dense(spark, d), "y", ["x"], "u", "t")
+    g = panels.difference_gmm(_dense(spark, d), "y", ["x"], "u", "t", collapse=True)
     rows = [(n, float(b), float(e)) for n, b, e in zip(g.names, g.beta, g.error, strict=True)] + [("sargan_p", g.sargan[2], None), ("m1_p", g.m1[1], None), ("m2_p", g.m2[1], None)]
     return spark.createDataFrame(rows, "term string, estimate double, std_error double")
 
 
-@query()
-def effects_table(spark, d):
-    p = _dense(spark, d)
-    parts = {"main": p, "early": p.where("t <= 23970")}
-    static = did.grid(parts, lambda df: did.imputation_static(df, "y", "u", "t", F.col("post") == 1, "g").withColumn("outcome", F.lit("orders_per_month")))
-    return effects.effect_table(static, panels=["main", "early"])
-
-
 @query("""WITH s AS (SELECT n_chars AS v, (lang = 'en')::INT AS g FROM documents), r AS (SELECT v, g, rank() OVER (ORDER BY v) + (count(*) OVER (PARTITION BY v) - 1) / 2 AS r, count(*) OVER (PARTITION BY v) AS c FROM s),
 o AS (SELECT count(*) AS n, sum(g)::BIGINT AS n1, sum(r * g) AS w, sum((c::DOUBLE ** 3 - c) / c) AS ties FROM r) SELECT n, n1, w, round(w - n1 * (n1 + 1) / 2, 6) AS u,
   round((w - n1 * (n1 + 1) / 2 - n1 * (n - n1) / 2 - sign(w - n1 * (n1 + 1) / 2 - n1 * (n - n1) / 2) * 0.5) / sqrt(n1 * (n - n1) / 12 * (n + 1 - ties / (n * (n - 1)))), 6) AS z FROM o""")
@@ -715,11 +765,6 @@ def event_time_counts(spark, d):
     return qc.event_time_counts(assembled(spark, d))
 
 
-@query(_ASSEMBLED + "SELECT count(DISTINCT CASE WHEN is_treatment = 1 THEN repo_name END) AS treated, count(DISTINCT CASE WHEN is_treatment = 0 THEN repo_name END) AS controls, count(*) AS n, count_if(post_event = 1)::BIGINT AS post_rows FROM q WHERE (is_treatment = 1 AND event <= '1997-06') OR (is_treatment = 0 AND repo_name IN (SELECT control_repo FROM pa WHERE treatment_repo IN (SELECT repo_name FROM q WHERE is_treatment = 1 AND event <= '1997-06')))")
-def settings_statistics(spark, d):
-    return cohorts.setting_counts(cohorts.apply_setting(assembled(spark, d), pairs(spark, d), "event <= '1997-06'"))
-
-
 @query(_ASSEMBLED + """SELECT dataset_source, 'commits' AS outcome, round(avg(commits), 6) AS mean, round(avg((commits = 0)::INT), 6) AS zero_share FROM q GROUP BY 1 UNION ALL SELECT dataset_source, 'lines_added', round(avg(lines_added), 6), round(avg((lines_added = 0)::INT), 6) FROM q GROUP BY 1""")
 def estimation_summary(spark, d):
     return qc.estimation_summary(assembled(spark, d), ["commits", "lines_added"]).withColumns(r6("mean", "zero_share"))
@@ -732,7 +777,7 @@ SELECT unit_a, unit_b, shared, x.n AS n_a, y.n AS n_b, round(2 * shared / (x.n +
 def shingle_similarity(spark, d):
     a = similarity.shingles(load(spark, d, "documents"), "doc_id", "text")
     b = similarity.shingles(load(spark, d, "benchmark"), "item_id", "text")
-    return similarity.shared_coverage(a, b, common=10**9).withColumns(r6("coverage"))
+    return similarity.shared_coverage(a, b).withColumns(r6("coverage"))
 
 
 @query("""SELECT c_custkey, lower(trim(c_mktsegment)) IN ('building', 'machinery') AS hit, CASE WHEN lower(trim(CASE WHEN c_custkey % 4 = 0 THEN ' NaN ' ELSE c_name END)) NOT IN ('', 'nan') THEN c_name END AS clean,
@@ -744,17 +789,6 @@ def scalar_values(spark, d):
     return c.select("c_custkey", F.lower(F.trim("c_mktsegment")).isin("building", "machinery").alias("hit"), values.missing_to_null(raw).alias("clean"), values.to_bool(flag).alias("flag"), F.round(values.log1p_guarded(F.col("c_acctbal")), 6).alias("logged"), values.humanise(F.col("c_mktsegment")).alias("label"))
 
 
-@query()
-def dependency_health(spark, d):
-    p = load(spark, d, "part")
-    releases = p.select(F.concat(F.lit("pkg"), (F.col("p_partkey") % 20).cast("string")).alias("package"), F.concat_ws(".", (F.col("p_size") % 3).cast("string"), (F.col("p_size") % 7).cast("string"), (F.col("p_partkey") % 11).cast("string")).alias("version"), F.timestamp_seconds(F.lit(1_600_000_000) + F.col("p_partkey") * 3600).alias("released_at")).dropDuplicates(["package", "version"])
-    spec = F.concat(F.lit("^1."), (F.col("c_custkey") % 5).cast("string"), F.lit(".0"))
-    name = F.concat(F.lit("pkg"), (F.col("c_custkey") % 20).cast("string"))
-    manifests = load(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("repo_name"), F.timestamp_seconds(F.lit(1_700_000_000)).alias("committed_at"), F.to_json(F.struct(F.create_map(name, spec).alias("dependencies"))).alias("manifest"))
-    advisories = spark.createDataFrame([("pkg1", "<1.4.0"), ("pkg2", ">=1.0.0 <1.2.0 || 2.x")], "package string, range string").withColumn("published_at", F.timestamp_seconds(F.lit(1_650_000_000)))
-    return dependency.health(dependency.vulnerable(dependency.resolve(dependency.dependencies(manifests), releases), advisories))
-
-
 # Further operators
 
 
@@ -824,7 +858,7 @@ def wide_features(spark, d):
     return events.wide_features(f, ["n_stars", "total_events"]).select("repo", "n_stars_m1", "n_stars_m6", "n_stars_sum", "total_events_sum")
 
 
-@query("SELECT doc_id, CASE WHEN lang = 'en' THEN 'web' WHEN lang = 'fr' THEN 'python' WHEN lang = 'de' THEN 'systems' ELSE 'other' END AS language_group FROM documents")
+@query("SELECT doc_id, CASE WHEN lang = 'en' THEN 'JavaScript/TypeScript' WHEN lang = 'fr' THEN 'Python' WHEN lang = 'de' THEN 'Rust' ELSE 'Other' END AS language_group FROM documents")
 def language_groups(spark, d):
     name = F.when(F.col("lang") == "en", "TypeScript").when(F.col("lang") == "fr", "Python").when(F.col("lang") == "de", "Rust").otherwise("COBOL")
     return load(spark, d, "documents").select("doc_id", cohorts.language_group(name).alias("language_group"))
@@ -836,19 +870,11 @@ def wide_maxima(spark, d):
     return reshape.wide(by, ["l_partkey"], "l_returnflag", ["R", "N"], "m").select("l_partkey", F.col("R").alias("m_r"), F.col("N").alias("m_n"))
 
 
-@query()
+@query(_DENSE + """, z AS (SELECT u, avg(y) AS size FROM q GROUP BY 1), h AS (SELECT q.*, CASE WHEN size < (SELECT median(size) FROM z) THEN 'low' ELSE 'high' END AS half FROM q JOIN z USING (u)),
+w AS (SELECT half, y - avg(y) OVER (PARTITION BY half, u) - avg(y) OVER (PARTITION BY half, t) + avg(y) OVER (PARTITION BY half) AS a, post - avg(post) OVER (PARTITION BY half, u) - avg(post) OVER (PARTITION BY half, t) + avg(post) OVER (PARTITION BY half) AS b FROM h)
+SELECT half, round(sum(a * b) / sum(b * b), 6) AS estimate, count(*) AS n FROM w GROUP BY 1""")
 def heterogeneous_effects(spark, d):
-    p = _dense(spark, d).withColumn("size", F.avg("y").over(Window.partitionBy("u")))
-    fits = did.heterogeneity(p, "y", "post", "u", "t", "size")
-    return spark.createDataFrame([(k, *f.rows()[0], f.n) for k, f in fits.items()], "half string, term string, estimate double, std_error double, p_value double, n long")
-
-
-@query()
-def settings_grid(spark, d):
-    """Effects for all units, and with treated units of the early or the late cohort only."""
-    p = _dense(spark, d).withColumn("is_treatment", F.col("g").isNotNull().cast("int"))
-    units = p.select("u", "g").distinct()
-    pairs_ = units.where("g IS NOT NULL").select(F.col("u").alias("treatment_repo")).crossJoin(units.where("g IS NULL").select(F.col("u").alias("control_repo")))  # nations: 25 rows
-    named = p.withColumnRenamed("u", "repo_name")
-    parts = {name: cohorts.apply_setting(named, pairs_, cond) for name, cond in (("all", "true"), ("early", "g = 23965"), ("late", "g > 23965"))}
-    return did.grid(parts, lambda df: did.imputation_static(df, "y", "repo_name", "t", F.col("post") == 1, "g"))
+    p = _dense(spark, d)
+    sized = p.join(p.groupBy("u").agg(F.avg("y").alias("size")), "u")
+    fits = did.heterogeneity(sized, "y", "post", "u", "t", "size")
+    return spark.createDataFrame([(k, round(float(f.beta[0]), 6), f.n) for k, f in fits.items()], "half string, estimate double, n long")

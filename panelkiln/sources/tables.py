@@ -57,6 +57,26 @@ def capped(df: DataFrame, most: int) -> DataFrame:
     return df
 
 
+def estimated_cost(df: DataFrame, per_tib: float = 5.0) -> tuple[int, float]:
+    """(bytes, price) of a query by the optimiser's estimate; nothing runs."""
+    size = estimated_bytes(df)
+    return size, size / 1024**4 * per_tib
+
+
+def landed_pages(pages: DataFrame, body: str, items: str, fields: dict[str, str]) -> DataFrame:
+    """A row per item of landed JSON pages of an interface: ``items`` is the path of the list in a page, ``fields``
+    gives each column's path in an item. Pages without the list give no rows; values are text."""
+    nested = F.from_json(F.get_json_object(body, items), "array<string>")
+    each = pages.select(F.explode(nested).alias("_item"))
+    return each.select(*[F.get_json_object("_item", path).alias(name) for name, path in fields.items()])
+
+
+def landed_advisories(pages: DataFrame, body: str = "body") -> DataFrame:
+    """(advisory, package, range, summary) from landed pages of a security-advisory query."""
+    node = {"advisory": "$.node.advisory.ghsaId", "package": "$.node.package.name", "range": "$.node.vulnerableVersionRange", "summary": "$.node.advisory.summary"}
+    return landed_pages(pages, body, "$.securityVulnerabilities.edges", node)
+
+
 def write(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite", by: Sequence[str] = ()) -> None:
     w = df.write.mode(mode).format(fmt)
     if fmt == "csv":
@@ -74,18 +94,22 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def upsert(df: DataFrame, path: str, key: str) -> None:
-    """Replaces the rows of the keys in ``df``, keeps the rest. The new table is complete before the old one goes."""
+    """Replaces the rows of the keys in ``df``, keeps the rest. The new table is complete before the old one is moved
+    aside, and the old one goes last; a call after a crash in between takes up where it ended."""
     spark = df.sparkSession
+    fs = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    place = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
+    if not exists(spark, path) and exists(spark, f"{path}.old"):
+        fs.rename(place(f"{path}.old"), place(path))
     if not exists(spark, path):
         return write(df, path)
     kept = spark.read.parquet(path).join(df.select(key).distinct(), key, "left_anti")
     fresh = f"{path}.new"
     write(union_all([kept, df]).repartitionByRange(key).sortWithinPartitions(key), fresh)
-    fs = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    old, new = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (path, fresh))
-    fs.delete(old, True)
-    if not fs.rename(new, old):
+    fs.delete(place(f"{path}.old"), True)
+    if not (fs.rename(place(path), place(f"{path}.old")) and fs.rename(place(fresh), place(path))):
         raise OSError(f"{fresh} could not be renamed")
+    fs.delete(place(f"{path}.old"), True)
 
 
 def pending(todo: DataFrame, log: DataFrame, keys: Sequence[str], done: Iterable[str] = ("ok", "empty", "skipped")) -> DataFrame:
