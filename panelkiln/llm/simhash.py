@@ -7,9 +7,14 @@ has more than one and the other two have two at most). The Golay code is
 perfect: every 23-bit word lies within distance 3 of one codeword. Two words at
 distance 2 have a word midway, and its codeword is within 4 of both; so if a
 segment's keys are all codewords within distance 4 - one, or six for the words
-that lie at distance 3 from theirs - close segments share a key. A fingerprint's
-keys are, for each pair of segments, the products of the two key sets. All
-fingerprints that share a key are compared, which verifies the candidates.
+that lie at distance 3 from theirs - close segments share a codeword. Two bits in
+a pair of segments are two in one and none in the other, or one in each. So of a
+pair one segment gives its codewords, and the other itself and all words with one
+of its set bits cleared: of two words that differ in one bit, one is among the
+other's. For two bits in the other segment the roles change, with equal words on
+the first side. All these keys have 35 bits, so among 2^35 fingerprints chance
+brings a few together, not thousands. All fingerprints that share a key are
+compared, which verifies the candidates.
 
 Equal fingerprints are one class and are compared once. A key shared by few
 fingerprints is checked pair by pair; one shared by many is searched breadth
@@ -101,17 +106,26 @@ def near_codewords(words: np.ndarray) -> np.ndarray:
     return np.where(errors >= 0, (words[:, None] ^ errors) >> 11, -1)
 
 
+def cleared(words: np.ndarray, n: int) -> np.ndarray:
+    """Each word and the words with one of its set bits cleared, -1 for bits that are not set."""
+    bit = np.int64(1) << np.arange(n, dtype=np.int64)
+    fewer = np.where(words[:, None] & bit, words[:, None] ^ bit, -1)
+    return np.concatenate([words[:, None], fewer], 1)
+
+
 def keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(row, key): all keys of each signed 64-bit fingerprint."""
     bits = prints.view(np.uint64)
-    near = [near_codewords((bits >> np.uint64(at) & np.uint64((1 << n) - 1)).astype(np.int64)) for at, n in SEGMENTS]
+    words = [(bits >> np.uint64(at) & np.uint64((1 << n) - 1)).astype(np.int64) for at, n in SEGMENTS]
+    near = [near_codewords(w) for w in words]
     out_row, out_key = [], []
-    for pair, (a, b) in enumerate(combinations(near, 2)):
-        both = (a[:, :, None] >= 0) & (b[:, None, :] >= 0)
-        key = pair << 24 | np.maximum(a, 0)[:, :, None] << 12 | np.maximum(b, 0)[:, None, :]
-        row, _, _ = np.nonzero(both)
-        out_row.append(row)
-        out_key.append(key[both])
+    for pair, (i, j) in enumerate(combinations(range(len(SEGMENTS)), 2)):
+        # (codewords, plain words): up to two bits against up to one, and up to two against none.
+        for way, (a, b) in enumerate(((near[i], cleared(words[j], SEGMENTS[j][1])), (near[j], words[i][:, None]))):
+            both = (a[:, :, None] >= 0) & (b[:, None, :] >= 0)
+            key = (2 * pair + way) << 36 | a[:, :, None] << 24 | b[:, None, :]
+            out_row.append(np.nonzero(both)[0])
+            out_key.append(key[both])
     return np.concatenate(out_row), np.concatenate(out_key)
 
 

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from panelkiln.llm import common, digest_dedup, katz, packing, rindex_dedup, secrets, token_store, tokens, webp
+from panelkiln.llm import common, digest_dedup, katz, packing, rindex_dedup, secrets, simhash, token_store, tokens, webp
 from panelkiln.llm.queries import vocabulary
 
 pytestmark = pytest.mark.skipif(importlib.util.find_spec("public_tokenizers") is None, reason="no vocabulary files here")
@@ -304,3 +304,18 @@ def test_media_columns_of_the_contract(spark):
         x = np.frombuffer(payload, np.uint8)
         shares = ",".join(str(int(((x >= 64 * k) & (x < 64 * k + 64)).sum())) for k in range(4))
         assert r["feature"] == f"{len(payload) // 64}:{x.mean():.4f}:{x.std():.4f}:{shares}"
+
+
+def test_links_of_a_table_equal_all_pairs(spark):
+    """All fingerprints of a driver table and planted neighbours of some, against every pair; few meet by chance."""
+    prints = [r[0] for r in simhash.fingerprints(spark.read.parquet(f"{SF}/documents.parquet")).select("print").distinct().collect()]
+    rng = np.random.default_rng(2)
+    near = [p ^ sum(1 << int(b) for b in rng.choice(63, rng.integers(1, 5), replace=False)) for p in prints[:150]]
+    held = np.unique(np.array(prints + near, np.int64))
+    df = spark.createDataFrame([(int(x),) for x in held], "print long")
+    links = {frozenset((r["u"], r["v"])) for r in simhash.links(df).collect()}
+    close = np.bitwise_count(held.view(np.uint64)[:, None] ^ held.view(np.uint64)[None, :]) <= 4
+    pairs = {frozenset((int(held[i]), int(held[j]))) for i, j in zip(*np.nonzero(np.triu(close, 1)), strict=True)}
+    assert links == pairs and len(pairs) >= 140
+    row, key = simhash.keys(held)
+    assert np.unique(np.stack([key, row], 1), axis=0).shape[0] == len(key) and len(key) - len(np.unique(key)) < len(key) / 20
