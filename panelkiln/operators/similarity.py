@@ -30,11 +30,11 @@ def shared_coverage(a: DataFrame, b: DataFrame, common: int | None = None) -> Da
     With ``common`` (an approximation) shingles that more units of a side have don't count as shared, only in sizes.
     """
 
-    def rare(df: DataFrame) -> DataFrame:
-        return df if common is None else df.join(df.groupBy("shingle").count().where(F.col("count") > common), "shingle", "left_anti")
+    def rare(sets: DataFrame, units: DataFrame) -> DataFrame:
+        return sets if common is None else sets.join(units.groupBy("shingle").count().where(F.col("count") > common), "shingle", "left_anti")
 
     (marks_a, sets_a), (marks_b, sets_b) = _classes(a), _classes(b)
-    x, y = rare(sets_a).withColumnRenamed("class", "class_a"), rare(sets_b).withColumnRenamed("class", "class_b")
+    x, y = rare(sets_a, a).withColumnRenamed("class", "class_a"), rare(sets_b, b).withColumnRenamed("class", "class_b")
     both = x.join(y, "shingle").groupBy("class_a", "class_b").agg(F.count("*").alias("shared"))
     name = lambda df, s: df.select(F.col("unit").alias(f"unit_{s}"), F.col("class").alias(f"class_{s}"), F.col("class.h2").alias(f"n_{s}"))
     out = both.join(name(marks_a, "a"), "class_a").join(name(marks_b, "b"), "class_b")
