@@ -94,9 +94,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def settled(spark: SparkSession, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """What ``build`` returns, written; all that it wrote on the way is deleted."""
-    since, out = len(_made), build()
+def mark() -> int:
+    """How many folders and tables there are: what ``release`` and ``settled`` keep."""
+    return len(_made)
+
+
+def settled(spark: SparkSession, name: str, build: Callable[[], DataFrame], since: int | None = None) -> DataFrame:
+    """What ``build`` returns, written; all that it wrote on the way, or all after the first ``since``, is deleted."""
+    since = mark() if since is None else since
+    out = build()
     path = shared_folder(spark, name)
     out.write.parquet(path)
     schema = out.schema

@@ -9,9 +9,11 @@ characters without a piece become bytes. Decoding joins the pieces and undoes
 the normalisation.
 
 In every Arrow batch, each segment that the worker has not met before is encoded
-and decoded by the sentencepiece library as well; a difference stops the task.
-Models that the agenda can't follow (other types, normalisers, or pieces of
-users) are refused. Null and empty texts have the begin and end ids alone.
+and decoded by the sentencepiece library as well, and so is the batch's first text
+as a whole; a difference stops the task. Models that the agenda can't follow
+(other types, normalisers, or pieces of users) are refused. Null and empty texts
+have the begin and end ids alone. Ids may be null or repeat, each row is encoded
+by itself; other columns are not read; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -129,11 +131,15 @@ class MergePieces:
         return out[1:] if self.prefix and out[:1] == b" " else out
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian 32-bit integers, without begin and end; new segments are checked."""
+        """Ids of each text as little-endian 32-bit integers, without begin and end; new segments and the first text are checked."""
         self.words.turn()
         self.others.turn()
         out = [self._encode(t) for t in texts]
         self.check()
+        if texts:
+            want = self.library.encode(texts[0])
+            if out[0] != np.array(want, "<u4").tobytes() or self.decode(want) != self.library.decode(want).encode():
+                raise Difference(f"a text of {len(texts[0])} characters")
         return out
 
     def check(self) -> None:

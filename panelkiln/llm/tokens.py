@@ -4,8 +4,11 @@ A byte-level BPE splits a text at its pre-token pattern before it merges, so the
 ids of a text are those of its pre-tokens in turn. Texts are cut at single
 spaces into chunks that no pre-token crosses, chunks not met before into
 pre-tokens, and only pre-tokens not met before go to the library's model. Texts
-that hold one of the file's added tokens go to the library whole. What is known is kept in two generations of a fixed size, so memory doesn't grow with
-the vocabulary of a corpus and frequent words stay known.
+that hold one of the file's added tokens go to the library whole. What is known
+is kept in two generations of a fixed size, so memory doesn't grow with the vocabulary of a corpus and frequent words stay known.
+
+An empty text has no ids; nulls are the caller's to replace. Equal texts have
+equal ids, whatever came before them.
 """
 
 from __future__ import annotations

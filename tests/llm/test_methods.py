@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from panelkiln.llm import common, digest_dedup, katz, packing, rindex_dedup, secrets, simhash, token_store, tokens, webp
+from panelkiln.llm import common, digest_dedup, fm_quality, katz, packing, rindex_dedup, secrets, simhash, token_store, tokens, webp
 from panelkiln.llm.queries import vocabulary
 
 pytestmark = pytest.mark.skipif(importlib.util.find_spec("public_tokenizers") is None, reason="no vocabulary files here")
@@ -319,3 +319,83 @@ def test_links_of_a_table_equal_all_pairs(spark):
     assert links == pairs and len(pairs) >= 140
     row, key = simhash.keys(held)
     assert np.unique(np.stack([key, row], 1), axis=0).shape[0] == len(key) and len(key) - len(np.unique(key)) < len(key) / 20
+
+
+def test_held_out_quality(spark):
+    """Of the labelled documents that were not learned from, the score ranks by label; figures in the README."""
+    docs, labels = (spark.read.parquet(f"{SF}/{n}.parquet") for n in ("documents", "labels"))
+    got = fm_quality.quality_scores(docs, labels).where("held_out").join(labels.where("quality IS NOT NULL"), "doc_id").toPandas()
+    good, bad = got.loc[got["quality"] == 1, "score"].to_numpy(), got.loc[got["quality"] == 0, "score"].to_numpy()
+    auc = ((good[:, None] > bad).mean() + 0.5 * (good[:, None] == bad).mean()).item()
+    accuracy = (got["predicted"] == got["quality"]).mean()
+    print(f"held-out AUC {auc:.4f}, accuracy {accuracy:.4f}, rows {len(got)}")
+    assert len(got) > 50 and auc > 0.97 and accuracy > 0.95
+
+
+def test_quality_reads_one_text_of_a_repeated_id(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"good words here {i} " * 5, None) for i in range(40)] * 3 + [(100 + i, "!!! $$$ " * 9, None) for i in range(40)], "doc_id long, text string, n_chars long")
+    labels = spark.createDataFrame([(i, 1) for i in range(40)] + [(100 + i, 0) for i in range(40)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(fm_quality, "fit", lambda found, y, **k: seen.append((len(found), sum(len(i) for i, _ in found))) or fm_quality.Machine(0.0, np.zeros(fm_quality.SIZE), np.zeros((fm_quality.SIZE, 1))))
+    fm_quality.train(docs, labels)
+    monkeypatch.setattr(fm_quality, "MOST_FEATURES", seen[0][1] // 2)
+    fm_quality.train(docs, labels)
+    assert seen[0][0] == 80 and 30 <= seen[1][0] <= 45 and seen[1][1] <= seen[0][1] // 2
+
+
+def run_stages(spark, docs, folder):
+    import corpus_pipeline
+
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES:
+        docs = common.written(stage(spark, docs, folder), name)
+        kept[name] = docs
+    return kept
+
+
+def test_pipeline_edges(spark, tmp_path):
+    """Nulls in any column, empty and long texts, repeated rows and ids, columns with clashing names, an empty table."""
+    folder = f"file://{tmp_path}"
+    ddl = "doc_id long, text string, lang string, source string, n_chars long, _id string, _nth string, _score string, _kinds string, secret_spans string, _block string, _number string, _seen string, _digest string, block string, number string"
+    long = " ".join(f"w{i}" for i in range(9000))
+    texts = [(1, "one two three four five six"), (1, "one two three four five six"), (2, "one two  three four five six"), (3, None), (4, ""), (None, "seven eight nine ten eleven"), (None, None), (5, 'x api_key = "abcdefgh" y'), (6, long), (7, long + " end"), (8, "é" * 300), (9, "other words that stand alone in here")]
+    rows = [(i, t, "en" if i else None, None, len(t) if t else None, *"abcdefghijk") for i, t in texts]
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    docs = spark.createDataFrame(rows, ddl).repartition(2)
+    kept = run_stages(spark, docs, folder)
+    for name in ("quality", "exact", "near", "secrets"):
+        assert kept[name].columns == docs.columns
+    assert kept["quality"].count() == len(texts)  # without labels every score is one half
+    exact = [(r["doc_id"], r["text"]) for r in kept["exact"].collect()]
+    # Equal but for blanks: the longer text stays; null and empty texts are one.
+    assert sorted(i for i, _ in exact if i is not None) == [2, 3, 5, 6, 7, 8, 9] and sum(i is None for i, _ in exact) == 1
+    near = {r["doc_id"] for r in kept["near"].collect()}
+    assert near == {2, 3, 5, 6, 8, 9, None}
+    masked = {r["doc_id"]: r for r in kept["secrets"].collect()}
+    assert "abcdefgh" not in masked[5]["text"] and masked[5]["n_chars"] == len(masked[5]["text"]) and masked[9]["text"] == dict(texts)[9] and masked[5]["secret_spans"] == "e"
+    assert {r["doc_id"] for r in kept["packing"].collect()} == near
+    empty = run_stages(spark, spark.createDataFrame([], ddl), folder)
+    assert all(df.count() == 0 for df in empty.values())
+
+
+def test_postings_answer_rules_that_came_later(spark):
+    """A rule unknown when the index was built, one in capitals, one without trigrams; letters fold in ASCII alone."""
+    long = "z" * (secrets.PIECE - 2) + "needle9 " + "z" * secrets.PIECE
+    texts = [(1, "a needle7 here"), (2, "NEEDLE8"), (3, "need le"), (4, long), (5, None), (6, ""), (7, "ſecret: abcdefgh toKen: abcdefgh token: abcdefgh"), (None, "needle1"), (8, "x" * 3 + "needle3 needle4 " * 700)]
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(2)
+    index = secrets.TrigramIndex(df)
+    rules = (secrets.Rule("late", "(?:needle|NEEDLE)[0-9]"), secrets.Rule("digit", "[0-9]+"))
+    with index.in_place():
+        scanned = index.scan(rules, "spans")
+        plan = scanned._jdf.queryExecution().executedPlan().toString()
+        got = {r["doc_id"]: [(s["kind"], s["start"], s["end"]) for s in r["spans"]] for r in scanned.collect()}
+    assert "Exchange" not in plan
+    for i, t in texts:
+        want = sorted((m.start(), k, r.kind, m.end()) for k, r in enumerate(rules) for m in re.finditer(r.pattern, t or ""))
+        assert got[i] == [(kind, a, b) for a, _, kind, b in want]
+    found = index.candidates(rules).agg({"*": "count"}).first()[0]
+    assert found == 5
+    report = {r["doc_id"]: r for r in secrets.secret_report(df).collect()}
+    assert report[7]["n_assign"] == 1
+    masked = secrets.mask_secrets(spark.createDataFrame([(1, "é token: abcdefgh, " * 900)], "doc_id long, text string")).first()["text"]
+    assert masked == "é <assign>, " * 900
