@@ -85,11 +85,11 @@ def test_queries_leave_one_folder_each(spark):
     from panelkiln.llm import queries
 
     for name, query in queries.queries().items():
-        before, tables = len(common._made), set(spark.catalog.listTables())
+        before, tables = len(common._made), {t.name for t in spark.catalog.listTables()}
         assert query(spark, "/root/testdata/sf0.001").count() > 0
         left = [x for x in common._made[before:]]
         assert len(left) <= 1 and all(kind == "folder" for kind, _, _ in left), name
-        assert {t.name for t in spark.catalog.listTables()} == {t.name for t in tables}
+        assert {t.name for t in spark.catalog.listTables()} == tables
         common.release(before)
         assert len(common._made) == before
 
