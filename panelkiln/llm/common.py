@@ -22,7 +22,11 @@ BATCH_ROWS = 1000
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Bounds the Arrow batches that Python workers get, in rows and in bytes."""
+    """Bounds the Arrow batches that Python workers get, in rows and in bytes, and the plans' texts that the driver keeps.
+
+    These are settings of the session and stay: what an operator returns is run after it.
+    """
+    spark.conf.set("spark.sql.maxPlanStringLength", "8192")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
     return spark
@@ -146,6 +150,11 @@ def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
         spark.conf.set(key, old)
 
 
+def no_broadcast(spark: SparkSession):
+    """Joins within are done by the executors alone, whatever their sizes; hints still hold."""
+    return setting(spark, "spark.sql.autoBroadcastJoinThreshold", "-1")
+
+
 def free(name: str, *frames: DataFrame) -> str:
     """``name``, or with underscores before it, so that none of the frames has such a column."""
     taken = {c.lower() for f in frames for c in f.columns}

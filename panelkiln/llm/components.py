@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelkiln.llm.common import written
+from panelkiln.llm.common import no_broadcast, written
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -33,6 +33,11 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
 
     links: (u, v) of one orderable type; loops, repeats and either order are allowed.
     """
+    with no_broadcast(links.sparkSession):
+        return _settle(links, rounds)
+
+
+def _settle(links: DataFrame, rounds: int) -> DataFrame:
     edges = links.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     edges = written(edges, "cc")
     state = None

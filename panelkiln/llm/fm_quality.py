@@ -156,10 +156,18 @@ def train(docs: DataFrame, labels: DataFrame, allowed: Column | None = None, sam
     found = picked.mapInArrow(run, "doc_id long, quality long, index array<int>, value array<float>")
     # A window over the bounded sample.
     upto = F.sum(F.size("index")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))
-    got = found.withColumn("upto", upto).where(F.col("upto") <= MOST_FEATURES).drop("upto").toArrow().sort_by([("doc_id", "ascending")])
-    index, value = got.column("index").combine_chunks(), got.column("value").combine_chunks()
-    found = [(index[i].values.to_numpy().astype(np.int64), value[i].values.to_numpy()) for i in range(len(got))]
-    return fit(found, got.column("quality").to_numpy().astype(np.float64))
+    got = found.withColumn("upto", upto).where(F.col("upto") <= MOST_FEATURES).drop("upto").toArrow()
+    # Views of the batches as they came: the features are in memory once.
+    rows_, ids, told = [], [], []
+    for batch in got.to_batches():
+        ends = batch.column("index").offsets.to_numpy().tolist()
+        index, value = (batch.column(c).values.to_numpy() for c in ("index", "value"))
+        rows_ += [(index[a:b], value[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        ids.append(batch.column("doc_id").to_numpy())
+        told.append(batch.column("quality").to_numpy())
+    order = np.argsort(np.concatenate(ids), kind="stable") if ids else []
+    machine = fit([rows_[k] for k in order], np.concatenate(told)[order].astype(np.float64) if ids else np.zeros(0))
+    return machine
 
 
 def _told(docs: DataFrame) -> Column:
