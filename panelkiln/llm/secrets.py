@@ -140,15 +140,20 @@ def trigram_query(pattern: str) -> list[list[frozenset[str]]]:
     return query
 
 
+def asked_trigrams(rules: tuple[Rule, ...]) -> list[str]:
+    return sorted({g for r in rules for part in trigram_query(r.pattern) for a in part for g in a})
+
+
 #: Characters of a text that are indexed at once, and matches that are summed up at once.
 PIECE, CHUNK = 1 << 16, 256
 SPANS = "array<struct<start:long,ord:int,kind:string,end:long>>"
 
 
 class TrigramIndex:
-    """Postings of all trigrams, block by block, beside the documents."""
+    """Postings of all trigrams, block by block, beside the documents. An index that is asked once needs only the
+    postings that its ``rules`` ask for; it then answers no others."""
 
-    def __init__(self, docs: DataFrame):
+    def __init__(self, docs: DataFrame, rules: tuple[Rule, ...] | None = None):
         self.spark, self.columns = docs.sparkSession, docs.columns
         self.block, self.number = free("_block", docs), free("_number", docs)
         n, name = partitions(self.spark), uuid.uuid4().hex
@@ -159,14 +164,16 @@ class TrigramIndex:
         low = self.texts.select(F.col(self.block).alias("block"), F.col(self.number).alias("number"), F.lower(text_of()).alias("low"))
         pieces = F.transform(F.sequence(F.lit(0), F.floor(F.char_length("low") / PIECE).cast("int")), lambda i: F.substring("low", i * PIECE + 1, F.lit(PIECE + 2)))
         grams = F.array_distinct(F.regexp_extract_all("piece", F.lit("(?s)(?=(...))"), F.lit(1)))
+        if rules is not None:
+            asked = asked_trigrams(rules)
+            grams = F.array_intersect(grams, F.array(*map(F.lit, asked))) if asked else F.array().cast("array<string>")
         found = low.select("block", "number", F.explode(pieces).alias("piece")).select("block", F.explode(grams).alias("trigram"), "number")
         self.postings = bucketed(found, f"scan_postings_{name}", n, "block", "trigram")
 
     def candidates(self, rules: tuple[Rule, ...]) -> DataFrame:
         """(block, number, kinds): the rules whose trigram query the postings of a document meet."""
         asked = {r.kind: trigram_query(r.pattern) for r in rules}
-        grams = sorted({g for query in asked.values() for part in query for a in part for g in a})
-        held = self.postings.where(F.col("trigram").isin(grams)).groupBy("block", "number").agg(F.collect_set("trigram").alias("held"))
+        held = self.postings.where(F.col("trigram").isin(asked_trigrams(rules))).groupBy("block", "number").agg(F.collect_set("trigram").alias("held"))
 
         def met(query: list[list[frozenset[str]]]) -> Column:
             every = F.lit(True)
@@ -250,8 +257,8 @@ def joined(spans: Column) -> Column:
 
 def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, spans: str | None = None) -> DataFrame:
     """All columns of the documents and ``spans`` (secret_spans, with underscores before it if there is such a column):
-    array of (start, ord, kind, end) by start and kind."""
-    index = TrigramIndex(docs)
+    array of (start, ord, kind, end) by start and kind. The index serves these rules alone."""
+    index = TrigramIndex(docs, rules)
     with index.in_place():
         return written(index.scan(rules, spans or free("secret_spans", docs)), "secret-spans")
 

@@ -393,6 +393,10 @@ def test_postings_answer_rules_that_came_later(spark):
     for i, t in texts:
         want = sorted((m.start(), k, r.kind, m.end()) for k, r in enumerate(rules) for m in re.finditer(r.pattern, t or ""))
         assert got[i] == [(kind, a, b) for a, _, kind, b in want]
+    narrow = secrets.TrigramIndex(df, rules)
+    with narrow.in_place():
+        assert {r["doc_id"]: [(s["kind"], s["start"], s["end"]) for s in r["spans"]] for r in narrow.scan(rules, "spans").collect()} == got
+    assert narrow.postings.select("trigram").distinct().count() == len(secrets.asked_trigrams(rules)) < index.postings.select("trigram").distinct().count()
     found = index.candidates(rules).agg({"*": "count"}).first()[0]
     assert found == 5
     report = {r["doc_id"]: r for r in secrets.secret_report(df).collect()}
