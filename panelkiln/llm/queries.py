@@ -1,4 +1,4 @@
-"""The queries op1 to op10 and the pipeline, and their oracle SQL."""
+"""The queries op1 to op13 and the pipeline, and their oracle SQL."""
 
 from __future__ import annotations
 
@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from panelkiln.llm import digest_dedup, fm_quality, katz, packing, pieces, rindex_dedup, secrets, simhash, token_store, webp
-from panelkiln.llm.common import documents, settled, shared_folder, table, written
+from panelkiln.llm import alignment, digest_dedup, fm_quality, hamerly_codes, katz, packing, pieces, rindex_dedup, secrets, simhash, token_store, webp
+from panelkiln.llm.common import documents, prepare, settled, shared_folder, table, written
 
 
 def vocabulary(name: str) -> str:
@@ -63,6 +63,14 @@ def op10_webp_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return settled(spark, "op10", lambda: webp.media_report(written(webp.write_media(documents(spark, sf_dir)), "media")))
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return settled(spark, "op12", lambda: alignment.alignment_report(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model")))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return settled(spark, "op13", lambda: hamerly_codes.vector_codes(table(prepare(spark), sf_dir, "embeddings")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": op1_quality,
@@ -75,6 +83,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_passages": op8_passages,
         "op9_token_store": op9_token_store,
         "op10_webp_media": op10_webp_media,
+        "op12_alignment": op12_alignment,
+        "op13_vector_codes": op13_vector_codes,
         "pipeline": corpus_pipeline.run,
     }
 

@@ -20,7 +20,7 @@ import re
 import numpy as np
 
 #: Characters with Unicode's White_Space property: fixed values.
-SPACE = "\t\n\v\f\r \x85\xa0                　"
+SPACE = "\t\n\v\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 #: A run of other characters with one space before it; white space up to the last before such a run; that last one.
 UNIT = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]")
 #: The pre-token pattern of byte-level BPE vocabularies of this kind: a fixed value.
@@ -120,6 +120,29 @@ class BpeIds:
         added = self.added
         return [self._library([t])[0] if any(a in t for a in added) else self._encode(t) for t in texts]
 
+    def encode_spaced(self, texts: list[str]) -> list[bytes]:
+        """Ids of a space and each text, in which the strings of added tokens are plain text."""
+        if not self.splits:
+            self.tokenizer.encode_special_tokens = True
+            out = self._library([" " + t for t in texts])
+            self.tokenizer.encode_special_tokens = False
+            return out
+        return [self._spaced(t) for t in texts]
+
+    def _spaced(self, text: str) -> bytes:
+        words = text.split(" ")
+        found = list(map(self.chunks.get, words))
+        if None in found:
+            for i, known in enumerate(found):
+                if known is None:
+                    chunk = words[i]
+                    if not chunk or chunk[-1] in SPACE:
+                        return self._whole(" " + text)
+                    found[i] = self.chunks.get(chunk) or self._chunk(chunk)
+            self.chunks.turn()
+            self.parts.turn()
+        return b"".join(found)
+
     def _encode(self, text: str) -> bytes:
         first, *rest = text.split(" ")
         if rest and (not first or first[-1] in SPACE):
