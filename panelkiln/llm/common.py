@@ -183,3 +183,19 @@ def chunks(batches: Iterator[pa.RecordBatch], most: int = 8 << 20) -> Iterator[p
 def rows(schema: pa.Schema, **columns) -> pa.RecordBatch:
     """A batch with the named columns, cast to the schema."""
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) for f in schema], schema=schema)
+
+
+#: At most so many keys can each have 1/HOT of all rows.
+HOT = 512
+
+
+def hot_join(many: DataFrame, few: DataFrame, key: str, count: str, also: str | None = None) -> DataFrame:
+    """Inner join of rows with a table that has each key once, and in ``count`` how many of the rows it has.
+
+    Keys with 1/HOT of all rows or more, HOT at most, are broadcast; others are joined by the executors. ``also``: a second key column.
+    """
+    at_least = max(64, -(-many.count() // HOT))
+    on = [key, also] if also else [key]
+    hot = few.where(F.col(count) >= at_least)
+    cold = many.join(F.broadcast(hot.select(*on)), on, "left_anti")
+    return many.join(F.broadcast(hot), on).unionByName(cold.join(few.where(F.col(count) < at_least), on))

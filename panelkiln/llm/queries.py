@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from panelkiln.llm import alignment, digest_dedup, fm_quality, hamerly_codes, katz, packing, pieces, rindex_dedup, secrets, simhash, token_store, webp
+from panelkiln.llm import alignment, digest_dedup, fm_quality, hamerly_codes, katz, lattice_neighbours, packing, pieces, rindex_dedup, secrets, simhash, token_store, webp
 from panelkiln.llm.common import documents, prepare, settled, shared_folder, table, written
 
 
@@ -63,6 +63,10 @@ def op10_webp_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return settled(spark, "op10", lambda: webp.media_report(written(webp.write_media(documents(spark, sf_dir)), "media")))
 
 
+def op11_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return settled(spark, "op11", lambda: lattice_neighbours.embedding_groups(table(prepare(spark), sf_dir, "embeddings")))
+
+
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return settled(spark, "op12", lambda: alignment.alignment_report(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model")))
 
@@ -83,6 +87,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_passages": op8_passages,
         "op9_token_store": op9_token_store,
         "op10_webp_media": op10_webp_media,
+        "op11_lattice": op11_lattice,
         "op12_alignment": op12_alignment,
         "op13_vector_codes": op13_vector_codes,
         "pipeline": corpus_pipeline.run,
