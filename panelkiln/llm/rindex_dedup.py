@@ -8,13 +8,17 @@ with a smaller id. Which strings repeat is found in three steps:
    bucket, which of their anchors occur in more than one document, and how often.
 2. Index. The surroundings of each such anchor - as far as a string with the anchor
    in it can reach - go to the task that owns the anchor's hash, equal ones of a
-   block once, with the smallest id that has them. The task builds, for ranges of
-   anchors, the Burrows-Wheeler transform of the distinct surroundings: suffixes
+   block once, with the smallest id that has them. The distinct surroundings of an
+   anchor are put in order of their smallest ids and halved, the halves again, and so
+   on; of each two halves the one with the smaller ids is indexed and the other one
+   streamed through the index. Level by level, the task builds the Burrows-Wheeler
+   transform of many anchors' left halves (from a full suffix array, and with the
+   rows beside it for comparisons: only the transform is run-compressed): suffixes
    sorted by prefix doubling, the transform cut into runs, and for each run its
    first row, where that row goes when its character is put in front, and the text
    positions at its two ends. Rows that share SPAN characters form a class, and each
-   class knows the smallest id among its rows. Then the blocks' surroundings are
-   streamed through the index from right to left, from the empty match on, and their
+   class knows the smallest id among its rows. Then the right halves are streamed
+   through the index from right to left, from the empty match on, and their
    matching statistics kept: where the run's character is the next one, the match
    grows; where it isn't, the match goes on from the end of the nearest run of that
    character above or below, the one whose sampled text position has more in common
@@ -56,7 +60,7 @@ REACH = SPAN - GRAM  # bytes on either side of an anchor
 WIDE = GRAM + 2 * REACH
 BLOCK_BYTES = 4 << 20
 #: Distinct surroundings of one index; with their WIDE + 1 suffixes each they are some 2^19 rows.
-INDEX = 6_000
+INDEX = 16_000
 #: Occurrences beyond which an anchor is split, and the offsets of strings that go together then.
 HOT, NARROW = 6_000, 5
 #: Bits of an anchor's hash.
@@ -401,11 +405,13 @@ class RunIndex:
         self.class_marks = Marked(classes, len(front))
         self.least = np.minimum.reduceat(ids[order // m], classes)
 
-    def shared(self, symbols: np.ndarray, place: int, at: np.ndarray, most: np.ndarray) -> np.ndarray:
-        """How many symbols from ``place`` on each row has in common with the text from ``at`` on, ``most`` at most."""
+    def shared(self, symbols: np.ndarray, which: np.ndarray, place: int, at: np.ndarray, most: np.ndarray) -> np.ndarray:
+        """How many symbols from ``place`` on the rows ``which`` have in common with the text from ``at`` on, ``most`` at most."""
         n = int(most.max(initial=0))
         equal = np.zeros((len(at), n + 1), bool)
-        equal[:, :n] = symbols[:, place : place + n] == self.text[at[:, None] + np.arange(n)]
+        # Rows of text of the longest match's length, from each place on.
+        windows = np.lib.stride_tricks.sliding_window_view(self.text, n) if n else np.zeros((len(self.text), 0), np.uint8)
+        equal[:, :n] = symbols[which, place : place + n] == windows[at]
         return np.minimum(equal.argmin(1), most)
 
     def stream(self, around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -418,7 +424,8 @@ class RunIndex:
         symbols = self.code[around]
         outside = around == OUTSIDE
         least, lengths = np.full((k, REACH + 1), NEVER), np.zeros((k, REACH + 1), np.int64)
-        row, length = np.zeros(k, np.int64), np.zeros(k, np.int64)
+        # The empty match is with every row: one text begins at the first, the next at the last.
+        row, length = np.where(np.arange(k) % 2, self.size - 1, 0), np.zeros(k, np.int64)
         for place in range(WIDE - 1, -1, -1):
             c = symbols[:, place]
             run = self.run_marks.last(row)
@@ -438,15 +445,20 @@ class RunIndex:
     def _jump(self, symbols: np.ndarray, place: int, miss: np.ndarray, row: np.ndarray, length: np.ndarray) -> None:
         """Moves the rows ``miss`` to the end of a run of their next character, and their lengths to what is shared there; -1 without such a run."""
         c = symbols[miss, place].astype(np.int64)
-        here, most, mine = row[miss], length[miss], symbols[miss]
+        here, most = row[miss], length[miss]
         best, to = np.full(len(miss), -1), here.copy()
         after = np.searchsorted(self.keys, c * self.size + here)
+        left = np.arange(len(miss))
         for i, rows_, samples in ((after - 1, self.ends, self.sample), (after, self.runs, self.sample_first)):
-            near = self.by_head[np.clip(i, 0, len(self.keys) - 1)]
-            ok = (i >= 0) & (i < len(self.keys)) & (self.heads[near] == c)
-            common = np.where(ok, self.shared(mine, place + 1, samples[near], most), -1)
-            better = common > best
-            best, to = np.where(better, common, best), np.where(better, rows_[near], to)
+            near = self.by_head[np.clip(i[left], 0, len(self.keys) - 1)]
+            ok = (i[left] >= 0) & (i[left] < len(self.keys)) & (self.heads[near] == c[left])
+            near, some = near[ok], left[ok]
+            common = self.shared(symbols, miss[some], place + 1, samples[near], most[some])
+            better = common > best[some]
+            some = some[better]
+            best[some], to[some] = common[better], rows_[near[better]]
+            # A match that goes on in full can't be bettered.
+            left = left[best[left] < most[left]]
         row[miss], length[miss] = to, best
 
 
@@ -465,6 +477,47 @@ def answer_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at += len(k)
 
 
+def halves(rank: np.ndarray, size: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """(left, right) of the pairs of neighbouring blocks of 2^level rows in each key; rank and size are a row's own in its key."""
+    block = rank >> level
+    return (block % 2 == 0) & (block + 1 << level < size), block % 2 == 1
+
+
+def smallest(around: np.ndarray, keys: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """The smallest id known of each string of distinct surroundings in order of key: at most that of the rows that hold it.
+
+    A key's rows are put in order of their ids. Level by level, of two neighbouring blocks of rows the left one is indexed
+    and the right one streamed through the index: a match of SPAN or more is a string that also starts in a smaller id.
+    Any two rows of a key meet so once, the smaller one in the index. A row whose strings have all been met takes no part in
+    later levels, neither way: whoever shares one of them shares it with the smaller row too.
+    """
+    order = np.lexsort((least, keys))
+    around, keys, least = around[order], keys[order], least[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))[: len(keys)]
+    sizes = np.diff(np.append(first, len(keys)))
+    rank, size = np.arange(len(keys)) - np.repeat(first, sizes), np.repeat(sizes, sizes)
+    inside = np.concatenate([np.zeros((len(around), 1), np.int64), np.cumsum(around != OUTSIDE, 1)], 1)
+    whole = inside[:, SPAN : SPAN + REACH + 1] - inside[:, : REACH + 1] == SPAN
+    found = np.where(whole, least[:, None], NEVER)
+    here = np.arange(len(keys))
+    for level in range(int(sizes.max(initial=1) - 1).bit_length()):
+        left, right = halves(rank[here], size[here], level)
+        # An index takes keys until it has INDEX rows; a key is never cut.
+        upto = np.cumsum(left)
+        new = np.concatenate([[True], keys[here][1:] != keys[here][:-1]])[: len(here)]
+        starts = np.flatnonzero(new)
+        part = np.repeat((upto[starts] - left[starts]) // INDEX, np.diff(np.append(starts, len(here))))
+        for k in range(int(part.max(initial=-1)) + 1):
+            x, y = np.searchsorted(part, [k, k + 1])
+            held, streamed = here[x:y][left[x:y]], here[x:y][right[x:y]]
+            if len(held) and len(streamed):
+                found[streamed] = np.minimum(found[streamed], RunIndex(around[held], least[held]).stream(around[streamed])[0])
+        here = here[(whole[here] & (found[here] >= least[here, None])).any(1)]
+    out = np.empty_like(found)
+    out[order] = found
+    return out
+
+
 def answer_surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     codec = pa.Codec("zstd")
     for bucket, sent in by_bucket(batches):
@@ -475,13 +528,7 @@ def answer_surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
         least = np.full(len(first), NEVER)
         np.minimum.at(least, which, np.concatenate([unpacked(r["body"][2], "<i8") for r in sent]))
         around, keys = around[first], keys[first]
-        found = np.empty((len(first), REACH + 1), np.int64)
-        at = 0
-        while at < len(first):
-            # A key is never cut.
-            end = len(first) if at + INDEX >= len(first) else max(int(np.searchsorted(keys, keys[at + INDEX])), int(np.searchsorted(keys, keys[at], side="right")))
-            found[at:end] = RunIndex(around[at:end], least[at:end]).stream(around[at:end])[0]
-            at = end
+        found = smallest(around, keys, least)
         begins = np.ones(found.shape, bool)
         begins[:, 1:] = found[:, 1:] != found[:, :-1]
         at = 0
