@@ -30,12 +30,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelkiln.llm.common import chunks, rows, text_of, texts, written
-from panelkiln.llm.pieces import BYTE, MARK, pieces
-from panelkiln.llm.tokens import bpe
+from panelkiln.llm.common import chunks, partitions, rows, text_of, texts, written
+from panelkiln.llm.pieces import BYTE, MARK, MergePieces
+from panelkiln.llm.tokens import BpeIds
 
 #: Bytes of text a block holds at most, unless one text has more.
-BLOCK = 8 << 20
+BLOCK = 4 << 20
+#: Words whose ids a worker remembers on each side, twice: two encoders share its memory.
+KEPT = 120_000
 #: Bits of a pair that hold the B id.
 BITS = 32
 
@@ -46,7 +48,7 @@ class Sides:
     def __init__(self, a: str, b: str):
         from sentencepiece import sentencepiece_model_pb2 as proto
 
-        self.a, self.b = bpe(a), pieces(b)
+        self.a, self.b = BpeIds(a, KEPT), MergePieces(b, KEPT)
         back = {c: x for x, c in self.a.letters.items()}
         self.a_bytes = [b""] * self.a.tokenizer.get_vocab_size()
         for token, i in self.a.tokenizer.get_vocab().items():
@@ -163,29 +165,53 @@ OUT = pa.schema([("doc_id", pa.int64()), *((c, pa.int64()) for c in (*COUNTS, "n
 OUT_DDL = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string, n_best_a long"
 
 
+ANSWERS = pa.schema([("block", pa.int64()), ("pair", pa.binary()), ("links", pa.binary()), ("best", pa.binary())])
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Answers in order of (block, pair) as one row a block; best: 1 for the A side, 2 for the B side."""
+
+    def row(held: list[np.ndarray]) -> pa.RecordBatch:
+        x = np.concatenate(held)
+        return rows(ANSWERS, block=[x[0, 0]], pair=[x[:, 1].tobytes()], links=[x[:, 2].tobytes()], best=[x[:, 3].astype(np.uint8).tobytes()])
+
+    held: list[np.ndarray] = []
+    for batch in batches:
+        x = np.stack([c.to_numpy() for c in batch.columns], 1)
+        cuts = np.flatnonzero(np.diff(x[:, 0])) + 1
+        for part in np.split(x, cuts):
+            if held and len(part) and held[-1][0, 0] != part[0, 0]:
+                yield row(held)
+                held = []
+            if len(part):
+                held.append(part)
+    if held:
+        yield row(held)
+
+
 def _report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(batch.num_rows):
-            row = batch.slice(i, 1)
-            answers = row.column(row.schema.get_field_index("answers")).flatten()
-            pair, links, best_a, best_b = (answers.field(f).to_numpy(zero_copy_only=False) for f in ("pair", "links", "best_a", "best_b"))
-            held = row.drop_columns(["answers"]).to_pylist()[0]
-            order = np.argsort(pair)
-            each = np.array(held["n_links"])
-            mine = order[np.searchsorted(pair, _links(held["pairs"], int(each.sum())), sorter=order)] if len(pair) else np.zeros(0, np.int64)
+            held = batch.slice(i, 1).to_pylist()[0]
+            pair, links = (np.frombuffer(held[c] or b"", np.int64) for c in ("pair", "links"))
+            best, each = np.frombuffer(held["best"] or b"", np.uint8), np.array(held["n_links"])
+            mine = np.searchsorted(pair, _links(held["pairs"], int(each.sum())))
             cut = np.concatenate([[0], np.cumsum(each)])
 
             def by_text(values: np.ndarray, mine=mine, cut=cut) -> np.ndarray:
                 sums = np.concatenate([[0], np.cumsum(values[mine], dtype=np.int64)])
                 return sums[cut[1:]] - sums[cut[:-1]]
 
-            yield rows(OUT, n_best=by_text(best_b), n_best_a=by_text(best_a), count_sum=by_text(links), **{c: held[c] for c in ("doc_id", *COUNTS, "groups_sha256")})
+            yield rows(OUT, n_best=by_text(best >> 1), n_best_a=by_text(best & 1), count_sum=by_text(links), **{c: held[c] for c in ("doc_id", *COUNTS, "groups_sha256")})
 
 
 def alignment_report(docs: DataFrame, a: str, b: str) -> DataFrame:
     """Per document: tokens of both sides, groups, links, links that are their B (n_best) or A id's most frequent, and the counts' sum."""
     blocks = written(align(docs, a, b), "aligned")
     asked = pairs_of(blocks)
-    told = asked.join(pair_counts(asked), "pair").groupBy("block").agg(F.collect_list(F.struct("pair", "links", "best_a", "best_b")).alias("answers"))
-    none = F.array().cast(told.schema["answers"].dataType)
-    return blocks.join(told, "block", "left").withColumn("answers", F.coalesce("answers", none)).mapInArrow(_report, OUT_DDL)
+    best = F.col("best_a").cast("long") + 2 * F.col("best_b").cast("long")
+    told = asked.join(pair_counts(asked), "pair").select("block", "pair", "links", best.alias("best"))
+    # A block's answers are as many as its distinct pairs.
+    told = told.repartition(partitions(docs.sparkSession), "block").sortWithinPartitions("block", "pair")
+    told = told.mapInArrow(_packed, "block long, pair binary, links binary, best binary")
+    return blocks.join(told, "block", "left").mapInArrow(_report, OUT_DDL)
