@@ -1,7 +1,7 @@
 """Alignment of two tokenizers' tokens over the same bytes, and how well their ids go together.
 
-Each text is encoded by a byte-level BPE (A, of a space and the text) and by a
-merge-type piece model (B, which puts the space there itself). Inside
+Each text is encoded by a byte-level BPE (A, of a space and the text) and by the
+sentencepiece library with a piece model (B, which puts the space there itself). Inside
 ``mapInArrow`` the two lists of cumulative token ends are merged: where both have
 an end, a group of tokens ends on both sides, and the A token and the B token that
 end there are linked. A block of texts becomes one row with its texts' counts and
@@ -31,13 +31,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelkiln.llm.common import chunks, partitions, rows, text_of, texts, written
-from panelkiln.llm.pieces import BYTE, MARK, MergePieces
+from panelkiln.llm.pieces import BYTE, MARK
 from panelkiln.llm.tokens import BpeIds
 
 #: Bytes of text a block holds at most, unless one text has more.
 BLOCK = 4 << 20
-#: Words whose ids a worker remembers on each side, twice: two encoders share its memory.
-KEPT = 120_000
+#: Words whose A ids a worker remembers, in two generations.
+KEPT = 200_000
 #: Bits of a pair that hold the B id.
 BITS = 32
 
@@ -46,9 +46,10 @@ class Sides:
     """Both tokenizers: the bytes of each id, and the ids' decimal forms before each separator."""
 
     def __init__(self, a: str, b: str):
+        from sentencepiece import SentencePieceProcessor
         from sentencepiece import sentencepiece_model_pb2 as proto
 
-        self.a, self.b = BpeIds(a, KEPT), MergePieces(b, KEPT)
+        self.a, self.b = BpeIds(a, KEPT), SentencePieceProcessor(model_file=b)
         back = {c: x for x, c in self.a.letters.items()}
         self.a_bytes = [b""] * self.a.tokenizer.get_vocab_size()
         for token, i in self.a.tokenizer.get_vocab().items():
@@ -66,7 +67,7 @@ class Sides:
         """Ids of each text on both sides; none where either side doesn't spell space and text."""
         known = [t.decode("utf-8", "replace") for t in texts]
         a = [np.frombuffer(x, self.a.dtype).astype(np.int64) for x in self.a.encode_spaced(known)]
-        b = [np.frombuffer(x, "<u4").astype(np.int64) for x in self.b.encode(known)]
+        b = [np.array(x, np.int64) for i in range(0, len(known), 64) for x in self.b.encode(known[i : i + 64], num_threads=1)]
         none = np.zeros(0, np.int64)
         for i, t in enumerate(texts):
             want = b" " + t
