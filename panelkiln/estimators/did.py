@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
+from collections.abc import Sequence
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelkiln.estimators.linear import Fit, chi2_sf, clustered, demeaned, moments, normal_p, solve, wald
+from panelkiln.estimators import batched
+from panelkiln.estimators.linear import Fit, chi2_sf, clustered, demeaned, moments, solve, wald
 
 
 def _periods(df: DataFrame, time: str) -> list:
@@ -60,97 +59,28 @@ def event_study(df: DataFrame, y: str, unit: str, time: str, rel: str, k: int =
     return twfe(df.withColumns(terms), y, [*terms, *covariates], unit, time)
 
 
-def _place(times: Sequence, time: str) -> Column:
-    """The place of a row's period in the list of periods, from 0; NULL for others."""
-    at = F.array_position(F.array(*[F.lit(t) for t in times]), F.col(time)) if times else F.lit(0)
-    return F.when(at > 0, (at - 1).cast("int"))
-
-
-def _numbers(values: Sequence[float], at: Column) -> Column:
-    """One of a list of numbers, by place."""
-    return F.element_at(F.array(*[F.lit(float(v)) for v in values]), at + 1) if len(values) else F.lit(None).cast("double")
-
-
-def _period_moments(clean: DataFrame, unit: str, y: str, covariates: Sequence[str], periods: int) -> np.ndarray:
-    """Products of the within-unit columns (a dummy per period, covariates, y). Units are rows of lists, at most a
-    calendar long; each adds its own few periods to a partition's sums, which leave it as a row per entry."""
-    k = periods + len(covariates) + 1
-    schema = pa.schema([("at", pa.int32()), ("v", pa.float64())])
-    values = F.collect_list(F.struct("_i", *[F.col(c).alias(f"_v{j}") for j, c in enumerate([*covariates, y])])).alias("held")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((k, k))
-        for batch in batches:
-            held = batch.column(0)
-            ends, flat = held.offsets.to_numpy(), held.values
-            at = flat.field("_i").to_numpy()
-            v = np.stack([flat.field(f"_v{j}").to_numpy(zero_copy_only=False) for j in range(len(covariates) + 1)], 1)
-            for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
-                here = at[a:b]
-                inside = v[a:b] - v[a:b].mean(0)
-                n = np.bincount(here, minlength=periods)
-                some = np.flatnonzero(n)
-                total[some, some] += n[some]
-                total[np.ix_(some, some)] -= np.outer(n[some], n[some]) / (b - a)
-                for j in range(v.shape[1]):
-                    column = np.bincount(here, inside[:, j], periods)
-                    total[:periods, periods + j] += column
-                    total[periods + j, :periods] += column
-                total[periods:, periods:] += inside.T @ inside
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(k * k), pa.int32()), pa.array(total.ravel())], schema=schema)
-
-    parts = clean.groupBy(unit).agg(values).select("held").mapInArrow(run, "at int, v double")
-    out = np.zeros(k * k)
-    for at, v in parts.groupBy("at").agg(F.sum("v")).collect():
-        out[at] = v
-    return out.reshape(k, k)
-
-
-@dataclass
-class Imputed:
-    """rows: with ``effect`` of treated and ``residual`` of untreated rows, their period's place ``_i`` and whether they
-    are treated ``_on``; what the untreated rows were fitted with, the first period left out."""
-
-    rows: DataFrame
-    covariates: np.ndarray
-    times: list
-    inverse: np.ndarray
-
-
-def impute(df: DataFrame, y: str, unit: str, time: str, treated: Column, covariates: Sequence[str] = ()) -> Imputed:
-    """Effects of treated rows: y less what unit and time effects, fitted on untreated rows, predict.
-
-    ``effect`` is NULL where the unit or the period has no untreated row. Unit effects are demeaned away among
-    untreated rows; what is left has a column per period and covariate, so one pass over units and one solve are exact.
-    """
-    base = df.dropna(subset=[y, unit, time, *covariates]).withColumn("_on", F.coalesce(treated, F.lit(False)))
-    base = base.withColumns({c: F.col(c).cast("double") for c in (y, *covariates)})
-    times = _periods(base.where(~F.col("_on")), time)
-    base = base.withColumn("_i", _place(times, time))
-    clean = base.where(~F.col("_on"))
-    n = len(times)
-    m = _period_moments(clean, unit, y, covariates, n) if n else np.zeros((1, 1))
-    keep = list(range(1, n + len(covariates)))
-    xx, xy = m[np.ix_(keep, keep)], m[keep, -1]
-    beta = np.concatenate([[0.0], solve(xx, xy)]) if n else np.zeros(0)
-    inverse = np.zeros((n + len(covariates),) * 2)
-    inverse[np.ix_(keep, keep)] = np.linalg.pinv(xx, hermitian=True) if keep else xx
-    fitted = sum((F.col(c) * float(b) for c, b in zip(covariates, beta[n:], strict=True)), _numbers(beta[:n], F.col("_i")))
-    rest = base.withColumn("_rest", F.col(y) - fitted)
-    level = rest.where(~F.col("_on")).groupBy(unit).agg(F.avg("_rest").alias("_level"))
-    out = rest.join(level, unit, "left").withColumn("_gap", F.col("_rest") - F.col("_level"))
-    out = out.withColumns({"effect": F.when(F.col("_on"), F.col("_gap")), "residual": F.when(~F.col("_on"), F.col("_gap"))})
-    return Imputed(out.drop("_rest", "_level", "_gap"), beta[n:], times, inverse)
-
-
 def imputation_static(df: DataFrame, y: str, unit: str, time: str, treated: Column, cohort: str, covariates: Sequence[str] = ()) -> DataFrame:
     """(term, estimate, std_error, conf_low, conf_high, n, dropped): the mean effect over treated rows."""
-    return _weighted(df, y, unit, time, treated, cohort, {"treat": F.col("effect").isNotNull()}, covariates)
+    return _imputed(df, y, unit, time, treated, cohort, None, (), True, covariates)
 
 
 def imputation_dynamic(df: DataFrame, y: str, unit: str, time: str, treated: Column, cohort: str, rel: str, horizons: Sequence[int] = range(7), covariates: Sequence[str] = ()) -> DataFrame:
     """The mean effect by time since treatment."""
-    return _weighted(df, y, unit, time, treated, cohort, {f"tau{h}": F.col("effect").isNotNull() & (F.col(rel) == h) for h in horizons}, covariates)
+    return _imputed(df, y, unit, time, treated, cohort, rel, horizons, False, covariates)
+
+
+#: Columns of ``imputation_table``.
+EFFECTS = "label string, term string, estimate double, std_error double, conf_low double, conf_high double, p_value double, n long, dropped long"
+
+
+def imputation_table(df: DataFrame, y: str, unit: str, time: str, treated: Column, cohort: str, label: str, rel: str | None = None, horizons: Sequence[int] = (), covariates: Sequence[str] = ()) -> DataFrame:
+    """Static effects, and those of ``horizons``, of all panels that ``label`` names (a name or a list of names by row), from one reading of the rows."""
+    units = batched.gather(df, y, unit, time, cohort, treated, rel, covariates, label)
+    try:
+        found = batched.effect_rows(batched.imputation(units, horizons))
+    finally:
+        units.release()
+    return df.sparkSession.createDataFrame(found, EFFECTS)
 
 
 def event_time_table(df: DataFrame, y: str, unit: str, time: str, treated: Column, cohort: str, rel: str, k: int = 6, covariates: Sequence[str] = ()) -> DataFrame:
@@ -166,55 +96,13 @@ def event_time_table(df: DataFrame, y: str, unit: str, time: str, treated: Colum
     return leads.unionByName(after).withColumn("time", F.regexp_extract("term", r"-?[0-9]+$", 0).cast("int"))
 
 
-def _weighted(df: DataFrame, y: str, unit: str, time: str, treated: Column, cohort: str, targets: dict[str, Column], covariates: Sequence[str]) -> DataFrame:
-    """Means of effects with errors clustered by unit.
-
-    An estimate is a weighted sum of outcomes: 1/N on treated rows of the target, and on untreated rows the weights
-    that the fitted effects pass on. These solve the normal equations with the targets' rows on the right: with
-    g the sum of the targets' within-unit regressors and v = X'X^-1 g, an untreated row has -(share of its unit + v by
-    its demeaned regressors). Residuals of a unit's untreated rows sum to zero, so of that weight only the row's own
-    period and covariates count in the unit's score. Treated residuals are taken from their cohort-and-period mean.
-
-    Nothing has a column per period: sums by unit and by period are grouped, and v is looked up by the row's period.
-    """
-    spark = df.sparkSession
-    kept = df.persist()
+def _imputed(df: DataFrame, y: str, unit: str, time: str, treated: Column, cohort: str, rel: str | None, horizons: Sequence[int], static: bool, covariates: Sequence[str]) -> DataFrame:
+    units = batched.gather(df, y, unit, time, cohort, treated, rel, covariates)
     try:
-        fit = impute(kept, y, unit, time, treated, covariates)
-        rows, n_times = fit.rows, len(fit.times)
-        clean, ks = ~F.col("_on"), range(len(targets))
-        hit = [F.coalesce(c, F.lit(False)) for c in targets.values()]
-        counts = rows.groupBy(unit).agg(F.count_if(clean).alias("_n0"), *[F.count_if(c).alias(f"_t{k}") for k, c in enumerate(hit)], *[F.avg(F.when(clean, F.col(c))).alias(f"_m{j}") for j, c in enumerate(covariates)])
-        full = rows.join(counts, unit, "left")
-        picks = [x for k, c in enumerate(hit) for x in (F.count_if(c).alias(f"n{k}"), F.sum(F.when(c, F.col("effect"))).alias(f"e{k}"), F.sum(F.when(clean, F.col(f"_t{k}") / F.col("_n0"))).alias(f"s{k}"), *[F.sum(F.when(c, F.col(v) - F.col(f"_m{j}"))).alias(f"c{k}_{j}") for j, v in enumerate(covariates)])]
-        by_time = full.groupBy("_i").agg(*picks, F.count_if(F.col("_on") & F.col("effect").isNull()).alias("dropped")).collect()
-        add = lambda name: float(sum(r[name] or 0 for r in by_time))
-        n, vs = [int(add(f"n{k}")) for k in ks], []
-        for k in ks:
-            g = np.zeros(n_times + len(covariates))
-            for r in by_time:
-                if r["_i"] is not None:
-                    g[r["_i"]] = (r[f"n{k}"] or 0) - (r[f"s{k}"] or 0)
-            g[n_times:] = [add(f"c{k}_{j}") for j in range(len(covariates))]
-            vs.append(fit.inverse @ g)
-        # A row per cohort and period.
-        cells = rows.where("_on").groupBy(F.col(cohort).alias("_g"), F.col("_i").alias("_p")).agg(F.avg("effect").alias("_cell"))
-        near = full.join(cells, F.col("_g").eqNullSafe(F.col(cohort)) & (F.col("_p") == F.col("_i")), "left")
-        scores = []
-        for k, c in enumerate(hit):
-            lean = sum((F.col(x) * float(b) for x, b in zip(covariates, vs[k][n_times:], strict=True)), _numbers(vs[k][:n_times], F.col("_i")))
-            part = F.when(c, F.col("effect") - F.col("_cell")).when(clean, -lean * F.col("residual")).otherwise(0.0)
-            scores.append(F.sum(F.coalesce(part, F.lit(0.0)) / max(1, n[k])).alias(f"s{k}"))
-        by_unit = near.groupBy(unit).agg(*scores)
-        squares = by_unit.agg(*[F.sum(F.col(f"s{k}") ** 2).alias(f"v{k}") for k in ks]).first()
+        found = batched.effect_rows(batched.imputation(units, horizons, static))
     finally:
-        kept.unpersist()
-    out, dropped = [], int(add("dropped"))
-    for k, name in enumerate(targets):
-        e = add(f"e{k}") / n[k] if n[k] else None
-        s = float(squares[f"v{k}"] or 0) ** 0.5 if n[k] else None
-        out.append((name, e, s, e - 1.96 * s if n[k] else None, e + 1.96 * s if n[k] else None, normal_p(e / s) if n[k] and s else None, n[k], dropped))
-    return spark.createDataFrame(out, "term string, estimate double, std_error double, conf_low double, conf_high double, p_value double, n long, dropped long")
+        units.release()
+    return df.sparkSession.createDataFrame([r[1:] for r in found], EFFECTS.removeprefix("label string, "))
 
 
 def pretrends(df: DataFrame, y: str, unit: str, time: str, treated: Column, rel: str, leads: Sequence[int] = range(-6, -1), covariates: Sequence[str] = ()) -> tuple[Fit, tuple[float, int, float]]:
@@ -233,32 +121,52 @@ def pretrend_tests(fit: Fit) -> dict[str, tuple[float, int, float]]:
     return {"full": wald(fit.beta, fit.cov), "diagonal": (diagonal, len(z), chi2_sf(diagonal, len(z)) if len(z) else float("nan"))}
 
 
-def group_time(df: DataFrame, y: str, unit: str, time: str, cohort: str, anticipation: int = 1, against: str = "notyet", base: str = "varying") -> DataFrame:
-    """ATT(g, t) from mean long differences, treated less controls.
+def group_time(df: DataFrame, y: str, unit: str, time: str, cohort: str, anticipation: int = 1, against: str = "notyet", base: str = "varying", covariates: Sequence[str] = ()) -> DataFrame:
+    """ATT(g, t) from mean long differences, treated less controls; doubly robust with covariates.
 
     time and cohort are integers (month ids), cohort NULL for the never treated. Controls: not treated by t plus
     anticipation, or never. Differences start from g - 1 - anticipation; with a varying base (the default of the
     usual packages) those before treatment start from the period before, with a universal one all from the same.
-    Differences of each unit are joined on the base period, never over pairs of units. Errors are those of means of
-    independent units: a unit has one difference a cell.
+    Units are read once and never joined; errors are those of sums over independent units.
     """
-    rows = df.select(F.col(unit).alias("u"), F.col(time).alias("t"), F.col(cohort).alias("g"), F.col(y).cast("double").alias("y")).dropna(subset=["u", "t", "y"])
-    # Cohorts are as many as the calendar has periods.
-    cohorts = [r[0] for r in rows.where("g IS NOT NULL").select("g").distinct().orderBy("g").collect()]
-    if not cohorts:
-        cohorts = [None]
-    start = rows.select("u", F.col("t").alias("b"), F.col("y").alias("y0"))
-    fixed = F.col("cohort") - 1 - anticipation
-    b = fixed if base == "universal" else F.when(F.col("t") >= F.col("cohort") - anticipation, fixed).otherwise(F.col("t") - 1)
-    met = rows.withColumn("cohort", F.explode(F.array(*[F.lit(c).cast("int") for c in cohorts]))).withColumn("b", b.cast("int"))
-    diffs = met.join(start, ["u", "b"]).withColumn("d", F.col("y") - F.col("y0")).where("t != b")
-    later = F.col("g").isNull() | (F.col("g") > F.greatest(F.col("t"), F.col("b")) + anticipation) if against == "notyet" else F.col("g").isNull()
-    mine = F.col("g").eqNullSafe(F.col("cohort"))
-    side = F.when(mine, 1).when(later, 0)
-    cells = diffs.withColumn("s", side).where("s IS NOT NULL").groupBy("cohort", "t").agg(*[f(F.when(F.col("s") == k, F.col("d"))).alias(f"{n}{k}") for k in (0, 1) for n, f in (("m", F.avg), ("v", F.var_pop), ("n", F.count))])
-    att = F.col("m1") - F.col("m0")
-    error = F.sqrt(F.col("v1") / F.col("n1") + F.col("v0") / F.col("n0"))
-    return cells.where("n1 > 0 AND n0 > 0").select("cohort", "t", (F.col("t") - F.col("cohort")).alias("rel"), att.alias("att"), error.alias("std_error"), F.col("n1").alias("n_treated"), F.col("n0").alias("n_control"))
+    units = batched.gather(df, y, unit, time, cohort, covariates=covariates)
+    try:
+        found = batched.group_time(units, anticipation, against, base)
+    finally:
+        units.release()
+    rows = [(*cell, cell[1] - cell[0], float(a), float(e), int(n), int(m)) for g in found.values() for cell, a, e, n, m in zip(g.cells, g.att, g.error, g.treated, g.control, strict=True) if n and m]
+    return df.sparkSession.createDataFrame(rows, "cohort int, t int, rel int, att double, std_error double, n_treated long, n_control long")
+
+
+def group_time_table(df: DataFrame, y: str, unit: str, time: str, cohort: str, label: str | None = None, covariates: Sequence[str] = (), weigh: str = "cell", draws: int = 0, cluster: str | None = None) -> DataFrame:
+    """(label, term, estimate, std_error, conf_low, conf_high, band_low, band_high): group-time effects in one number, and by time since treatment.
+
+    Errors take in that the weights are estimated too. With multiplier draws, bands hold for all times of a label at once.
+    """
+    units = batched.gather(df, y, unit, time, cohort, covariates=covariates, label=label, cluster=cluster)
+    try:
+        found = batched.group_time(units, weigh=weigh, draws=draws)
+    finally:
+        units.release()
+    rows = []
+    for name, g in found.items():
+        times = g.band() if draws and len(g.names) > 1 else None
+        for term, b, v in zip(g.names, g.estimate, np.diag(g.clustered), strict=True):
+            s = float(max(v, 0.0) ** 0.5)
+            wide = times * s if times is not None and term != "simple" else None
+            rows.append((name, term, float(b), s, b - 1.96 * s, b + 1.96 * s, b - wide if wide is not None else None, b + wide if wide is not None else None))
+    rows = [tuple(float(x) if isinstance(x, np.floating) else x for x in r) for r in rows]
+    return df.sparkSession.createDataFrame(rows, "label string, term string, estimate double, std_error double, conf_low double, conf_high double, band_low double, band_high double")
+
+
+def lead_table(df: DataFrame, y: str, unit: str, time: str, cohort: str, treated: Column, rel: str, label: str | None = None, covariates: Sequence[str] = (), cluster: str | None = None) -> DataFrame:
+    """(label, method, test, leads, statistic, df, p_value): joint tests of the leads of three methods, with three covariances each."""
+    units = batched.gather(df, y, unit, time, cohort, treated, rel, covariates, label, cluster)
+    try:
+        rows = batched.lead_tests(units)
+    finally:
+        units.release()
+    return df.sparkSession.createDataFrame(rows, "label string, method string, test string, leads int, statistic double, df int, p_value double")
 
 
 def aggregate_att(cells: DataFrame, how: str = "simple") -> DataFrame:
@@ -281,17 +189,6 @@ def heterogeneity(df: DataFrame, y: str, x: str, unit: str, time: str, by: str)
     return {"low": twfe(df.where(F.col(by) < cut), y, [x], unit, time), "high": twfe(df.where(F.col(by) >= cut), y, [x], unit, time)}
 
 
-def grid(panels: dict[str, DataFrame], estimate) -> DataFrame:
-    """One result table for several panels or settings. A panel is kept while its estimate's jobs read it."""
-    out = None
-    for name, df in panels.items():
-        kept = df.persist()
-        part = estimate(kept).withColumn("panel", F.lit(name))
-        kept.unpersist()
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
 def optional_covariates(df: DataFrame, names: Sequence[str]) -> list[str]:
     """Those that exist and have no NULL."""
     have = [n for n in names if n in df.columns]

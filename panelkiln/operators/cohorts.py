@@ -218,5 +218,21 @@ def apply_setting(panel: DataFrame, pairs: DataFrame, setting: Setting) -> DataF
     return treated.unionByName(panel.where("is_treatment = 0").join(controls, "repo_name", "left_semi"))
 
 
-def setting_counts(panel: DataFrame) -> DataFrame:
-    return panel.agg(F.count_distinct(F.when(F.col("is_treatment") == 1, F.col("repo_name"))).alias("treated"), F.count_distinct(F.when(F.col("is_treatment") == 0, F.col("repo_name"))).alias("controls"), F.count("*").alias("n"), F.count_if(F.col("post_event") == 1).cast("long").alias("post_rows"))
+def setting_labels(panel: DataFrame, pairs: DataFrame, chosen: dict[str, Setting]) -> DataFrame:
+    """The panel with ``settings``, the list of the settings that each row is in: what ``apply_setting`` picks for each, at once."""
+    named = lambda marks: F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in marks.items()]))
+    units = {n: s for n, s in chosen.items() if not s.rows}
+    marks = {n: f"_m{i}" for i, n in enumerate(units)}
+    treated = panel.where("is_treatment = 1").select("repo_name", *[F.expr(s.condition).alias(marks[n]) for n, s in units.items()])
+    mine = treated.groupBy("repo_name").agg(*[F.bool_or(c).alias(c) for c in marks.values()]).select("repo_name", named({n: F.col(c) for n, c in marks.items()}).alias("_own"))
+    # As many names as there are settings.
+    met = pairs.join(mine.withColumnRenamed("repo_name", "treatment_repo"), "treatment_repo").select(F.col("control_repo").alias("repo_name"), F.explode("_own").alias("_n"))
+    theirs = met.groupBy("repo_name").agg(F.collect_set("_n").alias("_own"))
+    both = mine.withColumn("is_treatment", F.lit(1)).unionByName(theirs.withColumn("is_treatment", F.lit(0)))
+    whole = named({n: F.expr(s.condition) for n, s in chosen.items() if s.rows})
+    out = panel.join(both, ["repo_name", "is_treatment"], "left")
+    return out.withColumn("settings", F.concat(whole, F.coalesce("_own", F.array().cast("array<string>")))).drop("_own")
+
+
+def setting_counts(panel: DataFrame, *by: str) -> DataFrame:
+    return panel.groupBy(*by).agg(F.count_distinct(F.when(F.col("is_treatment") == 1, F.col("repo_name"))).alias("treated"), F.count_distinct(F.when(F.col("is_treatment") == 0, F.col("repo_name"))).alias("controls"), F.count("*").alias("n"), F.count_if(F.col("post_event") == 1).cast("long").alias("post_rows"))

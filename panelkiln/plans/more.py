@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelkiln import schemas
-from panelkiln.estimators import did
+from panelkiln.estimators import batched, did
 from panelkiln.estimators import panel as panels
 from panelkiln.functions import periods, values
 from panelkiln.operators import cohorts, dependency, effects, events, joins, matching, panel, qc, quality, reshape, similarity
@@ -433,16 +433,16 @@ st AS MATERIALIZED (SELECT lab, u, t, y, post, tr, g FROM rs UNION ALL SELECT la
 
 @query(_SETTINGS + "SELECT lab AS panel, count(DISTINCT CASE WHEN tr THEN u END) AS treated, count(DISTINCT CASE WHEN NOT tr THEN u END) AS controls, count(*) AS n, count_if(post = 1)::BIGINT AS post_rows FROM st GROUP BY 1")
 def settings_statistics(spark, d):
-    p, matched = _settings_panel(spark, d)
-    return reshape.union_all([cohorts.setting_counts(cohorts.apply_setting(p, matched, s)).withColumn("panel", F.lit(name)) for name, s in cohorts.settings(**_MONTHS).items()]).where("n > 0")
+    labelled = cohorts.setting_labels(*_settings_panel(spark, d), cohorts.settings(**_MONTHS))
+    return cohorts.setting_counts(labelled.withColumn("panel", F.explode("settings")), "panel")
 
 
 @query(_SETTINGS + ",\n" + imputed_sql("st") + "\nSELECT lab AS panel, round(avg(effect), 6) AS estimate, count(*) AS n FROM fx GROUP BY 1")
 def settings_grid(spark, d):
     """The effect under each robustness setting."""
-    p, matched = _settings_panel(spark, d)
-    parts = {name: cohorts.apply_setting(p, matched, s) for name, s in cohorts.settings(**_MONTHS).items()}
-    return did.grid(parts, lambda df: did.imputation_static(df, "y", "repo_name", "t", F.col("post") == 1, "g")).select("panel", F.round("estimate", 6).alias("estimate"), "n").where("n > 0")
+    labelled = cohorts.setting_labels(*_settings_panel(spark, d), cohorts.settings(**_MONTHS))
+    found = did.imputation_table(labelled, "y", "repo_name", "t", F.col("post") == 1, "g", "settings")
+    return found.where("n > 0").select(F.col("label").alias("panel"), F.round("estimate", 6).alias("estimate"), "n")
 
 
 _ID = "(substr({0}, 1, 4)::INT * 12 + substr({0}, 6, 2)::INT)"
@@ -456,23 +456,89 @@ e AS (SELECT lab, sum((m1 - m0) * n1) / sum(n1) AS att, sum(n1)::BIGINT AS n FRO
 SELECT lab AS panel, rows, units, round(att, 6) AS att, n FROM r LEFT JOIN e USING (lab)"""
 
 
-@query(_FOUR)
-def four_panels(spark, d):
-    """Main and strict one-to-three samples, as they are and with all months filled in."""
-    base = assembled(spark, d).select("repo_name", F.col("time").alias("month"), "event", "commits", "is_treatment")
+def _four(spark: SparkSession, d: str, *outcomes: str) -> DataFrame:
+    """Main and strict one-to-three samples, as they are and with all months filled in: rows of four panels, from one reading."""
+    base = assembled(spark, d).select("repo_name", F.col("time").alias("month"), "event", "is_treatment", *outcomes)
     strict = cohorts.with_exactly(cohorts.drop_leaky(pairs(spark, d), adoption(spark, d), END))
     units = strict.select(F.col("treatment_repo").alias("repo_name"), F.lit(1).alias("is_treatment")).unionByName(strict.select(F.col("control_repo").alias("repo_name"), F.lit(0).alias("is_treatment"))).distinct()
-    cuts = {"main": base, "strict": base.join(units, ["repo_name", "is_treatment"], "left_semi")}
-    out = []
-    for cut, rows in cuts.items():
-        events_ = rows.groupBy("repo_name").agg(F.max("event").alias("event"))
-        full = panel.complete_window(rows.select("repo_name", "month", "commits"), START, END, zero=["commits"]).join(events_, "repo_name")
-        for kind, df in (("unbalanced", rows), ("completed", full)):
-            coded = df.withColumns({"t": periods.month_id(F.col("month")), "g": periods.month_id(F.col("event"))})
-            att = did.aggregate_att(did.group_time(coded, "commits", "repo_name", "t", "g"))
-            size = df.agg(F.count("*").alias("rows"), F.count_distinct("repo_name").alias("units"))
-            out.append(size.crossJoin(att).select(F.lit(f"{cut}_{kind}").alias("panel"), "rows", "units", F.round("att", 6).alias("att"), "n"))  # one row each
-    return reshape.union_all(out)
+    held = F.collect_list(F.struct("month", *outcomes)).alias("rows")
+    # A unit's months, at most a calendar, and those that its completed panel adds.
+    one = base.join(units.withColumn("strict", F.lit(True)), ["repo_name", "is_treatment"], "left").groupBy("repo_name").agg(F.max("event").alias("event"), F.bool_or("strict").alias("strict"), held)
+    have = F.transform("rows", lambda r: r["month"])
+    every = F.transform(F.sequence(F.to_date(F.concat(F.array_min(have), F.lit("-01"))), F.lit(f"{END}-01").cast("date"), F.expr("interval 1 month")), lambda m: F.date_format(m, "yyyy-MM"))
+    blank = F.transform(F.array_except(every, have), lambda m: F.struct(m.alias("month"), *[F.lit(0).cast(base.schema[c].dataType).alias(c) for c in outcomes], F.lit(False).alias("seen")))
+    seen = F.transform("rows", lambda r: F.struct(r["month"].alias("month"), *[r[c].alias(c) for c in outcomes], F.lit(True).alias("seen")))
+    rows = one.select("repo_name", "event", "strict", F.explode(F.concat(seen, blank)).alias("r")).select("repo_name", "event", "strict", "r.month", *[f"r.{c}" for c in outcomes], "r.seen")
+    named = {"main_unbalanced": F.col("seen"), "main_completed": F.lit(True), "strict_unbalanced": F.col("seen") & F.col("strict"), "strict_completed": F.col("strict")}
+    panels_ = F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in named.items()]))
+    return rows.withColumns({"panels": panels_, "t": periods.month_id(F.col("month")), "g": periods.month_id(F.col("event"))})
+
+
+@query(_FOUR)
+def four_panels(spark, d):
+    """The group-time effect in one number, for each of the four panels."""
+    rows = _four(spark, d, "commits")
+    units = batched.gather(rows, "commits", "repo_name", "t", "g", label="panels")
+    try:
+        found, sizes = batched.group_time(units), units.sizes().collect()  # a row per panel
+    finally:
+        units.release()
+    n = lambda g: int(sum(n for (c, t), n, m in zip(g.cells, g.treated, g.control, strict=True) if t >= c and m))
+    att = {name: (round(float(g.estimate[0]), 6), n(g)) for name, g in found.items() if g.names[:1] == ["simple"]}
+    return spark.createDataFrame([(r["label"], r["rows"], r["units"], *att.get(r["label"], (None, None))) for r in sizes], "panel string, rows long, units long, att double, n long")
+
+
+_OUTCOMES = ("commits", "lines_added", "contributors", "commit_size", "load")
+_GRID = _FOUR[: _FOUR.index("b0 AS (")] + f"""h0 AS (SELECT 'main' AS cut, repo_name AS u, {_ID.format('time')} AS t, {_ID.format('event')} AS g, commits, lines_added, contributors FROM q),
+h1 AS (SELECT * FROM h0 UNION ALL SELECT 'strict', u, t, g, commits, lines_added, contributors FROM h0 WHERE (g IS NOT NULL AND u IN (SELECT treatment_repo FROM sk)) OR (g IS NULL AND u IN (SELECT control_repo FROM sk))),
+gr AS (SELECT cut, u, any_value(g) AS g, unnest(range(min(t), {1998 * 12 + 12 + 1}))::INT AS t FROM h1 GROUP BY 1, 2),
+h2 AS (SELECT cut || '_unbalanced' AS pan, u, t, g, commits AS c, lines_added AS l, contributors AS w FROM h1 UNION ALL SELECT cut || '_completed', gr.u, gr.t, gr.g, coalesce(commits, 0), coalesce(lines_added, 0), coalesce(contributors, 0) FROM gr LEFT JOIN h1 USING (cut, u, t)),
+h3 AS (SELECT pan, u, t, g, unnest({list(_OUTCOMES)}) AS outcome, unnest([c, l, w, CASE WHEN c > 0 THEN l / c ELSE 0 END, CASE WHEN w > 0 THEN c / w ELSE 0 END]::DOUBLE[]) AS v FROM h2),
+h4 AS (SELECT pan || '|' || outcome AS lab, u, t, g, ln(1 + v) AS y, coalesce(t >= g, false)::INT AS post FROM h3),
+{imputed_sql('h4', 120)},
+tm AS (SELECT lab, 'treat' AS term, effect FROM fx UNION ALL SELECT lab, 'tau' || (t - g), effect FROM fx WHERE t - g BETWEEN 0 AND 6)
+SELECT split_part(lab, '|', 1) AS panel, split_part(lab, '|', 2) AS outcome, term, round(avg(effect), 5) AS estimate, count(*) AS n FROM tm GROUP BY ALL"""
+
+
+def _outcomes(spark: SparkSession, d: str) -> DataFrame:
+    """The four panels' rows once for each of five logged outcomes; labels are panel and outcome."""
+    rows = _four(spark, d, "commits", "lines_added", "contributors")
+    share = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
+    rows = rows.withColumns({"commit_size": share("lines_added", "commits"), "load": share("commits", "contributors")})
+    y = F.explode(F.array(*[F.struct(F.lit(c).alias("outcome"), values.log1p_guarded(F.col(c).cast("double")).alias("y")) for c in _OUTCOMES])).alias("o")
+    long = rows.select("repo_name", "t", "g", "panels", y).select("repo_name", "t", "g", "panels", "o.*")
+    return long.withColumns({"labels": F.transform("panels", lambda p: F.concat_ws("|", p, "outcome")), "post": F.coalesce(F.col("t") >= F.col("g"), F.lit(False)), "rel": F.col("t") - F.col("g")})
+
+
+@query(_GRID)
+def outcome_grid(spark, d):
+    """Static effects and effects by month since adoption, of five outcomes on four panels, as one table."""
+    found = did.imputation_table(_outcomes(spark, d), "y", "repo_name", "t", F.col("post"), "g", "labels", "rel", range(7))
+    name = F.split("label", r"\|")
+    return found.where("n > 0").select(name[0].alias("panel"), name[1].alias("outcome"), "term", F.round("estimate", 5).alias("estimate"), "n")
+
+
+@query()
+def group_time_robust(spark, d):
+    """Group-time effects with a covariate, doubly robust: in one number and by time since treatment, with errors and bands."""
+    return did.group_time_table(_dense(spark, d), "y", "u", "t", "g", covariates=["x"], weigh="cohort", draws=199).drop("label")
+
+
+@query(_DENSE + """, c AS (SELECT DISTINCT g AS cohort FROM q WHERE g IS NOT NULL), z0 AS (SELECT q.*, cohort, CASE WHEN t >= cohort - 1 THEN cohort - 2 ELSE t - 1 END AS b FROM q, c), z AS (SELECT z0.u, z0.t, z0.g, cohort, b, z0.y - s.y AS d FROM z0 JOIN q s ON s.u = z0.u AND s.t = z0.b WHERE z0.t <> b),
+k AS (SELECT *, CASE WHEN g = cohort THEN 1 WHEN g IS NULL OR g > greatest(t, b) + 1 THEN 0 END AS s FROM z), m AS (SELECT cohort, t, avg(d) FILTER (s = 1) AS m1, avg(d) FILTER (s = 0) AS m0, count(d) FILTER (s = 1) AS n1, count(d) FILTER (s = 0) AS n0 FROM k WHERE s IS NOT NULL GROUP BY 1, 2 HAVING count(d) FILTER (s = 1) > 0 AND count(d) FILTER (s = 0) > 0),
+ag AS (SELECT CASE WHEN e.i = 0 THEN 'simple' ELSE 'rel_' || (t - cohort) END AS term, * FROM m, (SELECT unnest([0, 1]) AS i) e WHERE e.i = 1 OR t >= cohort), w AS (SELECT term, sum((m1 - m0) * n1) / sum(n1) AS est, sum(n1) AS total FROM ag GROUP BY 1),
+psi AS (SELECT term, k.u, sum(CASE WHEN k.s = 1 THEN (k.d - m1) / n1 ELSE -(k.d - m0) / n0 END * n1 / total + CASE WHEN k.s = 1 THEN (m1 - m0 - est) / total ELSE 0 END) AS v FROM ag JOIN w USING (term) JOIN k ON k.cohort = ag.cohort AND k.t = ag.t AND k.s IS NOT NULL GROUP BY 1, 2)
+SELECT term, round(any_value(est), 6) AS estimate, round(sqrt(sum(v * v)), 6) AS std_error FROM psi JOIN w USING (term) GROUP BY 1""")
+def group_time_errors(spark, d):
+    """Aggregates of group-time effects with the errors of their influence functions."""
+    found = did.group_time_table(_dense(spark, d), "y", "u", "t", "g")
+    return found.select("term", F.round("estimate", 6).alias("estimate"), F.round("std_error", 6).alias("std_error"))
+
+
+@query()
+def lead_tests(spark, d):
+    """Joint tests of the leads of three methods with three covariances."""
+    return did.lead_table(_dense(spark, d), "y", "u", "t", "g", F.col("post") == 1, "rel", covariates=["x"]).drop("label")
 
 
 _CATEGORIES = ("SMALL", "LARGE", "PROMO")
@@ -491,8 +557,11 @@ def category_effects(spark, d):
     # All categories share the calendar of all warnings.
     by = li.groupBy("u", t.alias("t")).agg(*[F.count_if(F.split_part("p_type", F.lit(" "), F.lit(1)) == x).alias(x) for x in _CATEGORIES], F.count("*").alias("n"), F.lit(0.0).alias("v"))
     base = _coded_units(by, c.select("u").distinct())
-    parts = {x: base.join(by.select("u", "t", x), ["u", "t"], "left").withColumn("y", values.log1p_guarded(F.coalesce(x, F.lit(0)).cast("double"))) for x in _CATEGORIES}
-    return did.grid(parts, lambda df: did.imputation_static(df, "y", "u", "t", F.col("post") == 1, "g")).select("panel", F.round("estimate", 6).alias("estimate"), "n")
+    counts = base.join(by.select("u", "t", *_CATEGORIES), ["u", "t"], "left")
+    y = F.explode(F.array(*[F.struct(F.lit(x).alias("panel"), values.log1p_guarded(F.coalesce(x, F.lit(0)).cast("double")).alias("y")) for x in _CATEGORIES])).alias("o")
+    rows = counts.select("u", "t", "g", "post", y).select("u", "t", "g", "post", "o.*")
+    found = did.imputation_table(rows, "y", "u", "t", F.col("post") == 1, "g", "panel")
+    return found.select(F.col("label").alias("panel"), F.round("estimate", 6).alias("estimate"), "n")
 
 
 @query(_ASSEMBLED.rstrip() + f""",
