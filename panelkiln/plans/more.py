@@ -596,10 +596,9 @@ def dependency_health(spark, d):
 def dynamic_panel_models(spark, d):
     """Eight models of velocity and debt: a row per model and term."""
     p = _dense(spark, d).withColumns({"lines_added": F.col("x"), "commits": F.col("y"), "cognitive_complexity": F.sqrt(F.abs(F.sin(F.col("u") * 7 + F.col("t"))) + F.col("y")), "static_analysis_warnings": F.col("y") * F.abs(F.cos(F.col("u") + F.col("t") * 3)), "post_event": F.col("post").cast("double")})
-    recent = p.where(F.col("t") >= 1999 * 12 + 1)
-    fits = panels.fit_models(recent, panels.gmm_models(), "u", "t", exogenous=())
-    rows = [(name, n, float(b), float(e), g.n) for name, g in fits.items() for n, b, e in zip(g.names, g.beta, g.error, strict=True)]
-    return spark.createDataFrame(rows, "model string, term string, estimate double, std_error double, n long")
+    fits = panels.fit_models(p, panels.gmm_models(exogenous=()), "u", "t")
+    rows = [(name, n, float(b), float(e), float(e2), g.n, g.m1[1], g.m2[1]) for name, g in fits.items() for n, b, e, e2 in zip(g.names, g.beta, g.error, g.plain_error, strict=True)]
+    return spark.createDataFrame(rows, "model string, term string, estimate double, std_error double, plain_error double, n long, m1_p double, m2_p double")
 
 
 NAMES = [n for n in catalog.QUERIES if n not in _BEFORE]

@@ -124,3 +124,64 @@ def test_its_with_units(spark):
     rows = [(u, s, float(s > 6), max(0, s - 6), 2.0 * u + 0.5 * s + 3.0 * (s > 6) - 0.25 * max(0, s - 6)) for u in range(4) for s in range(1, 14)]
     df = spark.createDataFrame(rows, "u int, seq int, post double, after int, y double")
     assert np.allclose(panels.its(df, "y", unit="u").beta, [0.5, 3.0, -0.25])
+
+
+def dense_gmm(rows, collapse):
+    """Two steps and the corrected covariance on stacked matrices: y on its lag and x, period effects; rows: (u, t, y, x)."""
+    held = {(u, t): (y, x) for u, t, y, x in rows}
+    us, ts = sorted({r[0] for r in rows}), sorted({r[1] for r in rows})
+    periods = list(range(ts[0] + 2, ts[-1] + 1))
+    columns = [(t, k) for t in ([None] if collapse else periods) for k in (2, 3) if t is None or t - k >= ts[0]]
+    blocks = []
+    for u in us:
+        zs, xs, ys, when = [], [], [], []
+        for t in periods:
+            if not all((u, t - k) in held for k in range(3)):
+                continue
+            level = [held[u, t - k][0] if (u, t - k) in held and when_ in (None, t) else 0.0 for when_, k in columns]
+            dx = held[u, t][1] - held[u, t - 1][1]
+            extra = [1.0, *[float(t == p) for p in periods[1:]]]
+            zs.append([*level, dx, *extra])
+            xs.append([held[u, t - 1][0] - held[u, t - 2][0], dx, *extra])
+            ys.append(held[u, t][0] - held[u, t - 1][0])
+            when.append(t)
+        if ys:
+            w = np.array(when)
+            blocks.append((np.array(zs), np.array(xs), np.array(ys), 2.0 * np.eye(len(w)) - (np.abs(w[:, None] - w) == 1)))
+    inv = lambda a: np.linalg.pinv(a, hermitian=True)
+    zx, zy = sum(z.T @ x for z, x, _, _ in blocks), sum(z.T @ y for z, _, y, _ in blocks)
+    w1 = inv(sum(z.T @ h @ z for z, _, _, h in blocks))
+    a1 = inv(zx.T @ w1 @ zx)
+    b1 = a1 @ zx.T @ w1 @ zy
+    omega = sum(np.outer(g := z.T @ (y - x @ b1), g) for z, x, y, _ in blocks)
+    w2 = inv(omega)
+    a2 = inv(zx.T @ w2 @ zx)
+    b2 = a2 @ zx.T @ w2 @ zy
+    d = np.zeros((len(b2), len(b2)))
+    for j in range(len(b2)):
+        turn = -sum(z.T @ (np.outer(x[:, j], y - x @ b1) + np.outer(y - x @ b1, x[:, j])) @ z for z, x, y, _ in blocks)
+        d[:, j] = -a2 @ zx.T @ w2 @ turn @ w2 @ (zy - zx @ b2)
+    v1 = a1 @ zx.T @ w1 @ omega @ w1 @ zx @ a1
+    return b2, a2, a2 + d @ a2 + a2 @ d.T + d @ v1 @ d.T, sum(len(y) for _, _, y, _ in blocks)
+
+
+@pytest.mark.parametrize("collapse", [False, True])
+def test_gmm_errors_equal_dense(spark, collapse):
+    rng = np.random.default_rng(3)
+    rows = []
+    for u in range(70):
+        a, y = rng.normal(), rng.normal()
+        for t in range(7):
+            x = rng.normal()
+            y = 0.4 * y + 0.8 * x + a + rng.normal()
+            if rng.random() < 0.95:
+                rows.append((u, t, float(y), float(x)))
+    df = spark.createDataFrame(rows, "u int, t int, y double, x double")
+    g = panels.difference_gmm(df, "y", ["x"], "u", "t", collapse=collapse)
+    beta, plain, corrected, n = dense_gmm(rows, collapse)
+    assert g.n == n and np.allclose(g.beta, beta[:2], atol=1e-7)
+    assert np.allclose(g.plain_error, np.sqrt(np.diag(plain))[:2], atol=1e-7) and np.allclose(g.error, np.sqrt(np.diag(corrected))[:2], atol=1e-7)
+    # The correction matters here.
+    assert (g.error > 1.002 * g.plain_error).any()
+    both = panels.fit_models(df, {"a": panels.Model("y", ("x",), collapse=collapse), "b": panels.Model("x", (), ("y",))}, "u", "t")
+    assert np.allclose(both["a"].error, g.error) and both["b"].names == ["lag_x", "lag_of_y"] and both["b"].n < n

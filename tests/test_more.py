@@ -180,4 +180,4 @@ def test_gmm_with_an_endogenous_regressor(spark):
     beta = fit(np.linalg.pinv(z.T @ (np.outer(e, e) * same) @ z))
     assert g.names == ["lag_y", "w"] and g.n == len(d) and np.allclose(g.beta, beta[:2], atol=1e-6)
     models = panels.gmm_models()
-    assert len(models) == 8 and sum(m["collapse"] for m in models.values()) == 4
+    assert len(models) == 8 and sum(m.collapse for m in models.values()) == 4
