@@ -93,14 +93,38 @@ def best_version(versions: pd.Series, spec: pd.Series) -> pd.Series:
     return pd.Series([None if vs is None or s is None else best(vs, s) for vs, s in zip(versions, spec, strict=True)])
 
 
+def sort_key(k: tuple) -> str:
+    """A text that sorts as the keys of ``parse`` do."""
+    # '!' sorts before all that a version's parts can hold, '-' before digits: a part of -1 is below all others.
+    return ".".join(f"{x:010d}" for x in k[:3]) + "!" + "!".join(f"{a}{b:010d}{c}" if b >= 0 else f"{a}-" for a, b, c in k[3]) + "!"
+
+
+def intervals(spec: str) -> list[tuple[str | None, bool, str | None, bool]]:
+    """A range as intervals of sort keys: (low, whether itself within, high, whether itself within), None for no bound."""
+    out = []
+    for ands in compiled(spec):
+        low, high = (None, False), (None, False)
+        for op, v in ands:
+            # Of equal bounds the one that leaves its own value out is narrower.
+            if op in (">=", ">", "=") and (low[0] is None or (v, op == ">") > (low[0], not low[1])):
+                low = (v, op != ">")
+            if op in ("<=", "<", "=") and (high[0] is None or (v, op != "<") < (high[0], high[1])):
+                high = (v, op != "<")
+        out.append((sort_key(low[0]) if low[0] else None, low[1], sort_key(high[0]) if high[0] else None, high[1]))
+    return out
+
+
+@F.pandas_udf(T.ArrayType(T.StructType().add("low", "string").add("low_in", "boolean").add("high", "string").add("high_in", "boolean")))
+def spec_intervals(spec: pd.Series) -> pd.Series:
+    return spec.map(lambda s: [dict(zip(("low", "low_in", "high", "high_in"), i, strict=True)) for i in intervals(s)] if s is not None else None)
+
+
 @F.pandas_udf(T.StringType())
 def version_key(version: pd.Series) -> pd.Series:
     """A string that sorts as the versions do; NULL if it is none."""
 
     def key(v: str | None) -> str | None:
         k = parse(v) if v is not None else None
-        if k is None:
-            return None
-        return ".".join(f"{x:010d}" for x in k[:3]) + "." + ".".join(f"{a}{b:010d}{c}" for a, b, c in k[3]) + "."
+        return sort_key(k) if k is not None else None
 
     return version.map(key)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from panelkiln.functions.periods import month_diff
 from panelkiln.functions.values import author_keys, clip, ratio_or_zero
 from panelkiln.operators.joins import author_match
-from panelkiln.operators.reshape import ranked_long
+from panelkiln.operators.reshape import place_in_order, ranked_long
 
 
 def event_windows(panel: DataFrame, unit: str = "repo_name", time: str = "month", event: str = "event") -> DataFrame:
@@ -55,9 +55,9 @@ def contributor_share(units: DataFrame, commits: str = "cursor_commit_rows", tot
 def balanced(windows: DataFrame, before: int = 6, after: int = 6, rank: str = "balanced", unit: str = "repo_name", least_share: float | None = None, evidence: bool = False) -> DataFrame:
     """Eligible units, ranked by one of RANKINGS."""
     ok = eligible(windows, before, after, least_share, evidence)
-    order = [F.desc(c) for c in RANKINGS[rank] if c in ok.columns]
-    # One row a unit: a top list over all units is what is asked for.
-    return ok.withColumn("rank", F.row_number().over(Window.orderBy(*order, F.asc(unit))))
+    # From the greatest on, unknown values last.
+    down = {f"_o{i}": F.coalesce(-F.col(c).cast("double"), F.lit(float("inf"))) for i, c in enumerate(c for c in RANKINGS[rank] if c in ok.columns)}
+    return place_in_order(ok.withColumns(down), [*down, unit], "rank").withColumn("rank", F.col("rank").cast("int")).drop(*down)
 
 
 def window_counts(windows: DataFrame, ks: Sequence[int] = range(3, 10)) -> DataFrame:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelkiln.functions.semver import best_version, version_key, version_satisfies
+from panelkiln.functions.semver import spec_intervals, version_key, version_satisfies
 
 FIELDS = ("dependencies", "devDependencies")
 
@@ -19,19 +19,40 @@ def dependencies(manifests: DataFrame) -> DataFrame:
     return parsed.select("repo_name", "committed_at", F.explode(F.map_concat(both, dev)).alias("package", "spec"))
 
 
+def _changes(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """For each key the releases that were the newest of all so far when they came out, in order of time: no more than it has releases."""
+    so_far = Window.partitionBy(*keys).orderBy("released_at", "_k").rowsBetween(Window.unboundedPreceding, -1)
+    new = rows.withColumn("_max", F.max("_k").over(so_far)).where("_max IS NULL OR _k > _max")
+    return new.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("released_at", "_k", "version"))).alias("_changes"))
+
+
+def _by(changes: str, when: str) -> Column:
+    """The last change up to a time."""
+    past = F.filter(changes, lambda c: c["released_at"] <= F.col(when))
+    return F.try_element_at(past, F.lit(-1))
+
+
 def resolve(deps: DataFrame, releases: DataFrame) -> DataFrame:
     """The newest release within the range at the commit, the newest of all by then, and the days between them.
 
-    releases: (package, version, released_at). A range that nothing meets has NULL.
+    releases: (package, version, released_at). A range that nothing meets has NULL. A range is compiled once, to intervals
+    of sort keys, and meets its package's releases once, however many dependencies ask for it: what is joined to them
+    is one row per (package, spec), the releases that were its newest in turn.
     """
-    known = deps.select("package").distinct().join(releases, "package").withColumn("_k", version_key(F.col("version"))).where("_k IS NOT NULL")
-    at = deps.join(known, "package", "left").where("released_at IS NULL OR released_at <= committed_at")
-    by = at.groupBy("repo_name", "committed_at", "package", "spec").agg(F.collect_set("version").alias("_vs"), F.max_by("version", "_k").alias("newest"), F.max_by("released_at", "_k").alias("newest_at"))
-    out = by.withColumn("version", best_version(F.col("_vs"), F.col("spec"))).drop("_vs")
-    when = releases.select("package", "version", F.col("released_at").alias("version_at"))
-    out = deps.join(out, ["repo_name", "committed_at", "package", "spec"], "left").join(when, ["package", "version"], "left")
+    keys = releases.select("version").distinct().withColumn("_k", version_key(F.col("version"))).where("_k IS NOT NULL")
+    known = releases.join(keys, "version").select("package", "version", "released_at", "_k")
+    asked = deps.select("package", "spec").distinct()
+    ranges = asked.select("spec").distinct().withColumn("_in", F.explode(spec_intervals(F.col("spec"))))
+    above = F.col("_in.low").isNull() | (F.col("_k") > F.col("_in.low")) | (F.col("_in.low_in") & (F.col("_k") == F.col("_in.low")))
+    below = F.col("_in.high").isNull() | (F.col("_k") < F.col("_in.high")) | (F.col("_in.high_in") & (F.col("_k") == F.col("_in.high")))
+    met = asked.join(ranges, "spec").join(known, "package").where(above & below).select("package", "spec", "version", "released_at", "_k").distinct()
+    within = _changes(met, ["package", "spec"]).withColumnRenamed("_changes", "_within")
+    every = _changes(known.join(asked.select("package").distinct(), "package", "left_semi"), ["package"]).withColumnRenamed("_changes", "_every")
+    out = deps.join(within, ["package", "spec"], "left").join(every, "package", "left").withColumns({"_v": _by("_within", "committed_at"), "_n": _by("_every", "committed_at")})
+    out = out.withColumns({"newest": F.col("_n.version"), "newest_at": F.col("_n.released_at"), "version": F.col("_v.version"), "version_at": F.col("_v.released_at")})
     # greatest() skips NULL, so an unresolved range is kept apart.
-    return out.withColumn("lag_days", F.when(F.col("version").isNotNull(), F.greatest(F.date_diff("newest_at", "version_at"), F.lit(0))))
+    lag = F.when(F.col("version").isNotNull(), F.greatest(F.date_diff("newest_at", "version_at"), F.lit(0)))
+    return out.withColumn("lag_days", lag).drop("_within", "_every", "_v", "_n")
 
 
 def vulnerable(resolved: DataFrame, advisories: DataFrame) -> DataFrame:

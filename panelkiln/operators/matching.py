@@ -8,34 +8,58 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelkiln.operators.reshape import sum_below
+from panelkiln.operators.reshape import key_range, sum_below
 
 
-def nearest(treated: DataFrame, controls: DataFrame, within: Sequence[str], score: str = "score", unit: str = "repo_name", k: int = 3) -> DataFrame:
+def _first_names(rows: DataFrame, keys: Sequence[str], name: str, k: int, parts: int = 16) -> DataFrame:
+    """The first k names at each place; a place that many share is cut by hash first."""
+    salt = F.pmod(F.xxhash64(name), F.lit(parts))
+    top = lambda df, *by: df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys, *by).orderBy(name))).where(F.col("_n") <= k).drop("_n")
+    return top(top(rows.withColumn("_salt", salt), "_salt")).drop("_salt")
+
+
+def nearest(treated: DataFrame, controls: DataFrame, within: Sequence[str], score: str = "score", unit: str = "repo_name", k: int = 3, ranges: int = 64) -> DataFrame:
     """The k controls nearest in score within the same group: (unit, control, rank, distance); ties by name.
 
     A control may serve several units; a unit is never its own control. Candidates are the k + 1 distinct scores on
-    either side, found by one sorted pass over both sides, so pairs are never enumerated: of controls with one score
-    only the first k + 1 by name count - one more than are wanted, as the unit itself may be among them.
+    either side: of controls with one score only the first k + 1 by name count - one more than are wanted, as the unit
+    itself may be among them. Pairs are never enumerated, and no task sorts a whole group: both sides' scores, a place
+    each, are cut into ranges of (group, score). A range finds its neighbours in one sorted pass; the k + 1 outermost
+    places of each range of a group that is cut, a bounded table, serve the ranges beside it.
     """
     want, k = k, k + 1
-    c = controls.select(*within, F.col(unit).alias("_c"), F.col(score).alias("_s"))
-    # Controls with one score are one place on the line with its first k names.
-    place = c.withColumn("_n", F.row_number().over(Window.partitionBy(*within, "_s").orderBy("_c"))).where(F.col("_n") <= k)
-    place = place.groupBy(*within, "_s").agg(F.array_sort(F.collect_list("_c")).alias("_names"))
-    t = treated.select(*within, F.col(unit).alias("_t"), F.col(score).alias("_s"))
-    kind = "array<string>" if dict(c.dtypes)["_c"] == "string" else f"array<{dict(c.dtypes)['_c']}>"
-    line = place.select(*within, "_s", F.lit(None).cast(dict(t.dtypes)["_t"]).alias("_t"), F.struct("_s", "_names").alias("_p")).unionByName(
-        t.select(*within, "_s", "_t", F.lit(None).cast(f"struct<_s:double,_names:{kind}>").alias("_p"))
-    )
-    # Running lists of the last k places: a row of the line sees at most k of them, whatever the group's size.
-    down = Window.partitionBy(*within).orderBy(F.asc("_s"), F.asc_nulls_first("_t"))
-    up = Window.partitionBy(*within).orderBy(F.desc("_s"), F.asc_nulls_first("_t"))
+    c = controls.select(*within, F.col(unit).alias("_c"), F.col(score).cast("double").alias("_s"))
+    place = _first_names(c, [*within, "_s"], "_c", k).groupBy(*within, "_s").agg(F.array_sort(F.collect_list("_c")).alias("_names"))
+    t = treated.select(*within, F.col(unit).alias("_t"), F.col(score).cast("double").alias("_s"))
+    asked = t.select(*within, "_s").distinct()
+    kind = dict(place.dtypes)["_names"]
+    none = F.lit(None).cast(f"struct<_s:double,_names:{kind}>")
+    line = place.select(*within, "_s", F.lit(False).alias("_ask"), F.struct("_s", "_names").alias("_p")).unionByName(asked.select(*within, "_s", F.lit(True).alias("_ask"), none.alias("_p")))
+    line = line.withColumn("_r", key_range(line.select(*within, "_s"), [*within, "_s"], ranges))
+    # Running lists of the last k places: a row of the line sees at most k of them, whatever the range's size.
+    inside = Window.partitionBy("_r", *within)
+    down, up = inside.orderBy(F.asc("_s"), F.asc("_ask")), inside.orderBy(F.desc("_s"), F.asc("_ask"))
+    edges = line
     for name, w in (("_below", down), ("_above", up)):
-        line = line.withColumn("_i", F.sum(F.when(F.col("_p").isNotNull(), 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-        ranked = [F.last(F.when(F.col("_p").isNotNull() & (F.col("_i") % k == j), F.col("_p")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)) for j in range(k)]
+        here = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        line = line.withColumn("_i", F.sum(F.when(F.col("_p").isNotNull(), 1).otherwise(0)).over(here))
+        ranked = [F.last(F.when(F.col("_p").isNotNull() & (F.col("_i") % k == j), F.col("_p")), ignorenulls=True).over(here) for j in range(k)]
         line = line.withColumn(name, F.array_compact(F.array(*ranked)))
-    near = line.where("_t IS NOT NULL").select(*within, "_t", F.col("_s").alias("_score"), F.explode(F.array_distinct(F.concat("_below", "_above"))).alias("_p"))
+    # Groups that are cut are fewer than ranges, and have k places on either side of each.
+    cut = edges.groupBy(*within).agg(F.count_distinct("_r").alias("_n")).where("_n > 1")
+    held = edges.where(F.col("_p").isNotNull()).join(F.broadcast(cut.drop("_n")), list(within), "left_semi") if within else edges.where(F.col("_p").isNotNull())
+    outer = [F.row_number().over(inside.orderBy(d("_s"))) <= k for d in (F.asc, F.desc)]
+    held = held.withColumns({"_lo": outer[0], "_hi": outer[1]}).where("_lo OR _hi")
+    carried = held.groupBy(*within).agg(F.array_sort(F.collect_list(F.struct("_s", F.col("_p._names").alias("_names"), "_r"))).alias("_edges"))
+    asks = line.where("_ask").select(*within, "_s", "_r", "_below", "_above")
+    asks = asks.join(F.broadcast(carried), list(within), "left") if within else asks.crossJoin(F.broadcast(carried))  # one row
+    plain = lambda e: F.transform(e, lambda p: F.struct(p["_s"].alias("_s"), p["_names"].alias("_names")))
+    some = lambda e: F.coalesce(e, F.array().cast(f"array<struct<_s:double,_names:{kind},_r:int>>"))
+    before = F.filter(some(F.col("_edges")), lambda e: e["_r"] < F.col("_r"))
+    after = F.filter(some(F.col("_edges")), lambda e: e["_r"] > F.col("_r"))
+    far = F.concat(plain(F.slice(F.reverse(before), 1, k)), plain(F.slice(after, 1, k)))
+    found = asks.select(*within, "_s", F.array_distinct(F.concat("_below", "_above", far)).alias("_places"))
+    near = t.join(found, [*within, "_s"]).select(*within, "_t", F.col("_s").alias("_score"), F.explode("_places").alias("_p"))
     each = near.select(*within, "_t", F.abs(F.col("_p._s") - F.col("_score")).alias("distance"), F.explode("_p._names").alias("control")).where(~F.col("control").eqNullSafe(F.col("_t")))
     rank = F.row_number().over(Window.partitionBy(*within, "_t").orderBy("distance", "control"))
     return each.withColumn("match_rank", rank).where(F.col("match_rank") <= want).select(*within, F.col("_t").alias("treatment"), "control", "match_rank", "distance")

@@ -83,9 +83,38 @@ def cap_groups(df: DataFrame, keys: Sequence[str], ident: str, n: int, seed: int
     return first_rows(df, keys, [hash_text(F.col(ident), seed), F.col(ident)], n)
 
 
+def key_range(df: DataFrame, keys: Sequence[str], ranges: int = 64, seen: int = 64) -> Column:
+    """The number of a row's range, from 0, in the order of keys of any types, texts too; equal keys share a range.
+
+    The cuts are every ``seen``-th of the ``ranges`` x ``seen`` rows with the smallest hashes, which are all that the driver
+    gets; the same rows give the same cuts.
+    """
+    some = df.select(*keys).orderBy(F.xxhash64(*keys), *keys).limit(ranges * seen)
+    held = some.orderBy(*keys).collect()
+    cuts = list(dict.fromkeys(tuple(r) for r in held[seen // 2 :: max(1, len(held) // ranges)]))
+    types = {f.name: f.dataType for f in df.select(*keys).schema}
+    key = lambda values: F.struct(*[v.cast(types[k]).alias(k) for k, v in zip(keys, values, strict=True)])
+    at = key([F.col(k) for k in keys])
+    return F.size(F.filter(F.array(*[key([F.lit(v) for v in c]) for c in cuts]), lambda c: c <= at)) if cuts else F.lit(0)
+
+
+def place_in_order(df: DataFrame, keys: Sequence[str], name: str, ranges: int = 64) -> DataFrame:
+    """Adds each row's place, from 1, in the order of its keys, which no two rows share. A range's rows are sorted together, never all."""
+    placed = df.withColumn("_range", key_range(df, keys, ranges))
+    # A row a range.
+    sizes = sorted((r["_range"], r["n"]) for r in placed.groupBy("_range").agg(F.count("*").alias("n")).collect())
+    starts, total = {}, 0
+    for k, n in sizes:
+        starts[k] = total
+        total += n
+    before = F.element_at(F.create_map(*[F.lit(x) for kv in starts.items() for x in kv]), F.col("_range")) if starts else F.lit(0)
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*keys))
+    return placed.withColumn(name, before + inside).drop("_range")
+
+
 def dense_ids(df: DataFrame, column: str, name: str) -> DataFrame:
-    """1, 2, ... in order of the names. Only the distinct names are sorted in one place."""
-    ids = df.select(column).distinct().withColumn(name, F.dense_rank().over(Window.orderBy(column)).cast("int"))
+    """1, 2, ... in order of the names."""
+    ids = place_in_order(df.select(column).distinct(), [column], name).withColumn(name, F.col(name).cast("int"))
     return df.join(ids, column)
 
 
