@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from panelkiln.estimators import batched
 from panelkiln.estimators.linear import Fit, chi2_sf, clustered, demeaned, moments, solve, wald
+from panelkiln.operators.quantiles import quantiles
 
 
 def _periods(df: DataFrame, time: str) -> list:
@@ -185,7 +186,7 @@ def did_2x2(df: DataFrame, y: str, treated: str, post: str) -> DataFrame:
 
 def heterogeneity(df: DataFrame, y: str, x: str, unit: str, time: str, by: str) -> dict[str, Fit]:
     """Effects below and from the median of a unit's value on."""
-    cut = df.select(unit, by).distinct().agg(F.median(by)).first()[0]
+    cut = quantiles(df.select(unit, by).distinct(), [by], [0.5]).first()["value"]
     return {"low": twfe(df.where(F.col(by) < cut), y, [x], unit, time), "high": twfe(df.where(F.col(by) >= cut), y, [x], unit, time)}
 
 

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelkiln.operators.quantiles import quantiles
 from panelkiln.operators.reshape import key_range, sum_below
 
 
@@ -112,11 +113,14 @@ def balance_table(df: DataFrame, group: str, features: Sequence[str]) -> DataFra
     for c in features:
         for g, s in ((1, "t"), (0, "c")):
             x = F.when(F.col(group) == g, F.col(c).cast("double"))
-            picks += [F.avg(x).alias(f"{c}|mean_{s}"), F.median(x).alias(f"{c}|median_{s}"), F.var_samp(x).alias(f"{c}|var_{s}")]
+            picks += [F.avg(x).alias(f"{c}|mean_{s}"), F.var_samp(x).alias(f"{c}|var_{s}")]
     one = df.agg(*picks)
-    stats = ("mean_t", "mean_c", "median_t", "median_c", "var_t", "var_c")
+    stats = ("mean_t", "mean_c", "var_t", "var_c")
     rows = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), *[F.col(f"`{c}|{s}`").alias(s) for s in stats]) for c in features])).alias("r")
-    out = one.select(rows).select("r.*")
+    medians = quantiles(df.where(F.col(group).isin(0, 1)), features, [0.5], [group])
+    # A row per feature.
+    medians = medians.groupBy(F.col("column").alias("feature")).agg(*[F.max(F.when(F.col(group) == g, F.col("value"))).alias(f"median_{s}") for g, s in ((1, "t"), (0, "c"))])
+    out = one.select(rows).select("r.*").join(medians, "feature", "left").select("feature", "mean_t", "mean_c", "median_t", "median_c", "var_t", "var_c")
     return out.withColumn("normalised_difference", (F.col("mean_t") - F.col("mean_c")) / F.sqrt((F.col("var_t") + F.col("var_c")) / 2))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelkiln.functions.values import missing_to_null
+from panelkiln.operators.quantiles import quantiles
 
 
 def qc_long(df: DataFrame, checks: dict[str, Column]) -> DataFrame:
@@ -90,14 +91,19 @@ def describe(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> D
         "mean": F.avg,
         "sd": F.stddev_samp,
         "min": lambda c: F.min(c).cast("double"),
-        "q25": lambda c: F.percentile(c, 0.25),
-        "median": lambda c: F.percentile(c, 0.5),
-        "q75": lambda c: F.percentile(c, 0.75),
         "max": lambda c: F.max(c).cast("double"),
     }
     one = df.groupBy(*by).agg(*[f(F.col(c)).alias(f"{c}|{s}") for c in columns for s, f in stats.items()])
     rows = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), *[F.col(f"`{c}|{s}`").alias(s) for s in stats]) for c in columns])).alias("r")
-    return one.select(*by, rows).select(*by, "r.*")
+    cuts = {"q25": 0.25, "median": 0.5, "q75": 0.75}
+    # A row per group and column on either side.
+    found = quantiles(df, columns, list(cuts.values()), by)
+    wide = found.groupBy(*[F.col(c).alias(f"_{c}") for c in by], F.col("column").alias("_column")).agg(*[F.max(F.when(F.col("p") == p, F.col("value"))).alias(n) for n, p in cuts.items()])
+    same = F.col("column") == F.col("_column")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    order = ["n", "missing", "zero_count", "mean", "sd", "min", *cuts, "max"]
+    return one.select(*by, rows).select(*by, "r.*").join(wide, same, "left").select(*by, "column", *order)
 
 
 def composition(df: DataFrame, parts: Sequence[str], by: str) -> DataFrame:
@@ -148,7 +154,12 @@ def mean_of_means(df: DataFrame, value: str, cell: Sequence[str], unit: Sequence
     """Sums by cell, means by unit, then mean, median, sd and n by group."""
     cells = df.groupBy(*cell).agg(F.sum(value).alias("_v"))
     units = cells.groupBy(*unit).agg(F.avg("_v").alias("_v"))
-    return units.groupBy(*by).agg(F.avg("_v").alias("mean"), F.median("_v").alias("median"), F.stddev_samp("_v").alias("sd"), F.count("*").alias("n"))
+    one = units.groupBy(*by).agg(F.avg("_v").alias("mean"), F.stddev_samp("_v").alias("sd"), F.count("*").alias("n"))
+    middle = quantiles(units, ["_v"], [0.5], by).select(*[F.col(c).alias(f"_{c}") for c in by], F.col("value").alias("median"))
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return one.join(middle, same, "left").select(*by, "mean", "median", "sd", "n")
 
 
 def pre_post(df: DataFrame, value: str, rel: str, by: Sequence[str] = ()) -> DataFrame:

@@ -239,10 +239,10 @@ def classified(spark, d):
 
 @query("""SELECT 'GHSA-' || c_custkey AS advisory, 'pkg' || c_custkey % 20 AS package, '< 1.' || c_nationkey AS "range", c_name AS summary FROM customer""")
 def landed_advisories(spark, d):
-    """Pages of an interface's answer as landed: one JSON text for each nation."""
+    """Pages of an interface's answer as landed, of a hundred items or so each."""
     c = load(spark, d, "customer")
     node = F.struct(F.struct(F.concat(F.lit("GHSA-"), F.col("c_custkey")).alias("ghsaId"), F.col("c_name").alias("summary")).alias("advisory"), F.struct(F.concat(F.lit("pkg"), F.col("c_custkey") % 20).alias("name")).alias("package"), F.concat(F.lit("< 1."), F.col("c_nationkey")).alias("vulnerableVersionRange"))
-    edges = c.groupBy("c_nationkey").agg(F.collect_list(F.struct(node.alias("node"))).alias("edges"))
+    edges = c.groupBy(F.floor(F.col("c_custkey") / 100).alias("page")).agg(F.collect_list(F.struct(node.alias("node"))).alias("edges"))
     pages = edges.select(F.to_json(F.struct(F.struct("edges", F.struct(F.lit(False).alias("hasNextPage")).alias("pageInfo")).alias("securityVulnerabilities"))).alias("body"))
     return tables.landed_advisories(pages)
 
@@ -344,7 +344,7 @@ def qc_wide(spark, d):
     return qc.wide_checks(reshape.union_all(parts), "panel", ["rows", "last_month"])
 
 
-@query("SELECT 'complete' AS covariate, true AS used UNION ALL SELECT 'holes', false UNION ALL SELECT 'absent', false")
+@query("SELECT covariate, n = 0 AS used FROM (SELECT count_if(l_quantity IS NULL) AS complete, count_if(NOT l_linenumber > 1 OR l_discount IS NULL) AS holes, count(*) AS absent FROM lineitem) UNPIVOT (n FOR covariate IN (complete, holes, absent))")
 def optional_covariates(spark, d):
     li = load(spark, d, "lineitem").select(F.col("l_quantity").alias("complete"), F.when(F.col("l_linenumber") > 1, F.col("l_discount")).alias("holes"))
     names = ["complete", "holes", "absent"]
