@@ -153,7 +153,7 @@ def _place(values: Sequence, c: Column) -> Column:
     return F.when(at > 0, (at - 1).cast("int"))
 
 
-def gather(df: DataFrame, y: str, unit: str, time: str, cohort: str, treated: Column | None = None, rel: str | None = None, covariates: Sequence[str] = (), label: str | None = None, cluster: str | None = None) -> Units:
+def gather(df: DataFrame, y: str, unit: str, time: str, cohort: str | None, treated: Column | None = None, rel: str | None = None, covariates: Sequence[str] = (), label: str | None = None, cluster: str | None = None) -> Units:
     """The panel's units. label: a column with the name of a row's panel, or with a list of such names; none makes one panel named ''.
 
     Rows without y, unit, time or a covariate are left out. treated: whether a row counts as treated; rel: its time since
@@ -165,7 +165,7 @@ def gather(df: DataFrame, y: str, unit: str, time: str, cohort: str, treated: Co
     number = lambda c: F.coalesce(F.col(c).cast("int"), F.lit(NONE)) if c else F.lit(NONE)
     on = F.coalesce(treated, F.lit(False)) if treated is not None else F.lit(False)
     one = base.select(
-        name.alias("label"), F.col(unit).alias("u"), F.col(time).alias("t"), F.col(cohort).alias("g"), on.alias("on"), number(rel).alias("r"), F.col(y).cast("double").alias("y"),
+        name.alias("label"), F.col(unit).alias("u"), F.col(time).alias("t"), (F.col(cohort) if cohort else F.lit(None).cast("int")).alias("g"), on.alias("on"), number(rel).alias("r"), F.col(y).cast("double").alias("y"),
         F.xxhash64(cluster or unit).alias("cluster"), *[F.col(c).cast("double").alias(f"x{j}") for j, c in enumerate(covariates)],
     ).persist()
     # A calendar's values each.

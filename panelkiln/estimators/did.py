@@ -187,7 +187,12 @@ def did_2x2(df: DataFrame, y: str, treated: str, post: str) -> DataFrame:
 def heterogeneity(df: DataFrame, y: str, x: str, unit: str, time: str, by: str) -> dict[str, Fit]:
     """Effects below and from the median of a unit's value on."""
     cut = quantiles(df.select(unit, by).distinct(), [by], [0.5]).first()["value"]
-    return {"low": twfe(df.where(F.col(by) < cut), y, [x], unit, time), "high": twfe(df.where(F.col(by) >= cut), y, [x], unit, time)}
+    half = F.when(F.col(by) < cut, "low").when(F.col(by) >= cut, "high")
+    units = batched.gather(df.withColumn("_half", half).where("_half IS NOT NULL"), y, unit, time, None, covariates=[x], label="_half")
+    try:
+        return {name: w.fit() for name, w in batched.within(units, [], batched.rel_terms([])).items()}
+    finally:
+        units.release()
 
 
 def optional_covariates(df: DataFrame, names: Sequence[str]) -> list[str]:

@@ -108,6 +108,29 @@ def features_before(events: DataFrame, adoption: DataFrame) -> DataFrame:
     return out.withColumn("age_days", age_days(start, F.col("_first")).cast("long")).drop("_first")
 
 
+def period_units(adoption: DataFrame) -> DataFrame:
+    """(repo, period, treated): each adopting repo in its adoption month, and each other repo in every month that has adoptions.
+
+    adoption: (repo, adoption_month), NULL for a repo without. Months are ids; they are as many as the calendar has.
+    """
+    when = adoption.select("repo", month_id(F.col("adoption_month")).alias("period"))
+    months = sorted(r[0] for r in when.where("period IS NOT NULL").select("period").distinct().collect())
+    every = F.explode(F.array(*[F.lit(m) for m in months]).cast("array<int>")).alias("period")
+    mine = when.where("period IS NOT NULL").select("repo", F.col("period").cast("int").alias("period"), F.lit(1).alias("treated"))
+    return mine.unionByName(when.where("period IS NULL").select("repo", every, F.lit(0).alias("treated")))
+
+
+def lag_features(events: DataFrame, units: DataFrame, lags: int = 3, metrics: Sequence[str] = ("n_stars", "n_pulls")) -> DataFrame:
+    """Activity of each unit (repo, period, treated) in each of ``lags`` months before its period, and in all earlier ones.
+
+    Events are counted by month once, whatever the number of periods that look back at them.
+    """
+    by = events.groupBy("repo", month_id(month(F.col("created_at"))).alias("_t")).agg(*[F.count_if(F.col("type").isin(*METRICS[m])).alias(m) for m in metrics], F.count("*").alias("total_events"))
+    back = F.col("period") - F.col("_t")
+    picks = [F.coalesce(F.sum(F.when(back == b if b <= lags else back > lags, F.col(m))), F.lit(0)).cast("long").alias(f"{m}_{f'm{b}' if b <= lags else 'sum'}") for m in (*metrics, "total_events") for b in range(1, lags + 2)]
+    return units.join(by, "repo", "left").groupBy("repo", "period", "treated").agg(*picks)
+
+
 def wide_features(features: DataFrame, names: Sequence[str]) -> DataFrame:
     """A column for each metric and bucket, named by the offset: n_stars_m1 to n_stars_m6 and n_stars_sum."""
     picks = [F.coalesce(F.max(F.when(F.col("bucket") == b, F.col(n))), F.lit(0)).alias(f"{n}_{'sum' if b == 7 else f'm{b}'}") for n in names for b in range(1, 8)]

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from panelkiln.operators.quantiles import quantiles
 from panelkiln.operators.reshape import key_range, sum_below
@@ -92,6 +95,72 @@ def propensity(df: DataFrame, features: Sequence[str], label: str = "treated", c
     return scored.drop("_x", "_y", "_p", "_r", "_l")
 
 
+def propensity_by(df: DataFrame, features: Sequence[str], by: str, label: str = "treated", c: float = 1.0, steps: int = 40) -> DataFrame:
+    """Adds ``score``: a regularised logistic regression for each value of ``by``, all of them fitted at once.
+
+    As ``propensity`` does for one: features are standardised within the group, and half the squared slopes over ``c`` are
+    added to the negative log likelihood. A Newton step is one pass: each task adds up weighted products by group, a row per
+    (group, entry) leaves it, and the driver solves a system of features + 1 for each group; groups are periods, as many as
+    the calendar has. A group without both labels, or a row without a feature, has no score.
+    """
+    k = len(features) + 1
+    # A row per period.
+    moments = df.dropna(subset=[by, label, *features]).groupBy(by).agg(F.avg(F.col(label).cast("double")).alias("_y"), *[f(F.col(x).cast("double")).alias(f"{x}{s}") for x in features for f, s in ((F.avg, "_m"), (F.stddev_pop, "_s"))]).collect()
+    at = {r[by]: (np.array([r[f"{x}_m"] for x in features]), np.array([r[f"{x}_s"] or 1.0 for x in features])) for r in moments if 0 < r["_y"] < 1}
+    beta = {g: np.zeros(k) for g in at}
+    rows = df.select(F.col(by).alias("g"), F.col(label).cast("double").alias("y"), *[F.col(x).cast("double").alias(f"x{i}") for i, x in enumerate(features)]).dropna().persist()
+    kind = df.select(by).schema[0].dataType
+
+    def groups(batch: pa.RecordBatch) -> Iterator[tuple]:
+        g, v = np.array(batch.column(0).to_pylist(), object), np.stack([x.to_numpy(zero_copy_only=False) for x in batch.columns[1:]], 1)
+        for name in set(g.tolist()):
+            if name in at:
+                mine = v[g == name]
+                mean, spread = at[name]
+                yield name, mine[:, 0], np.concatenate([np.ones((len(mine), 1)), (mine[:, 1:] - mean) / spread], 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict = {}
+        key = pa.null()
+        for batch in batches:
+            key = batch.schema.field(0).type
+            for name, y, x in groups(batch):
+                p = 1 / (1 + np.exp(-np.clip(x @ beta[name], -500, 500)))
+                v = np.concatenate([((x * (p * (1 - p))[:, None]).T @ x).ravel(), x.T @ (y - p)])
+                total[name] = total.get(name, 0) + v
+        for name, v in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(v), key), pa.array(np.arange(len(v)), pa.int32()), pa.array(v)], names=["g", "at", "v"])
+
+    penalty = np.diag([0.0, *[1 / c] * (k - 1)])
+    try:
+        for _ in range(steps if at else 0):
+            sums = {g: np.zeros(k * k + k) for g in at}
+            for g, i, v in rows.mapInArrow(run, f"g {kind.simpleString()}, at int, v double").groupBy("g", "at").agg(F.sum("v")).collect():
+                sums[g][i] = v
+            moved = 0.0
+            for g, v in sums.items():
+                step = np.linalg.solve(v[: k * k].reshape(k, k) + penalty + 1e-12 * np.eye(k), v[k * k :] - penalty @ beta[g])
+                beta[g] = beta[g] + step
+                moved = max(moved, float(np.abs(step).max()))
+            if moved < 1e-10:
+                break
+    finally:
+        rows.unpersist()
+    fits = [(g, float(b[0]), *[float(x) for x in b[1:] / at[g][1]], *[float(x) for x in at[g][0]]) for g, b in beta.items()]
+    names = [*[f"_b{i}" for i in range(k)], *[f"_c{i}" for i in range(1, k)]]
+    schema = T.StructType([T.StructField("_g", kind), *[T.StructField(n, T.DoubleType()) for n in names]])
+    table = F.broadcast(df.sparkSession.createDataFrame(fits, schema))  # a row per period
+    index = F.col("_b0") + sum(((F.col(x).cast("double") - F.col(f"_c{i}")) * F.col(f"_b{i}") for i, x in enumerate(features, 1)), F.lit(0.0))
+    return df.join(table, F.col(by) == F.col("_g"), "left").withColumn("score", 1 / (1 + F.exp(-index))).drop("_g", *names)
+
+
+def match_by_period(df: DataFrame, features: Sequence[str], by: str, within: Sequence[str] = (), label: str = "treated", unit: str = "repo_name", k: int = 3) -> tuple[DataFrame, DataFrame]:
+    """(pairs, scored): scores of each period's own fit, and for each treated unit the k nearest controls of its period and group."""
+    scored = propensity_by(df, features, by, label)
+    known = scored.where("score IS NOT NULL")
+    return nearest(known.where(F.col(label) == 1), known.where(F.col(label) == 0), [by, *within], "score", unit, k), scored
+
+
 def diagnostics(scored: DataFrame, label: str = "treated", score: str = "score", cut: float = 0.5) -> DataFrame:
     """AUC by average ranks, McFadden's R2, precision and recall: sums over score groups, so ties weigh half.
 

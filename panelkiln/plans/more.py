@@ -396,6 +396,33 @@ def pretrend_counts(spark, d):
     return effects.pretrend_summary(dynamic)
 
 
+# Matching by period
+
+_LAGS = ", ".join(f"coalesce(sum({m}) FILTER ({'period - t = ' + str(b) if b <= 3 else 'period - t > 3'}), 0)::BIGINT AS {n}_{'m' + str(b) if b <= 3 else 'sum'}" for m, n in (("s", "n_stars"), ("p", "n_pulls"), ("n", "total_events")) for b in range(1, 5))
+
+
+def _period_features(spark: SparkSession, d: str) -> DataFrame:
+    units = events.period_units(adoption(spark, d).select(F.col("repo_name").alias("repo"), F.col("event").alias("adoption_month")))
+    return events.lag_features(monthly_events(spark, d), units)
+
+
+@query(ctes("oe", "ad") + f""", a AS (SELECT repo_name AS repo, substr(event, 1, 4)::INT * 12 + substr(event, 6, 2)::INT AS period FROM ad),
+un AS (SELECT repo, period, 1 AS treated FROM a WHERE period IS NOT NULL UNION ALL SELECT a.repo, m.period, 0 FROM a, (SELECT DISTINCT period FROM a WHERE period IS NOT NULL) m WHERE a.period IS NULL),
+mo AS (SELECT repo, (year(created_at) * 12 + month(created_at))::INT AS t, count(*) AS n, count_if(type = 'WatchEvent') AS s, count_if(type = 'PullRequestEvent') AS p FROM oe GROUP BY 1, 2)
+SELECT un.repo, period, treated, {_LAGS} FROM un LEFT JOIN mo ON mo.repo = un.repo GROUP BY un.repo, period, treated""")
+def period_features(spark, d):
+    """Activity before each period of the units that adopt in it and of those that never do."""
+    return _period_features(spark, d)
+
+
+@query()
+def matched_by_period(spark, d):
+    """From features to pairs: a propensity fit for each adoption month, and three nearest controls of the same month."""
+    names = [f"{m}_{s}" for m in ("n_stars", "n_pulls", "total_events") for s in ("m1", "m2", "m3", "sum")]
+    found, _ = matching.match_by_period(_period_features(spark, d), names, "period", unit="repo")
+    return found.select("period", "treatment", "control", "match_rank", F.round("distance", 6).alias("distance"))
+
+
 # Settings and grids
 
 _MONTHS = dict(until="1999-06", before="1997-01", since="1997-02", default="1997-07", busy=3)

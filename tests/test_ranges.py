@@ -67,3 +67,36 @@ def test_resolution_equals_a_search_of_all_releases(spark):
         assert held[name] == (version, newest, max(0, (known[newest] - known[version]) // 86400) if version else None)
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "collect_set" not in plan
+
+
+def test_propensity_by_period_equals_separate_fits(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    rows = []
+    for p in (3, 4, 7):
+        for i in range(150):
+            x, z = rng.normal(), 5.0 + 3 * rng.normal()
+            rows.append((p, f"u{i}", int(rng.random() < 1 / (1 + np.exp(-(p - 4) * x - 0.2 * z + 1))), float(x), float(z), 1.0))
+    rows += [(9, "a", 1, 0.0, 1.0, 1.0), (9, "b", 1, 1.0, 1.0, 1.0), (3, "hole", 0, None, 1.0, 1.0), (None, "none", 1, 1.0, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "period int, repo string, treated int, x double, z double, flat double").repartition(4)
+    got = {(r["period"], r["repo"]): r["score"] for r in matching.propensity_by(df, ["x", "z", "flat"], "period").collect()}
+    assert len(got) == len(rows) and got[9, "a"] is None and got[3, "hole"] is None and got[None, "none"] is None
+    for p in (3, 4, 7):
+        mine = [r for r in rows if r[0] == p and r[3] is not None]
+        f = np.array([r[3:] for r in mine])
+        sd = f.std(0)
+        x = np.column_stack([np.ones(len(f)), (f - f.mean(0)) / np.where(sd > 0, sd, 1)])
+        y, b, penalty = np.array([r[2] for r in mine], float), np.zeros(4), np.diag([0.0, 1, 1, 1])
+        for _ in range(50):
+            q = 1 / (1 + np.exp(-x @ b))
+            b = b + np.linalg.solve((x * (q * (1 - q))[:, None]).T @ x + penalty, x.T @ (y - q) - penalty @ b)
+        want = 1 / (1 + np.exp(-x @ b))
+        assert np.allclose([got[p, r[1]] for r in mine], want, atol=1e-7)
+        alone = {r["repo"]: r["score"] for r in matching.propensity(df.where((F.col("period") == p) & F.col("x").isNotNull()), ["x", "z", "flat"]).collect()}
+        assert max(abs(alone[r[1]] - got[p, r[1]]) for r in mine) < 1e-3
+    found, _ = matching.match_by_period(df, ["x", "z", "flat"], "period", unit="repo")
+    near = [r for r in found.collect() if r["period"] == 7]
+    t = near[0]["treatment"]
+    controls = sorted((abs(got[7, t] - got[7, r[1]]), r[1]) for r in rows if r[0] == 7 and r[2] == 0)[:3]
+    assert sorted((r["match_rank"], r["control"]) for r in near if r["treatment"] == t) == [(i + 1, c) for i, (_, c) in enumerate(controls)]
