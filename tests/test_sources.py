@@ -77,3 +77,23 @@ def test_stream_counts_match_batch(spark, tmp_path):
     activity.into_table(activity.event_counts(stream), f"{tmp_path}/out", f"{tmp_path}/ck").awaitTermination()
     out = {r["period_start"].day: r["n_stars"] for r in spark.read.parquet(f"{tmp_path}/out").collect()}
     assert out == {1: 2, 2: 2}
+
+
+def test_exact_stream_equals_batch_over_a_restart(spark, tmp_path):
+    """Repeated rows, users in several windows, rows without a user, late rows and a restart between two files."""
+    kinds = ["WatchEvent", "ForkEvent", "IssuesEvent"]
+    row = lambda d, h, i: (kinds[i % 3], dt.datetime(2024, 1, d, h), f"r{i % 2}", None if i % 11 == 0 else f"u{i % 4}")
+    first = [row(d, h, i) for d in (1, 2, 3) for h in (1, 5) for i in range(13)] * 2
+    # Late but within the watermark, and later windows that close the first ones.
+    second = [row(2, 7, i) for i in range(5)] + [row(d, 3, i) for d in (4, 12) for i in range(7)]
+    ddl = "type string, created_at timestamp, repo string, actor string"
+    a, b = spark.createDataFrame(first, ddl), spark.createDataFrame(second, ddl)
+    for part in (a, b):
+        part.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(a.schema).parquet(f"{tmp_path}/in")
+        activity.into_table(activity.exact_counts(stream), f"{tmp_path}/out", f"{tmp_path}/ck").awaitTermination()
+    got = {(r["repo"], r["period_start"]): r for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    rows = a.unionByName(b).withColumn("day", F.date_trunc("day", "created_at"))
+    want = rows.groupBy("repo", "day").agg(F.count_distinct("actor").alias("users"), F.count("*").alias("n"), F.count_if(F.col("type") == "WatchEvent").alias("stars")).collect()
+    closed = {(r["repo"], r["day"]): (r["users"], r["n"], r["stars"]) for r in want if r["day"].day < 9}
+    assert {k: (r["users_involved"], r["total_events"], r["n_stars"]) for k, r in got.items()} == closed and len(closed) == 8
