@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -41,6 +41,36 @@ def shared_coverage(a: DataFrame, b: DataFrame, common: int | None = None) -> Da
     return out.select("unit_a", "unit_b", "shared", "n_a", "n_b", (2 * F.col("shared") / (F.col("n_a") + F.col("n_b"))).alias("coverage"))
 
 
+def clone_cascade(sets: DataFrame, least: float, within: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(pairs, stages): all pairs of units with a coverage of ``least`` or more, found in stages of growing cost.
+
+    sets: (unit, shingle). Units with equal sets are one class, named by its first unit; pairs are of these names, with
+    unit_a before unit_b. within: (unit, side), units compared only with those of the same side.
+    A pair at ``least`` shares at least p = least n / (2 - least) of a class's n shingles; put in order of rarity over all
+    classes, the first n - p + 1 of both then have one in common. Stages: classes that meet there (prefix), those
+    whose sizes allow the coverage (size), and those that have it once their whole sets are compared (clones). Frequent
+    shingles stand last, so they are in no prefix of a set that has rarer ones, and are never joined with each other.
+    """
+    marks, held = _classes(sets)
+    first = marks.groupBy("class").agg(F.min("unit").alias("unit"), F.count("*").alias("copies"))
+    named = held.join(first, "class").select("unit", "shingle", F.col("class.h2").alias("n"))
+    side = within if within is not None else named.select("unit").distinct().withColumn("side", F.lit(0))
+    named = named.join(side.select("unit", "side"), "unit")
+    often = named.groupBy("shingle").agg(F.count("*").alias("_often"))
+    share = F.ceil(F.lit(least) * F.col("n") / F.lit(2 - least) - 1e-9)
+    place = F.row_number().over(Window.partitionBy("unit").orderBy("_often", "shingle"))
+    head = named.join(often, "shingle").withColumn("_place", place).where(F.col("_place") <= F.col("n") - share + 1).select("unit", "side", "n", "shingle")
+    a, b = (head.select(F.col("unit").alias(f"unit_{x}"), F.col("n").alias(f"n_{x}"), "side", "shingle") for x in "ab")
+    met = a.join(b, ["side", "shingle"]).where("unit_a < unit_b").select("unit_a", "unit_b", "n_a", "n_b").distinct()
+    fit = met.where(2 * F.least("n_a", "n_b") >= F.lit(least) * (F.col("n_a") + F.col("n_b")) - 1e-9)
+    whole = named.select("unit", "shingle")
+    both = fit.join(whole.withColumnRenamed("unit", "unit_a"), "unit_a").join(whole.withColumnRenamed("unit", "unit_b"), ["unit_b", "shingle"])
+    shared = both.groupBy("unit_a", "unit_b", "n_a", "n_b").agg(F.count("*").alias("shared"))
+    pairs = shared.withColumn("coverage", 2 * F.col("shared") / (F.col("n_a") + F.col("n_b"))).where(F.col("coverage") >= least - 1e-12)
+    count = lambda df, name: df.agg(F.lit(name).alias("stage"), F.count("*").alias("pairs"))
+    return pairs, count(met, "prefix").unionByName(count(fit, "size")).unionByName(count(pairs, "clones"))
+
+
 def mixed_ratio(classes: DataFrame) -> DataFrame:
     """Share of clone classes with members on both sides. classes: (class, side)."""
     by = classes.groupBy("class").agg(F.count_distinct("side").alias("_n"))

@@ -100,3 +100,27 @@ def test_propensity_by_period_equals_separate_fits(spark):
     t = near[0]["treatment"]
     controls = sorted((abs(got[7, t] - got[7, r[1]]), r[1]) for r in rows if r[0] == 7 and r[2] == 0)[:3]
     assert sorted((r["match_rank"], r["control"]) for r in near if r["treatment"] == t) == [(i + 1, c) for i, (_, c) in enumerate(controls)]
+
+
+def test_clone_cascade_equals_all_pairs(spark):
+    from panelkiln.operators import similarity
+
+    rng = random.Random(9)
+    base = [set(rng.sample(range(400), rng.randrange(1, 40))) for _ in range(25)]
+    sets = {i: s | {1000, 1001} for i, s in enumerate(base)}  # two shingles that all have
+    for i in range(40):
+        s = set(base[i % 25])
+        drop = set(rng.sample(sorted(s), min(len(s), rng.randrange(0, 12))))
+        sets[100 + i] = (s - drop) | set(rng.sample(range(400, 500), rng.randrange(0, 6))) | {1000, 1001}
+    df = spark.createDataFrame([(u, x) for u, s in sets.items() for x in s], "unit int, shingle long").repartition(3)
+    for least in (0.3, 0.5, 0.8, 1.0):
+        pairs, stages = similarity.clone_cascade(df, least)
+        got = {(r["unit_a"], r["unit_b"]): (r["shared"], round(r["coverage"], 9)) for r in pairs.collect()}
+        firsts = {frozenset(s): min(u for u, t in sets.items() if t == s) for s in map(frozenset, sets.values())}
+        units = sorted(firsts.values())
+        want = {(a, b): (len(sets[a] & sets[b]), round(2 * len(sets[a] & sets[b]) / (len(sets[a]) + len(sets[b])), 9)) for a in units for b in units if a < b and 2 * len(sets[a] & sets[b]) >= least * (len(sets[a]) + len(sets[b]))}
+        assert got == want
+        n = {r["stage"]: r["pairs"] for r in stages.collect()}
+        assert n["clones"] == len(want) and n["clones"] <= n["size"] <= n["prefix"]
+    # Hot shingles alone bring no pair together at a high coverage.
+    assert n["prefix"] < len(units) * (len(units) - 1) / 20
