@@ -59,8 +59,8 @@ SPAN, GRAM = 50, 16
 REACH = SPAN - GRAM  # bytes on either side of an anchor
 WIDE = GRAM + 2 * REACH
 BLOCK_BYTES = 4 << 20
-#: Distinct surroundings of one index; with their WIDE + 1 suffixes each they are some 2^19 rows.
-INDEX = 16_000
+#: Distinct surroundings of one index; with their WIDE + 1 suffixes each they are some 2^18 rows, small enough for caches.
+INDEX = 4_000
 #: Occurrences beyond which an anchor is split, and the offsets of strings that go together then.
 HOT, NARROW = 6_000, 5
 #: Bits of an anchor's hash.
