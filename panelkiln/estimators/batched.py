@@ -456,8 +456,7 @@ def group_time(units: Units, anticipation: int = 1, against: str = "notyet", bas
         return np.concatenate([outer(w * p * (1 - p), z).ravel(), np.einsum("nk,nkp->kp", tr - w * p, z).ravel()])
 
     # With a constant alone the start is the answer.
-    share = {label: n1[label] / np.maximum(n1[label] + n0[label], 1) for label in s}
-    hessian = {label: (n1[label] * (1 - p)).reshape(kk, 1, 1) for label, p in share.items()}
+    hessian = {label: (n1[label] * n0[label] / np.maximum(n1[label] + n0[label], 1)).reshape(kk, 1, 1) for label in s}
     for _ in range(steps if q > 1 else 0):
         m, moved = units.sums(newton, kk * q * (q + 1)), 0.0
         for label, v in m.items():

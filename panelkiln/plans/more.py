@@ -11,7 +11,7 @@ from panelkiln.estimators import panel as panels
 from panelkiln.functions import periods, values
 from panelkiln.operators import cohorts, dependency, effects, events, joins, matching, panel, qc, quality, reshape, similarity
 from panelkiln.plans import catalog
-from panelkiln.plans.bindings import END, START, adoption, commits, ctes, load, monthly_events, pairs, panel_rows, scans, series
+from panelkiln.plans.bindings import END, adoption, commits, ctes, load, monthly_events, pairs, panel_rows, scans, series
 from panelkiln.plans.catalog import _ASSEMBLED, _DENSE, _MERGED, _UNIT, _WARN, _WINDOWS, _coded_units, _dense, _unit, assembled, imputed_sql, merged, query, r6, warnings
 from panelkiln.sources import tables
 
