@@ -1,7 +1,11 @@
 """Removal of long repeated passages by run-length compressed Burrows-Wheeler indexes.
 
 A byte goes if a string of SPAN bytes covers it that also starts in a document
-with a smaller id. Which strings repeat is found in three steps:
+with a smaller id. Texts that equal a whole text with a smaller id are told by their
+SHA-256 first: such a copy of SPAN bytes or more goes entirely, and since the smaller
+text has all of its strings, no other text needs its anchors. A class of copies is
+so worked on once, however large. Which strings of the rest repeat is found in
+three steps:
 
 1. Anchors. Of the GRAM-byte hashes in a string, the least marks an anchor; equal
    strings have equal anchors at equal places. Blocks of documents ask, bucket by
@@ -9,7 +13,8 @@ with a smaller id. Which strings repeat is found in three steps:
 2. Index. The surroundings of each such anchor - as far as a string with the anchor
    in it can reach - go to the task that owns the anchor's hash, equal ones of a
    block once, with the smallest id that has them. The distinct surroundings of an
-   anchor are put in order of their smallest ids and halved, the halves again, and so
+   anchor - those that share enough bytes in place with another to share a string -
+   are put in order of their smallest ids and halved, the halves again, and so
    on; of each two halves the one with the smaller ids is indexed and the other one
    streamed through the index. Level by level, the task builds the Burrows-Wheeler
    transform of many anchors' left halves (from a full suffix array, and with the
@@ -134,8 +139,8 @@ def _key(h: np.ndarray) -> np.ndarray:
     return (_mixed(_mixed(h) * np.uint64(FACTOR)) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
-BLOCKS = pa.schema([("block", pa.int64()), ("doc_id", pa.list_(pa.int64())), ("length", pa.binary()), ("text", pa.binary()), ("anchors", pa.binary())])
-BLOCKS_DDL = "block long, doc_id array<long>, length binary, text binary, anchors binary"
+BLOCKS = pa.schema([("block", pa.int64()), ("doc_id", pa.list_(pa.int64())), ("length", pa.binary()), ("text", pa.binary()), ("digests", pa.binary()), ("anchors", pa.binary())])
+BLOCKS_DDL = "block long, doc_id array<long>, length binary, text binary, digests binary, anchors binary"
 REPLY = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("body", pa.list_(pa.binary()))])
 REPLY_DDL = "block long, bucket int, body array<binary>"
 
@@ -147,7 +152,8 @@ def block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a = np.frombuffer(b"".join(held), np.uint8)
         length = np.array(list(map(len, held)), np.uint32)
         at = anchors(a, np.cumsum(length, dtype=np.int64))
-        return rows(BLOCKS, block=[part + nth], doc_id=[ids], length=[packed(length)], text=[a.tobytes()], anchors=[packed(np.diff(at, prepend=0).astype(np.uint32))])
+        digests = b"".join(hashlib.sha256(t).digest() for t in held)
+        return rows(BLOCKS, block=[part + nth], doc_id=[ids], length=[packed(length)], text=[a.tobytes()], digests=[digests], anchors=[packed(np.diff(at, prepend=0).astype(np.uint32))])
 
     for batch in chunks(batches, BLOCK_BYTES):
         for doc, text in zip(batch.column(0).to_pylist(), texts(batch), strict=True):
@@ -161,14 +167,54 @@ def block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield closed()
 
 
-class Block:
+class Digests:
+    """The texts' digests of a block in order, and which of the block's texts each is."""
+
     def __init__(self, row: dict):
+        self.block = row["block"]
+        self.ids = np.array([NEVER if d is None else d for d in row["doc_id"]], np.int64)
+        digests = np.frombuffer(row["digests"], "S32") if row["digests"] else np.zeros(0, "S32")
+        self.order = np.argsort(digests, kind="stable")
+        self.digests = digests[self.order]
+        self.keys = np.array([int.from_bytes(row["digests"][32 * i : 32 * i + BITS // 8], "big") for i in self.order.tolist()], np.int64)
+
+    def ask(self, buckets: int) -> Iterator[pa.RecordBatch]:
+        for b, s in slices(self.keys * buckets >> BITS, buckets):
+            yield rows(SENT, bucket=[b], block=[self.block], body=[[self.digests[s].tobytes(), packed(self.ids[self.order[s]])]])
+
+    def copies(self, replies: list[dict], buckets: int) -> np.ndarray:
+        """Whether each text equals one with a smaller id."""
+        found, out = {r["bucket"]: r["body"] for r in replies}, np.zeros(len(self.ids), bool)
+        for b, s in slices(self.keys * buckets >> BITS, buckets):
+            out[self.order[s]] = np.unpackbits(np.frombuffer(found[b][0], np.uint8), count=s.stop - s.start).astype(bool)
+        return out
+
+
+def answer_copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for bucket, sent in by_bucket(batches):
+        ids = [unpacked(r["body"][1], "<i8") for r in sent]
+        own = np.concatenate(ids)
+        distinct_, which = np.unique(np.concatenate([np.frombuffer(r["body"][0], "S32") for r in sent]), return_inverse=True)
+        least = np.full(len(distinct_), NEVER)
+        np.minimum.at(least, which, own)
+        again, at = least[which] < own, 0
+        for r, k in zip(sent, ids, strict=True):
+            yield rows(REPLY, block=[r["block"]], bucket=[bucket], body=[[np.packbits(again[at : at + len(k)]).tobytes()]])
+            at += len(k)
+
+
+class Block:
+    """A block's texts; ``copy``: those that equal a text with a smaller id, which ask nothing."""
+
+    def __init__(self, row: dict, copy: np.ndarray | None = None):
         self.block, self.doc_ids = row["block"], row["doc_id"]
+        self.copy = np.zeros(len(self.doc_ids), bool) if copy is None else copy
         self.ids = np.array([NEVER if d is None else d for d in row["doc_id"]], np.int64)
         self.length = unpacked(row["length"], "<u4").astype(np.int64)
         self.ends = np.cumsum(self.length)
         self.text = np.frombuffer(row["text"], np.uint8)
         at = np.cumsum(unpacked(row["anchors"], "<u4").astype(np.int64))
+        at = at[~self.copy[np.searchsorted(self.ends, at, side="right")]]
         keys = anchor_keys(self.text, at)
         order = np.argsort(keys, kind="stable")
         self.at, self.keys = at[order], keys[order]
@@ -267,7 +313,7 @@ class Block:
             base = np.repeat(at, k)[smaller] - REACH
             change += np.bincount(base + offset[run[smaller]], minlength=n + 1)
             change -= np.bincount(base + last[run[smaller]] + SPAN, minlength=n + 1)
-        return np.cumsum(change[:n]) > 0
+        return (np.cumsum(change[:n]) > 0) | np.repeat(self.copy & (self.length >= SPAN), self.length)
 
 
 def distinct(around: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -483,6 +529,12 @@ def halves(rank: np.ndarray, size: np.ndarray, level: int) -> tuple[np.ndarray,
     return (block % 2 == 0) & (block + 1 << level < size), block % 2 == 1
 
 
+def whole_strings(around: np.ndarray) -> np.ndarray:
+    """Whether a string starts at each place of the rows, none of it outside."""
+    inside = np.concatenate([np.zeros((len(around), 1), np.int64), np.cumsum(around != OUTSIDE, 1)], 1)
+    return inside[:, SPAN : SPAN + REACH + 1] - inside[:, : REACH + 1] == SPAN
+
+
 def smallest(around: np.ndarray, keys: np.ndarray, least: np.ndarray) -> np.ndarray:
     """The smallest id known of each string of distinct surroundings in order of key: at most that of the rows that hold it.
 
@@ -496,8 +548,7 @@ def smallest(around: np.ndarray, keys: np.ndarray, least: np.ndarray) -> np.ndar
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))[: len(keys)]
     sizes = np.diff(np.append(first, len(keys)))
     rank, size = np.arange(len(keys)) - np.repeat(first, sizes), np.repeat(sizes, sizes)
-    inside = np.concatenate([np.zeros((len(around), 1), np.int64), np.cumsum(around != OUTSIDE, 1)], 1)
-    whole = inside[:, SPAN : SPAN + REACH + 1] - inside[:, : REACH + 1] == SPAN
+    whole = whole_strings(around)
     found = np.where(whole, least[:, None], NEVER)
     here = np.arange(len(keys))
     for level in range(int(sizes.max(initial=1) - 1).bit_length()):
@@ -518,6 +569,27 @@ def smallest(around: np.ndarray, keys: np.ndarray, least: np.ndarray) -> np.ndar
     return out
 
 
+def meeting(around: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Rows that may share a string in place with another row of their key; the others need no index.
+
+    Each NARROW of a string's possible offsets have SPAN - NARROW + 1 bytes in common: rows that share a string share those,
+    at the same place, as the anchor stands at one place in all rows. Equal hashes only let a row into the index.
+    """
+    n, wide, x = len(keys), SPAN - NARROW + 1, np.ascontiguousarray(around.T)
+    sums = np.zeros((WIDE + 1, n), np.uint64)
+    for k in range(WIDE):
+        sums[k + 1] = sums[k] * np.uint64(FACTOR) + (x[k].astype(np.uint64) + np.uint64(1))
+    outside = np.concatenate([np.zeros((1, n), np.int16), np.cumsum(x == OUTSIDE, 0, dtype=np.int16)])
+    salt, out = _mixed(keys.astype(np.uint64)), np.zeros(n, bool)
+    for low in range(NARROW - 1, REACH + 1, NARROW):
+        ok = np.flatnonzero(outside[low + wide] == outside[low])
+        held = _mixed((sums[low + wide] - sums[low] * _power(wide))[ok] ^ salt[ok])
+        order = np.argsort(held)
+        same = np.flatnonzero(held[order][1:] == held[order][:-1])
+        out[ok[order[same]]] = out[ok[order[same + 1]]] = True
+    return out
+
+
 def answer_surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     codec = pa.Codec("zstd")
     for bucket, sent in by_bucket(batches):
@@ -528,7 +600,9 @@ def answer_surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
         least = np.full(len(first), NEVER)
         np.minimum.at(least, which, np.concatenate([unpacked(r["body"][2], "<i8") for r in sent]))
         around, keys = around[first], keys[first]
-        found = smallest(around, keys, least)
+        met = meeting(around, keys)
+        found = np.where(whole_strings(around), least[:, None], NEVER)
+        found[met] = smallest(around[met], keys[met], least[met])
         begins = np.ones(found.shape, bool)
         begins[:, 1:] = found[:, 1:] != found[:, :-1]
         at = 0
@@ -571,13 +645,21 @@ def remove_repeats(docs: DataFrame, keep_bytes: bool = True) -> DataFrame:
     # Bucketed, so that the blocks are joined with their replies in place.
     blocks = bucketed(plain.mapInArrow(block_rows, BLOCKS_DDL), f"passage_blocks_{uuid.uuid4().hex}", n, "block")
 
+    def ask_copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                yield from Digests(row).ask(n)
+
+    def block_of(row: dict) -> Block:
+        return Block(row, Digests(row).copies(row["copies"] or [], n))
+
     def ask_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                yield from Block(batch.slice(i, 1).to_pylist()[0]).ask_keys(n)
+                yield from block_of(batch.slice(i, 1).to_pylist()[0]).ask_keys(n)
 
     def ready(row: dict) -> Block:
-        b = Block(row)
+        b = block_of(row)
         b.keep_repeated(row["keys_known"] or [], n)
         b.surroundings()
         return b
@@ -598,7 +680,9 @@ def remove_repeats(docs: DataFrame, keep_bytes: bool = True) -> DataFrame:
         sent = df.mapInArrow(question, SENT_DDL).repartition(n, "bucket").sortWithinPartitions("bucket")
         return written(sent.mapInArrow(answer, REPLY_DDL), label)
 
-    keys = ask(blocks, ask_keys, answer_keys, "anchor-replies")
-    known = blocks.hint("merge").join(_replies(keys, "keys_known"), "block", "left")
+    copies = ask(blocks.select("block", "doc_id", "digests"), ask_copies, answer_copies, "copy-replies")
+    told = blocks.hint("merge").join(_replies(copies, "copies"), "block", "left")
+    keys = ask(told, ask_keys, answer_keys, "anchor-replies")
+    known = told.join(_replies(keys, "keys_known").hint("merge"), "block", "left")
     found = ask(known, ask_surroundings, answer_surroundings, "passage-replies")
     return known.join(_replies(found, "found").hint("merge"), "block", "left").mapInArrow(mark, OUT_DDL)

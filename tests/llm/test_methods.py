@@ -212,6 +212,60 @@ def test_hot_anchors_are_split(monkeypatch):
     assert split == plain and sum(r["n_removed"] > 0 for r in plain) > 50 and n > 0
 
 
+def test_copies_of_whole_texts_ask_nothing(monkeypatch):
+    """Copies with larger ids go whole, as they do by their passages, and add no surroundings to those of the distinct texts."""
+    monkeypatch.setattr(rindex_dedup, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    monkeypatch.setattr(rindex_dedup, "BLOCK_BYTES", 1500)
+    rng = np.random.default_rng(8)
+    some = lambda n: "".join(map(chr, rng.integers(97, 123, n)))
+    line = some(80)
+    texts = [(i, some(60) + line[: 50 + i] + some(60)) for i in range(12)] + [(20, line[:50]), (21, line[:49]), (22, ""), (23, None)]
+    copied = texts + [(100 * k + i, t) for k in range(1, 6) for i, t in texts] + [(None, texts[0][1]), (None, texts[1][1]), (3, texts[3][1]), (None, some(70)), (5, line[:49])]
+    copied[:16], copied[40:56] = copied[40:56], copied[:16]
+
+    def removal(rows, told):
+        batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int64()), pa.array([t for _, t in rows], pa.string())], names=["doc_id", "text"])
+        held = [row for b in rindex_dedup.block_rows(iter([batch])) for row in b.to_pylist()]
+        answers = [r for out in rindex_dedup.answer_copies(iter(q for row in held for q in rindex_dedup.Digests(row).ask(1))) for r in out.to_pylist()]
+        copies = [rindex_dedup.Digests(row).copies([r for r in answers if r["block"] == row["block"]], 1) if told else None for row in held]
+        blocks = [rindex_dedup.Block(row, c) for row, c in zip(held, copies, strict=True)]
+
+        def ask(question, answer):
+            replies = [r for out in answer(iter([q for b in blocks for q in question(b)])) for r in out.to_pylist()]
+            return [[r for r in replies if r["block"] == b.block] for b in blocks]
+
+        for b, replies in zip(blocks, ask(lambda b: b.ask_keys(1), rindex_dedup.answer_keys), strict=True):
+            b.keep_repeated(replies, 1)
+            b.surroundings()
+        found = ask(lambda b: b.ask_surroundings(1), rindex_dedup.answer_surroundings)
+        out = [r for b, replies in zip(blocks, found, strict=True) for r in rindex_dedup.finish(b, b.marks(replies, 1), True).to_pylist()]
+        return out, sum(len(b.around) for b in blocks), len(blocks)
+
+    told, few, n = removal(copied, True)
+    plain, many, _ = removal(copied, False)
+    assert told == plain and n > 5
+    assert 0 < few < many / 4
+
+
+def test_only_rows_that_may_share_a_string_are_indexed():
+    """Rows that share SPAN bytes in place are all met, rows that share fewer than a window's are not, and ends of texts never count."""
+    rng = np.random.default_rng(9)
+    around = rng.integers(97, 123, (60, rindex_dedup.WIDE)).astype(np.uint8)
+    around[:, rindex_dedup.REACH : rindex_dedup.REACH + rindex_dedup.GRAM] = 97
+    keys = np.repeat(np.arange(20), 3)
+    for k in range(17):
+        around[3 * k + 1, 2 * k : 2 * k + 50] = around[3 * k, 2 * k : 2 * k + 50]
+    around[52, 20:62] = around[51, 20:62]
+    around[54:56, :49], around[54:56, 49:] = around[54, :49], rindex_dedup.OUTSIDE
+    met = rindex_dedup.meeting(around, keys)
+    assert met.tolist() == [k < 17 and i < 2 for k in range(20) for i in range(3)]
+    least = np.arange(60)
+    found = np.where(rindex_dedup.whole_strings(around), least[:, None], rindex_dedup.NEVER)
+    found[met] = rindex_dedup.smallest(around[met], keys[met], least[met])
+    assert np.array_equal(found, rindex_dedup.smallest(around, keys, least))
+    assert len(rindex_dedup.meeting(around[:0], keys[:0])) == 0
+
+
 def kinds_of(data):
     """The transforms of a file, and whether its main image has copies."""
     bits = webp.Bits(data[20:])
