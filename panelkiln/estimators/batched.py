@@ -23,6 +23,8 @@ from panelkiln.estimators.linear import Fit, chi2_sf, normal_p, wald
 
 #: What a unit without a cohort, or a row without a time since treatment, has in its place.
 NONE = -(1 << 31)
+#: Units that are worked on at once: some arrays have a row for each and a column for each cell of a calendar by cohorts.
+UNITS = 256
 
 
 @dataclass
@@ -58,7 +60,12 @@ class Flat:
 
 
 def flats(batch: pa.RecordBatch, covariates: int) -> Iterator[tuple[str, Flat]]:
-    """A batch's units by label."""
+    """A batch's units by label, UNITS at most at a time."""
+    for i in range(0, batch.num_rows, UNITS):
+        yield from _flats(batch.slice(i, UNITS), covariates)
+
+
+def _flats(batch: pa.RecordBatch, covariates: int) -> Iterator[tuple[str, Flat]]:
     label, key, cluster, cohort = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
     held = batch.column(4)
     sizes, rows = held.value_lengths().to_numpy(zero_copy_only=False), held.flatten()

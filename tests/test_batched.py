@@ -172,3 +172,18 @@ def test_empty_panels(spark):
     assert did.group_time(df, "y", "u", "t", "g").collect() == []
     assert did.imputation_table(df, "y", "u", "t", F.col("post"), "g", "label").collect() == []
     assert did.imputation_static(frame(spark, panel(1)).where("g IS NULL"), "y", "u", "t", F.col("post"), "g").first()["n"] == 0
+
+
+def test_units_are_worked_on_a_few_at_a_time(spark):
+    """However many units a batch has, no array has a row for more than UNITS of them; what is added up stays."""
+    data = spark.range(1200).selectExpr("id AS u", "explode(sequence(0, 3)) AS t", "IF(id % 3 = 0, 2, NULL) AS g").selectExpr("*", "CAST(u % 7 + t AS DOUBLE) AS y")
+    units = batched.gather(data.coalesce(1), "y", "u", "t", "g")
+    try:
+        kept = units.frame.toArrow().combine_chunks()
+        pieces = [f for batch in kept.to_batches() for _, f in batched.flats(batch, 0)]
+        sums = units.sums(lambda label, f: np.array([f.n, f.n <= batched.UNITS, f.y.sum(), len(f.y), f.unit.max() < f.n]), 5)[""]
+    finally:
+        units.release()
+    assert max(f.n for f in pieces) <= batched.UNITS < 1200
+    assert sum(f.n for f in pieces) == 1200 and sorted(k for f in pieces for k in f.key.tolist()) == sorted(kept["key"].to_pylist())
+    assert sum(f.y.sum() for f in pieces) == sums[2] == sum(u % 7 + t for u in range(1200) for t in range(4)) and sums[0] == 1200 and sums[3] == 4800
