@@ -99,7 +99,7 @@ def propensity_by(df: DataFrame, features: Sequence[str], by: str, label: str =
     """Adds ``score``: a regularised logistic regression for each value of ``by``, all of them fitted at once.
 
     As ``propensity`` does for one: features are standardised within the group, and half the squared slopes over ``c`` are
-    added to the negative log likelihood. A Newton step is one pass: each task adds up weighted products by group, a row per
+    added to the negative log likelihood. A Newton step is one pass over the distinct rows and their numbers: each task adds up weighted products by group, a row per
     (group, entry) leaves it, and the driver solves a system of features + 1 for each group; groups are periods, as many as
     the calendar has. A group without both labels, or a row without a feature, has no score.
     """
@@ -108,7 +108,9 @@ def propensity_by(df: DataFrame, features: Sequence[str], by: str, label: str =
     moments = df.dropna(subset=[by, label, *features]).groupBy(by).agg(F.avg(F.col(label).cast("double")).alias("_y"), *[f(F.col(x).cast("double")).alias(f"{x}{s}") for x in features for f, s in ((F.avg, "_m"), (F.stddev_pop, "_s"))]).collect()
     at = {r[by]: (np.array([r[f"{x}_m"] for x in features]), np.array([r[f"{x}_s"] or 1.0 for x in features])) for r in moments if 0 < r["_y"] < 1}
     beta = {g: np.zeros(k) for g in at}
-    rows = df.select(F.col(by).alias("g"), F.col(label).cast("double").alias("y"), *[F.col(x).cast("double").alias(f"x{i}") for i, x in enumerate(features)]).dropna().persist()
+    # Rows that agree in period, label and features are one row with their number: each Newton step reads these.
+    rows = df.select(F.col(by).alias("g"), F.col(label).cast("double").alias("y"), *[F.col(x).cast("double").alias(f"x{i}") for i, x in enumerate(features)]).dropna()
+    rows = rows.groupBy(*rows.columns).agg(F.count("*").cast("double").alias("n")).persist()
     kind = df.select(by).schema[0].dataType
 
     def groups(batch: pa.RecordBatch) -> Iterator[tuple]:
@@ -117,16 +119,16 @@ def propensity_by(df: DataFrame, features: Sequence[str], by: str, label: str =
             if name in at:
                 mine = v[g == name]
                 mean, spread = at[name]
-                yield name, mine[:, 0], np.concatenate([np.ones((len(mine), 1)), (mine[:, 1:] - mean) / spread], 1)
+                yield name, mine[:, 0], mine[:, -1], np.concatenate([np.ones((len(mine), 1)), (mine[:, 1:-1] - mean) / spread], 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict = {}
         key = pa.null()
         for batch in batches:
             key = batch.schema.field(0).type
-            for name, y, x in groups(batch):
+            for name, y, n, x in groups(batch):
                 p = 1 / (1 + np.exp(-np.clip(x @ beta[name], -500, 500)))
-                v = np.concatenate([((x * (p * (1 - p))[:, None]).T @ x).ravel(), x.T @ (y - p)])
+                v = np.concatenate([((x * (n * p * (1 - p))[:, None]).T @ x).ravel(), x.T @ (n * (y - p))])
                 total[name] = total.get(name, 0) + v
         for name, v in total.items():
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(v), key), pa.array(np.arange(len(v)), pa.int32()), pa.array(v)], names=["g", "at", "v"])

@@ -124,3 +124,22 @@ def test_clone_cascade_equals_all_pairs(spark):
         assert n["clones"] == len(want) and n["clones"] <= n["size"] <= n["prefix"]
     # Hot shingles alone bring no pair together at a high coverage.
     assert n["prefix"] < len(units) * (len(units) - 1) / 20
+
+
+def test_propensity_steps_read_distinct_rows(spark, monkeypatch):
+    """Equal rows are one with a number in every Newton step; scores are those of all rows one by one."""
+    import numpy as np
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    rows = [(1, f"u{i}-{k}", int(i % 5 < 2 or i == 7), float(i % 8), float(i % 3)) for i in range(40) for k in range(5 + i % 4)]
+    df = spark.createDataFrame(rows, "period int, repo string, treated int, x double, z double").repartition(4)
+    seen, plain = [], DataFrame.mapInArrow
+    monkeypatch.setattr(DataFrame, "mapInArrow", lambda self, *a, **k: seen.append(self.count()) or plain(self, *a, **k))
+    got = {r["repo"]: r["score"] for r in matching.propensity_by(df, ["x", "z"], "period").collect()}
+    assert set(seen) == {len({(r[2], r[3], r[4]) for r in rows})} and max(seen) < len(rows) / 5
+    f = np.array([r[3:] for r in rows])
+    x, y, b = np.column_stack([np.ones(len(f)), (f - f.mean(0)) / f.std(0)]), np.array([r[2] for r in rows], float), np.zeros(3)
+    for _ in range(50):
+        q = 1 / (1 + np.exp(-x @ b))
+        b = b + np.linalg.solve((x * (q * (1 - q))[:, None]).T @ x + np.diag([0.0, 1, 1]), x.T @ (y - q) - np.diag([0.0, 1, 1]) @ b)
+    assert np.allclose([got[r[1]] for r in rows], 1 / (1 + np.exp(-x @ b)), atol=1e-9)
