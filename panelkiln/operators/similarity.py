@@ -15,10 +15,15 @@ def shingles(docs: DataFrame, unit: str, text: str, words: int = 5) -> DataFrame
     return docs.select(F.col(unit).alias("unit"), ws.alias("_w")).select("unit", F.explode(F.array_distinct(runs)).alias("shingle"))
 
 
-def _classes(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(unit, class) and (class, shingle): units with equal sets are one class, told apart by two hash sums and the size."""
+def _marks(df: DataFrame) -> DataFrame:
+    """(unit, class): units with equal sets are one class, told apart by two hash sums and the size."""
     h = [F.bit_xor(F.xxhash64("shingle")), F.bit_xor(F.xxhash64("shingle", F.lit(1))), F.count("*")]
-    marks = df.groupBy("unit").agg(F.struct(*[x.alias(f"h{i}") for i, x in enumerate(h)]).alias("class"))
+    return df.groupBy("unit").agg(F.struct(*[x.alias(f"h{i}") for i, x in enumerate(h)]).alias("class"))
+
+
+def _classes(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(unit, class) and (class, shingle)."""
+    marks = _marks(df)
     heads = marks.groupBy("class").agg(F.min("unit").alias("unit"))
     return marks, df.join(heads, "unit").select("class", "shingle")
 
@@ -51,22 +56,25 @@ def clone_cascade(sets: DataFrame, least: float, within: DataFrame | None = None
     whose sizes allow the coverage (size), and those that have it once their whole sets are compared (clones). Frequent
     shingles stand last, so they are in no prefix of a set that has rarer ones, and are never joined with each other.
     """
-    marks, held = _classes(sets)
-    first = marks.groupBy("class").agg(F.min("unit").alias("unit"), F.count("*").alias("copies"))
-    named = held.join(first, "class").select("unit", "shingle", F.col("class.h2").alias("n"))
-    side = within if within is not None else named.select("unit").distinct().withColumn("side", F.lit(0))
-    named = named.join(side.select("unit", "side"), "unit")
+    first = _marks(sets).groupBy("class").agg(F.min("unit").alias("unit")).select("unit", F.col("class.h2").alias("n"))
+    first = first.withColumn("side", F.lit(0)) if within is None else first.join(within.select("unit", "side"), "unit")
+    # The one join that moves all shingles: sizes and sides come with the first units.
+    named = sets.join(first, "unit").select("unit", "side", "n", "shingle")
     often = named.groupBy("shingle").agg(F.count("*").alias("_often"))
     share = F.ceil(F.lit(least) * F.col("n") / F.lit(2 - least) - 1e-9)
     place = F.row_number().over(Window.partitionBy("unit").orderBy("_often", "shingle"))
     head = named.join(often, "shingle").withColumn("_place", place).where(F.col("_place") <= F.col("n") - share + 1).select("unit", "side", "n", "shingle")
     a, b = (head.select(F.col("unit").alias(f"unit_{x}"), F.col("n").alias(f"n_{x}"), "side", "shingle") for x in "ab")
-    met = a.join(b, ["side", "shingle"]).where("unit_a < unit_b").select("unit_a", "unit_b", "n_a", "n_b").distinct()
-    fit = met.where(2 * F.least("n_a", "n_b") >= F.lit(least) * (F.col("n_a") + F.col("n_b")) - 1e-9)
-    whole = named.select("unit", "shingle")
-    both = fit.join(whole.withColumnRenamed("unit", "unit_a"), "unit_a").join(whole.withColumnRenamed("unit", "unit_b"), ["unit_b", "shingle"])
-    shared = both.groupBy("unit_a", "unit_b", "n_a", "n_b").agg(F.count("*").alias("shared"))
-    pairs = shared.withColumn("coverage", 2 * F.col("shared") / (F.col("n_a") + F.col("n_b"))).where(F.col("coverage") >= least - 1e-12)
+    meet = a.join(b, ["side", "shingle"]).where("unit_a < unit_b").select("unit_a", "unit_b", "n_a", "n_b")
+    met = meet.distinct()
+    # Sizes that don't allow the coverage go before anything is grouped.
+    fit = meet.where(2 * F.least("n_a", "n_b") >= F.lit(least) * (F.col("n_a") + F.col("n_b")) - 1e-9).distinct()
+    # A set travels as one list, and no pair as a row for each shingle.
+    whole = named.groupBy("unit").agg(F.collect_list("shingle").alias("held"))
+    of = lambda x: whole.select(F.col("unit").alias(f"unit_{x}"), F.col("held").alias(f"held_{x}"))
+    shared = F.size(F.array_intersect("held_a", "held_b")).cast("long")
+    both = fit.join(of("a"), "unit_a").join(of("b"), "unit_b").select("unit_a", "unit_b", "n_a", "n_b", shared.alias("shared"))
+    pairs = both.withColumn("coverage", 2 * F.col("shared") / (F.col("n_a") + F.col("n_b"))).where(F.col("coverage") >= least - 1e-12)
     count = lambda df, name: df.agg(F.lit(name).alias("stage"), F.count("*").alias("pairs"))
     return pairs, count(met, "prefix").unionByName(count(fit, "size")).unionByName(count(pairs, "clones"))
 

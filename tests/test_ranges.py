@@ -1,6 +1,7 @@
 """Ranks, neighbours and versions without a group in one task, against brute force."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -143,3 +144,16 @@ def test_propensity_steps_read_distinct_rows(spark, monkeypatch):
         q = 1 / (1 + np.exp(-x @ b))
         b = b + np.linalg.solve((x * (q * (1 - q))[:, None]).T @ x + np.diag([0.0, 1, 1]), x.T @ (y - q) - np.diag([0.0, 1, 1]) @ b)
     assert np.allclose([got[r[1]] for r in rows], 1 / (1 + np.exp(-x @ b)), atol=1e-9)
+
+
+def test_clone_cascade_moves_no_row_per_pair_and_shingle(spark):
+    """Candidates meet whole sets as lists."""
+    from panelkiln.operators import similarity
+
+    df = spark.createDataFrame([(u, x) for u in range(6) for x in range(u % 3, 20)], "unit int, shingle long")
+    with_side = spark.createDataFrame([(u, u % 2) for u in range(6)], "unit int, side int")
+    pairs, _ = similarity.clone_cascade(df, 0.5, with_side)
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"hashpartitioning\(unit_b#\d+, shingle#", plan)
+    # Units 0 to 2 stand for their copies; only 0 and 2 are on one side.
+    assert [(r["unit_a"], r["unit_b"], r["n_a"], r["n_b"], r["shared"]) for r in pairs.collect()] == [(0, 2, 20, 18, 18)]
