@@ -30,14 +30,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelkiln.llm.common import chunks, partitions, rows, text_of, texts, written
+from panelkiln.llm.common import LARGE_ROWS, chunks, partitions, rows, text_of, texts, written
 from panelkiln.llm.pieces import BYTE, MARK
 from panelkiln.llm.tokens import BpeIds
 
 #: Bytes of text a block holds at most, unless one text has more.
 BLOCK = 4 << 20
 #: Words whose A ids a worker remembers, in two generations.
-KEPT = 200_000
+KEPT = 100_000
 #: Bits of a pair that hold the B id.
 BITS = 32
 
@@ -208,7 +208,7 @@ def _report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def alignment_report(docs: DataFrame, a: str, b: str) -> DataFrame:
     """Per document: tokens of both sides, groups, links, links that are their B (n_best) or A id's most frequent, and the counts' sum."""
-    blocks = written(align(docs, a, b), "aligned")
+    blocks = written(align(docs, a, b), "aligned", **LARGE_ROWS)
     asked = pairs_of(blocks)
     best = F.col("best_a").cast("long") + 2 * F.col("best_b").cast("long")
     told = asked.join(pair_counts(asked), "pair").select("block", "pair", "links", best.alias("best"))

@@ -90,11 +90,16 @@ def _at_end() -> None:
         release()
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows as a Parquet table in the shared folder: cuts lineage and survives lost executors."""
+#: How a table of rows of some MB is written. Parquet's writer else looks at sizes after 100 rows only, and Snappy takes a page at once:
+#: a task would hold all of it several times outside the heap. Sizes are looked at after each row, a row group has 8 MB and zstd streams.
+LARGE_ROWS = {"parquet.page.size.row.check.min": "1", "parquet.page.size.check.estimate": "false", "parquet.block.size": str(8 << 20), "compression": "zstd"}
+
+
+def written(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """The rows as a Parquet table in the shared folder: cuts lineage and survives lost executors. ``options``: its writer's."""
     spark = df.sparkSession
     path = shared_folder(spark, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

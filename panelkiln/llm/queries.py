@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 from panelkiln.llm import alignment, digest_dedup, fm_quality, hamerly_codes, katz, lattice_neighbours, packing, pieces, rindex_dedup, secrets, simhash, token_store, webp
-from panelkiln.llm.common import documents, prepare, settled, shared_folder, table, written
+from panelkiln.llm.common import documents, prepare, setting, settled, shared_folder, table, written
 
 
 def vocabulary(name: str) -> str:
@@ -68,7 +68,10 @@ def op11_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return settled(spark, "op12", lambda: alignment.alignment_report(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model")))
+    docs = documents(spark, sf_dir)
+    # Its rows are whole blocks: more than one or two of them in a batch would only be held longer outside the JVM's heap.
+    with setting(spark, "spark.sql.execution.arrow.maxBytesPerBatch", str(alignment.BLOCK)):
+        return settled(spark, "op12", lambda: alignment.alignment_report(docs, vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model")))
 
 
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
