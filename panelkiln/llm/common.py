@@ -103,6 +103,11 @@ def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def gathered(df: DataFrame) -> DataFrame:
+    """The rows in as few partitions as their bytes need: what large tasks leave of their input is else a small file each."""
+    return df.hint("rebalance")
+
+
 def mark() -> int:
     """How many folders and tables there are: what ``release`` and ``settled`` keep."""
     return len(_made)

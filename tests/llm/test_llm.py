@@ -318,6 +318,32 @@ def test_near_copies_reach_similarity_of_eight_tenths(spark, empty):
     assert shingle_dedup.drop_near_copies(empty).count() == 0
 
 
+def test_few_near_copies_are_written_to_few_files(spark, monkeypatch):
+    """Tables of the few rows that joins of all shingles leave have few files, and no stage sorts all keys to aggregate them."""
+    rng = random.Random(9)
+    made = [[rng.randrange(1000) for _ in range(40)] for _ in range(400)]
+    made += [[*x[:-1], -1] for x in made[:20]]
+    df = spark.createDataFrame([(i, " ".join(map(str, x))) for i, x in enumerate(made)], "doc_id long, text string").repartition(8)
+    files, sorted_keys = {}, {}
+
+    def written(frame, name, **options):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        out = common.written(frame, name, **options)
+        files[name], sorted_keys[name] = len(out.inputFiles()), "SortAggregate" in plan
+        return out
+
+    monkeypatch.setattr(shingle_dedup, "written", written)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.minPartitionSize", "16k")
+    try:
+        with common.setting(spark, "spark.sql.shuffle.partitions", "8"), common.setting(spark, "spark.sql.adaptive.advisoryPartitionSizeInBytes", "16k"):
+            got = {r.doc_id: r.component_id for r in shingle_dedup.near_groups(df).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.minPartitionSize")
+    assert got == {i: i - 400 if i >= 400 else i for i in range(420)}
+    assert max(files[name] for name in ("members", "star-links", "pair-links")) <= 4
+    assert not sorted_keys["members"]
+
+
 def test_golay_keys_meet_at_four_bits(spark):
     rng = np.random.default_rng(1)
     a = rng.integers(0, 2**64, 400, np.uint64)
