@@ -4,7 +4,10 @@ Each text is encoded by a byte-level BPE (A, of a space and the text) and by the
 sentencepiece library with a piece model (B, which puts the space there itself). Inside
 ``mapInArrow`` the two lists of cumulative token ends are merged: where both have
 an end, a group of tokens ends on both sides, and the A token and the B token that
-end there are linked. A block of texts becomes one row with its texts' counts and
+end there are linked. Neither side has a token across the ends of words and of marks (``UNITS``), so a
+text's groups are those of its units in turn: units that the worker has not met
+before are encoded by both libraries and merged, many at a time, and their groups
+and links are kept. A block of texts becomes one row with its texts' counts and
 links; it also asks, one row for each distinct pair of ids in it, for that pair's
 count. Spark groups these rows to the count of a pair in the whole corpus, takes
 the highest count of each A id and of each B id, joins all three and sends them
@@ -22,7 +25,9 @@ but doc_id and text aren't read; an empty table gives none.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -31,25 +36,39 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelkiln.llm.common import LARGE_ROWS, chunks, partitions, rows, text_of, texts, written
-from panelkiln.llm.pieces import BYTE, MARK
-from panelkiln.llm.tokens import BpeIds
+from panelkiln.llm.pieces import BYTE, CONTROL, MARK, NORMAL, UNKNOWN
+from panelkiln.llm.tokens import BpeIds, Kept
 
 #: Bytes of text a block holds at most, unless one text has more.
 BLOCK = 4 << 20
-#: Words whose A ids a worker remembers, in two generations.
-KEPT = 100_000
+#: Units that a worker remembers, in two generations, and the characters of the longest of them.
+KEPT, LONGEST = 100_000, 64
+#: Characters of texts whose new units are encoded together, and new units in one text for the libraries.
+TOGETHER, JOINED = 256 << 10, 64
+#: Letters, or marks of ASCII but the apostrophe, perhaps with a single space before them, and a line's end, where neither side has a token across
+#: what follows; anything else goes on to the next single space between two characters that aren't white space. A space before the text is part of it.
+_LETTER, _MARKS = r"[^\W\d_\xb2\xb3\xb9\xbc-\xbe]", r"!-&(-/:-@\[-`{-~"
+_NEXT = r" (?=\S)|\n(?= ?\S|\Z)|\Z"
+UNITS = re.compile(rf" ?{_LETTER}++(?=[{_MARKS}']|{_NEXT})| ?[{_MARKS}]++(?={_LETTER}|{_NEXT})|(?<=\S)\n(?= ?\S|\Z)|(?s:.)+?(?=(?<=\S) \S|\Z)")
+#: A line's end, and what stands before any other unit without a space where the libraries see it.
+LINE, BEFORE = "\n", " a\n"
 #: Bits of a pair that hold the B id.
 BITS = 32
 
 
+#: Groups' text, links as 64-bit pairs, tokens of A and of B; of what either side doesn't spell.
+Aligned = tuple[bytes, bytes, int, int]
+WRONG: Aligned = (b"", b"", 0, 0)
+
+
 class Sides:
-    """Both tokenizers: the bytes of each id, and the ids' decimal forms before each separator."""
+    """Both tokenizers: the bytes of each id, the ids' decimal forms before each separator, and what is known of units."""
 
     def __init__(self, a: str, b: str):
         from sentencepiece import SentencePieceProcessor
         from sentencepiece import sentencepiece_model_pb2 as proto
 
-        self.a, self.b = BpeIds(a, KEPT), SentencePieceProcessor(model_file=b)
+        self.a, self.b = BpeIds(a, 0), SentencePieceProcessor(model_file=b)
         back = {c: x for x, c in self.a.letters.items()}
         self.a_bytes = [b""] * self.a.tokenizer.get_vocab_size()
         for token, i in self.a.tokenizer.get_vocab().items():
@@ -62,18 +81,85 @@ class Sides:
         self.a_size, self.b_size = (np.array([len(x) for x in side]) for side in (self.a_bytes, self.b_bytes))
         # An id and what follows it: ',' within a side, '|' after A's side of a group, ';' after B's.
         self.shown = [f"{i}{s}".encode() for n, after in ((len(self.a_bytes), ",|"), (len(self.b_bytes), ",;")) for i in range(n) for s in after]
-
-    def encode(self, texts: list[bytes]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """Ids of each text on both sides; none where either side doesn't spell space and text."""
-        known = [t.decode("utf-8", "replace") for t in texts]
-        a = [np.frombuffer(x, self.a.dtype).astype(np.int64) for x in self.a.encode_spaced(known)]
-        b = [np.array(x, np.int64) for i in range(0, len(known), 64) for x in self.b.encode(known[i : i + 64], num_threads=1)]
-        none = np.zeros(0, np.int64)
-        for i, t in enumerate(texts):
-            want = b" " + t
-            if not t or any(b"".join(map(side.__getitem__, ids.tolist())) != want for side, ids in ((self.a_bytes, a[i]), (self.b_bytes, b[i]))):
-                a[i] = b[i] = none
-        return a, b
+        norm, kinds = model.normalizer_spec, {p.type for p in model.pieces}
+        plain = not norm.precompiled_charsmap and not norm.remove_extra_whitespaces and norm.escape_whitespaces and norm.add_dummy_prefix
+        inner = [p.piece.lstrip(MARK) for p in model.pieces if p.type == NORMAL]
+        within = not any(MARK in x or (len(x) > 1 and "\n" in x) or len(UNITS.findall(" " + x)) > 1 for x in inner)
+        merges = model.trainer_spec.model_type == 2 and not model.trainer_spec.treat_whitespace_as_suffix and BYTE in kinds and kinds <= {NORMAL, UNKNOWN, CONTROL, BYTE}
+        #: Only then both sides can be cut into units; else texts go to the libraries whole, and nothing is kept.
+        self.cuts = self.a.splits and all(t.special for t in self.a.tokenizer.get_added_tokens_decoder().values()) and plain and within and merges
+        self.units = Kept(KEPT)
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts on both sides, text after text."""
+        a = self.a.whole_spaced(texts)
+        b = self.b.encode(texts, num_threads=1)
+        return np.concatenate(a).astype(np.int64), np.concatenate([np.array(x, np.int64) for x in b])
+
+    def learn(self, units: list[str], joined: int = JOINED) -> list[Aligned]:
+        """What there is of each unit, ``joined`` of them in one text for the libraries."""
+        if not units:
+            return []
+        seen = [u if u[0] == " " else BEFORE + u if u != LINE else BEFORE for u in units]
+        plain = ["".join(seen[i : i + joined]) for i in range(0, len(seen), joined)]
+        a, b = self.encode([x[1:] for x in plain])
+        want = "".join(plain).encode()
+        lengths, own = (np.fromiter(map(len, map(str.encode, x)), np.int64, len(x)) for x in (seen, units))
+        to = np.cumsum(lengths)
+        last_a, last_b = self.merged(a, b)
+        # Places of the units' ends among the common ends, of which the first is the start.
+        at = np.concatenate([[0], np.cumsum(self.a_size[a])[last_a]])
+        cuts = [np.minimum(np.searchsorted(at, x), len(at) - 1) for x in (to - own, to)]
+        spelt = all(b"".join(map(side.__getitem__, ids.tolist())) == want for side, ids in ((self.a_bytes, a), (self.b_bytes, b)))
+        if not spelt or not all(np.array_equal(at[x], y) for x, y in zip(cuts, (to - own, to), strict=True)):
+            return [WRONG] if len(units) == 1 else [x for u in units for x in self.learn([u], 1)]
+        groups, links = self.groups(a, b, last_a, last_b).split(b";"), (a[last_a] << BITS | b[last_b]).tobytes()
+        tokens = [(np.concatenate([[0], last + 1])[cuts[1]] - np.concatenate([[0], last + 1])[cuts[0]]).tolist() for last in (last_a, last_b)]
+        return [(b";".join(groups[i:j]), links[8 * i : 8 * j], x, y) for i, j, x, y in zip(*(x.tolist() for x in cuts), *tokens, strict=True)]
+
+    def align(self, texts: list[bytes]) -> Iterator[Aligned]:
+        """What there is of each text: nothing where either side doesn't spell space and text."""
+        held, size = [], 0
+        for t in texts:
+            known = t.decode("utf-8", "replace")
+            # A mark in a text is a space to B, and what was replaced isn't the text's.
+            right = t and MARK not in known and ("\ufffd" not in known or known.encode() == t)
+            held.append((UNITS.findall(" " + known) if self.cuts else [" " + known]) if right else [])
+            size += len(known)
+            if size >= TOGETHER:
+                yield from self._align(held)
+                held, size = [], 0
+        yield from self._align(held)
+
+    def _known(self, held: list[list[str]]) -> dict[str, Aligned]:
+        """What there is of the texts' units that are not among the young ones."""
+        kept = self.units
+        missing = list(dict.fromkeys(u for text in held for u in filterfalse(kept.__contains__, text)))
+        known = {u: x for u, x in zip(missing, map(kept.old.get, missing)) if x is not None}
+        new = [u for u in missing if u not in known]
+        # White space at a unit's end, met only in lines' ends and at a text's end, would join what comes after it.
+        alone = [u for u in {LINE, *(text[-1] for text in held if text)}.intersection(new) if u[-1].isspace()] if self.cuts else new
+        if alone:
+            known |= {u: self.learn([u])[0] for u in alone}
+            new = [u for u in new if u not in known]
+        known |= zip(new, self.learn(new), strict=True)
+        return known
+
+    def _align(self, held: list[list[str]]) -> Iterator[Aligned]:
+        kept, known = self.units, self._known(held)
+        wrong = any(x is WRONG for x in known.values())
+        for text in held:
+            found = list(map(kept.get, text))
+            if None in found:
+                found = [known[u] if x is None else x for u, x in zip(text, found, strict=True)]
+            if not found or (wrong and any(x is WRONG for x in found)):
+                yield WRONG
+            else:
+                groups, links, n_a, n_b = zip(*found, strict=True)
+                yield b";".join(groups), b"".join(links), sum(n_a), sum(n_b)
+        if self.cuts:
+            kept.update((u, x) for u, x in known.items() if len(u) <= LONGEST and x is not WRONG)
+            kept.turn()
 
     def merged(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(places of A tokens, places of B tokens) that end together, from both sides' ends."""
@@ -117,16 +203,14 @@ def align(docs: DataFrame, a: str, b: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both, codec, first, n = sides(a, b), pa.Codec("zstd"), TaskContext.get().partitionId() << BITS, 0
         for batch in chunks(batches, BLOCK):
-            pairs, counts, digests = [np.zeros(0, np.int64)], [], []
-            held = texts(batch)
-            for ids_a, ids_b in zip(*both.encode(held), strict=True):
-                last_a, last_b = both.merged(ids_a, ids_b)
-                pairs.append(ids_a[last_a] << BITS | ids_b[last_b])
-                counts.append((len(ids_a), len(ids_b), len(last_a), len(last_a)))
-                digests.append(hashlib.sha256(both.groups(ids_a, ids_b, last_a, last_b)).hexdigest() if len(ids_a) else "")
+            pairs, counts, digests = [], [], []
+            for groups, links, n_a, n_b in both.align(texts(batch)):
+                pairs.append(links)
+                counts.append((n_a, n_b, len(links) // 8, len(links) // 8))
+                digests.append(hashlib.sha256(groups).hexdigest() if n_a else "")
             columns = dict(zip(COUNTS, ([list(c)] for c in zip(*counts, strict=True)), strict=True))
             # The two halves of a pair apart, which compress better so.
-            links = np.concatenate(pairs)
+            links = np.frombuffer(b"".join(pairs), np.int64)
             body = codec.compress(np.concatenate([links >> BITS, links & (1 << BITS) - 1]).astype("<u4").tobytes(), asbytes=True)
             yield rows(BLOCKS, block=[first + n], doc_id=[batch.column(0).to_pylist()], groups_sha256=[digests], pairs=[body], **columns)
             n += 1

@@ -120,28 +120,12 @@ class BpeIds:
         added = self.added
         return [self._library([t])[0] if any(a in t for a in added) else self._encode(t) for t in texts]
 
-    def encode_spaced(self, texts: list[str]) -> list[bytes]:
-        """Ids of a space and each text, in which the strings of added tokens are plain text."""
-        if not self.splits:
-            self.tokenizer.encode_special_tokens = True
-            out = self._library([" " + t for t in texts])
-            self.tokenizer.encode_special_tokens = False
-            return out
-        return [self._spaced(t) for t in texts]
-
-    def _spaced(self, text: str) -> bytes:
-        words = text.split(" ")
-        found = list(map(self.chunks.get, words))
-        if None in found:
-            for i, known in enumerate(found):
-                if known is None:
-                    chunk = words[i]
-                    if not chunk or chunk[-1] in SPACE:
-                        return self._whole(" " + text)
-                    found[i] = self.chunks.get(chunk) or self._chunk(chunk)
-            self.chunks.turn()
-            self.parts.turn()
-        return b"".join(found)
+    def whole_spaced(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of a space and each text by the library alone; the strings of its special tokens are plain text and nothing is kept."""
+        self.tokenizer.encode_special_tokens = True
+        encoded = self.tokenizer.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)
+        self.tokenizer.encode_special_tokens = False
+        return [np.array(x.ids, self.dtype) for x in encoded]
 
     def _encode(self, text: str) -> bytes:
         first, *rest = text.split(" ")
