@@ -46,18 +46,33 @@ def shared_coverage(a: DataFrame, b: DataFrame, common: int | None = None) -> Da
     return out.select("unit_a", "unit_b", "shared", "n_a", "n_b", (2 * F.col("shared") / (F.col("n_a") + F.col("n_b"))).alias("coverage"))
 
 
-def clone_cascade(sets: DataFrame, least: float, within: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def clone_copies(sets: DataFrame, within: DataFrame) -> DataFrame:
+    """(unit_a, unit_b, n_a, n_b, shared, coverage): each unit after the first one of its side and set, paired with that first one."""
+    units = _marks(sets).join(within.select("unit", "side"), "unit")
+    heads = units.groupBy("side", "class").agg(F.min("unit").alias("unit_a"))
+    n = F.col("class.h2")
+    again = units.join(heads, ["side", "class"]).where("unit_a < unit")
+    return again.select("unit_a", F.col("unit").alias("unit_b"), n.alias("n_a"), n.alias("n_b"), n.alias("shared"), F.lit(1.0).alias("coverage"))
+
+
+def clone_cascade(sets: DataFrame, least: float, within: DataFrame | None = None, by_side: bool = False) -> tuple[DataFrame, DataFrame]:
     """(pairs, stages): all pairs of units with a coverage of ``least`` or more, found in stages of growing cost.
 
     sets: (unit, shingle). Units with equal sets are one class, named by its first unit; pairs are of these names, with
-    unit_a before unit_b. within: (unit, side), units compared only with those of the same side.
+    unit_a before unit_b. within: (unit, side), units compared only with those of the same side. by_side: equal sets are a
+    class on each side that has them, and ``clone_copies`` gives the members; without it a class stands on its first unit's
+    side only, and is not compared on the sides of its other units.
     A pair at ``least`` shares at least p = least n / (2 - least) of a class's n shingles; put in order of rarity over all
     classes, the first n - p + 1 of both then have one in common. Stages: classes that meet there (prefix), those
     whose sizes allow the coverage (size), and those that have it once their whole sets are compared (clones). Frequent
     shingles stand last, so they are in no prefix of a set that has rarer ones, and are never joined with each other.
     """
-    first = _marks(sets).groupBy("class").agg(F.min("unit").alias("unit")).select("unit", F.col("class.h2").alias("n"))
-    first = first.withColumn("side", F.lit(0)) if within is None else first.join(within.select("unit", "side"), "unit")
+    if by_side:
+        units = _marks(sets).join(within.select("unit", "side"), "unit")
+        first = units.groupBy("side", "class").agg(F.min("unit").alias("unit")).select("unit", F.col("class.h2").alias("n"), "side")
+    else:
+        first = _marks(sets).groupBy("class").agg(F.min("unit").alias("unit")).select("unit", F.col("class.h2").alias("n"))
+        first = first.withColumn("side", F.lit(0)) if within is None else first.join(within.select("unit", "side"), "unit")
     # The one join that moves all shingles: sizes and sides come with the first units.
     named = sets.join(first, "unit").select("unit", "side", "n", "shingle")
     often = named.groupBy("shingle").agg(F.count("*").alias("_often"))

@@ -401,14 +401,16 @@ def pretrend_counts(spark, d):
 
 @query("""WITH w AS (SELECT doc_id AS id, lang, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '') AS w FROM documents),
 s AS (SELECT DISTINCT id, lang, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT id, lang, w, unnest(range(1, len(w) - 3)) AS i FROM w)),
-c AS (SELECT id, md5(array_to_string(list(g ORDER BY g), '|')) AS class, count(*) AS n FROM s GROUP BY id), f AS (SELECT class, min(id) AS id, min(n) AS n FROM c GROUP BY 1),
-r AS (SELECT s.id, s.lang, s.g, f.n FROM s JOIN f USING (id)), j AS (SELECT a.id AS unit_a, b.id AS unit_b, a.n AS n_a, b.n AS n_b, count(*) AS shared FROM r a JOIN r b ON a.g = b.g AND a.lang = b.lang AND a.id < b.id GROUP BY ALL)
-SELECT unit_a, unit_b, n_a, n_b, shared, round(2 * shared / (n_a + n_b), 6) AS coverage FROM j WHERE 2 * shared / (n_a + n_b) >= 0.5""")
+c AS (SELECT id, lang, md5(array_to_string(list(g ORDER BY g), '|')) AS class, count(*) AS n FROM s GROUP BY id, lang), f AS (SELECT lang, class, min(id) AS id, min(n) AS n FROM c GROUP BY 1, 2),
+r AS (SELECT s.id, s.lang, s.g, f.n FROM s JOIN f USING (id, lang)), j AS (SELECT a.id AS unit_a, b.id AS unit_b, a.n AS n_a, b.n AS n_b, count(*) AS shared FROM r a JOIN r b ON a.g = b.g AND a.lang = b.lang AND a.id < b.id GROUP BY ALL),
+p AS (SELECT * FROM j UNION ALL SELECT f.id, c.id, f.n, c.n, f.n FROM c JOIN f USING (lang, class) WHERE f.id < c.id)
+SELECT unit_a, unit_b, n_a, n_b, shared, round(2 * shared / (n_a + n_b), 6) AS coverage FROM p WHERE 2 * shared / (n_a + n_b) >= 0.5""")
 def clone_pairs(spark, d):
-    """Texts of one language that share half of their five-word shingles or more."""
+    """Texts of one language that share half of their five-word shingles or more: pairs of the first texts of equal sets, and each such set's other texts with its first."""
     docs = load(spark, d, "documents")
-    found, _ = similarity.clone_cascade(similarity.shingles(docs, "doc_id", "text"), 0.5, docs.select(F.col("doc_id").alias("unit"), F.col("lang").alias("side")))
-    return found.withColumns(r6("coverage"))
+    sets, langs = similarity.shingles(docs, "doc_id", "text"), docs.select(F.col("doc_id").alias("unit"), F.col("lang").alias("side"))
+    found, _ = similarity.clone_cascade(sets, 0.5, langs, by_side=True)
+    return found.unionByName(similarity.clone_copies(sets, langs)).withColumns(r6("coverage"))
 
 
 # Matching by period

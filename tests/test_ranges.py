@@ -157,3 +157,21 @@ def test_clone_cascade_moves_no_row_per_pair_and_shingle(spark):
     assert not re.search(r"hashpartitioning\(unit_b#\d+, shingle#", plan)
     # Units 0 to 2 stand for their copies; only 0 and 2 are on one side.
     assert [(r["unit_a"], r["unit_b"], r["n_a"], r["n_b"], r["shared"]) for r in pairs.collect()] == [(0, 2, 20, 18, 18)]
+
+
+def test_clone_pairs_keeps_copies_and_sides(spark, tmp_path):
+    """A text whose copy in another language comes first is compared in its own one; copies are linked with their first text."""
+    from panelkiln.plans import catalog, more
+
+    words = [f"w{i}" for i in range(24)]
+    text, near = " ".join(words), " ".join(words[:20])
+    rows = [(1, text, "en"), (2, text.upper(), "de"), (3, near, "de"), (4, near + "  ", "de"), (5, text, "en"), (6, "a b", "de"), (7, text, None), (8, text, None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted(map(tuple, more.clone_pairs(spark, str(tmp_path)).collect()))
+    assert got == [(1, 5, 20, 20, 20, 1.0), (2, 3, 20, 16, 16, 0.888889), (3, 4, 16, 16, 16, 1.0)]
+
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    assert sorted(con.sql(catalog.ORACLES["clone_pairs"]).fetchall()) == got
