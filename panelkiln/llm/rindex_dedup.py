@@ -11,8 +11,10 @@ three steps:
    strings have equal anchors at equal places. Blocks of documents ask, bucket by
    bucket, which of their anchors occur in more than one document, and how often.
 2. Index. The surroundings of each such anchor - as far as a string with the anchor
-   in it can reach - go to the task that owns the anchor's hash, equal ones of a
-   block once, with the smallest id that has them. The distinct surroundings of an
+   in it can reach, and only as far as those reach whose least gram it is - go to the
+   task that owns the anchor's hash, equal ones of a block once, with the smallest id
+   that has them. They are most of what is shuffled, so they go in WAVES by their keys,
+   and a wave's shuffle is deleted before the next one. The distinct surroundings of an
    anchor - those that share enough bytes in place with another to share a string -
    are put in order of their smallest ids and halved, the halves again, and so
    on; of each two halves the one with the smaller ids is indexed and the other one
@@ -47,9 +49,11 @@ remove each other; rows of an empty table give none.
 
 from __future__ import annotations
 
+import copy
 import hashlib
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -57,7 +61,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelkiln.llm.common import bucketed, chunks, partitions, rows, text_of, texts, written
+from panelkiln.llm.common import bucketed, chunks, partitions, rows, setting, text_of, texts, written
 from panelkiln.llm.katz import SENT, SENT_DDL, by_bucket, packed, slices, unpacked
 
 SPAN, GRAM = 50, 16
@@ -70,6 +74,8 @@ INDEX = 4_000
 HOT, NARROW = 6_000, 5
 #: Bits of an anchor's hash.
 BITS = 40
+#: Rounds in which surroundings are asked for: the shuffle of one is on disk at a time, and each reads the blocks again.
+WAVES = 2
 NEVER = np.iinfo(np.int64).max
 #: Bytes that no UTF-8 text has.
 OUTSIDE = 0xFF
@@ -127,12 +133,41 @@ def anchors(a: np.ndarray, ends: np.ndarray, step: int = 1 << 15) -> np.ndarray:
     return np.concatenate(out)
 
 
-def anchor_keys(a: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """BITS of another hash of the anchors: the one that chose them is small for all."""
+def _grams(a: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """What ``gram_hashes`` mixes, at some places."""
     h = np.zeros(len(at), np.uint64)
     for k in range(GRAM):
         h = h * np.uint64(FACTOR) + (a[at + k].astype(np.uint64) + np.uint64(1))
-    return _key(h)
+    return h
+
+
+def anchor_keys(a: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """BITS of another hash of the anchors: the one that chose them is small for all."""
+    return _key(_grams(a, at))
+
+
+def owned(at: np.ndarray, doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, last) offset, from REACH bytes before the anchor on, of the strings of which each anchor is the least.
+
+    at: all anchors of the documents, in order; h: the hashes that chose them. The least gram of a string that holds an
+    anchor is an anchor too, so an anchor's strings end before the next smaller anchor on either side. Which gram is a string's
+    least depends on its bytes alone: wherever a string stands it is asked for by the same anchors, so the others needn't.
+    """
+    first, last = np.zeros(len(at), np.int64), np.full(len(at), REACH)
+    for out, way in ((first, -1), (last, 1)):
+        here, k = np.arange(len(at)), 0
+        while len(here):
+            k += 1
+            here = here[(here + way * k >= 0) & (here + way * k < len(at))]
+            there = here + way * k
+            # Anchors up to REACH away in the same document; those that met a smaller one are done.
+            near = (np.abs(at[there] - at[here]) <= REACH) & (doc[there] == doc[here])
+            here, there = here[near], there[near]
+            less = h[there] < h[here]
+            gap = (at[there] - at[here])[less]
+            out[here[less]] = REACH + gap + 1 if way < 0 else gap - 1
+            here = here[~less]
+    return first, last
 
 
 def _key(h: np.ndarray) -> np.ndarray:
@@ -215,10 +250,11 @@ class Block:
         self.text = np.frombuffer(row["text"], np.uint8)
         at = np.cumsum(unpacked(row["anchors"], "<u4").astype(np.int64))
         at = at[~self.copy[np.searchsorted(self.ends, at, side="right")]]
-        keys = anchor_keys(self.text, at)
+        grams, doc = _grams(self.text, at), np.searchsorted(self.ends, at, side="right")
+        keys = _key(grams)
         order = np.argsort(keys, kind="stable")
-        self.at, self.keys = at[order], keys[order]
-        self.doc = np.searchsorted(self.ends, self.at, side="right")
+        self.at, self.keys, self.doc = at[order], keys[order], doc[order]
+        self.first, self.last = (x[order].astype(np.int8) for x in owned(at, doc, _mixed(grams)))
 
     def distinct_keys(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Sorted keys, whether several documents of the block have one, and how often it occurs, 255 at most."""
@@ -246,10 +282,16 @@ class Block:
         which = np.searchsorted(keys, self.keys)
         keep = again[which] if len(keys) else np.zeros(0, bool)
         self.hot = hot[which][keep] if len(keys) else np.zeros(0, bool)
-        self.at, self.keys, self.doc = self.at[keep], self.keys[keep], self.doc[keep]
+        self.at, self.keys, self.doc, self.first, self.last = (x[keep] for x in (self.at, self.keys, self.doc, self.first, self.last))
+
+    def wave(self, w: int) -> Block:
+        """The block with the anchors of one of the WAVES alone. Equal anchors are in one, whatever windows they are split into."""
+        out, mine = copy.copy(self), self.keys % WAVES == w
+        out.at, out.keys, out.doc, out.first, out.last, out.hot = (x[mine] for x in (self.at, self.keys, self.doc, self.first, self.last, self.hot))
+        return out
 
     def surroundings(self) -> None:
-        """Distinct surroundings of the anchors in order of key, the one of each anchor, and their smallest ids.
+        """Distinct surroundings of the anchors in order of key, as far as their own strings reach, the one of each anchor, and their smallest ids.
 
         A hot anchor becomes one for each of its windows.
         """
@@ -257,13 +299,15 @@ class Block:
         times = np.where(self.hot, parts, 1)
         part = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
         part[~np.repeat(self.hot, times)] = -1
-        self.at, self.keys, self.doc = (np.repeat(x, times) for x in (self.at, self.keys, self.doc))
+        self.at, self.keys, self.doc, self.first, self.last = (np.repeat(x, times) for x in (self.at, self.keys, self.doc, self.first, self.last))
         starts = self.ends - self.length
         self.around = np.empty((len(self.at), WIDE), np.uint8)
         for i in range(0, len(self.at), 1 << 16):
             s = slice(i, i + (1 << 16))
-            place = self.at[s, None] + np.arange(-REACH, GRAM + REACH)
-            inside = (place >= starts[self.doc[s], None]) & (place < self.ends[self.doc[s], None])
+            at, doc = self.at[s], self.doc[s]
+            place = at[:, None] + np.arange(-REACH, GRAM + REACH)
+            low, high = np.maximum(starts[doc], at - REACH + self.first[s]), np.minimum(self.ends[doc], at - REACH + self.last[s] + SPAN)
+            inside = (place >= low[:, None]) & (place < high[:, None])
             self.around[s] = np.where(inside, self.text[np.clip(place, 0, max(0, len(self.text) - 1))], OUTSIDE)
         keep = np.ones(len(self.at), bool)
         for k in range(parts):
@@ -661,28 +705,41 @@ def remove_repeats(docs: DataFrame, keep_bytes: bool = True) -> DataFrame:
     def ready(row: dict) -> Block:
         b = block_of(row)
         b.keep_repeated(row["keys_known"] or [], n)
-        b.surroundings()
         return b
 
-    def ask_surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                yield from ready(batch.slice(i, 1).to_pylist()[0]).ask_surroundings(n)
+    def ask_surroundings(w: int):
+        def ask_wave(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    b = ready(batch.slice(i, 1).to_pylist()[0]).wave(w)
+                    b.surroundings()
+                    yield from b.ask_surroundings(n)
+
+        return ask_wave
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
                 b = ready(row)
-                yield finish(b, b.marks(row["found"] or [], n), keep_bytes)
+                gone = np.zeros(len(b.text), bool)
+                for w in range(WAVES):
+                    part = b.wave(w)
+                    part.surroundings()
+                    gone |= part.marks([r | {"bucket": r["bucket"] % n} for r in row["found"] or [] if r["bucket"] // n == w], n)
+                yield finish(b, gone, keep_bytes)
 
     def ask(df: DataFrame, question, answer, label: str) -> DataFrame:
         sent = df.mapInArrow(question, SENT_DDL).repartition(n, "bucket").sortWithinPartitions("bucket")
-        return written(sent.mapInArrow(answer, REPLY_DDL), label)
+        # What was shuffled for the answers goes as soon as they are written.
+        with setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+            return written(sent.mapInArrow(answer, REPLY_DDL), label)
 
     copies = ask(blocks.select("block", "doc_id", "digests"), ask_copies, answer_copies, "copy-replies")
     told = blocks.hint("merge").join(_replies(copies, "copies"), "block", "left")
     keys = ask(told, ask_keys, answer_keys, "anchor-replies")
     known = told.join(_replies(keys, "keys_known").hint("merge"), "block", "left")
-    found = ask(known, ask_surroundings, answer_surroundings, "passage-replies")
+    waves = [ask(known, ask_surroundings(w), answer_surroundings, "passage-replies") for w in range(WAVES)]
+    # Buckets of the second wave are numbered after those of the first one, and so on.
+    found = reduce(DataFrame.unionByName, (x.withColumn("bucket", F.col("bucket") + w * n) for w, x in enumerate(waves)))
     return known.join(_replies(found, "found").hint("merge"), "block", "left").mapInArrow(mark, OUT_DDL)

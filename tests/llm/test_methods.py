@@ -457,3 +457,45 @@ def test_postings_answer_rules_that_came_later(spark):
     assert report[7]["n_assign"] == 1
     masked = secrets.mask_secrets(spark.createDataFrame([(1, "é token: abcdefgh, " * 900)], "doc_id long, text string")).first()["text"]
     assert masked == "é <assign>, " * 900
+
+
+def test_strings_are_asked_for_by_their_least_anchors(monkeypatch):
+    """Each string is an anchor's own just where that anchor's gram is its least one, and surroundings end with the own strings."""
+    monkeypatch.setattr(rindex_dedup, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    rng = np.random.default_rng(12)
+    texts = ["".join(map(chr, rng.integers(97, 97 + kinds, n))) for kinds, n in ((26, 400), (2, 300), (1, 130), (26, 50), (26, 49), (1, 0))] * 2
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "text"])
+    row = next(rindex_dedup.block_rows(iter([batch]))).to_pylist()[0]
+    b = rindex_dedup.Block(row)
+    h = rindex_dedup.gram_hashes(b.text)
+    starts = [s for e, n in zip(b.ends.tolist(), b.length.tolist(), strict=True) for s in range(e - n, e - 49)]
+    want = {(s, p) for s in starts for p in range(s, s + 35) if h[p] == h[s : s + 35].min()}
+    own = zip(b.at.tolist(), b.doc.tolist(), b.first.tolist(), b.last.tolist(), strict=True)
+    got = {(p - 34 + j, p) for p, d, first, last in own for j in range(first, last + 1) if b.ends[d] - b.length[d] <= p - 34 + j <= b.ends[d] - 50}
+    assert got == want and {s for s, _ in want} == set(starts)
+    for hot in (False, True):
+        b = rindex_dedup.Block(row)
+        n = len(b.keys)
+        b.hot = np.full(n, hot)
+        parts = [b.wave(w) for w in range(rindex_dedup.WAVES)]
+        assert sum(len(p.keys) for p in parts) == n and len({k for p in parts for k in set(p.keys.tolist())}) == len(set(b.keys.tolist()))
+        b.surroundings()
+        whole = rindex_dedup.whole_strings(b.around)
+        assert hot or whole.sum(1).max() <= 35 and (b.around == rindex_dedup.OUTSIDE).mean() > 0.1
+        replies = []
+        for x in (b, *parts):
+            if x is not b:
+                x.surroundings()
+            found = rindex_dedup.answer_surroundings(iter(list(x.ask_surroundings(1))))
+            replies.append(x.marks([r for out in found for r in out.to_pylist()], 1))
+        assert replies[0].any() and np.array_equal(replies[0], np.any(replies[1:], 0))
+        assert replies[0].tolist() == [False] * (len(b.text) // 2) + np.repeat(b.length >= 50, b.length)[len(b.text) // 2 :].tolist()
+
+
+def test_passages_leave_no_shuffle_on_disk(spark):
+    """What was shuffled for a round of answers is deleted when they are written, and each wave's before the next one."""
+    files = lambda: {f.getName() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()) if f.getName().startswith("shuffle_")}
+    before = files()
+    left = rindex_dedup.remove_repeats(common.documents(spark, "/root/testdata/sf0.001"))
+    assert not files() - before
+    assert left.agg({"n_removed": "sum"}).first()[0] > 0
